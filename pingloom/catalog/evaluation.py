@@ -271,7 +271,7 @@ def _(t):
 
 @query("d7_error_by_quantile_bin", """
     WITH q AS (SELECT list_sort(list_distinct(quantile_cont(actual, [0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0]))) AS e FROM eta)
-    SELECT greatest(len(list_filter(e, lambda x: x < actual)), 1)::INTEGER AS bin, round(avg(abs_err), 5) AS mean_error, count(*) AS n, min(actual) AS low, max(actual) AS high FROM eta, q GROUP BY 1""")
+    SELECT greatest(len(list_filter(e, lambda x: x < actual)), 1)::INTEGER AS bin, round(avg(abs_err), 5) AS mean_error, count(*) AS n, round(min(actual), 9) AS low, round(max(actual), 9) AS high FROM eta, q GROUP BY 1""")
 def _(t):
     return rounded(shift.error_by_quantile_bin(t.eta, "actual"), 5, low=9, high=9)
 

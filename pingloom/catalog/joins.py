@@ -57,9 +57,9 @@ def _(t):
 def _(t):
     pings = t.pings.where("kind NOT IN ('purchase', 'signup')").select("event_id", "vehicle_id", "route_id", "ts_ms")
     by, before, after = ["vehicle_id", "route_id"], 6 * 3_600_000, 12 * 3_600_000
-    nearest = joins.match_event_window(pings, t.arrivals, by, "ts_ms", "arrival_ms", "event_id", before, after)
-    first = joins.match_event_window(pings, t.arrivals, by, "ts_ms", "arrival_ms", "event_id", before, after, nearest=False, output="first_ms")
-    return nearest.join(first.select("event_id", "first_ms"), "event_id").select("event_id", "matched_ms", "first_ms")
+    nearest = joins.match_event_window(pings, t.arrivals, by, "ts_ms", "arrival_ms", before, after)
+    both = joins.match_event_window(nearest, t.arrivals, by, "ts_ms", "arrival_ms", before, after, nearest=False, output="first_ms")
+    return both.select("event_id", "matched_ms", "first_ms")
 
 
 @query("j4_next_n_arrivals", """

@@ -140,12 +140,12 @@ def _(t):
     SELECT x.event_id, next_ms, near_ms FROM x LEFT JOIN y USING (event_id) WHERE next_ms IS DISTINCT FROM near_ms""")
 def _(t):
     marks = events.stop_transitions(t.pings, "next_stop_id", ["vehicle_id"]).where("prev_value <> 0").select("event_id", "vehicle_id", "ts_ms", F.col("prev_value").alias("stop_id"), "prev_ts_ms")
-    out = quality.mismatch_cases(marks, t.arrivals, ["vehicle_id"], "event_id", 864_000_000, 259_200_000, 432_000_000)
+    out = quality.mismatch_cases(marks, t.arrivals, ["vehicle_id"], 864_000_000, 259_200_000, 432_000_000)
     return out.select("event_id", "next_ms", "near_ms")
 
 
 @query("q12_status_profile", """
-    WITH d AS (SELECT status, vehicle_name, count(*) AS n, row_number() OVER (PARTITION BY status ORDER BY vehicle_name) AS r FROM pings GROUP BY ALL)
+    WITH c AS (SELECT status, vehicle_name, count(*) AS n FROM pings GROUP BY ALL), d AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY vehicle_name) AS r FROM c)
     SELECT status, sum(n)::BIGINT AS n, string_agg(vehicle_name, ',' ORDER BY vehicle_name) FILTER (r <= 3) AS examples FROM d GROUP BY status""")
 def _(t):
     return quality.status_profile(t.pings).withColumn("examples", F.array_join("examples", ","))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pingloom.plans.relabel import Frames, oracle
 
-MODULES = ("filters", "scalars", "names", "joins", "geo", "windows", "events", "history", "tiers", "timetable", "evaluation", "quality")
+MODULES = ("sources", "filters", "scalars", "names", "joins", "geo", "windows", "events", "history", "tiers", "timetable", "evaluation", "quality", "live", "model")
 
 
 @dataclass(frozen=True)

@@ -105,11 +105,9 @@ def label_by_transition(
     # the next run's start is the transition; runs are few per vehicle and lie in time order
     ended = lag_across(
         per_run.withColumn("_neg", -F.col("run_start_ms")), keys, "_neg", ("_neg",), {"transition_ms": "run_start_ms"}
-    ).where("transition_ms IS NOT NULL AND stop_id <> 0").withColumn(
-        "_run", F.struct(*keys, "run_start_ms")
-    )
+    ).where("transition_ms IS NOT NULL AND stop_id <> 0")
     matched = match_event_window(
-        ended, arrivals, [*keys, "stop_id"], "transition_ms", "arrival_ms", "_run", before_ms, after_ms, nearest=False
+        ended, arrivals, [*keys, "stop_id"], "transition_ms", "arrival_ms", before_ms, after_ms, nearest=False
     ).where("matched_ms IS NOT NULL").select(*keys, "run_start_ms", "matched_ms")
     eta = (F.col("matched_ms") - F.col("ts_ms")) / F.lit(1000.0)
     return runs.join(matched, [*keys, "run_start_ms"]).withColumn("label_s", eta).where(

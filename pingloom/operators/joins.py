@@ -59,26 +59,22 @@ def asof_previous(
 
 
 def match_event_window(
-    events: DataFrame, arrivals: DataFrame, by: Sequence[str], event_ms: str, arrival_ms: str, key: str,
+    events: DataFrame, arrivals: DataFrame, by: Sequence[str], event_ms: str, arrival_ms: str,
     before_ms: int = DEFAULTS.window_before_ms, after_ms: int = DEFAULTS.window_after_ms, nearest: bool = True,
     output: str = "matched_ms",
 ) -> DataFrame:
-    """Nearest (or first) arrival within [t - before, t + after] of each event row ``key``.
+    """Nearest (the earlier on a tie) or first arrival within [t - before, t + after] of each event.
 
-    An interval join on time buckets as long as the window: every event asks its bucket and the
-    neighbours the window touches, so partitions are (keys, bucket) and each pair meets once.
+    No pairs are formed: the first one is the next arrival after t - before, the nearest one is the
+    closer of the last arrival until t and the next one after it.
     """
-    size = before_ms + after_ms
-    asked = events.select(
-        key, *by, F.col(event_ms).alias("_t"),
-        F.explode(F.sequence(floor_div(F.col(event_ms) - before_ms, size), floor_div(F.col(event_ms) + after_ms, size))).alias("_b"),
-    )
-    given = arrivals.select(*by, F.col(arrival_ms).alias("_a"), floor_div(arrival_ms, size).alias("_b")).distinct()
-    gap = F.col("_a") - F.col("_t")
-    pairs = asked.join(given, [*by, "_b"]).where(gap.between(-before_ms, after_ms))
-    rank: Column = F.struct(F.abs(gap), F.col("_a")) if nearest else F.struct(F.col("_a"), F.col("_a"))
-    best = pairs.groupBy(key).agg(F.min_by("_a", rank).alias(output))
-    return events.join(best, key, "left")
+    if not nearest:
+        shifted = events.withColumn("_from", F.col(event_ms) - F.lit(before_ms))
+        return asof_next(shifted, arrivals, by, "_from", arrival_ms, before_ms + after_ms, output).drop("_from")
+    earlier = asof_previous(events, arrivals, by, event_ms, arrival_ms, before_ms, "_before")
+    both = asof_next(earlier, arrivals, by, event_ms, arrival_ms, after_ms, "_after", strict=True)
+    closer = F.col("_after") - F.col(event_ms) < F.col(event_ms) - F.col("_before")
+    return both.withColumn(output, F.when(F.col("_before").isNull() | closer, F.col("_after")).otherwise(F.col("_before"))).drop("_before", "_after")
 
 
 def next_n_arrivals(

@@ -222,10 +222,10 @@ def issue_examples(flagged: DataFrame, k: int = 3) -> DataFrame:
     return local.withColumn("rank", rank).where(F.col("rank") <= k).select("issue", "rank", "event_id", "ts_ms")
 
 
-def mismatch_cases(marks: DataFrame, arrivals: DataFrame, keys: Sequence[str], key: str, reach_ms: int, before_ms: int, after_ms: int) -> DataFrame:
+def mismatch_cases(marks: DataFrame, arrivals: DataFrame, keys: Sequence[str], reach_ms: int, before_ms: int, after_ms: int) -> DataFrame:
     """Transitions where the next arrival after the last ping and the nearest one in the window disagree."""
     nxt = asof_next(marks, arrivals, [*keys, "stop_id"], "prev_ts_ms", "arrival_ms", reach_ms, "next_ms", strict=True)
-    near = match_event_window(nxt, arrivals, [*keys, "stop_id"], "ts_ms", "arrival_ms", key, before_ms, after_ms, output="near_ms")
+    near = match_event_window(nxt, arrivals, [*keys, "stop_id"], "ts_ms", "arrival_ms", before_ms, after_ms, output="near_ms")
     return near.where(~F.col("next_ms").eqNullSafe(F.col("near_ms")))
 
 

@@ -133,6 +133,8 @@ def oracle(sql: str) -> str:
     visit(sql)
     sql = sql.strip()
     heads = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in needed)
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads},\n{sql[15:]}" if heads else sql
     if sql[:5].upper() == "WITH ":
         return f"WITH {heads},\n{sql[5:]}" if heads else sql
     return f"WITH {heads}\n{sql}" if heads else sql
@@ -141,6 +143,10 @@ def oracle(sql: str) -> str:
 class Frames:
     """Lazily built Spark frames over one directory of driver tables."""
 
+    def streamed(self) -> StreamFrames:
+        """The same frames fed by file streams (only those built without joins or aggregates)."""
+        return StreamFrames(self.spark, self.sf_dir)
+
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = pin_session(spark)
         self.sf_dir = sf_dir
@@ -319,3 +325,12 @@ class Frames:
     @cached_property
     def test(self) -> DataFrame:
         return self.labeled.where(F.col("day").between(*TEST_DAYS))
+
+
+class StreamFrames(Frames):
+    """Frames whose raw tables are read as streams."""
+
+    def raw(self, name: str) -> DataFrame:
+        from pingloom.streaming.live import table_stream
+
+        return table_stream(self.spark, self.sf_dir, super().raw(name).schema, f"{name}.parquet")
