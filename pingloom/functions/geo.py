@@ -12,7 +12,8 @@ from pingloom.functions.times import _col
 def half_chord(lat1, lon1, lat2, lon2) -> Column:
     """The haversine itself; grows with the distance, so it ranks points without the root."""
     a, b, c, d = (F.radians(_col(x)) for x in (lat1, lon1, lat2, lon2))
-    return F.pow(F.sin((c - a) / 2), 2) + F.cos(a) * F.cos(c) * F.pow(F.sin((d - b) / 2), 2)
+    north, east = F.sin((c - a) / 2), F.sin((d - b) / 2)
+    return north * north + F.cos(a) * F.cos(c) * east * east
 
 
 def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_M) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pingloom.config import DEFAULTS
 from pingloom.functions.times import floor_div
 from pingloom.operators.joins import asof_next, match_event_window
-from pingloom.plans.slices import fill_across, lag_across
+from pingloom.plans.slices import bounded_lag, fill_across, lag_across
 
 TRACK = ("vehicle_id", "route_id")
 ORDER = ("ts_ms", "event_id")
@@ -32,11 +32,17 @@ def idle_streaks(
 ) -> DataFrame:
     """Idle flag and seconds since the idle streak began; a state change or a gap begins a streak."""
     flagged = df.withColumn("is_idle", F.coalesce(F.col(speed) < idle_below, F.lit(False)).cast("int"))
-    prev = lag_across(flagged, keys, ts, order, {"_idle": "is_idle", "_ts": ts})
-    begins = F.col("_ts").isNull() | (F.col("_idle") != F.col("is_idle")) | (F.col(ts) - F.col("_ts") > max_gap_ms)
-    runs = fill_across(prev, keys, ts, order, {"_from": F.when(begins, F.col(ts))})
+    # a longer gap begins a streak anyway, so the look-back is bounded by it
+    prev = bounded_lag(flagged, keys, ts, order, {"_idle": "is_idle"}, max_gap_ms)
+    begins = ~F.col("_idle").eqNullSafe(F.col("is_idle"))
+    return streak_seconds(prev.withColumn("_begins", begins), keys, ts, order).select(*df.columns, "is_idle", "seconds_idle")
+
+
+def streak_seconds(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str]) -> DataFrame:
+    """Seconds since the running idle streak began, from ``is_idle`` and ``_begins``."""
+    runs = fill_across(df, keys, ts, order, {"_from": F.when(F.col("_begins"), F.col(ts))})
     seconds = F.when(F.col("is_idle") == 1, (F.col(ts) - F.col("_from")) / F.lit(1000.0)).otherwise(F.lit(0.0))
-    return runs.select(*df.columns, "is_idle", seconds.alias("seconds_idle"))
+    return runs.withColumn("seconds_idle", seconds).drop("_from", "_begins")
 
 
 def segment_travel(df: DataFrame, column: str = "last_stop_id", keys: Sequence[str] = TRACK, max_ms: int = DEFAULTS.max_gap_ms) -> DataFrame:

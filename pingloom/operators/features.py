@@ -90,10 +90,8 @@ def base_features(df: DataFrame, stop_seq: DataFrame, weather: DataFrame, temper
 
 def ping_features(pings: DataFrame, thresholds=DEFAULTS) -> DataFrame:
     """Trajectory features on unique pings, before any fan-out to target stops."""
-    speed = windows.gps_speed(pings, min_delta_ms=thresholds.min_delta_ms, max_gap_ms=thresholds.max_gap_ms, cap=thresholds.gps_speed_cap_mps)
-    rolled = windows.rolling_time(speed, "gps_speed_mps", thresholds.rolling_s)
-    faster = windows.acceleration(rolled, min_delta_ms=thresholds.min_delta_ms, max_gap_ms=thresholds.max_gap_ms)
-    return events.idle_streaks(faster, "gps_speed_mps", idle_below=thresholds.idle_speed_mps, max_gap_ms=thresholds.max_gap_ms)
+    marked = windows.trajectory_windows(pings, thresholds)
+    return events.streak_seconds(marked, windows.TRACK, "ts_ms", ("ts_ms", "event_id"))
 
 
 def history_lookups(pings: DataFrame, thresholds=DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -46,11 +46,9 @@ def _candidates(pieces: DataFrame, low: Column, high: Column, box: Box, step: fl
     every = pieces.withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows)))).withColumn(
         "_col", F.explode(F.sequence(F.lit(0), F.lit(columns)))
     )
-    bounded = every.select(
-        *pieces.columns, (F.col("_row") * (columns + 1) + F.col("_col")).alias("_cell"), low.alias("_low"), high.alias("_high")
-    )
-    best = bounded.groupBy("shape_id", "_cell").agg((F.min("_high") * (1 + 1e-9)).alias("_limit"))
-    kept = bounded.join(best, ["shape_id", "_cell"]).where(F.col("_low") <= F.col("_limit"))
+    cell = (F.col("_row") * (columns + 1) + F.col("_col")).alias("_cell")
+    best = every.select("shape_id", cell, high.alias("_high")).groupBy("shape_id", "_cell").agg((F.min("_high") * (1 + 1e-9)).alias("_limit"))
+    kept = every.select(*pieces.columns, cell, low.alias("_low")).join(best, ["shape_id", "_cell"]).where(F.col("_low") <= F.col("_limit"))
     return kept.select(*pieces.columns, "_cell")
 
 
@@ -73,11 +71,11 @@ def vertex_index(segments: DataFrame, box: Box = DEFAULTS.box, step: float = 0.0
     # the cosine product is bounded by the box (a degree of slack covers its borders)
     widest = math.cos(math.radians(max(min(abs(box.lat_min), abs(box.lat_max)) - 1, 0))) ** 2
     narrowest = math.cos(math.radians(min(max(abs(box.lat_min), abs(box.lat_max)) + 1, 90))) ** 2
-
-    def chord(d1: Column, d2: Column, factor: float) -> Column:
-        return F.pow(F.sin(F.radians(d1) / 2), 2) + F.lit(factor) * F.pow(F.sin(F.radians(d2) / 2), 2)
-
-    return _candidates(segments, chord(dlat[0], dlon[0], narrowest), chord(dlat[1], dlon[1], widest), box, step)
+    # sin(x/2)^2 lies between (x/2)^2 (1 - x^2/12) and (x/2)^2: flat arithmetic bounds the chord
+    extent = math.radians(max(box.lat_max - box.lat_min, box.lon_max - box.lon_min) + 2 * step)
+    low = (dlat[0] * dlat[0] + dlon[0] * dlon[0] * narrowest) * (1 - extent * extent / 12)
+    high = dlat[1] * dlat[1] + dlon[1] * dlon[1] * widest
+    return _candidates(segments, low, high, box, step)
 
 
 def segment_index(segments: DataFrame, box: Box = DEFAULTS.box, step: float = 0.01) -> DataFrame:
@@ -85,10 +83,11 @@ def segment_index(segments: DataFrame, box: Box = DEFAULTS.box, step: float = 0.
     top, side = _edges("_row", box.lat_min, step), _edges("_col", box.lon_min, step)
     lat_low, lat_high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
     lon_low, lon_high = F.least("lon1", "lon2"), F.greatest("lon1", "lon2")
-    near = F.pow(_gap(*top, lat_low, lat_high)[0], 2) + F.pow(_gap(*side, lon_low, lon_high)[0], 2)
+    square = lambda x: x * x
+    near = square(_gap(*top, lat_low, lat_high)[0]) + square(_gap(*side, lon_low, lon_high)[0])
 
     def farthest(lat: str, lon: str) -> Column:
-        return F.pow(_gap(*top, F.col(lat), F.col(lat))[1], 2) + F.pow(_gap(*side, F.col(lon), F.col(lon))[1], 2)
+        return square(_gap(*top, F.col(lat), F.col(lat))[1]) + square(_gap(*side, F.col(lon), F.col(lon))[1])
 
     return _candidates(segments, near, F.least(farthest("lat1", "lon1"), farthest("lat2", "lon2")), box, step)
 

@@ -64,12 +64,13 @@ def ks_statistic(df: DataFrame, features: Sequence[str], flag: str) -> DataFrame
 def category_shift(df: DataFrame, column: str, flag: str, eps: float = 1e-10) -> DataFrame:
     """Jensen-Shannon divergence and the chi-squared statistic of a category: all rows against flagged ones."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_o"), F.count_if(F.col(flag) == 1).alias("_h"))
-    n = counts.agg(F.struct(F.sum("_o").alias("o"), F.sum("_h").alias("h")).alias("n")).scalar()
-    po, ph = F.col("_o") / n["o"], F.col("_h") / n["h"]
+    all_rows = Window.partitionBy(F.lit(0))  # one row per category
+    shares = counts.select("_o", "_h", F.sum("_o").over(all_rows).alias("_no"), F.sum("_h").over(all_rows).alias("_nh"))
+    po, ph = F.col("_o") / F.col("_no"), F.col("_h") / F.col("_nh")
     m = (po + ph) * 0.5
     part = lambda p: p * F.ln((p + eps) / (m + eps))
-    expected = F.col("_o") * (n["h"] / n["o"])
-    return counts.agg(
+    expected = F.col("_o") * (F.col("_nh") / F.col("_no"))
+    return shares.agg(
         (F.sum(part(po)) * 0.5 + F.sum(part(ph)) * 0.5).alias("js_divergence"),
         F.sum((F.col("_h") - expected) * (F.col("_h") - expected) / expected).alias("chi2"),
         F.count(F.lit(1)).alias("n_categories"),

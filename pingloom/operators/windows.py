@@ -55,6 +55,36 @@ def _trailing(keys: Sequence[str], ts: str, span_ms: int, closed: bool) -> Windo
     return Window.partitionBy(*keys, SLICE).orderBy(ts).rangeBetween(-(span_ms if closed else span_ms - 1), 0)
 
 
+def trajectory_windows(df: DataFrame, cfg=DEFAULTS, keys: Sequence[str] = TRACK, ts: str = "ts_ms", order: Sequence[str] = ("ts_ms", "event_id")) -> DataFrame:
+    """GPS speed, its rolling statistics, acceleration and idle marks in one shuffle and one sort.
+
+    The same results as the single operators one after another. Speed looks back one gap, what is
+    built on it one gap or window more; a halo of that reach lets every step run in the same slices.
+    """
+    gap, spans = cfg.max_gap_ms, [s * 1000 for s in cfg.rolling_s]
+    reach = gap + max(gap, *spans)
+    w = Window.partitionBy(*keys, SLICE).orderBy(*order)
+    copies = with_halo(df, ts, reach_slice(reach, cfg.slice_ms), before_ms=reach)
+    delta = F.col(ts) - F.lag(ts).over(w)
+    near = F.coalesce(delta <= gap, F.lit(False))
+    usable = near & (delta >= cfg.min_delta_ms)
+    metres = haversine(F.lag("lat").over(w), F.lag("lon").over(w), "lat", "lon")
+    moved = copies.select(
+        "*", near.alias("_near"), usable.alias("_usable"), (delta / F.lit(1000.0)).alias("_s"),
+        F.when(usable, clip(F.try_divide(metres, delta / F.lit(1000.0)), high=cfg.gps_speed_cap_mps)).alias("gps_speed_mps"),
+    ).withColumn("is_idle", F.coalesce(F.col("gps_speed_mps") < cfg.idle_speed_mps, F.lit(False)).cast("int"))
+    outputs = []
+    for seconds in cfg.rolling_s:
+        frame = _trailing(keys, ts, seconds * 1000, closed=False)
+        outputs += [F.avg("gps_speed_mps").over(frame).alias(f"speed_mean_{seconds}s"), F.stddev_samp("gps_speed_mps").over(frame).alias(f"speed_std_{seconds}s")]
+    change = F.try_divide(F.col("gps_speed_mps") - F.lag("gps_speed_mps").over(w), F.col("_s"))
+    begins = ~(F.col("_near") & (F.lag("is_idle").over(w) == F.col("is_idle")))
+    return moved.select(
+        *df.columns, "gps_speed_mps", *outputs, F.when(F.col("_usable"), change).alias("acceleration"), "is_idle",
+        F.coalesce(begins, F.lit(True)).alias("_begins"), "_home",
+    ).where("_home").drop("_home")
+
+
 def rolling_time(
     df: DataFrame, value: str, spans_s: Sequence[int] = DEFAULTS.rolling_s, keys: Sequence[str] = TRACK, ts: str = "ts_ms",
     prefix: str = "speed",
