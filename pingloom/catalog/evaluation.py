@@ -212,7 +212,7 @@ FEATURES = ["actual", "baseline", "distance_m", "speed", "schedule_eta"]
 
 
 @query("d1_feature_stats", " UNION ALL ".join(f"""
-    SELECT '{f}' AS feature, count(*) AS n, count_if({f} IS NULL)::BIGINT AS n_null, round(avg({f}), 5) AS mean, round(stddev_pop({f}), 5) AS std, min({f}) AS min, max({f}) AS max, round(count_if({f} IS NULL) / count(*) * 100, 6) AS null_pct,
+    SELECT '{f}' AS feature, count(*) AS n, count_if({f} IS NULL)::BIGINT AS n_null, round(avg({f}), 5) AS mean, round(stddev_pop({f}), 5) AS std, round(min({f}), 6) AS min, round(max({f}), 6) AS max, round(count_if({f} IS NULL) / count(*) * 100, 6) AS null_pct,
            {', '.join(f"round(quantile_cont({f}, {q}), 6) AS {n}" for n, q in (('p5', 0.05), ('p25', 0.25), ('median', 0.5), ('p75', 0.75), ('p95', 0.95)))} FROM predictions""" for f in FEATURES))
 def _(t):
     return rounded(shift.feature_stats(t.predictions, FEATURES), 6, mean=5, std=5)

@@ -80,7 +80,7 @@ def _(t):
 
 
 @query("k6_backfill_route", """
-    SELECT order_id, supp_id, sum(route) AS route_sum, count(*) AS n FROM (
+    SELECT order_id, supp_id, sum(route)::BIGINT AS route_sum, count(*) AS n FROM (
       SELECT p.order_id, p.supp_id, CASE WHEN p.order_id % 3 = 0 THEN t.route_id ELSE p.route_id END AS route FROM predictions p LEFT JOIN trips t ON t.trip_id = p.order_id)
     GROUP BY ALL""")
 def _(t):

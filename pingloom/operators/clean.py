@@ -102,8 +102,8 @@ def verify_filters(before: DataFrame, after: DataFrame, cfg=DEFAULTS) -> DataFra
         F.count(F.lit(1)).alias("rows_after"), F.count_if(bad).alias("survivors")
     ).select(
         n_before.alias("rows_before"), "rows_after", "survivors",
-        ((n_before - F.col("rows_after")) / n_before * 100).alias("excluded_pct"),
-        (F.col("rows_after") / n_before * 100).alias("retained_pct"),
+        (F.try_divide(n_before - F.col("rows_after"), n_before) * 100).alias("excluded_pct"),
+        (F.try_divide(F.col("rows_after"), n_before) * 100).alias("retained_pct"),
     )
 
 
@@ -140,4 +140,4 @@ def trim_by_group_quantile(df: DataFrame, keys: Sequence[str], value: str, q: fl
 def trim_zscore(df: DataFrame, value: str, limit: float = 2.5) -> DataFrame:
     """Keep rows within ``limit`` population standard deviations of the mean."""
     fit = df.agg(F.struct(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).alias("fit")).scalar()
-    return df.where(F.abs((F.col(value) - fit["m"]) / fit["s"]) <= limit)
+    return df.where(F.abs(F.try_divide(F.col(value) - fit["m"], fit["s"])) <= limit)

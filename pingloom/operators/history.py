@@ -115,7 +115,7 @@ def s2s_tiers(train: DataFrame, label: str = "label_s", min_obs: int = DEFAULTS.
         sums.groupBy(*S2S_TIER2).agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
         .where(F.col("_c") >= min_obs).select(*S2S_TIER2, (F.col("_s") / F.col("_c")).alias("t2"))
     )
-    pace = train.where(F.col("way") > 0).withColumn("_pace", F.col(label) / F.col("way"))
+    pace = train.where(F.col("way") > 0).withColumn("_pace", F.try_divide(F.col(label), F.col("way")))
     tier3 = grouped_quantiles(pace, S2S_TIER3, "_pace", {"t3": 0.5}, "_c").where(F.col("_c") >= min_obs).drop("_c")
     return tier1, tier2, tier3
 

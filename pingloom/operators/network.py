@@ -28,7 +28,7 @@ def stop_sequences(stop_times: DataFrame, canonical: DataFrame) -> DataFrame:
         F.min_by("shape_dist", F.struct("stop_sequence", "trip_id")).alias("shape_dist"),
     )
     length = on_shape.groupBy("route_id").agg(F.max("shape_dist").alias("max_dist"))
-    return first.join(length, "route_id").withColumn("stop_progress", F.col("shape_dist") / F.col("max_dist"))
+    return first.join(length, "route_id").withColumn("stop_progress", F.try_divide("shape_dist", "max_dist"))
 
 
 def first_trip_route_stops(trips: DataFrame, stop_times: DataFrame) -> DataFrame:

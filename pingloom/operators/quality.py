@@ -24,7 +24,7 @@ def null_rates(df: DataFrame) -> DataFrame:
         complete = complete & F.col(c).isNotNull()
     row = df.agg(n.alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns], F.count_if(~complete).alias("*"))
     tall = row.unpivot(["_n"], [f"`{c}`" if c == "*" else c for c in [*df.columns, "*"]], "column", "n_null")
-    return tall.select("column", "n_null", (F.col("n_null") / F.col("_n") * 100).alias("null_pct"))
+    return tall.select("column", "n_null", (F.try_divide("n_null", "_n") * 100).alias("null_pct"))
 
 
 # fixed values: plausible ranges
@@ -38,7 +38,7 @@ def range_checks(df: DataFrame, ranges: dict[str, tuple[float, float]] = RANGES)
     rules = {c: (F.col(c) < low) | (F.col(c) > high) for c, (low, high) in ranges.items() if c in df.columns}
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(r).alias(c) for c, r in rules.items()])
     tall = row.unpivot(["n"], list(rules), "column", "n_outside")
-    return tall.withColumn("outside_pct", F.col("n_outside") / F.col("n") * 100)
+    return tall.withColumn("outside_pct", F.try_divide("n_outside", "n") * 100)
 
 
 def rolling_consistency(df: DataFrame, short: str, long: str, average: str, speed: str, distance: str, turn: str) -> DataFrame:

@@ -23,7 +23,7 @@ def feature_stats(df: DataFrame, features: Sequence[str], keys: Sequence[str] =
     plain = tall.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("n_null"),
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-    ).withColumn("null_pct", F.col("n_null") / F.col("n") * 100)
+    ).withColumn("null_pct", F.try_divide("n_null", "n") * 100)
     q = grouped_quantiles(tall, by, "value", {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95})
     return plain.join(q, by, "left")
 
@@ -57,7 +57,7 @@ def ks_statistic(df: DataFrame, features: Sequence[str], flag: str) -> DataFrame
     counts = tall.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_a"), F.count_if(F.col(flag) == 1).alias("_b"))
     total = counts.groupBy("feature").agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
     running = running_total(counts, ["feature"], _bin(F.col("value")), ["value"], {"_ca": F.col("_a"), "_cb": F.col("_b")})
-    gap = F.abs(F.col("_ca") / F.col("_na") - F.try_divide(F.col("_cb"), F.col("_nb")))
+    gap = F.abs(F.try_divide("_ca", "_na") - F.try_divide("_cb", "_nb"))
     return running.join(total, "feature").groupBy("feature").agg(F.max(gap).alias("ks"))
 
 
@@ -66,13 +66,13 @@ def category_shift(df: DataFrame, column: str, flag: str, eps: float = 1e-10) ->
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_o"), F.count_if(F.col(flag) == 1).alias("_h"))
     all_rows = Window.partitionBy(F.lit(0))  # one row per category
     shares = counts.select("_o", "_h", F.sum("_o").over(all_rows).alias("_no"), F.sum("_h").over(all_rows).alias("_nh"))
-    po, ph = F.col("_o") / F.col("_no"), F.col("_h") / F.col("_nh")
+    po, ph = F.try_divide("_o", "_no"), F.try_divide("_h", "_nh")
     m = (po + ph) * 0.5
     part = lambda p: p * F.ln((p + eps) / (m + eps))
-    expected = F.col("_o") * (F.col("_nh") / F.col("_no"))
+    expected = F.col("_o") * F.try_divide("_nh", "_no")
     return shares.agg(
         (F.sum(part(po)) * 0.5 + F.sum(part(ph)) * 0.5).alias("js_divergence"),
-        F.sum((F.col("_h") - expected) * (F.col("_h") - expected) / expected).alias("chi2"),
+        F.sum(F.try_divide((F.col("_h") - expected) * (F.col("_h") - expected), expected)).alias("chi2"),
         F.count(F.lit(1)).alias("n_categories"),
     ).select(F.lit(column).alias("feature"), "*")
 

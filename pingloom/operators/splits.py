@@ -61,7 +61,7 @@ def ts_cv_folds(df: DataFrame, ts: str, order: Sequence[str], n_folds: int = 4)
     size = F.floor(total / F.lit(n_folds + 1))
     first = total - size * n_folds
     ranked = rank_in_time(df, ts, order)
-    part = F.when(F.col("rank") <= first, F.lit(0)).otherwise(F.floor((F.col("rank") - first - 1) / size) + 1)
+    part = F.when(F.col("rank") <= first, F.lit(0)).otherwise(F.floor(F.try_divide(F.col("rank") - first - 1, size)) + 1)
     return ranked.withColumn("part", part.cast("int"))
 
 

@@ -145,7 +145,7 @@ def tier_coverage(df: DataFrame) -> DataFrame:
     """Rows and share answered by each tier."""
     counts = df.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return counts.withColumn("pct", F.col("n") / total * 100)
+    return counts.withColumn("pct", F.try_divide(F.col("n"), total) * 100)
 
 
 def residual(df: DataFrame, label: str = "label_s", baseline: str = "baseline") -> DataFrame:
@@ -177,7 +177,7 @@ def config_sweep(train: DataFrame, test: DataFrame, configs: Sequence[TierConfig
         scored = tier_apply(test, store(tier_fit(train, config, label)), config, last_resort)
         row = scored.agg(
             F.lit(config.name).alias("config"), F.avg(F.abs(F.col(label) - F.col("baseline"))).alias("mae"),
-            F.count("baseline").alias("n_answered"), (F.count("baseline") / F.count(F.lit(1)) * 100).alias("coverage_pct"),
+            F.count("baseline").alias("n_answered"), (F.try_divide(F.count("baseline"), F.count(F.lit(1))) * 100).alias("coverage_pct"),
         )
         out = row if out is None else out.unionByName(row)
     return out
