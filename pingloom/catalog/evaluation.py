@@ -307,7 +307,10 @@ def _(t):
     return splits.ratio_time_split(t.pings, "ts_ms", ORDER).select("event_id", "split", "rank")
 
 
-@query("p4_random_split")
+SHARE = "(('0x' || substr(md5('42|' || event_id), 1, 8))::BIGINT / 4294967296)"
+
+
+@query("p4_random_split", f"SELECT event_id, CASE WHEN {SHARE} < 0.8 THEN 'train' WHEN {SHARE} < 0.8 + 0.1 THEN 'val' ELSE 'test' END AS split FROM pings")
 def _(t):
     return splits.random_split(t.pings, ["event_id"]).select("event_id", "split")
 
@@ -319,7 +322,7 @@ def _(t):
     return splits.ts_cv_folds(t.pings, "ts_ms", ORDER).select("event_id", "part")
 
 
-@query("p6_subsample")
+@query("p6_subsample", f"SELECT event_id FROM pings WHERE {SHARE} < 0.25")
 def _(t):
     return splits.subsample(t.pings, ["event_id"], 0.25).select("event_id")
 

@@ -72,7 +72,27 @@ def _(t):
     return rounded(best.select("event_id", "target_stop_id", "best_value", "best_method"), 7)
 
 
-@query("a15_config_sweep")
+SWEEP_COLUMNS = {tiers.E: "ela", tiers.S: "seg", tiers.P: "stp", tiers.O4: "ot", tiers.O3: "ot3", tiers.DAY: "day_type"}
+OT3 = "CASE WHEN last_stop_on_time IS NULL THEN -1 WHEN last_stop_on_time < 0 THEN 0 WHEN last_stop_on_time <= 4 THEN 1 ELSE 2 END"
+
+
+def sweep_sql():
+    """One scored row per configuration, each with its own lookup tables."""
+    ctes, rows = [f"bb AS (SELECT *, {OT3} AS ot3 FROM b)"], []
+    for i, config in enumerate(tiers.SWEEP):
+        joins, values = [], []
+        for j, tier in enumerate(config.tiers):
+            keys = ", ".join(SWEEP_COLUMNS.get(k, k) for k in tier.keys)
+            fn = "avg" if config.agg == "mean" else "median"
+            ctes.append(f"k{i}_{j} AS (SELECT {keys}, {fn}(label_s) AS v{j} FROM bb WHERE {TRAIN}{' AND ela >= 0' if tier.needs_elapsed else ''} GROUP BY {keys} HAVING count(*) >= {config.min_obs})")
+            joins.append(f"LEFT JOIN k{i}_{j} USING ({keys})")
+            values.append(f"v{j}")
+        ctes.append(f"s{i} AS (SELECT label_s, coalesce({', '.join(values)}, baseline_s2s) AS e FROM bb {' '.join(joins)} WHERE {TEST})")
+        rows.append(f"SELECT '{config.name}' AS config, round(avg(abs(label_s - e)), 6) AS mae, count(e) AS n_answered, round(count(e) / count(*) * 100, 6) AS coverage_pct FROM s{i}")
+    return f"WITH {S2S}, {BINS}, {', '.join(ctes)} " + " UNION ALL ".join(rows)
+
+
+@query("a15_config_sweep", sweep_sql())
 def _(t):
     rows = binned(t)
     train, test = rows.where(F.col("day").between(*TRAIN_DAYS)), rows.where(F.col("day").between(*TEST_DAYS))

@@ -41,8 +41,9 @@ def ratio_time_split(df: DataFrame, ts: str, order: Sequence[str], train: float
 
 
 def _share(keys: Sequence[str], seed: int):
-    """Repeatable pseudo-random share in [0, 1) of a row key."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    """Repeatable pseudo-random share in [0, 1) of a row key: the first 32 bits of a digest of its text."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4_294_967_296.0)
 
 
 def random_split(df: DataFrame, keys: Sequence[str], train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:

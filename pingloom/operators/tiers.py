@@ -171,13 +171,29 @@ def per_route_best(train: DataFrame, test: DataFrame, methods: Sequence[str], la
 
 def config_sweep(train: DataFrame, test: DataFrame, configs: Sequence[TierConfig], label: str = "label_s", last_resort: str | None = None,
                  store=lambda cells: cells) -> DataFrame:
-    """Error and coverage of every configuration. ``store`` may write each fitted lookup table."""
-    out = None
+    """Error and coverage of every configuration.
+
+    Configurations share most of their tiers, so each distinct tier is fitted once (with its count,
+    whatever the threshold), joined once, and all configurations are scored in one aggregation.
+    ``store`` may write the fitted lookup tables.
+    """
+    joined, hit = test, {}
+    for agg in dict.fromkeys(c.agg for c in configs):
+        distinct = list(dict.fromkeys((t.keys, t.needs_elapsed) for c in configs if c.agg == agg for t in c.tiers))
+        every = TierConfig("every", tuple(Tier(str(i), keys, needs) for i, (keys, needs) in enumerate(distinct)), 1, agg)
+        cells = store(tier_fit(train, every, label))
+        for i, (keys, needs) in enumerate(distinct):
+            name = f"_{agg}{i}"
+            lookup = cells.where(F.col("_tier") == i).select(*keys, F.struct("value", "n").alias(name))
+            joined = joined.join(lookup, list(keys), "left")
+            hit[agg, keys, needs] = F.col(name)
+    estimates = []
     for config in configs:
-        scored = tier_apply(test, store(tier_fit(train, config, label)), config, last_resort)
-        row = scored.agg(
-            F.lit(config.name).alias("config"), F.avg(F.abs(F.col(label) - F.col("baseline"))).alias("mae"),
-            F.count("baseline").alias("n_answered"), (F.try_divide(F.count("baseline"), F.count(F.lit(1))) * 100).alias("coverage_pct"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+        known = [hit[config.agg, t.keys, t.needs_elapsed] for t in config.tiers]
+        values = [F.when(h["n"] >= config.min_obs, h["value"]) for h in known] + ([F.col(last_resort)] if last_resort else [])
+        estimates.append(F.struct(F.lit(config.name).alias("config"), F.coalesce(*values).alias("e")))
+    scored = joined.select(F.col(label).alias("_y"), F.explode(F.array(*estimates)).alias("_s")).select("_y", "_s.*")
+    return scored.groupBy("config").agg(
+        F.avg(F.abs(F.col("_y") - F.col("e"))).alias("mae"), F.count("e").alias("n_answered"),
+        (F.try_divide(F.count("e"), F.count(F.lit(1))) * 100).alias("coverage_pct"),
+    )

@@ -20,6 +20,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(BROADCAST_BYTES),
 }
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def build_session(app: str = "pingloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings; ``master`` only for local runs."""
@@ -45,4 +47,7 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="pingloom-")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="pingloom-")
+    return _LOCAL_FOLDERS[app]
