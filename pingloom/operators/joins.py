@@ -210,6 +210,9 @@ def enrich_positions(positions: DataFrame, trip_eta: DataFrame) -> DataFrame:
     )
 
 
+NO_BUS = "No buses en route"  # fixed value
+
+
 def eta_board(route_stops: DataFrame, positions: DataFrame) -> DataFrame:
     """Per route stop: texts of all vehicles heading there, soonest first, or the no-bus text.
 
@@ -220,5 +223,5 @@ def eta_board(route_stops: DataFrame, positions: DataFrame) -> DataFrame:
     )
     text = F.array_join(F.transform("_etas", eta_text), " · ")
     return route_stops.join(heading, ["route_id", "stop_id"], "left").select(
-        "route_id", "stop_id", F.coalesce(text, F.lit("No buses en route")).alias("eta_text"), "min_eta"
+        "route_id", "stop_id", F.coalesce(text, F.lit(NO_BUS)).alias("eta_text"), "min_eta"
     )

@@ -40,16 +40,11 @@ def grouped_quantiles(
         F.sum("_c").over(Window.partitionBy(*by)).alias("_n"),
     )
 
-    def position(p: float) -> Column:
-        return F.lit(p) * (F.col("_n") - 1)
+    def edges(p: float) -> tuple[str, str]:
+        """Zero-based ranks the quantile lies between, as SQL over the group's count."""
+        return f"floor({p!r}D * (_n - 1))", f"ceil({p!r}D * (_n - 1))"
 
-    def holds(rank: Column, start: Column, size: Column) -> Column:
-        return (rank >= start) & (rank < start + size)
-
-    wanted = reduce(
-        lambda a, b: a | b,
-        [holds(edge(position(p)), F.col("_before"), F.col("_c")) for p in probs.values() for edge in (F.floor, F.ceil)],
-    )
+    wanted = " OR ".join(f"({rank} BETWEEN _before AND _before + _c - 1)" for p in probs.values() for rank in edges(float(p)))
     bins = placed.where(wanted).select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k__bin"), "_before", "_n"
     )
@@ -60,15 +55,13 @@ def grouped_quantiles(
     )
     inside = Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.withColumn("_start", F.sum("_c").over(inside) - F.col("_c") + F.col("_before"))
-    picks = []
-    for name, p in probs.items():
-        for side, edge in (("lo", F.floor), ("hi", F.ceil)):
-            hit = holds(edge(position(p)), F.col("_start"), F.col("_c"))
-            picks.append(F.max(F.when(hit, F.col("_x"))).alias(f"_{side}_{name}"))
+    picks = [
+        F.expr(f"max(CASE WHEN {rank} BETWEEN _start AND _start + _c - 1 THEN _x END) AS `_{side}_{name}`")
+        for name, p in probs.items() for side, rank in zip(("lo", "hi"), edges(float(p)), strict=True)
+    ]
     found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
     outputs = [
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (position(p) - F.floor(position(p)))).alias(n)
-        for n, p in probs.items()
+        F.expr(f"`_lo_{n}` + (`_hi_{n}` - `_lo_{n}`) * ({float(p)!r}D * (_n - 1) - {edges(float(p))[0]}) AS `{n}`") for n, p in probs.items()
     ]
     if count_name:
         outputs.append(F.col("_n").alias(count_name))

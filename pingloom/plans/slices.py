@@ -8,6 +8,9 @@ slices, so the unit of work is (key, slice):
 * an unbounded look-back (previous row, last known value, running total) is computed inside the
   slice and completed from one summary row per slice (``lag_across``, ``fill_across``,
   ``running_total``): the summaries are pre-aggregated before they are shuffled.
+
+Keys must not be NULL (ingest drops pings without a vehicle): plain equality lets the join reuse
+the window's partitioning. The input is read twice, so write expensive inputs first.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ def with_halo(
     home = floor_div(ts, slice_ms)
     first = floor_div(F.col(ts) - F.lit(after_ms), slice_ms)
     last = floor_div(F.col(ts) + F.lit(before_ms), slice_ms)
-    return df.withColumn(SLICE, F.explode(F.sequence(first, last))).withColumn("_home", F.col(SLICE) == home)
+    # a row without a time has no slice, but it stays
+    return df.withColumn(SLICE, F.explode_outer(F.sequence(first, last))).withColumn("_home", F.col(SLICE).eqNullSafe(home))
 
 
 def reach_slice(reach_ms: int, slice_ms: int = DEFAULTS.slice_ms) -> int:
