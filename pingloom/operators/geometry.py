@@ -43,7 +43,9 @@ def _candidates(pieces: DataFrame, low: Column, high: Column, box: Box, step: fl
     lost. The table's size is grid x network: it does not grow with telemetry.
     """
     rows, columns = _cells(box, step)
-    every = pieces.withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows)))).withColumn(
+    # few small rows become many: spread them first (a fixed number is not coalesced away)
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = pieces.repartition(tasks, "shape_id", "seq").withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows)))).withColumn(
         "_col", F.explode(F.sequence(F.lit(0), F.lit(columns)))
     )
     cell = (F.col("_row") * (columns + 1) + F.col("_col")).alias("_cell")
