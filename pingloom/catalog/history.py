@@ -138,12 +138,12 @@ def _(t):
                  sum(seg_s) OVER (PARTITION BY route_id, day_type ORDER BY stop_sequence, stop_id ROWS UNBOUNDED PRECEDING) - first_value(seg_s) OVER w AS cum_s
           FROM c WINDOW w AS (PARTITION BY route_id, day_type ORDER BY stop_sequence, stop_id))
     SELECT r.event_id, r.target_stop_id, round(CASE WHEN b.idx >= a.idx THEN (CASE WHEN a.idx > 1 THEN CASE WHEN a.shape_dist - a.prev_dist > 0
-             THEN least(1, greatest(0, a.shape_dist - r.progress * a.max_dist) / (a.shape_dist - a.prev_dist)) ELSE 0.5 END * a.seg_s ELSE 0 END) + b.cum_s - a.cum_s END, 9) AS baseline_prorated
+             THEN least(1, greatest(0, a.shape_dist - r.progress * a.max_dist) / (a.shape_dist - a.prev_dist)) ELSE 0.5 END * a.seg_s ELSE 0 END) + b.cum_s - a.cum_s END, 6) AS baseline_prorated
     FROM labeled r LEFT JOIN l a ON a.route_id = r.route_id AND a.day_type = r.day_type AND a.stop_id = r.last_stop_id
     LEFT JOIN l b ON b.route_id = r.route_id AND b.day_type = r.day_type AND b.stop_id = r.target_stop_id""")
 def _(t):
     segments = history.prorated_segments(t.stop_seq, materialize(travel(t)), 3)
-    return rounded(history.prorated_baseline(t.labeled, segments).select("event_id", "target_stop_id", "baseline_prorated"), 9)
+    return rounded(history.prorated_baseline(t.labeled, segments).select("event_id", "target_stop_id", "baseline_prorated"), 6)
 
 
 @query("a17_count_by_day", """

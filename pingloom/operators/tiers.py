@@ -187,13 +187,12 @@ def config_sweep(train: DataFrame, test: DataFrame, configs: Sequence[TierConfig
             lookup = cells.where(F.col("_tier") == i).select(*keys, F.struct("value", "n").alias(name))
             joined = joined.join(lookup, list(keys), "left")
             hit[agg, keys, needs] = F.col(name)
-    estimates = []
+    scores = []
     for config in configs:
         known = [hit[config.agg, t.keys, t.needs_elapsed] for t in config.tiers]
         values = [F.when(h["n"] >= config.min_obs, h["value"]) for h in known] + ([F.col(last_resort)] if last_resort else [])
-        estimates.append(F.struct(F.lit(config.name).alias("config"), F.coalesce(*values).alias("e")))
-    scored = joined.select(F.col(label).alias("_y"), F.explode(F.array(*estimates)).alias("_s")).select("_y", "_s.*")
-    return scored.groupBy("config").agg(
-        F.avg(F.abs(F.col("_y") - F.col("e"))).alias("mae"), F.count("e").alias("n_answered"),
-        (F.try_divide(F.count("e"), F.count(F.lit(1))) * 100).alias("coverage_pct"),
-    )
+        estimate = F.coalesce(*values)
+        scores.append(F.struct(
+            F.lit(config.name).alias("config"), F.avg(F.abs(F.col(label) - estimate)).alias("mae"), F.count(estimate).alias("n_answered"),
+            (F.try_divide(F.count(estimate), F.count(F.lit(1))) * 100).alias("coverage_pct")))
+    return joined.agg(F.array(*scores).alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
