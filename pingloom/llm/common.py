@@ -79,3 +79,21 @@ def map_texts(df: DataFrame, text: str, fields: list[T.StructField], work: Calla
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *work(part)], names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of its bytes, each mixed with its place."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    words = words.cast(pa.large_string())
+    _, off, data = words.buffers()
+    off = np.frombuffer(off, np.int64)[words.offset:words.offset + n + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0]:off[-1]].astype(np.uint64) if data is not None else np.zeros(0, np.uint64)
+    off = off - off[0]
+    size = np.diff(off)
+    place = (np.arange(len(raw)) - np.repeat(off[:-1], size)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = mix64((raw + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+        return mix64(total[off[1:]] - total[off[:-1]] + size.astype(np.uint64))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingloom.llm import packing, pii, quality, secrets, urls
-from pingloom.session import pin_session
+from pingloom.llm import ann, fingerprints, mixing, packing, pii, quality, secrets, urls, warc
+from pingloom.session import pin_session, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +24,35 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS hex FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, true AS intact
+FROM f
+"""
+
+
+@query("op1_warc_chain", _WARC)
+def op1(read):
+    pages = read("pages")
+    return warc.report(pages, f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}")
+
+
+@query("op2_paragraph_iblt")
+def op2(read):
+    return fingerprints.report(read("documents"))
+
+
+@query("op4_raked_mix")
+def op4(read):
+    return mixing.report(read("documents"))
+
+
 # The rules are stated as a table here, not taken from the operator.
 _URLS = r"""
 WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
@@ -56,6 +86,11 @@ def op6(read):
     return secrets.report(read("documents"))
 
 
+@query("op7_cross_polytope_ann")
+def op7(read):
+    return ann.report(read("embeddings"))
+
+
 @query("op8_best_fit_packing")
 def op8(read):
     return packing.pack(read("documents"), "text", ["doc_id"])
