@@ -9,8 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pingloom.llm import packing, pii, quality
+from pingloom.llm import mixing, neardup, packing, pii, quality
 from pingloom.session import pin_session, shared_folder
 
 
@@ -19,9 +20,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest doc_id."""
+    return neardup.distinct(docs)
+
+
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced by the kind of each span; n_chars follows the text."""
-    return pii.redact(docs)
+    """All documents, their personal data replaced by the kind of each span; n_chars is the new text's."""
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose sources, languages and topics have their target shares of the words."""
+    return mixing.sample(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +42,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
+    ("MinHash near-dedup", without_near_copies),
     ("PII", without_personal_data),
+    ("mixing sources to target weights", mixed),
     ("best-fit packing", packed),
 ]
 

@@ -68,7 +68,9 @@ def weighted(docs: DataFrame, text: str = "text", source: str = "source", lang:
     spark = docs.sparkSession
     kept = docs.columns if keep is None else keep
     need = list(dict.fromkeys([*kept, source, lang, doc_id]))
-    stage = materialize(counted(docs, text, need, s))
+    light = text not in kept
+    # counts are written, texts never: a caller that keeps the text has it read a second time
+    stage = materialize(counted(docs, text, need if light else list(dict.fromkeys([source, lang, doc_id])), s))
     tokens, groups = (F.col(f"`{c}`") for c in stage.columns[-2:])
     names = fresh(docs.columns, "topic", "tokens", "weight", "probability", "kept")
     # a document's topic: the part of the vocabulary it uses most beyond its share in the whole corpus
@@ -78,8 +80,13 @@ def weighted(docs: DataFrame, text: str = "text", source: str = "source", lang:
     lift = F.transform(groups, lambda g, i: F.struct((g / F.get(shares, i)).alias("l"), (-i).alias("i")))
     topic = F.when(tokens > 0, -F.array_max(lift)["i"]).otherwise(F.lit(-1)).cast("int")
     src, lng, top, tok = fresh(stage.columns, "src", "lng", "top", "tok")
-    rows = stage.select(*[F.col(f"`{c}`") for c in need], groups.alias(groups_name := fresh([*stage.columns, src, lng, top, tok], "grp")[0]), _category(F.col(source)).alias(src), _category(F.col(lang)).alias(lng), topic.alias(top), tokens.alias(tok))
-    cells = materialize(rows.where(F.col(tok) > 0).groupBy(src, lng, top).agg(F.sum(tok).cast("double").alias("mass")))
+    groups_name = fresh([*docs.columns, *stage.columns, src, lng, top, tok], "grp")[0]
+
+    def placed(df: DataFrame, columns: list[str]) -> DataFrame:
+        return df.select(*[F.col(f"`{c}`") for c in columns], groups.alias(groups_name), _category(F.col(source)).alias(src), _category(F.col(lang)).alias(lng), topic.alias(top), tokens.alias(tok))
+
+    rows = placed(stage if light else counted(docs, text, need, s), need)
+    cells = materialize(placed(stage, []).where(F.col(tok) > 0).groupBy(src, lng, top).agg(F.sum(tok).cast("double").alias("mass")))
     langs = sorted(r[0] for r in cells.select(lng).distinct().collect())  # languages are few
     grid = np.zeros((len(langs), s.topics))
     for r in cells.groupBy(lng, top).agg(F.sum("mass").alias("m")).collect():

@@ -5,7 +5,7 @@ patterns of all candidates estimates how reliable each labeler is; the posterior
 and the classifier decides which candidates beyond the base patterns are personal data.
 
 Defined cases: a null text is read as empty; an empty text has no span; rows repeat as they came, each with its own result; an empty
-table gives an empty result; other columns, whatever their names, are ignored by ``find`` and kept by ``redact``.
+table gives an empty result; other columns, whatever their names, are ignored by ``report`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pingloom.llm.common import fresh, map_texts, texts_of
+from pingloom.llm.common import fresh, map_texts, slices, texts_of
 from pingloom.plans.stages import materialize
 
 # The base kinds in listed order, then the kinds that only the method finds.
@@ -173,37 +173,62 @@ def fit(rows: list[tuple[list[int], float]], epochs: int = 30) -> np.ndarray:
     return w
 
 
-def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Columns ``keep`` (default: all) and ``spans``: array of (kind, start, end, base), base spans and the accepted others, in order.
+def accepted(cands: list[tuple], w: list[float]) -> list[tuple[int, int, int, bool]]:
+    """(kind, start, end, is base): base spans stay; others if the classifier agrees and nothing accepted before overlaps them."""
+    base = [c for c in cands if c[3]]
+    out = [c[:4] for c in base]
+    more: list[tuple[int, int, int, bool]] = []
+    for kind, a, b, is_base, _, features in cands:
+        if is_base or w[-1] + sum(w[f] for f in features) < 0:
+            continue
+        if not any(x[1] < b and a < x[2] for x in (*base, *more)):
+            more.append((kind, a, b, False))
+    return sorted([*out, *more])
 
-    One pass over the texts writes the candidates; the vote patterns of all of them are counted (at most 3^6 rows reach the driver),
-    the classifier is fitted on at most ``max_train`` candidates of smallest hash, and every candidate is scored in place.
-    """
-    kept = docs.columns if keep is None else keep
-    cands, spans = fresh(docs.columns, "cands", "spans")
+
+def learn(found: DataFrame, cands: str, max_train: int = MAX_TRAIN) -> list[float]:
+    """Weights of the span classifier. The vote patterns of all candidates are counted (at most 3^6 rows reach the driver); the
+    classifier is fitted to their posteriors on the at most ``max_train`` candidates of smallest hash."""
+    each = found.select(F.explode(cands).alias("c")).select("c.*")
+    counts = {r["votes"]: r["n"] for r in each.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    posterior = em(counts)
+    hashed = each.select("votes", "features", F.xxhash64("kind", "start", "end", "votes", "features").alias("h"))
+    sample = hashed.orderBy("h", "votes", "features").limit(max_train).collect()
+    return fit([(r["features"], posterior[r["votes"]]) for r in sample]).tolist()
+
+
+_NAMES = ("kind", "start", "end", "base", "votes", "features")
+
+
+def proposed(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` and the candidates of each document."""
+    (cands,) = fresh(docs.columns, "cands")
 
     def work(part: pa.RecordBatch) -> list[pa.Array]:
-        names = ("kind", "start", "end", "base", "votes", "features")
-        return [pa.array([[dict(zip(names, c, strict=True)) for c in candidates(t)] for t in texts_of(part.column(text)).to_pylist()], _ARROW)]
+        return [pa.array([[dict(zip(_NAMES, c, strict=True)) for c in candidates(t)] for t in texts_of(part.column(text)).to_pylist()], _ARROW)]
 
-    wanted = [*kept, *(c for c in [text] if c not in kept)]
-    found = materialize(map_texts(docs.select(*wanted), text, [T.StructField(cands, T.ArrayType(_SPAN))], work, kept))
-    each = found.select(F.explode(cands).alias("c")).select("c.*")
-    posterior = em({r["votes"]: r["n"] for r in each.groupBy("votes").agg(F.count("*").alias("n")).collect()})
-    sample = each.select("votes", "features", F.xxhash64("kind", "start", "end", "votes", "features").alias("h")).orderBy("h", "votes", "features").limit(max_train).collect()
-    w = fit([(r["features"], posterior[r["votes"]]) for r in sample])
-    weights = F.array(*[F.lit(float(x)) for x in w[:-1]])
+    return map_texts(docs.select(*dict.fromkeys([*keep, text])), text, [T.StructField(cands, T.ArrayType(_SPAN))], work, keep)
 
-    def logit(c):
-        return F.aggregate(c["features"], F.lit(float(w[-1])), lambda acc, f: acc + F.get(weights, f))
 
-    def accepted(c):
-        free = ~F.exists(F.col(cands), lambda b: b["base"] & (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        # of overlapping additions the first in the listed order stays
-        first = ~F.exists(F.col(cands), lambda b: ~b["base"] & (b["start"] < c["end"]) & (c["start"] < b["end"]) & (F.struct(b["kind"], b["start"]) < F.struct(c["kind"], c["start"])) & (logit(b) >= 0))
-        return c["base"] | ((logit(c) >= 0) & free & first)
+def find(docs: DataFrame, text: str, keep: list[str], max_train: int = MAX_TRAIN) -> DataFrame:
+    """Columns ``keep`` and ``spans``: array of (kind, start, end, base), base spans and the accepted others, in order.
 
-    return found.select(*[F.col(f"`{c}`") for c in kept], F.transform(F.filter(cands, accepted), lambda c: F.struct(c["kind"], c["start"], c["end"], c["base"])).alias(spans))
+    One pass over the texts writes the candidates, small beside the texts; what follows reads only those.
+    """
+    found = materialize(proposed(docs, text, keep))
+    cands = found.columns[-1]
+    w = learn(found, cands, max_train)
+    (spans,) = fresh(found.columns, "spans")
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
+
+    def run(batches):
+        for batch in batches:
+            rows = [accepted([tuple(c[n] for n in _NAMES) for c in row], w) for row in batch.column(cands).to_pylist()]
+            out = pa.array([[dict(zip(_NAMES, x, strict=False)) for x in row] for row in rows], kind)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), out], names=[*keep, spans])
+
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(spans, T.ArrayType(T.StructType(_SPAN.fields[:4])))])
+    return found.mapInArrow(run, schema)
 
 
 def listed(spans: str, only_base: bool = False):
@@ -224,24 +249,27 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(spans, True), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
-def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every found span replaced by its kind in angle brackets; all rows and columns stay, a null text stays null."""
-    found = find(docs, text)
-    spans = found.columns[-1]
-    kinds = [k.upper() for k in KINDS]
+def redact(docs: DataFrame, text: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
+    """``docs`` with every found span replaced by its kind in angle brackets; all rows and columns stay, a null text stays null.
+
+    The texts are read twice, to learn and to replace, and not written in between.
+    """
+    found = materialize(proposed(docs, text, []))
+    w = learn(found, found.columns[-1], max_train)
+    marks, columns = [f"<{k.upper()}>" for k in KINDS], docs.columns
+
+    def replaced(t: str | None) -> str | None:
+        out, done = [], 0
+        for kind, a, b, _ in sorted(accepted(candidates(t), w), key=lambda s: (s[1], -s[2])) if t else ():
+            if a >= done:
+                out += [t[done:a], marks[kind]]
+            done = max(done, b)
+        return "".join(out) + t[done:] if out else t
 
     def run(batches):
         for batch in batches:
-            texts, rows = batch.column(text).to_pylist(), batch.column(spans).to_pylist()
-            for i, (t, found_here) in enumerate(zip(texts, rows, strict=True)):
-                if t is None or not found_here:
-                    continue
-                out, done = [], 0
-                for s in sorted(found_here, key=lambda s: (s["start"], -s["end"])):
-                    if s["start"] >= done:
-                        out += [t[done:s["start"]], f"<{kinds[s['kind']]}>"]
-                    done = max(done, s["end"])
-                texts[i] = "".join(out) + t[done:]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in docs.columns], names=docs.columns)
-
-    return found.mapInArrow(run, docs.schema)
+            for part in slices(batch, text):
+                new = pa.array(map(replaced, part.column(text).to_pylist()), pa.string())
+                yield pa.RecordBatch.from_arrays([new if c == text else part.column(c) for c in columns], names=columns)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingloom.llm import ann, fingerprints, mixing, packing, pii, quality, secrets, urls, warc
+from pingloom.llm import ann, fingerprints, mixing, neardup, packing, pii, quality, secrets, urls, warc
 from pingloom.session import pin_session, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,26 @@ def op2(read):
     return fingerprints.report(read("documents"))
 
 
+_NEAR = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+c AS (SELECT doc_id, g, count(*) AS n FROM s GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS i FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN t tx ON x = tx.doc_id JOIN t ty ON y = ty.doc_id WHERE i::DOUBLE / (tx.total + ty.total - i) >= 0.8
+      UNION ALL SELECT m, doc_id FROM w, (SELECT min(doc_id) AS m FROM w WHERE len(ws) = 0) WHERE len(ws) = 0 AND doc_id > m),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, least(doc_id, coalesce(first, doc_id)) AS group_id, doc_id <= coalesce(first, doc_id) AS kept
+FROM documents LEFT JOIN (SELECT a, min(b) AS first FROM r GROUP BY a) ON a = doc_id
+"""
+
+
+@query("op3_bagminhash_near_duplicates", _NEAR)
+def op3(read):
+    return neardup.report(read("documents"))
+
+
 @query("op4_raked_mix")
 def op4(read):
     return mixing.report(read("documents"))
