@@ -25,32 +25,37 @@ def _(t):
     return clean.filter_vehicles(t.pings).select(*PING)
 
 
+@query("flt3_missing_names", "SELECT event_id, vehicle_id, ts_ms FROM rough WHERE NOT coalesce(regexp_matches(vehicle_name, 'jaunt|shuttle', 'i'), false) AND coalesce(vehicle_name <> '', true)")
+def _(t):
+    return clean.filter_vehicles(t.rough).select(*PING)
+
+
 @query("flt3_keep_prefix", "SELECT event_id, vehicle_id, ts_ms FROM pings WHERE NOT regexp_matches(vehicle_name, 'jaunt|shuttle', 'i') AND starts_with(vehicle_name, 'bus 1')")
 def _(t):
     return clean.filter_vehicles(t.pings, "bus 1").select(*PING)
 
 
 @query("flt4_filter_service", """
-    SELECT event_id, vehicle_id, ts_ms FROM pings WHERE pattern_id <> 9998 AND progress <> -1
-      AND route_id NOT IN (777, 230, 231, 216, 217, 218, 219, 220, 221, 222, 223, 224, 225, 226, 227, 228)""")
+    SELECT event_id, vehicle_id, ts_ms FROM rough WHERE pattern_id IS DISTINCT FROM 9998 AND progress IS DISTINCT FROM -1
+      AND (route_id IS NULL OR route_id NOT IN (777, 230, 231, 216, 217, 218, 219, 220, 221, 222, 223, 224, 225, 226, 227, 228))""")
 def _(t):
-    return clean.filter_service(t.pings).select(*PING)
+    return clean.filter_service(t.rough).select(*PING)
 
 
-@query("flt5_filter_active_trips", "SELECT event_id, vehicle_id, ts_ms FROM pings WHERE status IN (7, 71) AND pattern_id <> 9998 AND next_stop_id <> 0")
+@query("flt5_filter_active_trips", "SELECT event_id, vehicle_id, ts_ms FROM rough WHERE status IN (7, 71) AND pattern_id IS DISTINCT FROM 9998 AND next_stop_id <> 0")
 def _(t):
-    return clean.filter_active_trips(t.pings).select(*PING)
+    return clean.filter_active_trips(t.rough).select(*PING)
 
 
-@query("flt6_filter_idle", "SELECT event_id, vehicle_id, ts_ms FROM pings WHERE NOT (progress = 0 AND speed = 0) AND next_stop_id <> 0 AND route_id <> 237")
+@query("flt6_filter_idle", "SELECT event_id, vehicle_id, ts_ms FROM rough WHERE NOT (progress IS NOT DISTINCT FROM 0 AND speed IS NOT DISTINCT FROM 0) AND next_stop_id IS DISTINCT FROM 0 AND route_id IS DISTINCT FROM 237")
 def _(t):
-    return clean.filter_idle(t.pings).select(*PING)
+    return clean.filter_idle(t.rough).select(*PING)
 
 
 REPORT = """
-    WITH m AS (SELECT lat BETWEEN 32.5 AND 32.7 AND lon BETWEEN -85.6 AND -85.4 AS a, speed <= 65 AS b,
-                      NOT regexp_matches(vehicle_name, 'jaunt|shuttle', 'i') AND vehicle_name <> '' AS c, pattern_id <> 9998 AS d,
-                      route_id NOT IN (777, 230, 231) AND route_id NOT BETWEEN 216 AND 228 AS e, progress <> -1 AS f FROM pings)
+    WITH m AS (SELECT lat BETWEEN 32.5 AND 32.7 AND lon BETWEEN -85.6 AND -85.4 AS a, coalesce(speed <= 65, false) AS b,
+                      coalesce(NOT regexp_matches(vehicle_name, 'jaunt|shuttle', 'i') AND vehicle_name <> '', true) AS c, pattern_id IS DISTINCT FROM 9998 AS d,
+                      coalesce(route_id NOT IN (777, 230, 231) AND route_id NOT BETWEEN 216 AND 228, true) AS e, progress IS DISTINCT FROM -1 AS f FROM rough)
     SELECT count_if(NOT a)::BIGINT AS bbox, count_if(NOT b)::BIGINT AS speed, count_if(NOT c)::BIGINT AS vid,
            count_if(NOT d)::BIGINT AS pattern, count_if(NOT e)::BIGINT AS route, count_if(NOT f)::BIGINT AS progress,
            count_if(NOT (a AND b AND c AND d AND e AND f))::BIGINT AS total_removed, count_if(a AND b AND c AND d AND e AND f)::BIGINT AS kept
@@ -59,14 +64,15 @@ REPORT = """
 
 @query("flt7_filter_report", REPORT)
 def _(t):
-    return clean.filter_report(t.pings, clean.cleaning_rules())
+    return clean.filter_report(t.rough, clean.cleaning_rules())
 
 
 @query("flt8_verify_filters", """
     WITH after_ AS (SELECT * FROM pings WHERE NOT regexp_matches(vehicle_name, 'jaunt|shuttle', 'i') AND vehicle_name <> ''),
-         b AS (SELECT count(*) AS n FROM pings)
-    SELECT n AS rows_before, (SELECT count(*) FROM after_) AS rows_after,
-           (SELECT count(*) FROM after_ WHERE regexp_matches(vehicle_name, 'jaunt|shuttle', 'i') OR pattern_id = 9998) AS survivors,
+         b AS (SELECT count(*) AS n FROM pings),
+         bad AS (SELECT * FROM after_ WHERE regexp_matches(vehicle_name, 'jaunt|shuttle', 'i') OR pattern_id = 9998)
+    SELECT n AS rows_before, (SELECT count(*) FROM after_) AS rows_after, (SELECT count(*) FROM bad) AS survivors,
+           (SELECT coalesce(string_agg(v, ',' ORDER BY v), '') FROM (SELECT DISTINCT vehicle_name AS v FROM bad)) AS vehicles,
            round((n - (SELECT count(*) FROM after_)) / n * 100, 6) AS excluded_pct, round((SELECT count(*) FROM after_) / n * 100, 6) AS retained_pct
     FROM b""")
 def _(t):

@@ -23,12 +23,13 @@ SNAPPED = f"""
     {SEGMENTS},
     cand AS (SELECT p.event_id, p.shape_id, seq, dist1 + {T_SQL.format(tiny='1e-12')} * (dist2 - dist1) AS along,
                     {hav('lat', 'lon', 'lat1', 'lon1', 3959.0)} AS off, {CHORD} AS m
-             FROM (SELECT event_id, route_id AS shape_id, lat, lon FROM pings) p JOIN segs s ON s.shape_id = p.shape_id),
+             FROM (SELECT event_id, route_id AS shape_id, lat, lon FROM rough) p LEFT JOIN segs s ON s.shape_id = p.shape_id),
     snapped AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY event_id, shape_id ORDER BY m, seq) = 1)"""
 
 
 def points(t):
-    return t.pings.select("event_id", F.col("route_id").alias("shape_id"), "lat", "lon")
+    """Some without a shape, some far outside the service area."""
+    return t.rough.select("event_id", F.col("route_id").alias("shape_id"), "lat", "lon")
 
 
 def snapped(t):
@@ -65,7 +66,7 @@ def _(t):
     return s.select("shape_id", "seq", near(F.col("lat2"), 9).alias("lat2"), near(F.col("lon2"), 9).alias("lon2"), near(F.col("dist2")).alias("dist2"), F.col("is_last").cast("int").alias("is_last"))
 
 
-@query("g5_snap_to_shape", f"WITH {SNAPPED} SELECT event_id, shape_id, seq, round(along, 6) + 0.0 AS along, round(off, 6) AS off FROM snapped")
+@query("g5_snap_to_shape", f"WITH {SNAPPED} SELECT event_id, shape_id, seq, round(along, 6) + 0.0 AS along, CASE WHEN seq IS NOT NULL THEN round(off, 6) END AS off FROM snapped")
 def _(t):
     return rounded(snapped(t))
 
@@ -73,13 +74,13 @@ def _(t):
 PROJECT = f"""
     {SEGMENTS},
     cand AS (SELECT p.event_id, p.shape_id, seq, lat, lon, lat1, lon1, lat2, lon2, {T_SQL.format(tiny='1e-300')} AS f
-             FROM (SELECT event_id, route_id AS shape_id, lat, lon FROM pings) p JOIN segs s ON s.shape_id = p.shape_id WHERE NOT is_last),
+             FROM (SELECT event_id, route_id AS shape_id, lat, lon FROM rough) p LEFT JOIN (SELECT * FROM segs WHERE NOT is_last) s ON s.shape_id = p.shape_id),
     foot AS (SELECT *, lat1 + f * (lat2 - lat1) AS flat, lon1 + f * (lon2 - lon1) AS flon FROM cand),
     best AS (SELECT *, (lat - flat) * (lat - flat) + (lon - flon) * (lon - flon) AS m FROM foot
              QUALIFY row_number() OVER (PARTITION BY event_id, shape_id ORDER BY m, seq) = 1)"""
 
 
-@query("g6_project_onto_polyline", f"WITH {PROJECT} SELECT event_id, shape_id, seq, round(f, 6) + 0.0 AS fraction, round(flat, 8) AS foot_lat, round(flon, 8) AS foot_lon, round(sqrt(m), 8) AS distance FROM best")
+@query("g6_project_onto_polyline", f"WITH {PROJECT} SELECT event_id, shape_id, seq, CASE WHEN seq IS NOT NULL THEN round(f, 6) + 0.0 END AS fraction, round(flat, 8) AS foot_lat, round(flon, 8) AS foot_lon, round(sqrt(m), 8) AS distance FROM best")
 def _(t):
     out = geometry.project_onto_polyline(points(t), geometry.shape_segments(t.shapes), ["event_id", "shape_id"])
     return rounded(out.select("event_id", "shape_id", "seq", "fraction", "foot_lat", "foot_lon", "distance"), 8, fraction=6)
@@ -116,19 +117,19 @@ def _(t):
 @query("g9_route_distance", f"""
     WITH {SNAPPED}, tot AS (SELECT shape_id, max(dist) AS total FROM shapes GROUP BY shape_id),
     x AS (SELECT s.event_id, along, total, CASE WHEN s.event_id % 5 = 0 THEN NULL ELSE (s.event_id % 200)::DOUBLE * 0.6::DOUBLE END AS stop_dist, {hav('p.lat', 'p.lon', '32.6', '-85.5', 3958.8)} AS straight
-          FROM snapped s JOIN tot USING (shape_id) JOIN pings p USING (event_id))
-    SELECT event_id, round(CASE WHEN stop_dist IS NULL THEN straight ELSE greatest(CASE WHEN stop_dist - along < 0 THEN total + stop_dist - along ELSE stop_dist - along END, 0) END, 5) + 0.0 AS route_distance FROM x""")
+          FROM snapped s LEFT JOIN tot USING (shape_id) JOIN rough p USING (event_id))
+    SELECT event_id, round(CASE WHEN stop_dist IS NULL OR along IS NULL THEN straight ELSE greatest(CASE WHEN stop_dist - along < 0 THEN total + stop_dist - along ELSE stop_dist - along END, 0) END, 5) + 0.0 AS route_distance FROM x""")
 def _(t):
     lengths = t.shapes.groupBy("shape_id").agg(F.max("dist").alias("shape_length"))
     e = F.col("event_id")
-    straight = t.pings.select("event_id", G.haversine("lat", "lon", F.lit(32.6), F.lit(-85.5), 3958.8).alias("straight"))
+    straight = t.rough.select("event_id", G.haversine("lat", "lon", F.lit(32.6), F.lit(-85.5), 3958.8).alias("straight"))
     rows = snapped(t).join(straight, "event_id").withColumn("stop_dist", F.when(e % 5 != 0, (e % 200).cast("double") * F.lit(0.6)))
     return rounded(geometry.route_distance(rows, lengths).select("event_id", "route_distance"), 5)
 
 
 @query("g10_route_distance_multi", f"""
     WITH {SEGMENTS},
-    two AS (SELECT event_id, lat, lon, unnest([route_id, (route_id + 1) % 10, (route_id + 2) % 10]) AS shape_id FROM pings),
+    two AS (SELECT event_id, lat, lon, unnest([route_id, (route_id + 1) % 10, (route_id + 2) % 10]) AS shape_id FROM rough),
     cand AS (SELECT p.event_id, p.shape_id, seq, dist1 + {T_SQL.format(tiny='1e-12')} * (dist2 - dist1) AS along,
                     {hav('lat', 'lon', 'lat1', 'lon1', 3959.0)} AS off, {CHORD} AS m FROM two p JOIN segs s ON s.shape_id = p.shape_id),
     sn AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY event_id, shape_id ORDER BY m, seq) = 1),
@@ -140,7 +141,7 @@ def _(t):
     SELECT event_id, round(CASE WHEN cls = 2 AND way > 30 THEN NULL ELSE way END, 5) + 0.0 AS route_distance FROM b""")
 def _(t):
     shapes_of = F.explode(F.array(F.col("route_id"), (F.col("route_id") + 1) % 10, (F.col("route_id") + 2) % 10)).alias("shape_id")
-    pts = t.pings.select("event_id", "lat", "lon", shapes_of)
+    pts = t.rough.select("event_id", "lat", "lon", shapes_of)
     near_shape = geometry.snap_to_shape(pts, geometry.shape_segments(t.shapes), ["event_id", "shape_id"])
     lengths = t.shapes.groupBy("shape_id").agg(F.max("dist").alias("shape_length"))
     rows = near_shape.join(lengths, "shape_id").withColumn("stop_dist", (F.col("event_id") % 200).cast("double") * F.lit(0.6))

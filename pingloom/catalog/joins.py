@@ -31,6 +31,15 @@ def _(t):
     return joins.asof_next(t.pings, arrivals, ["route_id", "next_stop_id", "vehicle_id"], "ts_ms", "arrival_ms", 10 * DAY_MS, "next_ms").select("event_id", "next_ms")
 
 
+@query("j1_asof_missing_keys", """
+    SELECT p.event_id, CASE WHEN a.arrival_ms - p.ts_ms <= 864000000 THEN a.arrival_ms END AS next_ms FROM rough p
+    ASOF LEFT JOIN (SELECT vehicle_id, route_id, ts_ms AS arrival_ms FROM rough WHERE kind = 'purchase') a
+      ON p.route_id = a.route_id AND p.vehicle_id = a.vehicle_id AND p.ts_ms <= a.arrival_ms""")
+def _(t):
+    arrivals = t.rough.where("kind = 'purchase'").select("vehicle_id", "route_id", F.col("ts_ms").alias("arrival_ms"))
+    return joins.asof_next(t.rough, arrivals, ["route_id", "vehicle_id"], "ts_ms", "arrival_ms", 10 * DAY_MS, "next_ms").select("event_id", "next_ms")
+
+
 @query("j2_asof_next_strict", """
     SELECT p.event_id, CASE WHEN a.arrival_ms - p.ts_ms <= 172800000 THEN a.arrival_ms END AS next_ms, CASE WHEN a.arrival_ms - p.ts_ms <= 172800000 THEN a.station END AS station
     FROM pings p ASOF LEFT JOIN arrivals a ON p.vehicle_id = a.vehicle_id AND p.ts_ms < a.arrival_ms""")

@@ -20,28 +20,33 @@ def slow_enough(limit: float = DEFAULTS.max_speed_mph, speed: str = "speed") ->
 
 
 def regular_vehicle(pattern: str = DEFAULTS.vehicle_name_pattern, name: str = "vehicle_name") -> Column:
-    return ~F.col(name).rlike(pattern) & (F.col(name) != "")
+    """A missing name matches no pattern, so the row stays."""
+    return ~F.coalesce(F.col(name).rlike(pattern), F.lit(False)) & ~F.col(name).eqNullSafe("")
+
+
+def _not_in(column: str, values: Sequence) -> Column:
+    return ~F.coalesce(F.col(column).isin(*values), F.lit(False))
+
+
+def _not(column: str, value) -> Column:
+    return ~F.col(column).eqNullSafe(value)
 
 
 def regular_service(cfg=DEFAULTS) -> Column:
-    return (
-        (F.col("pattern_id") != cfg.idle_pattern_id)
-        & ~F.col("route_id").isin(*cfg.excluded_routes)
-        & (F.col("progress") != -1)
-    )
+    """A missing pattern, route or progress is none of the excluded ones."""
+    return _not("pattern_id", cfg.idle_pattern_id) & _not_in("route_id", cfg.excluded_routes) & _not("progress", -1)
 
 
 def cleaning_rules(cfg=DEFAULTS) -> dict[str, Column]:
-    """The ingest rules in report order; a NULL outcome counts as removed."""
-    rules = {
-        "bbox": in_box(cfg.box),
-        "speed": slow_enough(cfg.max_speed_mph),
+    """The ingest rules in report order. A missing place or speed fails its rule; any other missing value passes."""
+    return {
+        "bbox": F.coalesce(in_box(cfg.box), F.lit(False)),
+        "speed": F.coalesce(slow_enough(cfg.max_speed_mph), F.lit(False)),
         "vid": regular_vehicle(cfg.vehicle_name_pattern),
-        "pattern": F.col("pattern_id") != cfg.idle_pattern_id,
-        "route": ~F.col("route_id").isin(*cfg.excluded_routes),
-        "progress": F.col("progress") != -1,
+        "pattern": _not("pattern_id", cfg.idle_pattern_id),
+        "route": _not_in("route_id", cfg.excluded_routes),
+        "progress": _not("progress", -1),
     }
-    return {name: F.coalesce(rule, F.lit(False)) for name, rule in rules.items()}
 
 
 def filter_bbox(df: DataFrame, box: Box = DEFAULTS.box) -> DataFrame:
@@ -65,7 +70,7 @@ def filter_active_trips(df: DataFrame, cfg=DEFAULTS) -> DataFrame:
     """Each clause applies only where its column exists."""
     clauses = {
         "status": F.col("status").isin(*cfg.active_status),
-        "pattern_id": F.col("pattern_id") != cfg.idle_pattern_id,
+        "pattern_id": _not("pattern_id", cfg.idle_pattern_id),
         "next_stop_id": F.col("next_stop_id").isNotNull() & (F.col("next_stop_id") != 0),
     }
     for column, clause in clauses.items():
@@ -75,10 +80,11 @@ def filter_active_trips(df: DataFrame, cfg=DEFAULTS) -> DataFrame:
 
 
 def filter_idle(df: DataFrame, cfg=DEFAULTS) -> DataFrame:
+    """Rows that stand still, have no next trip or are on an idle route go; a missing value proves none of that."""
     return df.where(
-        ~((F.col("progress") == 0) & (F.col("speed") == 0))
-        & (F.col("next_stop_id") != 0)
-        & ~F.col("route_id").isin(*cfg.idle_routes)
+        ~(F.col("progress").eqNullSafe(0) & F.col("speed").eqNullSafe(0))
+        & _not("next_stop_id", 0)
+        & _not_in("route_id", cfg.idle_routes)
     )
 
 
@@ -94,14 +100,22 @@ def filter_report(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     )
 
 
-def verify_filters(before: DataFrame, after: DataFrame, cfg=DEFAULTS) -> DataFrame:
-    """Row counts, retention and the number of rows that should not have survived."""
+def verify_filters(before: DataFrame, after: DataFrame, cfg=DEFAULTS, fail: bool = False) -> DataFrame:
+    """Row counts, retention, the number of rows that should not have survived and their vehicles (at most the fleet).
+
+    With ``fail`` a survivor ends the job, naming the vehicles.
+    """
     n_before = before.agg(F.count(F.lit(1)).alias("rows_before")).scalar()
-    bad = F.col("vehicle_name").rlike(cfg.vehicle_name_pattern) | (F.col("pattern_id") == cfg.idle_pattern_id)
-    return after.agg(
-        F.count(F.lit(1)).alias("rows_after"), F.count_if(bad).alias("survivors")
-    ).select(
-        n_before.alias("rows_before"), "rows_after", "survivors",
+    bad = F.coalesce(F.col("vehicle_name").rlike(cfg.vehicle_name_pattern), F.lit(False)) | F.col("pattern_id").eqNullSafe(cfg.idle_pattern_id)
+    found = after.agg(
+        F.count(F.lit(1)).alias("rows_after"), F.count_if(bad).alias("survivors"),
+        F.array_join(F.array_sort(F.collect_set(F.when(bad, F.col("vehicle_name")))), ",").alias("vehicles"),
+    )
+    if fail:
+        complaint = F.raise_error(F.concat(F.lit("excluded vehicles survived the filters: "), "vehicles")).cast("long")
+        found = found.withColumn("survivors", F.when(F.col("survivors") > 0, complaint).otherwise(F.col("survivors")))
+    return found.select(
+        n_before.alias("rows_before"), "rows_after", "survivors", "vehicles",
         (F.try_divide(n_before - F.col("rows_after"), n_before) * 100).alias("excluded_pct"),
         (F.try_divide(F.col("rows_after"), n_before) * 100).alias("retained_pct"),
     )

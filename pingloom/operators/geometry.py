@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,14 +95,25 @@ def segment_index(segments: DataFrame, box: Box = DEFAULTS.box, step: float = 0.
     return _candidates(segments, near, F.least(farthest("lat1", "lon1"), farthest("lat2", "lon2")), box, step)
 
 
-def _nearest(points: DataFrame, index: DataFrame, key: list[str], measure: Column, keep: dict[str, Column], box: Box, step: float) -> DataFrame:
-    """Join points to their cell's candidates and keep the smallest measure, lowest sequence on a tie."""
-    asked = points.where(
-        F.col("lat").between(box.lat_min, box.lat_max) & F.col("lon").between(box.lon_min, box.lon_max)
-    ).withColumn("_cell", cell_of(F.col("lat"), F.col("lon"), box, step))
-    met = asked.join(index, ["shape_id", "_cell"])
-    best = met.select(*key, F.struct(measure.alias("_m"), F.col("seq"), *[c.alias(n) for n, c in keep.items()]).alias("_s"))
-    return best.groupBy(*key).agg(F.min("_s").alias("_s"))
+def _nearest(points: DataFrame, segments: DataFrame, index: DataFrame, measure: Callable[[Column], Column], box: Box, step: float) -> DataFrame:
+    """Points with ``_m``, the smallest measure, and ``_s``, the piece it belongs to (lowest sequence on a tie).
+
+    The candidates of a cell are one array, so points meet one row and are never multiplied or regrouped. A point outside
+    the box meets all pieces of its shape. A point without a place or a shape stays, with NULLs.
+    """
+    pieces = [c for c in segments.columns if c != "shape_id"]
+    fold = lambda df: df.groupBy("shape_id", "_cell").agg(F.collect_list(F.struct(*pieces)).alias("_pieces"))
+    folded = fold(index).unionByName(fold(segments.withColumn("_cell", F.lit(-1))))
+    inside = F.col("lat").between(box.lat_min, box.lat_max) & F.col("lon").between(box.lon_min, box.lon_max)
+    asked = points.withColumn("_cell", F.when(inside, cell_of(F.col("lat"), F.col("lon"), box, step)).otherwise(F.lit(-1)))
+    met = asked.join(folded, ["shape_id", "_cell"], "left")
+    best = F.array_min(F.transform("_pieces", lambda s: F.struct(measure(s).alias("m"), s["seq"].alias("seq"), s.alias("s"))))
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    return met.withColumn("_b", F.when(placed, best)).select(*points.columns, F.col("_b.m").alias("_m"), F.col("_b.s").alias("_s"))
+
+
+def _piece(*names: str) -> list[Column]:
+    return [F.col(f"_s.{n}") for n in names]
 
 
 def snap_to_shape(points: DataFrame, segments: DataFrame, key: list[str], box: Box = DEFAULTS.box, step: float = 0.01,
@@ -110,29 +122,30 @@ def snap_to_shape(points: DataFrame, segments: DataFrame, key: list[str], box: B
 
     ``points`` need ``shape_id, lat, lon``; ``key`` identifies a point together with its shape.
     """
-    t = segment_fraction("lat", "lon", "lat1", "lon1", "lat2", "lon2")
-    keep = {
-        "along": F.col("dist1") + t * (F.col("dist2") - F.col("dist1")),
-        "off": haversine("lat", "lon", "lat1", "lon1", radius),
-    }
-    found = _nearest(points, vertex_index(segments, box, step), key, half_chord("lat", "lon", "lat1", "lon1"), keep, box, step)
-    return found.select(*key, F.col("_s.seq").alias("seq"), F.col("_s.along").alias("along"), F.col("_s.off").alias("off"))
+    found = _nearest(points, segments, vertex_index(segments, box, step), lambda s: half_chord("lat", "lon", s["lat1"], s["lon1"]), box, step)
+    lat1, lon1, lat2, lon2, dist1, dist2 = _piece("lat1", "lon1", "lat2", "lon2", "dist1", "dist2")
+    t = segment_fraction("lat", "lon", lat1, lon1, lat2, lon2)
+    return found.select(*key, F.col("_s.seq").alias("seq"), F.when(F.col("_s").isNotNull(), dist1 + t * (dist2 - dist1)).alias("along"), haversine("lat", "lon", lat1, lon1, radius).alias("off"))
 
 
 def project_onto_polyline(points: DataFrame, segments: DataFrame, key: list[str], box: Box = DEFAULTS.box, step: float = 0.01) -> DataFrame:
     """Nearest segment by perpendicular distance: its index, the fraction on it, the foot, the distance."""
     real = segments.where(~F.col("is_last"))
-    t = segment_fraction("lat", "lon", "lat1", "lon1", "lat2", "lon2", tiny=1e-300)
-    foot_lat = F.col("lat1") + t * (F.col("lat2") - F.col("lat1"))
-    foot_lon = F.col("lon1") + t * (F.col("lon2") - F.col("lon1"))
-    away = (F.col("lat") - foot_lat) * (F.col("lat") - foot_lat) + (F.col("lon") - foot_lon) * (F.col("lon") - foot_lon)
-    keep = {"fraction": t, "foot_lat": foot_lat, "foot_lon": foot_lon,
-            "along": F.col("dist1") + t * (F.col("dist2") - F.col("dist1")),
-            "heading": planar_heading("lat1", "lon1", "lat2", "lon2")}
-    found = _nearest(points, segment_index(real, box, step), key, away, keep, box, step)
+
+    def foot(s) -> tuple[Column, Column, Column]:
+        t = segment_fraction("lat", "lon", s["lat1"], s["lon1"], s["lat2"], s["lon2"], tiny=1e-300)
+        return t, s["lat1"] + t * (s["lat2"] - s["lat1"]), s["lon1"] + t * (s["lon2"] - s["lon1"])
+
+    def away(s) -> Column:
+        _, lat, lon = foot(s)
+        return (F.col("lat") - lat) * (F.col("lat") - lat) + (F.col("lon") - lon) * (F.col("lon") - lon)
+
+    found = _nearest(points, real, segment_index(real, box, step), away, box, step)
+    t, foot_lat, foot_lon = foot(F.col("_s"))
+    some = lambda c: F.when(F.col("_s").isNotNull(), c)
     return found.select(
-        *key, F.col("_s.seq").alias("seq"), F.col("_s.fraction").alias("fraction"), F.col("_s.foot_lat").alias("foot_lat"),
-        F.col("_s.foot_lon").alias("foot_lon"), F.sqrt("_s._m").alias("distance"), F.col("_s.heading").alias("heading"),
+        *key, F.col("_s.seq").alias("seq"), some(t).alias("fraction"), foot_lat.alias("foot_lat"), foot_lon.alias("foot_lon"),
+        F.sqrt("_m").alias("distance"), planar_heading(*_piece("lat1", "lon1", "lat2", "lon2")).alias("heading"),
     )
 
 
@@ -148,21 +161,24 @@ def planar_lengths(segments: DataFrame) -> DataFrame:
 def interpolate_along(moves: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """Point at share ``t`` of the path between two places (segment index + fraction) on a shape.
 
-    The polyline is one array per shape (bounded by the route), so each move is a lookup of the
-    segment that holds its target length.
+    Both ends are looked up by (shape, index). The segment that holds the target length lies in the target's bucket: lengths
+    are cut into as many equal buckets as the shape has segments, and a bucket lists the few segments that touch it.
     """
-    line = planar_lengths(segments).groupBy("shape_id").agg(F.array_sort(F.collect_list(F.struct(
-        "seq", "before", "length", "lat1", "lon1", "lat2", "lon2"))).alias("_line"))
-    joined = moves.join(line, "shape_id")
-
-    def at(seq: str, fraction: str) -> Column:
-        seg = F.get(F.filter("_line", lambda s: s["seq"] == F.col(seq)), F.lit(0))
-        return seg["before"] + F.col(fraction) * seg["length"]
-
-    placed = joined.withColumn("_target", at("from_seq", "from_fraction") + F.col("t") * (at("to_seq", "to_fraction") - at("from_seq", "from_fraction")))
-    holding = F.filter("_line", lambda s: (s["before"] + s["length"] >= F.col("_target")))
-    seg = F.coalesce(F.get(holding, F.lit(0)), F.try_element_at("_line", F.lit(-1)))
-    spot = placed.withColumn("_seg", seg).withColumn(
+    line = planar_lengths(segments).select("shape_id", "seq", "before", "length", "lat1", "lon1", "lat2", "lon2")
+    whole = line.groupBy("shape_id").agg(F.max(F.col("before") + F.col("length")).alias("_total"), F.count(F.lit(1)).alias("_n"))
+    width = F.when(F.col("_total") > 0, F.col("_total") / F.col("_n")).otherwise(F.lit(1.0))
+    sized = whole.select("shape_id", width.alias("_width"), F.floor(F.col("_total") / width).alias("_top"))
+    bucket = lambda x: F.floor(x / F.col("_width"))
+    touched = F.sequence(bucket(F.col("before")) - 1, bucket(F.col("before") + F.col("length")) + 1)
+    listed = line.join(sized, "shape_id").withColumn("_bucket", F.explode(touched)).groupBy("shape_id", "_bucket").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "before", "length", "lat1", "lon1", "lat2", "lon2"))).alias("_line"))
+    end = lambda name: line.select("shape_id", F.col("seq").alias(f"{name}_seq"), F.col("before").alias(f"_{name}_before"), F.col("length").alias(f"_{name}_length"))
+    at = lambda name: F.col(f"_{name}_before") + F.col(f"{name}_fraction") * F.col(f"_{name}_length")
+    joined = moves.join(end("from"), ["shape_id", "from_seq"]).join(end("to"), ["shape_id", "to_seq"]).join(sized, "shape_id")
+    target = at("from") + F.col("t") * (at("to") - at("from"))
+    placed = joined.withColumn("_target", target).withColumn("_bucket", F.greatest(F.lit(0), F.least(bucket(F.col("_target")), F.col("_top"))))
+    holding = F.get(F.filter("_line", lambda s: s["before"] + s["length"] >= F.col("_target")), F.lit(0))
+    spot = placed.join(listed, ["shape_id", "_bucket"]).withColumn("_seg", F.coalesce(holding, F.try_element_at("_line", F.lit(-1)))).withColumn(
         "_share", F.coalesce(F.try_divide(F.col("_target") - F.col("_seg.before"), F.col("_seg.length")), F.lit(0.0)))
     return spot.select(
         key,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,13 +23,17 @@ def asof_next(
     Both sides go through one shuffle on (keys, time slice); a right row is copied into the earlier
     slice it can serve. One descending pass carries the nearest following right row, so the cost is
     a sort, not a frame per row, and a hot key is spread over its slices.
+
+    As in any join a NULL key or time matches nothing: such left rows stay, unmatched and spread by
+    their hash; such right rows go.
     """
     size = reach_slice(tolerance_ms)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, left_ms)])
     row = left.select(
-        "*", F.col(left_ms).alias("_ms"), floor_div(left_ms, size).alias(SLICE), F.lit(False).alias("_right")
+        "*", F.col(left_ms).alias("_ms"), F.when(known, floor_div(left_ms, size)).otherwise(F.xxhash64(*left.columns)).alias(SLICE), F.lit(False).alias("_right")
     )
     first = floor_div(F.col(right_ms) - F.lit(tolerance_ms), size)
-    event = right.where(F.col(right_ms).isNotNull()).select(
+    event = right.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, right_ms)])).select(
         *by, F.col(right_ms).alias("_ms"),
         F.explode(F.sequence(first, floor_div(right_ms, size))).alias(SLICE), F.lit(True).alias("_right"),
         F.struct(F.col(right_ms).alias("_at"), *payload).alias("_event"),

@@ -78,6 +78,16 @@ CTES: dict[str, str] = {
                CASE WHEN l_orderkey % 17 = 0 THEN NULL ELSE l_tax * 1000 END AS schedule_eta
         FROM lineitem""",
 }
+# the same pings with what a feed may lack or get wrong: missing values, and places outside the service area
+CTES["rough"] = """
+        SELECT * REPLACE (
+            CASE WHEN event_id % 41 <> 0 THEN pattern_id END AS pattern_id, CASE WHEN event_id % 43 <> 0 THEN route_id END AS route_id,
+            CASE WHEN event_id % 47 <> 0 THEN progress END AS progress, CASE WHEN event_id % 53 <> 0 THEN next_stop_id END AS next_stop_id,
+            CASE WHEN event_id % 59 <> 0 THEN speed END AS speed, CASE WHEN event_id % 61 <> 0 THEN vehicle_name END AS vehicle_name,
+            CASE WHEN event_id % 61 <> 0 THEN vehicle_id END AS vehicle_id,
+            CASE event_id % 37 WHEN 0 THEN lat + 0.25::DOUBLE WHEN 1 THEN lat - 3 ELSE lat END AS lat,
+            CASE event_id % 37 WHEN 2 THEN lon + 0.3::DOUBLE ELSE lon END AS lon)
+        FROM pings"""
 CTES["eta"] = """
         SELECT *, baseline + pred_residual AS predicted, baseline + pred_residual - actual AS err,
                abs(baseline + pred_residual - actual) AS abs_err
@@ -181,6 +191,17 @@ class Frames:
             F.col("event_type").alias("kind"),
         )
 
+    @cached_property
+    def rough(self) -> DataFrame:
+        e = F.col("event_id")
+        lacking = {"pattern_id": 41, "route_id": 43, "progress": 47, "next_stop_id": 53, "speed": 59, "vehicle_name": 61, "vehicle_id": 61}
+        off = e % 37
+        return self.pings.withColumns({
+            **{c: F.when(e % n != 0, F.col(c)) for c, n in lacking.items()},
+            "lat": F.when(off == 0, F.col("lat") + F.lit(0.25)).when(off == 1, F.col("lat") - 3).otherwise(F.col("lat")),
+            "lon": F.when(off == 2, F.col("lon") + F.lit(0.3)).otherwise(F.col("lon")),
+        })
+
     @cached_property
     def arrivals(self) -> DataFrame:
         e = F.col("event_id")
