@@ -33,7 +33,7 @@ class HostRule:
 
     @property
     def regex(self) -> str:
-        return rf"(?s)^.*?://(?:[^/?#]*\.)?(?i:{re.escape(self.host)}){re.escape(self.path)}"
+        return rf"(?s)^(?>.*?://)(?:[^/?#]*\.)?(?i:{re.escape(self.host)}){re.escape(self.path)}"
 
     @property
     def tokens(self) -> list[str]:
