@@ -32,7 +32,7 @@ class Settings:
 
     source_power: float = 0.8
     lang_power: float = 0.8
-    topic_power: float = 0.5
+    topic_power: float = 0.8
     topics: int = 8
     rounds: int = 30
     tolerance: float = 1e-6
