@@ -147,12 +147,15 @@ def with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     before = [(top, tops[i - 1][0]) for i, (_, top) in enumerate(tops)]  # the slice that needs to see this first document
     ghosts = spark.createDataFrame(before, "top long, to int")
     # a ghost is a copy that only its predecessor looks at; it comes last in its slice
-    placed = base.join(ghosts, F.col("ord") == F.col("top"), "left").withColumn("own", cut)
+    # at most four rows a shuffle partition, of 12 bytes each
+    placed = base.join(F.broadcast(ghosts), F.col("ord") == F.col("top"), "left").withColumn("own", cut)
     places = F.expr("filter(array(struct(own AS s, false AS ghost), struct(`to` AS s, true AS ghost)), x -> x.s IS NOT NULL)")
     both = placed.select("id", "text", "ord", F.explode(places).alias("p")).select("id", "text", "ord", "p.*").withColumn("keys", F.expr(paragraphs("text")))
     # a stable order among rows of one id
     w = Window.partitionBy("s").orderBy("ghost", F.desc("ord"), F.xxhash64("text"), "text")
-    return both.withColumn("next", F.lead(F.struct("text", "keys")).over(w)).where(~F.col("ghost")).select("id", "text", "keys", F.col("next.text").alias("next_text"), F.col("next.keys").alias("next_keys"))
+    # plain columns: an expression here would be shuffled beside the text it is made of
+    led = both.withColumns({"next_text": F.lead("text").over(w), "next_keys": F.lead("keys").over(w)})
+    return led.where(~F.col("ghost")).select("id", "text", "keys", "next_text", "next_keys")
 
 
 def report(docs: DataFrame) -> DataFrame:
