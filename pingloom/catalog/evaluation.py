@@ -245,12 +245,20 @@ def _(t):
     return rounded(shift.ks_statistic(materialize(flagged(t)), FEATURES, "high_error"), 8)
 
 
-@query("d4_category_shift", f"""
-    WITH {FLAG}, k AS (SELECT stops_away, count(*) AS o, sum(high_error) AS h FROM f GROUP BY 1), n AS (SELECT sum(o) AS so, sum(h) AS sh FROM k),
-         p AS (SELECT o / so AS po, h / sh AS ph, (o / so + h / sh) * 0.5 AS m, h, o * (sh / so) AS ex FROM k, n)
-    SELECT 'stops_away' AS feature, round(0.5 * sum(po * ln((po + 1e-10) / (m + 1e-10))) + 0.5 * sum(ph * ln((ph + 1e-10) / (m + 1e-10))), 9) AS js_divergence, round(sum((h - ex) ** 2 / ex), 5) AS chi2, count(*) AS n_categories FROM p""")
+# a category that some rows lack
+D4 = """k AS (SELECT CASE WHEN order_id % 13 <> 0 THEN stops_away END AS c, count(*) AS o, sum(high_error) AS h FROM f GROUP BY 1),
+         n AS (SELECT sum(o) FILTER (c IS NOT NULL) AS so, sum(h) FILTER (c IS NOT NULL) AS sh, sum(o) AS ro, sum(h) AS rh FROM k),
+         p AS (SELECT o / so AS po, h / sh AS ph, (o / so + h / sh) * 0.5 AS m, h, o * (sh / so) AS ex, abs((rh - sh) / rh - (ro - so) / ro) * 100 AS gap FROM k, n WHERE c IS NOT NULL),
+         j AS (SELECT 0.5 * sum(po * ln((po + 1e-10) / (m + 1e-10))) + 0.5 * sum(ph * ln((ph + 1e-10) / (m + 1e-10))) AS js, sum((h - ex) ** 2 / ex) AS chi2, count(*) AS n, any_value(gap) AS gap FROM p)"""
+
+
+def with_category(t):
+    return flagged(t).withColumn("stops", F.when(F.col("order_id") % 13 != 0, F.col("stops_away")))
+
+
+@query("d4_category_shift", f"WITH {FLAG}, {D4} SELECT 'stops' AS feature, round(js, 9) AS js_divergence, round(chi2, 5) AS chi2, n AS n_categories, round(js * 5 + gap * 0.02, 9) AS shift_score FROM j")
 def _(t):
-    return rounded(shift.category_shift(flagged(t), "stops_away", "high_error"), 9, chi2=5)
+    return rounded(shift.category_shift(with_category(t), "stops", "high_error"), 9, chi2=5)
 
 
 SHIFT = KS + ", s AS (" + " UNION ALL ".join(f"""
@@ -263,6 +271,12 @@ def _(t):
     return rounded(shift.shift_table(materialize(flagged(t)), FEATURES, "high_error").select("feature", "ks", "mean_gap", "shift_score"), 7, ks=8)
 
 
+@query("d5_shift_ranking", SHIFT + f""", {D4}, r AS (SELECT feature, 'numeric' AS kind, ks * 0.5 + abs(gap) * 0.3 + abs(nh - nr) * 0.2 AS v FROM g UNION ALL SELECT 'stops', 'category', js * 5 + gap * 0.02 FROM j)
+    SELECT feature, kind, round(v, 7) AS shift_score, row_number() OVER (ORDER BY v DESC, feature)::INTEGER AS rank FROM r""")
+def _(t):
+    return rounded(shift.shift_ranking(materialize(with_category(t)), FEATURES, ["stops"], "high_error"), 7)
+
+
 @query("d6_shift_flags", SHIFT + """ SELECT feature, array_to_string(list_sort(list_filter([CASE WHEN nr > 0.5 THEN 'HIGH_NAN_OVERALL' END, CASE WHEN (nh - nr) * 100 > 5 THEN 'NAN_RATE_SPIKE' END, CASE WHEN abs(gap) > 0.5 THEN 'MEAN_SHIFT' END,
         CASE WHEN ks > 0.15 THEN 'STRONG_KS' END, CASE WHEN sd = 0 OR sh = 0 THEN 'ZERO_VARIANCE' END], lambda x: x IS NOT NULL)), ',') AS flags FROM g""")
 def _(t):

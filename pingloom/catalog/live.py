@@ -58,15 +58,18 @@ def _(t):
 
 
 @query("l5_enrich_stream", """
-    WITH p AS (SELECT * FROM pings WHERE kind = 'click'), e AS (SELECT vehicle_id, ts_ms AS eta_ms, passenger_load AS eta_load FROM pings WHERE kind = 'error')
-    SELECT p.event_id, max(eta_ms) AS eta_ms, arg_max(eta_load, eta_ms) AS eta_load FROM p JOIN e ON e.vehicle_id = p.vehicle_id AND e.eta_ms BETWEEN p.ts_ms - 172800000 AND p.ts_ms GROUP BY p.event_id""")
+    WITH p AS (SELECT * FROM pings WHERE kind = 'click'), e AS (SELECT vehicle_id, ts_ms AS eta_ms, passenger_load AS eta_load FROM pings WHERE kind = 'error'),
+         mark AS (SELECT least((SELECT max(ts_ms) FROM p), (SELECT max(eta_ms) FROM e)) - 172800000 AS wm)
+    SELECT p.event_id, max(eta_ms) AS eta_ms, arg_max(eta_load, eta_ms) AS eta_load FROM p LEFT JOIN e ON e.vehicle_id = p.vehicle_id AND e.eta_ms BETWEEN p.ts_ms - 172800000 AND p.ts_ms
+    GROUP BY p.event_id, p.ts_ms HAVING count(eta_ms) > 0 OR p.ts_ms <= (SELECT wm FROM mark)""")
 def _(t):
     s = t.streamed().pings.withColumn("ts", F.timestamp_millis("ts_ms"))
     positions = s.where("kind = 'click'").select("event_id", F.col("vehicle_id").alias("trip_id"), "ts")
     etas = t.streamed().pings.where("kind = 'error'").select(
         F.col("vehicle_id").alias("trip_id"), F.timestamp_millis("ts_ms").alias("eta_ts"), F.col("passenger_load").alias("eta_load"))
     joined = L.run_available(L.enrich_stream(positions, etas, "2 days"))
-    return joined.where("eta_ts IS NOT NULL").groupBy("event_id").agg(F.unix_millis(F.max("eta_ts")).alias("eta_ms"), F.max_by("eta_load", "eta_ts").alias("eta_load"))
+    # a position without an ETA comes out once the watermark has passed it
+    return joined.groupBy("event_id").agg(F.unix_millis(F.max("eta_ts")).alias("eta_ms"), F.max_by("eta_load", "eta_ts").alias("eta_load"))
 
 
 @query("l6_history_state", """
@@ -82,21 +85,21 @@ def _(t):
     return rounded(out.drop("batch_id", "vehicle_id", "ts_ms"), 6, progress_rate=12, time_stopped=7)
 
 
-SEQ = "s AS (SELECT vehicle_id, event_id, eta_minutes * 3 AS x, progress AS p, passenger_load // 30 AS side, ts_ms // 864000000 AS chunk, row_number() OVER (PARTITION BY vehicle_id{part} ORDER BY ts_ms, event_id) AS n FROM pings WHERE eta_minutes IS NOT NULL)"
+SEQ = "s AS (SELECT vehicle_id, event_id, eta_minutes * 3 AS x, progress AS p, passenger_load // 30 AS side, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts_ms, event_id) AS n FROM pings WHERE eta_minutes IS NOT NULL)"
 
 
 @query("l7_ema_smooth", f"""
-    WITH RECURSIVE {SEQ.format(part=', ts_ms // 864000000')},
-      r AS (SELECT vehicle_id, chunk, n, event_id, x, x AS v FROM s WHERE n = 1
-            UNION ALL SELECT s.vehicle_id, s.chunk, s.n, s.event_id, s.x, CASE WHEN abs(s.x - r.v) > 1500 THEN s.x ELSE 0.3::DOUBLE * s.x + 0.7::DOUBLE * r.v END FROM r JOIN s ON s.vehicle_id = r.vehicle_id AND s.chunk = r.chunk AND s.n = r.n + 1)
+    WITH RECURSIVE {SEQ},
+      r AS (SELECT vehicle_id, n, event_id, x, x AS v FROM s WHERE n = 1
+            UNION ALL SELECT s.vehicle_id, s.n, s.event_id, s.x, CASE WHEN abs(s.x - r.v) > 1500 THEN s.x ELSE 0.3::DOUBLE * s.x + 0.7::DOUBLE * r.v END FROM r JOIN s ON s.vehicle_id = r.vehicle_id AND s.n = r.n + 1)
     SELECT vehicle_id, event_id, x AS eta_s, round(v, 6) AS smoothed_s FROM r""")
 def _(t):
     rows = t.pings.where("eta_minutes IS NOT NULL").withColumn("eta_s", F.col("eta_minutes") * 3)
-    return rounded(L.smooth_batch(rows, F.floor(F.col("ts_ms") / 864_000_000), bypass_s=1500.0))
+    return rounded(L.smooth_batch(rows, bypass_s=1500.0))
 
 
 @query("l7_l8_l11_smooth_state", f"""
-    WITH RECURSIVE {SEQ.format(part='')},
+    WITH RECURSIVE {SEQ},
       r AS (SELECT vehicle_id, n, event_id, x, p, side, x AS v FROM s WHERE n = 1
             UNION ALL SELECT s.vehicle_id, s.n, s.event_id, s.x, s.p, s.side,
               CASE WHEN s.side <> r.side THEN s.x ELSE

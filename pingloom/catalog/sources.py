@@ -134,7 +134,8 @@ def _(t):
 
 @query("src6_read_gtfs", """
     SELECT 'routes' AS tbl, count(*) AS n, sum(route_id)::BIGINT AS checksum FROM routes UNION ALL SELECT 'stops', count(*), sum(stop_id)::BIGINT FROM stops
-    UNION ALL SELECT 'trips', count(*), sum(trip_id)::BIGINT FROM trips UNION ALL SELECT 'stop_times', count(*), sum(trip_id * stop_sequence)::BIGINT FROM stop_times UNION ALL SELECT 'shapes', count(*), sum(shape_id * seq)::BIGINT FROM shapes""")
+    UNION ALL SELECT 'trips', count(*), sum(trip_id)::BIGINT FROM trips UNION ALL SELECT 'stop_times', count(*), sum(trip_id * stop_sequence)::BIGINT FROM stop_times UNION ALL SELECT 'shapes', count(*), sum(shape_id * seq)::BIGINT FROM shapes
+    UNION ALL SELECT 'calendar', count(*), sum(n_nationkey * 7)::BIGINT FROM nation UNION ALL SELECT 'lost stop_times', 0, 0""")
 def _(t):
     base = folder(t, "gtfs")
     s = lambda c: F.col(c).cast("string")
@@ -150,12 +151,14 @@ def _(t):
         df.write.option("header", True).option("quoteAll", True).csv(f"{base}/{name}.txt")
     got = readers.read_gtfs(t.spark, base)
     sums = {"routes": F.col("route_id_num"), "stops": s("stop_id").cast("long"), "trips": s("trip_id").cast("long"),
-            "stop_times": s("trip_id").cast("long") * F.col("stop_sequence"), "shapes": s("shape_id").cast("long") * F.col("shape_pt_sequence")}
+            "stop_times": s("trip_id").cast("long") * F.col("stop_sequence"), "shapes": s("shape_id").cast("long") * F.col("shape_pt_sequence"),
+            "calendar": s("service_id").cast("long") * sum((F.col(d) for d in ("tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")), F.col("monday"))}
     out = None
     for name, total in sums.items():
         row = got[name].agg(F.lit(name).alias("tbl"), F.count(F.lit(1)).alias("n"), F.sum(total).alias("checksum"))
         out = row if out is None else out.unionByName(row)
-    return out
+    lost = readers.gtfs_lost_values(t.spark, base)
+    return out.unionByName(lost.agg(F.lit("lost stop_times").alias("tbl"), F.count_if(F.col("tbl") == "stop_times").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("checksum")))
 
 
 @query("src7_route_id_num", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN route_id WHEN 1 THEN route_id WHEN 2 THEN NULL ELSE vehicle_id END AS num FROM pings")
@@ -173,15 +176,18 @@ def _(t):
 
 
 @query("src10_unpivot_timetable", """
-    WITH m AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem WHERE l_linenumber <> 4 GROUP BY ALL)
-    SELECT l_orderkey, 'Stop ' || l_linenumber AS stop_name, 100 + l_linenumber AS stop_id, ((p * 61) % 86400)::INTEGER AS scheduled_s FROM m WHERE l_linenumber <> 6""")
+    WITH m AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL)
+    SELECT l_orderkey, CASE WHEN l_linenumber < 4 THEN 'north' WHEN l_linenumber < 6 THEN 'east' ELSE 'south' END AS route,
+           'Stop ' || l_linenumber AS stop_name, stop_id, ((p * 61) % 86400)::INTEGER AS scheduled_s
+    FROM m JOIN (SELECT 'Stop ' || p_partkey AS stop_name, 100 + p_partkey AS stop_id FROM part WHERE p_partkey <> 6) s ON s.stop_name = 'Stop ' || l_linenumber""")
 def _(t):
     wide = t.raw("lineitem").groupBy("l_orderkey").pivot("l_linenumber", list(range(1, 8))).agg(F.min("l_partkey"))
     named = wide.select("l_orderkey", *[T.seconds_to_clock((F.col(f"`{i}`") * 61) % 86400).alias(f"Stop {i}") for i in range(1, 8)])
-    line = F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 5, 7)]))
-    mapping = t.raw("region").where("r_regionkey = 0").select(line.alias("i")).select(F.concat(F.lit("Stop "), F.col("i").cast("string")).alias("stop_name"), (F.col("i") + 100).alias("stop_id"))
+    # one stop of the timetable is not known
+    mapping = t.raw("part").where("p_partkey <> 6").select(F.concat(F.lit("Stop "), F.col("p_partkey").cast("string")).alias("stop_name"), (F.col("p_partkey") + 100).alias("stop_id"))
     blocks = readers.column_blocks(["Stop 1", "Stop 2", "Stop 3", None, "Stop 4", "Stop 5", "", "Stop 6", "Stop 7"])
-    return readers.unpivot_timetable(named, "l_orderkey", blocks, mapping).select("l_orderkey", "stop_name", "stop_id", "scheduled_s")
+    by_route = dict(zip(("north", "east", "south"), blocks, strict=True))
+    return readers.unpivot_timetable(named, "l_orderkey", by_route, mapping).select("l_orderkey", "route", "stop_name", "stop_id", "scheduled_s")
 
 
 @query("src11_flatten_json", """

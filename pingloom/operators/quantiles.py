@@ -2,7 +2,9 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer. Here a histogram over a fixed
 monotone bin function (pre-aggregated before its shuffle) tells which bin holds each wanted rank;
-only the rows of those bins travel further, with equal values already merged into counts.
+the rows of those bins alone are counted again in bins 4096 times finer, and only the rows of the
+fine bins that hold a wanted rank travel further, with equal values already merged into counts.
+A fine bin is a few millionths of its values wide, so even epoch milliseconds spread over thousands.
 """
 
 from __future__ import annotations
@@ -14,11 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS_PER_STEP = 64
+FINER = 4096
 
 
-def _bin(value: Column) -> Column:
+def _bin(value: Column, finer: int = 1) -> Column:
     """Rising step function: fine near zero, about 1.6 % of the value further out, for any domain."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BINS_PER_STEP)).cast("long")
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * F.lit(BINS_PER_STEP * finer)).cast("long")
+
+
+def fine_bin(value: Column) -> Column:
+    """The fine bins; a bin's fine bins follow each other without gaps, as the factor is a power of two."""
+    return _bin(value, FINER)
 
 
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
@@ -31,29 +39,34 @@ def grouped_quantiles(
     """One row per group with linearly interpolated quantiles (new name -> probability) and the count."""
     x = F.col(value) if isinstance(value, str) else value
     rows = df.select(*keys, x.cast("double").alias("_x")).where("_x IS NOT NULL").withColumn("_bin", _bin(F.col("_x")))
-    by = [F.col(k) for k in keys] or [F.lit(0)]
-    histogram = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    placed = histogram.select(
-        *keys, "_bin", "_c",
-        (F.sum("_c").over(upto) - F.col("_c")).alias("_before"),
-        F.sum("_c").over(Window.partitionBy(*by)).alias("_n"),
-    )
 
     def edges(p: float) -> tuple[str, str]:
         """Zero-based ranks the quantile lies between, as SQL over the group's count."""
         return f"floor({p!r}D * (_n - 1))", f"ceil({p!r}D * (_n - 1))"
 
     wanted = " OR ".join(f"({rank} BETWEEN _before AND _before + _c - 1)" for p in probs.values() for rank in edges(float(p)))
-    bins = placed.where(wanted).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k__bin"), "_before", "_n"
+    by = [F.col(k) for k in keys] or [F.lit(0)]
+    upto = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c")).select(
+        *keys, "_bin", "_c",
+        (F.sum("_c").over(upto) - F.col("_c")).alias("_before"),
+        F.sum("_c").over(Window.partitionBy(*by)).alias("_n"),
     )
+    named = lambda df, names: df.select(*[F.col(n).alias(f"_k_{n}") for n in names], "_before", "_n")
+    coarse = named(placed.where(wanted), [*keys, "_bin"])
+    near = rows.join(coarse, _same(rows, coarse, [*keys, "_bin"]), "inner").select(*keys, "_bin", "_x", fine_bin(F.col("_x")).alias("_fine"), "_before", "_n")
+    # the same once more inside the chosen bins
+    inside_bin = Window.partitionBy(*keys, "_bin").orderBy("_fine").rowsBetween(Window.unboundedPreceding, 0)
+    finer = near.groupBy(*keys, "_bin", "_fine", "_before", "_n").agg(F.count(F.lit(1)).alias("_c")).withColumn(
+        "_before", F.col("_before") + F.sum("_c").over(inside_bin) - F.col("_c"))
+    bins = named(finer.where(wanted), [*keys, "_fine"])
+    rows = near.select(*keys, "_x", "_fine")
     merged = (
-        rows.join(bins, _same(rows, bins, [*keys, "_bin"]), "inner")
-        .groupBy(*keys, "_bin", "_before", "_n", "_x")
+        rows.join(bins, _same(rows, bins, [*keys, "_fine"]), "inner")
+        .groupBy(*keys, "_fine", "_before", "_n", "_x")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_fine").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.withColumn("_start", F.sum("_c").over(inside) - F.col("_c") + F.col("_before"))
     picks = [
         F.expr(f"max(CASE WHEN {rank} BETWEEN _start AND _start + _c - 1 THEN _x END) AS `_{side}_{name}`")

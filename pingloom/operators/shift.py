@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pingloom.operators.quantiles import _bin, grouped_quantiles
+from pingloom.operators.quantiles import fine_bin, grouped_quantiles
 from pingloom.plans.slices import running_total
 
 
@@ -56,25 +56,40 @@ def ks_statistic(df: DataFrame, features: Sequence[str], flag: str) -> DataFrame
     tall = long_form(df, features, [flag]).where("value IS NOT NULL")
     counts = tall.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_a"), F.count_if(F.col(flag) == 1).alias("_b"))
     total = counts.groupBy("feature").agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
-    running = running_total(counts, ["feature"], _bin(F.col("value")), ["value"], {"_ca": F.col("_a"), "_cb": F.col("_b")})
+    running = running_total(counts, ["feature"], fine_bin(F.col("value")), ["value"], {"_ca": F.col("_a"), "_cb": F.col("_b")})
     gap = F.abs(F.try_divide("_ca", "_na") - F.try_divide("_cb", "_nb"))
     return running.join(total, "feature").groupBy("feature").agg(F.max(gap).alias("ks"))
 
 
 def category_shift(df: DataFrame, column: str, flag: str, eps: float = 1e-10) -> DataFrame:
-    """Jensen-Shannon divergence and the chi-squared statistic of a category: all rows against flagged ones."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_o"), F.count_if(F.col(flag) == 1).alias("_h"))
-    all_rows = Window.partitionBy(F.lit(0))  # one row per category
-    shares = counts.select("_o", "_h", F.sum("_o").over(all_rows).alias("_no"), F.sum("_h").over(all_rows).alias("_nh"))
+    """Jensen-Shannon divergence, the chi-squared statistic and the shift score of a category: all rows against flagged ones.
+
+    The score is five times the divergence plus a fiftieth of the gap between the missing shares in percent.
+    """
+    every = df.groupBy(column).agg(F.count(F.lit(1)).alias("_o"), F.count_if(F.col(flag) == 1).alias("_h"))
+    known = F.col(column).isNotNull()
+    totals = every.agg(
+        F.sum(F.when(known, F.col("_o"))).alias("_no"), F.sum(F.when(known, F.col("_h"))).alias("_nh"), F.sum("_o").alias("_ro"), F.sum("_h").alias("_rh"))
+    total = totals.select(F.struct("_no", "_nh", "_ro", "_rh").alias("t")).scalar()  # one row, not a window over all categories
+    shares = every.where(known).select("_o", "_h", total["_no"].alias("_no"), total["_nh"].alias("_nh"))
     po, ph = F.try_divide("_o", "_no"), F.try_divide("_h", "_nh")
     m = (po + ph) * 0.5
     part = lambda p: p * F.ln((p + eps) / (m + eps))
     expected = F.col("_o") * F.try_divide("_nh", "_no")
+    missing = F.abs(F.try_divide(total["_rh"] - total["_nh"], total["_rh"]) - F.try_divide(total["_ro"] - total["_no"], total["_ro"])) * 100
     return shares.agg(
         (F.sum(part(po)) * 0.5 + F.sum(part(ph)) * 0.5).alias("js_divergence"),
         F.sum(F.try_divide((F.col("_h") - expected) * (F.col("_h") - expected), expected)).alias("chi2"),
         F.count(F.lit(1)).alias("n_categories"),
-    ).select(F.lit(column).alias("feature"), "*")
+    ).select(F.lit(column).alias("feature"), "*", (F.col("js_divergence") * 5 + F.coalesce(missing, F.lit(0.0)) * 0.02).alias("shift_score"))
+
+
+def shift_ranking(df: DataFrame, features: Sequence[str], categories: Sequence[str], flag: str) -> DataFrame:
+    """Numeric and categorical features in one ranking by their shift score (one row a feature)."""
+    numeric = shift_table(df, features, flag).select("feature", F.lit("numeric").alias("kind"), "shift_score")
+    for c in categories:
+        numeric = numeric.unionByName(category_shift(df, c, flag).select("feature", F.lit("category").alias("kind"), "shift_score"))
+    return numeric.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("shift_score"), "feature")))
 
 
 def shift_table(df: DataFrame, features: Sequence[str], flag: str) -> DataFrame:

@@ -50,5 +50,5 @@ def timepoint_features(df: DataFrame, timepoints: DataFrame, stop_seq: DataFrame
 
 
 def merge_back(exploded: DataFrame, pings: DataFrame, columns: list[str], keys: tuple[str, ...] = ("vehicle_id", "ts_ms")) -> DataFrame:
-    """Window results of unique pings back on every exploded row of the ping."""
-    return exploded.join(pings.select(*keys, *columns), list(keys), "left").select(*exploded.columns, *columns)
+    """Window results of unique pings back on every exploded row of the ping; a doubled ping fails the job."""
+    return lookup_left(exploded, pings.select(*keys, *columns), list(keys))

@@ -1,4 +1,7 @@
-"""Declared schemas; nothing is inferred."""
+"""Declared schemas; nothing is inferred.
+
+The field names of the feeds, CSV headers and GTFS columns are fixed values: they must be those of the files.
+"""
 
 from __future__ import annotations
 
@@ -43,6 +46,12 @@ GTFS = {
     "calendar": "service_id STRING, monday INT, tuesday INT, wednesday INT, thursday INT, friday INT, saturday INT, sunday INT, start_date STRING, end_date STRING",
 }
 
+# without these a table cannot be joined
+GTFS_KEYS = {
+    "routes": ("route_id",), "stops": ("stop_id",), "trips": ("trip_id", "route_id"), "stop_times": ("trip_id", "stop_id", "stop_sequence"),
+    "shapes": ("shape_id", "shape_pt_sequence"), "calendar": ("service_id",),
+}
+
 TRIP_UPDATE = "trip_id STRING, delay INT, stop_time_update ARRAY<STRUCT<stop_id: STRING, arrival_time: BIGINT>>"
 ALERT = """
     id STRING, header ARRAY<STRUCT<language: STRING, text: STRING>>, description ARRAY<STRUCT<language: STRING, text: STRING>>,

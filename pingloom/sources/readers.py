@@ -77,15 +77,26 @@ def normalize_telemetry(df: DataFrame) -> DataFrame:
     return out.where((F.col("vehicle_id") != "") & (F.col("ts_ms") > 0))
 
 
-def read_titled_csv(spark: SparkSession, path: str, schema: str, header_start: str) -> DataFrame:
-    """CSV files with a title line before the header: both are recognised by content, so files can be split."""
-    names = [c.strip() for c in schema.split(",")]
-    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
-    columns = len(names)
-    # a title has no (or too few) separators; the header begins with its first column name
-    data = lines.where(
-        (F.size(F.split("value", ",")) >= columns) & ~F.replace(F.col("value"), F.lit('"'), F.lit("")).startswith(header_start)
-    )
+DATED = r'^"?[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}"?,'
+
+
+def titled_lines(spark: SparkSession, path: str, schema: str, header_start: str, record_start: str = DATED) -> DataFrame:
+    """Lines of CSV files with a title line before the header, and what each is: title, header or record.
+
+    All are recognised by content, so files can be split: the header begins with its first column's name; a record has all
+    separators or begins like one (a cut-off record has too few); anything else is a title.
+    """
+    columns = len(schema.split(","))
+    value = F.col("value")
+    header = F.replace(value, F.lit('"'), F.lit("")).startswith(header_start)
+    record = (F.size(F.split(value, ",")) >= columns) | value.rlike(record_start)
+    kind = F.when(header, "header").when(record, "record").otherwise("title")
+    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select("value", kind.alias("kind"))
+
+
+def read_titled_csv(spark: SparkSession, path: str, schema: str, header_start: str, record_start: str = DATED) -> DataFrame:
+    """The records of titled CSV files; fields that a line lacks are NULL."""
+    data = titled_lines(spark, path, schema, header_start, record_start).where("kind = 'record'")
     record = F.from_csv("value", F.lit(schema.replace("\n", " ")), {"mode": "PERMISSIVE"})
     return data.select(record.alias("_r")).select("_r.*")
 
@@ -98,7 +109,7 @@ def read_arrivals(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_arrivals(raw: DataFrame, tz: str = "US/Central") -> DataFrame:
     """Typed arrivals: rows out of service and on-demand vehicles left out, local times to UTC."""
-    kept = raw.where((F.col("Number") != "NIS") & ~F.coalesce(F.col("Vehicle ID").rlike("(?i)jaunt"), F.lit(False)))
+    kept = raw.where(~F.col("Number").eqNullSafe("NIS") & ~F.coalesce(F.col("Vehicle ID").rlike("(?i)jaunt"), F.lit(False)))
     number = lambda c: F.coalesce(F.col(f"`{c}`").try_cast("double"), F.lit(0.0))
     return kept.select(
         F.col("Vehicle ID").alias("vehicle_id"), F.col("Route").alias("route_name"), F.col("Station").alias("station"),
@@ -115,14 +126,17 @@ def read_weather_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def weather_hours(raw: DataFrame, ts_ms: Column, temperature: str = "temperature_2m", precipitation: str = "precipitation",
-                  order: Sequence[str] = ()) -> DataFrame:
-    """One row per hour (first in ``order``), rain flag above 0.1 mm; a missing value fails the job."""
+                  order: Sequence[str] = (), probability: str = "precipitation_probability") -> DataFrame:
+    """One row per hour, the first by time (or by ``order``), rain flag above 0.1 mm; a missing value fails the job.
+
+    The probability of precipitation is kept where the table has it.
+    """
     must = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit(f"weather: {c} is missing")).cast("double"))
-    rows = raw.withColumn("hour_ms", floor_div(ts_ms, HOUR_MS) * HOUR_MS)
-    first = dedupe_keep_first(rows, ["hour_ms"], list(order) or [temperature, precipitation])
+    rows = raw.withColumn("_ms", ts_ms).withColumn("hour_ms", floor_div("_ms", HOUR_MS) * HOUR_MS)
+    first = dedupe_keep_first(rows, ["hour_ms"], list(order) or ["_ms", temperature, precipitation])
     return first.select(
         "hour_ms", must(temperature).alias("temperature_c"), must(precipitation).alias("precipitation_mm"),
-        (F.col(precipitation) > 0.1).cast("int").alias("is_raining"))
+        (F.col(precipitation) > 0.1).cast("int").alias("is_raining"), *([F.col(probability)] if probability in raw.columns else []))
 
 
 def read_stops_json(spark: SparkSession, path: str) -> DataFrame:
@@ -131,27 +145,59 @@ def read_stops_json(spark: SparkSession, path: str) -> DataFrame:
         F.col("id").try_cast("long").alias("stop_id"), F.trim("name").alias("stop_name"), "lat", "lon", "code")
 
 
+def _gtfs_raw(spark: SparkSession, folder: str, name: str, encoding: str) -> DataFrame:
+    raw = spark.read.option("header", True).option("encoding", encoding).option("quote", '"').csv(f"{folder}/{name}.txt")
+    return raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+
+
+def _fields(schema: str) -> list[tuple[str, str]]:
+    return [tuple(part.strip().split(" ")) for part in schema.split(",")]
+
+
 def read_gtfs(spark: SparkSession, folder: str, encoding: str = "UTF-8") -> dict[str, DataFrame]:
-    """The six text tables, kept columns only, picked by header name; a byte-order mark is tolerated."""
+    """The six text tables, kept columns only, picked by header name; a byte-order mark is tolerated.
+
+    A file without one of its key columns (``schemas.GTFS_KEYS``) is an error; other columns it lacks are NULL.
+    """
     out = {}
     for name, schema in schemas.GTFS.items():
-        raw = spark.read.option("header", True).option("encoding", encoding).option("quote", '"').csv(f"{folder}/{name}.txt")
-        clean = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
-        wanted = [part.strip().split(" ") for part in schema.split(",")]
-        out[name] = clean.select(*[
-            (F.col(c).try_cast(t) if c in clean.columns else F.lit(None).cast(t)).alias(c) for c, t in wanted])
+        raw = _gtfs_raw(spark, folder, name, encoding)
+        lacking = [c for c in schemas.GTFS_KEYS[name] if c not in raw.columns]
+        if lacking:
+            raise ValueError(f"{name}.txt lacks {', '.join(lacking)}")
+        out[name] = raw.select(*[(F.col(c).try_cast(t) if c in raw.columns else F.lit(None).cast(t)).alias(c) for c, t in _fields(schema)])
     out["routes"] = out["routes"].withColumn("route_id_num", route_id_num("route_id"))
     return out
 
 
-def unpivot_timetable(df: DataFrame, run: str, groups: Sequence[Sequence[str]], mapping: DataFrame) -> DataFrame:
+def gtfs_lost_values(spark: SparkSession, folder: str, encoding: str = "UTF-8") -> DataFrame:
+    """Per table and column: values that are there but are no value of the column's type, and missing key values."""
+    reports = []
+    for name, schema in schemas.GTFS.items():
+        raw = _gtfs_raw(spark, folder, name, encoding)
+        present = [(c, t) for c, t in _fields(schema) if c in raw.columns]
+        lost = [F.count_if(F.col(c).isNotNull() & (F.trim(c) != "") & F.col(c).try_cast(t).isNull()).alias(c) for c, t in present]
+        keys = schemas.GTFS_KEYS[name]
+        missing = [F.count_if(F.col(c).isNull()).alias(f"missing {c}") for c, _ in present if c in keys]
+        counted = raw.agg(*lost, *missing)
+        reports.append(counted.unpivot([], counted.columns, "what", "n").select(F.lit(name).alias("tbl"), "what", "n"))
+    out = reports[0]
+    for r in reports[1:]:
+        out = out.unionByName(r)
+    return out.where("n > 0")
+
+
+def unpivot_timetable(df: DataFrame, run: str, groups: Sequence[Sequence[str]] | dict[str, Sequence[str]], mapping: DataFrame) -> DataFrame:
     """Wide timetable (columns are stops, in blocks) to (route, stop, time); unmapped stops and blank cells drop.
 
-    Each block's columns are unpivoted in one pass. ``mapping`` maps stop names to ids.
+    All blocks are unpivoted in one pass. ``mapping`` maps stop names to ids. Blocks named by their route add it as ``route``.
     """
-    columns = [c for group in groups for c in group]
+    named_blocks = groups if isinstance(groups, dict) else {str(i): g for i, g in enumerate(groups)}
+    columns = [c for group in named_blocks.values() for c in group]
     tall = df.unpivot([run], [f"`{c}`" for c in columns], "stop_name", "scheduled_time")
-    named = tall.select(run, F.trim("stop_name").alias("stop_name"), F.trim(F.col("scheduled_time").cast("string")).alias("scheduled_time"))
+    route_of = F.create_map(*[F.lit(x) for route, group in named_blocks.items() for c in group for x in (c, route)])
+    extra = [F.try_element_at(route_of, F.col("stop_name")).alias("route")] if isinstance(groups, dict) else []
+    named = tall.select(run, *extra, F.trim("stop_name").alias("stop_name"), F.trim(F.col("scheduled_time").cast("string")).alias("scheduled_time"))
     present = named.where("scheduled_time IS NOT NULL AND scheduled_time <> ''")
     return present.join(mapping, "stop_name").withColumn("scheduled_s", clock_to_seconds("scheduled_time"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pingloom.functions.times import floor_div, local_ms
+from pingloom.operators.joins import lookup_left
 
 # fixed values: small integer categories at the sink
 CATEGORIES = {"route_id": "smallint", "pattern_id": "smallint", "status": "tinyint", "hour": "tinyint", "day_of_week": "tinyint"}
@@ -37,9 +38,9 @@ def compact_types(df: DataFrame, categories: dict[str, str] | None = None) -> Da
 
 
 def patch_columns(featured: DataFrame, rebuilt: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """Columns replaced by those of a rebuilt table, by key; a row without counterpart fails the job."""
+    """Columns replaced by those of a rebuilt table, by key; a row without counterpart and a doubled key fail the job."""
     fresh = rebuilt.select(*key, *columns, F.lit(1).alias("_found"))
-    joined = featured.drop(*columns).join(fresh, list(key), "left")
+    joined = lookup_left(featured.drop(*columns), fresh, list(key))
     guard = F.coalesce(F.col("_found"), F.raise_error(F.lit("patched table lacks a row")).cast("int"))
     return joined.where(guard == 1).select(*featured.columns)
 

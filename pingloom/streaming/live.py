@@ -18,9 +18,9 @@ def telemetry_stream(spark: SparkSession, folder: str, schema: str, max_files: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).json(folder)
 
 
-def table_stream(spark: SparkSession, folder: str, schema, file_glob: str) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
+def table_stream(spark: SparkSession, folder: str, schema, file_glob: str, max_files: int = 100) -> DataFrame:
+    """Parquet files of a folder as a stream; each trigger takes at most ``max_files``."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
 def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
@@ -37,6 +37,8 @@ def run_available(stream: DataFrame, mode: str = "append", folder: str | None =
     )
     query.awaitTermination()
     schema = stream.schema.add("batch_id", "long")
+    if query.lastProgress is None:  # no input, so no batch has made the folder
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{base}/out")
 
 
@@ -76,20 +78,32 @@ def enrich_stream(positions: DataFrame, etas: DataFrame, watermark: str = "2 min
     return left.join(right, near, "leftOuter").drop("_trip")
 
 
-def history_state(stream: DataFrame, span_ms: int = 90_000, compare_ms: int = 30_000, max_kept: int = 1000) -> DataFrame:
-    """Rolling features from a per-vehicle buffer; rows of a vehicle must arrive in time order across triggers."""
+def _time_mode(ttl_ms: int | None) -> str:
+    # expiry needs the clock, and a stream on the clock never runs out of batches
+    return "ProcessingTime" if ttl_ms else "None"
+
+
+def history_state(stream: DataFrame, span_ms: int = 90_000, compare_ms: int = 30_000, ttl_ms: int | None = None) -> DataFrame:
+    """Rolling features from a per-vehicle buffer; rows of a vehicle must arrive in time order across triggers.
+
+    A service that runs on sets ``ttl_ms``: the state of a vehicle that stays silent for so long is dropped.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.select("vehicle_id", "event_id", "ts_ms", "speed", "progress")
     return rows.groupBy("vehicle_id").transformWithStateInPandas(
-        statefulProcessor=HistoryProcessor(span_ms, compare_ms, max_kept), outputStructType=HISTORY_SCHEMA, outputMode="Append", timeMode="None")
+        statefulProcessor=HistoryProcessor(span_ms, compare_ms, ttl_ms), outputStructType=HISTORY_SCHEMA, outputMode="Append", timeMode=_time_mode(ttl_ms))
+
 
+def smooth_state(stream: DataFrame, alpha: float = 0.3, bypass_s: float = 60.0, max_rise_s: float = 30.0, ttl_ms: int | None = None) -> DataFrame:
+    """Smoothed ETA per vehicle: moving average, bypassed on jumps, monotone guard, reset on a change of route or (where known) trip.
 
-def smooth_state(stream: DataFrame, alpha: float = 0.3, bypass_s: float = 60.0, max_rise_s: float = 30.0) -> DataFrame:
-    """Smoothed ETA per vehicle: moving average, bypassed on jumps, monotone guard, reset on a route change."""
+    ``ttl_ms`` as for :func:`history_state`.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = stream.select("vehicle_id", "route_id", "event_id", "ts_ms", "progress", "eta_s")
+    trip = F.col("trip_id").cast("string") if "trip_id" in stream.columns else F.lit(None).cast("string")
+    rows = stream.select("vehicle_id", "route_id", trip.alias("trip_id"), "event_id", "ts_ms", "progress", "eta_s")
     return rows.groupBy("vehicle_id").transformWithStateInPandas(
-        statefulProcessor=SmoothProcessor(alpha, bypass_s, max_rise_s), outputStructType=SMOOTH_SCHEMA, outputMode="Append", timeMode="None")
+        statefulProcessor=SmoothProcessor(alpha, bypass_s, max_rise_s, ttl_ms), outputStructType=SMOOTH_SCHEMA, outputMode="Append", timeMode=_time_mode(ttl_ms))
 
 
 def changed_only(stream: DataFrame, ts: str, delay: str = "10 minutes") -> DataFrame:
@@ -127,24 +141,26 @@ def service_hours_gate(df: DataFrame, hour: Column, first: int = 6, last: int =
 
 # batch twins of the smoothing state
 
-def smooth_batch(df: DataFrame, chunk, alpha: float = 0.3, bypass_s: float = 60.0) -> DataFrame:
-    """Moving average over each (vehicle, chunk) as a fold over its time-ordered ETAs.
+def smooth_batch(df: DataFrame, alpha: float = 0.3, bypass_s: float = 60.0) -> DataFrame:
+    """Moving average over each vehicle's time-ordered ETAs, from its first to its last.
 
-    The average depends on all earlier values, so it is folded inside a bounded chunk such as a
-    vehicle's service day, where the state starts afresh.
+    Each value depends on the one before, so a vehicle is read in order, as a stream of batches that carries one number:
+    memory is a batch, time is linear, and no task holds a vehicle.
     """
-    rows = df.groupBy("vehicle_id", chunk.alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("ts_ms", "event_id", F.col("eta_s").alias("x")))).alias("_r"))
-
-    def step(acc, r):
-        last = F.try_element_at(acc, F.lit(-1))["s"]
-        mixed = r["x"] * F.lit(alpha) + last * F.lit(1 - alpha)
-        s = F.when(last.isNull() | (F.abs(r["x"] - last) > bypass_s), r["x"]).otherwise(mixed)
-        return F.concat(acc, F.array(F.struct(r["event_id"].alias("event_id"), r["x"].alias("x"), s.alias("s"))))
-
-    empty = F.array().cast("array<struct<event_id: bigint, x: double, s: double>>")
-    return rows.select("vehicle_id", F.explode(F.aggregate("_r", empty, step)).alias("_s")).select(
-        "vehicle_id", "_s.event_id", F.col("_s.x").alias("eta_s"), F.col("_s.s").alias("smoothed_s"))
+    rows = df.select("vehicle_id", "ts_ms", "event_id", F.col("eta_s").cast("double").alias("eta_s"))
+    ordered = rows.repartition("vehicle_id").sortWithinPartitions("vehicle_id", "ts_ms", "event_id")
+
+    def fold(batches):
+        vehicle, last = None, None
+        for pdf in batches:
+            out = []
+            for v, x in zip(pdf["vehicle_id"].tolist(), pdf["eta_s"].tolist(), strict=True):
+                last = x if v != vehicle or abs(x - last) > bypass_s else alpha * x + (1 - alpha) * last
+                vehicle = v
+                out.append(last)
+            yield pdf[["vehicle_id", "event_id", "eta_s"]].assign(smoothed_s=out)
+
+    return ordered.mapInPandas(fold, "vehicle_id bigint, event_id bigint, eta_s double, smoothed_s double")
 
 
 def monotone_guard(eta: Column, previous: Column, progress: Column, previous_progress: Column, max_rise_s: float = 30.0) -> Column:

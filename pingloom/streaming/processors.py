@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pandas.api.indexers import BaseIndexer
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 HISTORY_SCHEMA = """
@@ -15,69 +16,94 @@ SMOOTH_SCHEMA = "vehicle_id BIGINT, event_id BIGINT, ts_ms BIGINT, eta_s DOUBLE,
 
 
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(["ts_ms", "event_id"])
+    """A vehicle's rows of one trigger; how many those can be is bounded by the files a trigger takes."""
+    return pd.concat(list(batches)).sort_values(["ts_ms", "event_id"], ignore_index=True)
+
+
+class _Since(BaseIndexer):
+    """Windows from given first rows up to each row."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.first, np.arange(1, num_values + 1)
 
 
 class HistoryProcessor(StatefulProcessor):
-    """Keeps the closed trailing window of (time, speed, progress) and emits its features per packet."""
+    """Keeps the closed trailing window of (time, speed, progress) and emits its features per packet.
 
-    def __init__(self, span_ms: int, compare_ms: int, max_kept: int) -> None:
-        self.span_ms, self.compare_ms, self.max_kept = span_ms, compare_ms, max_kept
+    The time span alone bounds what is kept. State a vehicle doesn't touch for ``ttl_ms`` (if given) expires.
+    """
+
+    def __init__(self, span_ms: int, compare_ms: int, ttl_ms: int | None) -> None:
+        self.span_ms, self.compare_ms, self.ttl_ms = span_ms, compare_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getListState("window", "ts_ms BIGINT, speed DOUBLE, progress DOUBLE")
+        self.buffer = handle.getListState("window", "ts_ms BIGINT, speed DOUBLE, progress DOUBLE", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = [(t, v, p) for t, v, p in self.buffer.get()]
-        out = []
-        for r in _in_order(rows).itertuples():
-            kept.append((int(r.ts_ms), float(r.speed), float(r.progress)))
-            kept = [k for k in kept if k[0] >= r.ts_ms - self.span_ms][-self.max_kept:]
-            out.append((key[0], r.event_id, r.ts_ms, *self._features(kept)))
-        if kept:
-            self.buffer.put(kept)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in HISTORY_SCHEMA.replace("\n", " ").split(",")])
-
-    def _features(self, kept: list[tuple[int, float, float]]) -> tuple[float, ...]:
-        if len(kept) < 2:
-            return (0.0,) * 7
-        t, v, p = (np.array(x) for x in zip(*kept, strict=True))
-        elapsed = (t[-1] - t[0]) / 1000.0
-        ref = int(np.argmin(np.abs(t - (t[-1] - self.compare_ms))))
-        change = float(v[-1] - v[ref]) if t[-1] - t[ref] > 5000 else 0.0
-        still = v < 1.0
-        rate = float((p[-1] - p[0]) / elapsed) if elapsed > 0 else 0.0
-        return rate, float(v.mean()), float(v.min()), float(v.max()), change, float(still.mean() * elapsed), float(still[-1])
+        old = pd.DataFrame(list(self.buffer.get()), columns=["ts_ms", "speed", "progress"])
+        new = _in_order(rows)
+        both = pd.concat([old.astype({"ts_ms": "int64", "speed": "float64", "progress": "float64"}), new[["ts_ms", "speed", "progress"]].astype({"ts_ms": "int64", "speed": "float64", "progress": "float64"})], ignore_index=True)
+        t = both["ts_ms"].to_numpy()
+        first = np.searchsorted(t, t - self.span_ms, "left")
+        out = self._features(both, first).iloc[len(old):]
+        kept = both.iloc[first[-1]:] if len(both) else both
+        if len(kept):
+            self.buffer.put([tuple(r) for r in zip(kept["ts_ms"].tolist(), kept["speed"].tolist(), kept["progress"].tolist(), strict=True)])
+        ids = pd.DataFrame({"vehicle_id": key[0], "event_id": new["event_id"], "ts_ms": new["ts_ms"]})
+        yield pd.concat([ids, out.reset_index(drop=True)], axis=1)
+
+    def _features(self, both: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        t, v, p = (both[c].to_numpy() for c in ("ts_ms", "speed", "progress"))
+        here = np.arange(len(t))
+        enough = here - first >= 1
+        since = _Since()
+        since.first = first
+        window = lambda x: pd.Series(x).rolling(since, min_periods=1)
+        elapsed = (t - t[first]) / 1000.0
+        # the row nearest to compare_ms ago, the earliest of those equally near
+        target = t - self.compare_ms
+        after = np.clip(np.searchsorted(t, target, "left"), first, here)
+        before = np.maximum(after - 1, first)
+        ref = np.where(np.abs(t[before] - target) <= np.abs(t[after] - target), before, after)
+        ref = np.maximum(np.searchsorted(t, t[ref], "left"), first)
+        still = (v < 1.0).astype(float)
+        zero = lambda x: np.where(enough, x, 0.0)
+        return pd.DataFrame({
+            "progress_rate": zero(np.where(elapsed > 0, (p - p[first]) / np.where(elapsed > 0, elapsed, 1.0), 0.0)),
+            "speed_rolling_mean": zero(window(v).mean().to_numpy()), "speed_rolling_min": zero(window(v).min().to_numpy()), "speed_rolling_max": zero(window(v).max().to_numpy()),
+            "acceleration": zero(np.where(t - t[ref] > 5000, v - v[ref], 0.0)), "time_stopped": zero(window(still).mean().to_numpy() * elapsed), "is_stopped": zero(still),
+        })
 
     def close(self) -> None:
         pass
 
 
 class SmoothProcessor(StatefulProcessor):
-    """Moving average of a vehicle's ETA with bypass, monotone guard and reset on a route change."""
+    """Moving average of a vehicle's ETA with bypass, monotone guard and reset on a change of route or trip; idle state expires."""
 
-    def __init__(self, alpha: float, bypass_s: float, max_rise_s: float) -> None:
-        self.alpha, self.bypass_s, self.max_rise_s = alpha, bypass_s, max_rise_s
+    def __init__(self, alpha: float, bypass_s: float, max_rise_s: float, ttl_ms: int | None) -> None:
+        self.alpha, self.bypass_s, self.max_rise_s, self.ttl_ms = alpha, bypass_s, max_rise_s, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "route_id BIGINT, progress DOUBLE, smoothed DOUBLE")
+        self.last = handle.getValueState("last", "route_id BIGINT, trip_id STRING, progress DOUBLE, smoothed DOUBLE", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.last.get()) if self.last.exists() else None
         out = []
         for r in _in_order(rows).itertuples():
-            if state is not None and state[0] != r.route_id:
+            run = (int(r.route_id), None if r.trip_id is None else str(r.trip_id))
+            if state is not None and state[:2] != run:
                 state = None
             eta = float(r.eta_s)
             if state is not None:
-                previous = state[2]
+                previous = state[3]
                 mixed = self.alpha * eta + (1 - self.alpha) * previous
                 value = eta if abs(eta - previous) > self.bypass_s else mixed
-                if r.progress > state[1] and value > previous + self.max_rise_s:
+                if r.progress > state[2] and value > previous + self.max_rise_s:
                     value = previous + self.max_rise_s
             else:
                 value = eta
-            state = (int(r.route_id), float(r.progress), value)
+            state = (*run, float(r.progress), value)
             out.append((key[0], r.event_id, r.ts_ms, eta, value))
         if state is not None:
             self.last.update(state)

@@ -90,3 +90,17 @@ def test_ks_equals_brute_force(spark):
     grid = np.unique(a)
     want = max(abs((a <= g).mean() - (a[hit] <= g).mean()) for g in grid)
     assert abs(got - want) < 1e-12
+
+
+def test_no_bin_holds_a_large_share(spark):
+    """Epoch milliseconds of a day and latitudes of a county: what one task orders stays a small share."""
+    from pingloom.operators.quantiles import fine_bin
+
+    n = 20_000
+    df = spark.range(n).select((F.lit(1_706_000_000_000) + F.col("id") * 4320).cast("double").alias("ms"), (F.lit(32.5) + F.col("id") * 1e-5).alias("lat"), (F.lit(270.0) + F.col("id") / 700).alias("kelvin"))
+    for c, share in (("ms", 0.1), ("lat", 0.005), ("kelvin", 0.005)):
+        top = df.groupBy(fine_bin(F.col(c))).count().agg(F.max("count")).first()[0]
+        assert top <= share * n, (c, top)
+        got = grouped_quantiles(df, [], c, {"q": 0.3}).first().q
+        values = np.array([r[0] for r in df.select(c).collect()])
+        np.testing.assert_allclose(got, np.quantile(values, 0.3), rtol=1e-12)

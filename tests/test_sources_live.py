@@ -51,6 +51,12 @@ def test_arrivals_with_title(spark, tmp_path):
     (tmp_path / "Arrivals2.csv").write_text("\n".join(["Arrivals 2026, all", head, *body[1:]]))
     raw = readers.read_arrivals(spark, str(tmp_path / "Arrivals*.csv"))
     assert raw.count() == 3
+    # a record cut off after the dwell time and one without a number stay
+    (tmp_path / "Short.csv").write_text("\n".join(["Arrivals, 2026", head, "2026-01-15,21-2,7,R,Hub,7:00:00,7:01:00,60", "2026-01-15,21-3,,R,Hub,7:00:00,7:01:00,60,1,1,1,1"]))
+    short = readers.parse_arrivals(readers.read_arrivals(spark, str(tmp_path / "Short.csv"))).orderBy("vehicle_id").collect()
+    assert [(r.vehicle_id, r.dwell_s, r.boardings) for r in short] == [("21-2", 60.0, 0.0), ("21-3", 60.0, 2.0)]
+    kinds = readers.titled_lines(spark, str(tmp_path / "*.csv"), schemas.ARRIVALS_CSV, "DATE,").groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in kinds} == {"title": 3, "header": 3, "record": 5}
     row = readers.parse_arrivals(raw).collect()
     assert len(row) == 1 and row[0].station == "Hub" and row[0].arrival_ms == 1_768_483_845_000 and row[0].boardings == 3.0
 
@@ -193,6 +199,22 @@ def test_stream_keeps_state_across_files(spark, tmp_path):
     assert smooth[4] == 50.0  # a new route starts afresh
 
 
+def test_history_has_no_row_limit_and_smoothing_no_restart(spark, tmp_path):
+    schema = "vehicle_id long, route_id long, event_id long, ts_ms long, speed double, progress double, eta_s double"
+    rows = [(1, 1, i, i * 50, float(i), 0.0, 100.0 + i % 7) for i in range(1200)]  # 1200 packets in a minute
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "f"))
+    got = {r.event_id: r for r in L.run_available(L.history_state(L.telemetry_stream(spark, str(tmp_path / "f"), schema))).collect()}
+    assert len(got) == 1200 and got[1199].speed_rolling_mean == pytest.approx(599.5) and got[1199].speed_rolling_min == 0.0
+    want, last = {}, None
+    for r in rows:
+        last = r[6] if last is None or abs(r[6] - last) > 60 else 0.3 * r[6] + 0.7 * last
+        want[r[2]] = last
+    smooth = {r.event_id: r.smoothed_s for r in L.smooth_batch(spark.createDataFrame(rows, schema)).collect()}
+    assert smooth == pytest.approx(want)
+    (tmp_path / "none").mkdir()
+    assert L.run_available(L.telemetry_stream(spark, str(tmp_path / "none"), schema)).count() == 0
+
+
 def test_eta_texts_and_order(spark):
     df = spark.createDataFrame([(59.0,), (60.0,), (90.0,)], "s double")
     assert [r.t for r in df.select(S.eta_text("s").alias("t")).collect()] == ["< 1 min", "1 min", "2 min"]
