@@ -22,9 +22,9 @@ IDLE = f"""
     s AS (SELECT *, sum(brk) OVER w AS streak FROM c WINDOW w AS {TRACK_W})"""
 
 
-@query("e2_idle_streaks", f"WITH {IDLE} SELECT event_id, idle AS is_idle, CASE WHEN idle = 1 THEN (ts_ms - min(ts_ms) OVER (PARTITION BY vehicle_id, route_id, streak)) / 1000 ELSE 0 END AS seconds_idle FROM s")
+@query("e2_idle_streaks", f"WITH {IDLE} SELECT event_id, idle AS is_idle_gps, CASE WHEN idle = 1 THEN (ts_ms - min(ts_ms) OVER (PARTITION BY vehicle_id, route_id, streak)) / 1000 ELSE 0 END AS seconds_idle FROM s")
 def _(t):
-    return E.idle_streaks(t.pings, "speed", idle_below=40.0, max_gap_ms=43_200_000).select("event_id", "is_idle", "seconds_idle")
+    return E.idle_streaks(t.pings, "speed", idle_below=40.0, max_gap_ms=43_200_000).select("event_id", "is_idle_gps", "seconds_idle")
 
 
 TRAVEL = f"""

@@ -215,7 +215,7 @@ def _(t):
     SELECT a.event_id, a.target_stop_id, round(greatest((target_stop_progress - progress) * l, 0), 6) + 0.0 AS distance_to_target,
            CASE WHEN eta_minutes IS NOT NULL THEN greatest(eta_minutes, 0) END AS scheduled_time_to_target, speed AS current_speed, a.stops_away AS stops_remaining, target_stop_sequence AS stop_index,
            {DAYMIN}::INTEGER AS minutes_since_midnight, {DOW}::INTEGER AS day_of_week,
-           coalesce(precipitation_mm, 0) AS precipitation_mm, coalesce(temperature_c, tm) AS temperature_c, CASE WHEN speed <= 2 THEN 1 ELSE 0 END AS is_idle_now
+           coalesce(precipitation_mm, 0) AS precipitation_mm, coalesce(temperature_c, tm) AS temperature_c, CASE WHEN speed <= 2 THEN 1 ELSE 0 END AS is_idle
     FROM ahead a JOIN len USING (route_id) CROSS JOIN m LEFT JOIN weather w ON w.hour_ms = a.ts_ms // 3600000 * 3600000""")
 def _(t):
     from pingloom.operators.quantiles import grouped_quantiles
@@ -224,4 +224,4 @@ def _(t):
     rows = features.base_features(t.ahead, t.stop_seq, t.weather, median, "eta_minutes")
     return rounded(rows.select(
         "event_id", "target_stop_id", "distance_to_target", "scheduled_time_to_target", "current_speed", "stops_remaining", "stop_index",
-        "minutes_since_midnight", "day_of_week", "precipitation_mm", "temperature_c", "is_idle_now"))
+        "minutes_since_midnight", "day_of_week", "precipitation_mm", "temperature_c", "is_idle"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pingloom.catalog.history import travel
 from pingloom.catalog.registry import query, rounded
 from pingloom.functions.scalars import RUSH_HOURS
 from pingloom.functions.times import local_hour
@@ -27,7 +28,7 @@ def _(t):
     return T.is_timepoint(t.ahead, timetable(t)).select("event_id", "target_stop_id", "is_timepoint")
 
 
-@query("t2_scheduled_departure", f"WITH {TP} SELECT route_id, stop_id, dep AS scheduled_departure_s FROM dep")
+@query("t2_scheduled_departure", f"WITH {TP} SELECT route_id, stop_id, dep AS scheduled_departure_seconds FROM dep")
 def _(t):
     return T.scheduled_departure(timetable(t))
 
@@ -71,6 +72,22 @@ def _(t):
     wide = replace(DEFAULTS, rolling_s=DEFAULTS.rolling_s, max_gap_ms=12 * 3_600_000, history_min_obs=2)
     pings = materialize(features.ping_features(t.pings, wide))
     median = grouped_quantiles(t.weather, [], "temperature_c", {"m": 0.5}).select("m").scalar()
-    out = features.assemble_features(t.ahead, pings, features.history_lookups(pings, wide), timetable(t), t.stop_seq, t.weather, median, "eta_minutes")
-    wanted = [c for c in dict.fromkeys(features.BASE_FEATURES + features.HISTORY_FEATURES) if c in out.columns]
-    return out.select("event_id", "target_stop_id", *[c for c in wanted if c not in ("event_id", "target_stop_id")])
+    rows = t.labeled.drop("day_type", "hour_ct")
+    out = features.assemble_features(rows, pings, features.history_lookups(pings, wide), timetable(t), t.stop_seq, t.weather, median, "eta_minutes")
+    out = features.with_baselines(out, t.train, materialize(travel(t)), t.stop_seq)
+    return out.select("event_id", "target_stop_id", *features.model_inputs(out, rows), "residual")
+
+
+@query("t8_rows_and_columns", "SELECT count(*) AS rows, 45 AS inputs FROM labeled")
+def _(t):
+    out = from_t8(t)
+    inputs = [c for c in out.columns if c not in ("event_id", "target_stop_id", "residual")]
+    from pingloom.operators import features
+
+    return features.check_assembly(out, t.labeled).withColumn("inputs", F.lit(len(inputs)))
+
+
+def from_t8(t):
+    from pingloom.catalog.registry import ENTRIES
+
+    return ENTRIES["t8_assemble_features"].build(t)

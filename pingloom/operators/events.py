@@ -31,17 +31,17 @@ def idle_streaks(
     idle_below: float = DEFAULTS.idle_speed_mps, max_gap_ms: int = DEFAULTS.max_gap_ms,
 ) -> DataFrame:
     """Idle flag and seconds since the idle streak began; a state change or a gap begins a streak."""
-    flagged = df.withColumn("is_idle", F.coalesce(F.col(speed) < idle_below, F.lit(False)).cast("int"))
+    flagged = df.withColumn("is_idle_gps", F.coalesce(F.col(speed) < idle_below, F.lit(False)).cast("int"))
     # a longer gap begins a streak anyway, so the look-back is bounded by it
-    prev = bounded_lag(flagged, keys, ts, order, {"_idle": "is_idle"}, max_gap_ms)
-    begins = ~F.col("_idle").eqNullSafe(F.col("is_idle"))
-    return streak_seconds(prev.withColumn("_begins", begins), keys, ts, order).select(*df.columns, "is_idle", "seconds_idle")
+    prev = bounded_lag(flagged, keys, ts, order, {"_idle": "is_idle_gps"}, max_gap_ms)
+    begins = ~F.col("_idle").eqNullSafe(F.col("is_idle_gps"))
+    return streak_seconds(prev.withColumn("_begins", begins), keys, ts, order).select(*df.columns, "is_idle_gps", "seconds_idle")
 
 
 def streak_seconds(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str]) -> DataFrame:
-    """Seconds since the running idle streak began, from ``is_idle`` and ``_begins``."""
+    """Seconds since the running idle streak began, from ``is_idle_gps`` and ``_begins``."""
     runs = fill_across(df, keys, ts, order, {"_from": F.when(F.col("_begins"), F.col(ts))})
-    seconds = F.when(F.col("is_idle") == 1, (F.col(ts) - F.col("_from")) / F.lit(1000.0)).otherwise(F.lit(0.0))
+    seconds = F.when(F.col("is_idle_gps") == 1, (F.col(ts) - F.col("_from")) / F.lit(1000.0)).otherwise(F.lit(0.0))
     return runs.withColumn("seconds_idle", seconds).drop("_from", "_begins")
 
 

@@ -12,14 +12,14 @@ from pingloom.operators.quantiles import grouped_quantiles
 
 def scheduled_departure(timepoints: DataFrame) -> DataFrame:
     """Median scheduled second per (route, stop)."""
-    return grouped_quantiles(timepoints, ["route_id", "stop_id"], "scheduled_s", {"scheduled_departure_s": 0.5})
+    return grouped_quantiles(timepoints, ["route_id", "stop_id"], "scheduled_s", {"scheduled_departure_seconds": 0.5})
 
 
 def timepoint_line(timepoints: DataFrame, stop_seq: DataFrame) -> DataFrame:
     """Per route its timepoints as (sequence, median scheduled second) in order."""
     placed = scheduled_departure(timepoints).join(stop_seq.select("route_id", "stop_id", "stop_sequence"), ["route_id", "stop_id"])
     return placed.groupBy("route_id").agg(
-        F.array_sort(F.collect_list(F.struct("stop_sequence", "scheduled_departure_s"))).alias("_tp")
+        F.array_sort(F.collect_list(F.struct("stop_sequence", "scheduled_departure_seconds"))).alias("_tp")
     )
 
 
@@ -44,8 +44,8 @@ def timepoint_features(df: DataFrame, timepoints: DataFrame, stop_seq: DataFrame
     return joined.select(
         *df.columns,
         F.when(F.col("_tp").isNotNull(), F.when(here.isNotNull(), to_target).otherwise(F.lit(0))).cast("long").alias("timepoints_remaining"),
-        F.when(known, F.get(after, F.lit(0))["scheduled_departure_s"] - now).alias("time_until_next_timepoint_departure"),
-        F.when(known, now - F.try_element_at(until, F.lit(-1))["scheduled_departure_s"]).alias("timepoint_adherence"),
+        F.when(known, F.get(after, F.lit(0))["scheduled_departure_seconds"] - now).alias("time_until_next_timepoint_departure"),
+        F.when(known, now - F.try_element_at(until, F.lit(-1))["scheduled_departure_seconds"]).alias("timepoint_adherence"),
     )
 
 

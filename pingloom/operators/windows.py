@@ -72,15 +72,15 @@ def trajectory_windows(df: DataFrame, cfg=DEFAULTS, keys: Sequence[str] = TRACK,
     moved = copies.select(
         "*", near.alias("_near"), usable.alias("_usable"), (delta / F.lit(1000.0)).alias("_s"),
         F.when(usable, clip(F.try_divide(metres, delta / F.lit(1000.0)), high=cfg.gps_speed_cap_mps)).alias("gps_speed_mps"),
-    ).withColumn("is_idle", F.coalesce(F.col("gps_speed_mps") < cfg.idle_speed_mps, F.lit(False)).cast("int"))
+    ).withColumn("is_idle_gps", F.coalesce(F.col("gps_speed_mps") < cfg.idle_speed_mps, F.lit(False)).cast("int"))
     outputs = []
     for seconds in cfg.rolling_s:
         frame = _trailing(keys, ts, seconds * 1000, closed=False)
         outputs += [F.avg("gps_speed_mps").over(frame).alias(f"speed_mean_{seconds}s"), F.stddev_samp("gps_speed_mps").over(frame).alias(f"speed_std_{seconds}s")]
     change = F.try_divide(F.col("gps_speed_mps") - F.lag("gps_speed_mps").over(w), F.col("_s"))
-    begins = ~(F.col("_near") & (F.lag("is_idle").over(w) == F.col("is_idle")))
+    begins = ~(F.col("_near") & (F.lag("is_idle_gps").over(w) == F.col("is_idle_gps")))
     return moved.select(
-        *df.columns, "gps_speed_mps", *outputs, F.when(F.col("_usable"), change).alias("acceleration"), "is_idle",
+        *df.columns, "gps_speed_mps", *outputs, F.when(F.col("_usable"), change).alias("acceleration"), "is_idle_gps",
         F.coalesce(begins, F.lit(True)).alias("_begins"), "_home",
     ).where("_home").drop("_home")
 
