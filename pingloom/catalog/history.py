@@ -121,7 +121,7 @@ def _(t):
     return rounded(out.unionByName(t3.withColumnRenamed("t3", "value").withColumn("tier", F.lit(3)), allowMissingColumns=True), 7)
 
 
-@query("a9_apply_s2s", f"WITH {S2S} SELECT event_id, target_stop_id, round(way, 6) AS way, round(baseline_s2s, 7) AS baseline_s2s, s2s_tier FROM s2s WHERE day BETWEEN 19744 AND 19760")
+@query("a9_apply_s2s", f"WITH {S2S} SELECT event_id, target_stop_id, round(way, 6) AS way, round(baseline_s2s, 7) AS baseline_s2s, s2s_tier FROM s2s WHERE day BETWEEN 19744 AND 999999")
 def _(t):
     out = s2s(t).where(F.col("day").between(*TEST_DAYS))
     return rounded(out.select("event_id", "target_stop_id", "way", "baseline_s2s", "s2s_tier"), 7, way=6)

@@ -10,7 +10,7 @@ from pingloom.plans.batch import baseline_stage
 from pingloom.plans.relabel import TEST_DAYS, TRAIN_DAYS
 from pingloom.plans.stages import materialize
 
-TRAIN, TEST = "day BETWEEN 19723 AND 19742", "day BETWEEN 19744 AND 19760"
+TRAIN, TEST = "day BETWEEN 19723 AND 19742", "day BETWEEN 19744 AND 999999"
 BINS = f"""
     q AS (SELECT list_sort(list_distinct(quantile_cont((ts_ms - last_stop_time_ms) / 1000, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM labeled
           WHERE {TRAIN} AND ts_ms - last_stop_time_ms >= 0),

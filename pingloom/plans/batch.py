@@ -44,7 +44,8 @@ def label_stage(rows: DataFrame, arrivals: DataFrame, cfg: Thresholds = DEFAULTS
         rows, arrivals.withColumnRenamed("stop_id", "target_stop_id"), ["route_id", "target_stop_id", "vehicle_id"],
         "ts_ms", "arrival_ms", cfg.asof_tolerance_ms, "actual_arrival_ms",
     ).withColumn("label_s", (F.col("actual_arrival_ms") - F.col("ts_ms")) / F.lit(1000.0))
-    kept = clean.filter_labels(matched, "label_s", cfg.label_min_s, cfg.label_max_s)
+    # written once: the quantile and the trim below read the labelled rows, not the as-of join again
+    kept = materialize(clean.filter_labels(matched, "label_s", cfg.label_min_s, cfg.label_max_s))
     return clean.trim_by_group_quantile(kept, ["route_id"], "label_s", cfg.label_quantile)
 
 

@@ -122,6 +122,6 @@ def running_total(
     )
 
 
-def rank_in_time(df: DataFrame, ts: str, order: Sequence[str], slice_ms: int = DEFAULTS.slice_ms) -> DataFrame:
-    """Exact 1-based position of every row in time order, without sorting all rows in one task."""
+def rank_in_time(df: DataFrame, ts: str, order: Sequence[str], slice_ms: int = 60_000) -> DataFrame:
+    """Exact 1-based position of every row in time order: a task sorts a minute of the whole fleet."""
     return running_total(df, [], floor_div(ts, slice_ms), order, {"rank": F.lit(1)})
