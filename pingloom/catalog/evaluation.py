@@ -110,6 +110,15 @@ def _(t):
     return rounded(metrics.bias_flags(sliced(t), "stops"), 5, over_rate=8, median_err=6)
 
 
+@query("v9_bias_all_slices", f"""
+    WITH x AS (SELECT err, {STOPS} AS stops, route_id, hour FROM eta),
+         u AS (SELECT 'stops' AS dimension, stops::VARCHAR AS slice, err FROM x UNION ALL SELECT 'route_id', route_id::VARCHAR, err FROM x UNION ALL SELECT 'hour', hour::VARCHAR, err FROM x)
+    SELECT dimension, slice, round(avg(err), 5) AS mean_err, round(avg(CASE WHEN err > 0 THEN 1 ELSE 0 END), 8) AS over_rate, count(*) AS n, round(median(err), 6) AS median_err,
+           CASE WHEN avg(err) > 15 THEN 'OVER' WHEN avg(err) < -15 THEN 'UNDER' ELSE 'OK' END AS bias FROM u GROUP BY dimension, slice""")
+def _(t):
+    return rounded(metrics.bias_flags_all(sliced(t), ["stops", "route_id", "hour"]), 5, over_rate=8, median_err=6)
+
+
 @query("v10_horizon_table", """
     SELECT CASE WHEN actual < 60 THEN '0-1min' WHEN actual < 120 THEN '1-2min' WHEN actual < 300 THEN '2-5min' WHEN actual < 600 THEN '5-10min' WHEN actual < 1200 THEN '10-20min' ELSE '20min+' END AS bucket,
            round(avg(abs_err), 5) AS mae, round(avg(err), 5) + 0.0 AS bias, count(*) AS n FROM eta GROUP BY 1 HAVING count(*) >= 50""")
@@ -129,6 +138,13 @@ def _(t):
     return rounded(metrics.by_period(t.eta), 5)
 
 
+@query("v11_period_totals", f"""
+    WITH x AS (SELECT *, CASE WHEN hour BETWEEN 7 AND 8 THEN 'morning_rush' WHEN hour BETWEEN 16 AND 17 THEN 'afternoon_rush' ELSE 'off_peak' END AS period FROM eta)
+    SELECT period, {M}, round(median(abs_err), 6) AS median_ae FROM x GROUP BY period""")
+def _(t):
+    return rounded(metrics.period_totals(t.eta), 5, median_ae=6)
+
+
 @query("v12_by_feature_range", """
     SELECT CASE WHEN speed >= 0 AND speed < 5 THEN '0-5' WHEN speed >= 5 AND speed < 15 THEN '5-15' WHEN speed >= 15 AND speed < 25 THEN '15-25' WHEN speed >= 25 AND speed < 50 THEN '25-50' END AS range,
            round(avg(abs_err), 5) AS mae, round(avg(err), 5) + 0.0 AS bias, count(*) AS n, round(avg(abs(baseline - actual)), 5) AS baseline_mae,
@@ -363,6 +379,26 @@ def _(t):
     return out.select("vehicle_id", "run_start_ms", "n_pings", "arrival_at")
 
 
+SAID = "s AS (SELECT eta_minutes * 3 - (arrival_ms - run_start_ms) / 1000 AS err FROM (SELECT g.*, a.arrival_ms FROM g ASOF JOIN arrivals a ON a.vehicle_id = g.vehicle_id AND run_start_ms < a.arrival_ms) WHERE arrival_ms - run_start_ms <= 172800000 AND eta_minutes IS NOT NULL)"
+
+
+@query("v13_approach_summary", f"""
+    WITH c AS (SELECT *, CASE WHEN lag(event_id) OVER w IS NULL OR lag(passenger_load // 30) OVER w <> passenger_load // 30 THEN 1 ELSE 0 END AS brk FROM pings WINDOW w AS (PARTITION BY vehicle_id ORDER BY ts_ms, event_id)),
+         r AS (SELECT *, sum(brk) OVER (PARTITION BY vehicle_id ORDER BY ts_ms, event_id) AS run FROM c),
+         g0 AS (SELECT vehicle_id, min(ts_ms) AS run_start_ms, count(*) AS n_pings FROM r GROUP BY vehicle_id, run HAVING count(*) >= 3),
+         g AS (SELECT g0.*, eta_minutes FROM g0 JOIN pings p ON p.vehicle_id = g0.vehicle_id AND p.ts_ms = g0.run_start_ms), {SAID},
+         e AS (SELECT err, abs(err) AS abs_err FROM s)
+    SELECT count(*) AS n, round(median(abs_err), 4) AS median_ae, round(avg(CASE WHEN err > 0 THEN 1 ELSE 0 END), 8) AS overestimate_rate, round(coalesce(avg(abs_err) FILTER (err > 0), 0), 2) AS overestimate_mae,
+           round(coalesce(avg(abs_err) FILTER (err < 0), 0), 2) AS underestimate_mae, {', '.join(f"round(avg(CASE WHEN abs_err < {x} THEN 1 ELSE 0 END), 8) AS within_{x}s" for x in LIMITS)} FROM e""")
+def _(t):
+    runs = events.approach_sequences(t.pings.withColumn("side", F.floor(F.col("passenger_load") / 30)), "side")
+    matched = joins.asof_next(runs, t.arrivals, ["vehicle_id"], "run_start_ms", "arrival_ms", 172_800_000, "arrival_at", strict=True)
+    said = t.pings.where("eta_minutes IS NOT NULL").select("vehicle_id", F.col("ts_ms").alias("run_start_ms"), (F.col("eta_minutes") * 3).alias("said_s"))
+    rows = matched.where("arrival_at IS NOT NULL").join(said, ["vehicle_id", "run_start_ms"]).withColumn("actual_s", (F.col("arrival_at") - F.col("run_start_ms")) / F.lit(1000.0))
+    out = quality.approach_summary(materialize(metrics.with_errors(rows, "actual_s", "said_s")), LIMITS)
+    return rounded(out, 8, median_ae=4, overestimate_mae=2, underestimate_mae=2)
+
+
 @query("f19_label_histogram", "SELECT CASE WHEN actual < 60 THEN '0-60s' WHEN actual < 300 THEN '60-300s' WHEN actual < 600 THEN '300-600s' WHEN actual < 1800 THEN '600-1800s' ELSE '1800s+' END AS bucket, count(*) AS n, round(avg(actual), 5) AS mean_s FROM predictions GROUP BY 1")
 def _(t):
     return t.predictions.groupBy(S.bucketize("actual", *S.LABEL_BUCKETS).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), near(F.avg("actual"), 5).alias("mean_s"))

@@ -133,6 +133,16 @@ def bias_flags(df: DataFrame, dim: str, threshold: float = 15.0) -> DataFrame:
     return per.join(grouped_quantiles(df, [dim], "err", {"median_err": 0.5}), dim).withColumn("bias", flag)
 
 
+def bias_flags_all(df: DataFrame, dims: Sequence[str], threshold: float = 15.0) -> DataFrame:
+    """The bias of every slice of every dimension in one result: (dimension, slice, ...)."""
+    named = [F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("slice")) for d in dims]
+    tall = df.select("err", F.explode(F.array(*named)).alias("_s")).select("err", "_s.*")
+    per = tall.groupBy("dimension", "slice").agg(F.avg("err").alias("mean_err"), F.avg((F.col("err") > 0).cast("int")).alias("over_rate"), F.count(F.lit(1)).alias("n"))
+    median = grouped_quantiles(tall, ["dimension", "slice"], "err", {"median_err": 0.5}).select(F.col("dimension").alias("_d"), F.col("slice").alias("_v"), "median_err")
+    flag = F.when(F.col("mean_err") > threshold, "OVER").when(F.col("mean_err") < -threshold, "UNDER").otherwise("OK")
+    return per.join(median, (F.col("dimension") == F.col("_d")) & F.col("slice").eqNullSafe(F.col("_v"))).drop("_d", "_v").withColumn("bias", flag)
+
+
 def horizon_table(df: DataFrame, bucket: Column, name: str, min_n: int = 50) -> DataFrame:
     """Error and bias per bucket with enough rows."""
     return df.groupBy(bucket.alias(name)).agg(
@@ -148,6 +158,12 @@ def by_period(df: DataFrame, hour: str = "hour", min_n: int = 10) -> DataFrame:
     ).where(F.col("n") > min_n).withColumn("period", F.when(rush, "rush").otherwise("off_peak"))
 
 
+def period_totals(df: DataFrame, hour: str = "hour", actual: str = "actual") -> DataFrame:
+    """The error metrics of the morning rush, the afternoon rush and the rest of the day."""
+    period = F.when(F.col(hour).between(7, 8), "morning_rush").when(F.col(hour).between(16, 17), "afternoon_rush").otherwise("off_peak")
+    return regression_metrics(df.withColumn("period", period), ["period"], actual)
+
+
 def by_feature_range(df: DataFrame, feature: str, limits: Sequence[tuple[float, float]], baseline: str | None = None, actual: str = "actual") -> DataFrame:
     """Error, bias and count in half-open ranges of a feature; optionally against a baseline."""
     label = F.when(F.lit(False), F.lit(None))

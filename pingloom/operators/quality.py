@@ -285,3 +285,15 @@ def quality_report(values: DataFrame) -> DataFrame:
 def eta_seconds_with_flag(df: DataFrame, field: str, ts: str, output: str) -> DataFrame:
     left, valid = minutes_of_day_to_eta(field, ts)
     return df.withColumn(output, left).withColumn(f"has_{output}", valid)
+
+
+def approach_summary(errors: DataFrame, limits: Sequence[int] = (30, 60, 90, 120, 180, 300)) -> DataFrame:
+    """What an ETA said at the start of an approach against the arrival: median, direction and shares within limits, in one row."""
+    from pingloom.operators import metrics
+    from pingloom.operators.quantiles import grouped_quantiles
+
+    median = grouped_quantiles(errors, [], "abs_err", {"median_ae": 0.5}, "n")
+    sides = metrics.directional(errors).select(F.struct("overestimate_rate", "overestimate_mae", "underestimate_mae").alias("s")).scalar()
+    near = metrics.within_thresholds(errors, limits, ())
+    shares = near.select(F.struct(*near.columns).alias("s")).scalar()
+    return median.select("n", "median_ae", *[sides[c].alias(c) for c in ("overestimate_rate", "overestimate_mae", "underestimate_mae")], *[shares[c].alias(c) for c in near.columns])
