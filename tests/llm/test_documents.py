@@ -108,7 +108,7 @@ def test_near_duplicate_groups_equal_brute_force(docs_of, odd_texts):
     big = prose(rng, 260)
     texts += [edited(rng, big, rng.choice([1, 3, 5])) for _ in range(90)]
     docs = docs_of(texts, extra=["bands", "rid", "kept"])
-    s = neardup.Settings(small=8)
+    s = neardup.Settings(outer=7, inner=9)
     rows = {r["doc_id"]: r for r in neardup.report(docs, s).collect()}
     want = groups(texts)
     assert {i: rows[i]["group_id"] for i in rows} == dict(enumerate(want))
