@@ -28,7 +28,10 @@ def run_available(stream: DataFrame, mode: str = "append", folder: str | None =
     spark = stream.sparkSession
     base = f"{folder or shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
+    stored: list[int] = []
+
     def store(batch: DataFrame, batch_id: int) -> None:
+        stored.append(batch_id)
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
 
     query = (
@@ -37,7 +40,7 @@ def run_available(stream: DataFrame, mode: str = "append", folder: str | None =
     )
     query.awaitTermination()
     schema = stream.schema.add("batch_id", "long")
-    if query.lastProgress is None:  # no input, so no batch has made the folder
+    if not stored:  # no input, so no batch has made the folder
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{base}/out")
 
