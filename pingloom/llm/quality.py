@@ -103,9 +103,9 @@ def train(texts: list[str], labels: list[int], s: Settings, seed: int = 7) -> tu
     E = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim))
     W, b = rng.uniform(-0.1, 0.1, (s.dim, 2)), np.log(np.bincount(y, minlength=2) + 1.0)
     rows = []
-    for i in range(0, len(texts), 256):
-        d, f, w = doc_features(pa.array(texts[i:i + 256], pa.large_string()), s)
-        edges = np.searchsorted(d, np.arange(len(texts[i:i + 256]) + 1))
+    for i in range(0, len(texts), 32):  # few at a time: the features before they are counted are many
+        d, f, w = doc_features(pa.array(texts[i:i + 32], pa.large_string()), s)
+        edges = np.searchsorted(d, np.arange(len(texts[i:i + 32]) + 1))
         rows += [(f[a:z].astype(np.int32), w[a:z].astype(np.float32)) for a, z in zip(edges, edges[1:], strict=False)]
     steps, total = 0, s.epochs * len(rows)
     for _ in range(s.epochs):
@@ -153,7 +153,10 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
     """Learn from at most ``max_rows`` labelled documents outside the held-out part; weights are of fixed size."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("lid"), F.col("quality").cast("int").alias("y")).distinct()
-    chosen = usable.withColumn("h", F.xxhash64(F.lit(17), "lid", "y")).orderBy("h", "lid", "y").limit(s.max_rows)
+    # about twice the wanted number by hash first, so that what tasks send to be sorted doesn't grow with their number
+    share = min(1.0, 2 * s.max_rows / max(1, usable.count()))
+    hashed = usable.withColumn("h", F.xxhash64(F.lit(17), "lid", "y")).where(F.pmod("h", F.lit(1 << 31)) < share * (1 << 31))
+    chosen = hashed.orderBy("h", "lid", "y").limit(s.max_rows)
     got = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("lid")).select("h", "lid", F.coalesce("text", F.lit("")).alias("text"), "y").orderBy("h", "lid", "y", "text").limit(s.max_rows).toArrow()
     texts, ys = got.column("text").to_pylist(), got.column("y").to_pylist()
     room = np.searchsorted(np.cumsum([len(t) for t in texts]), s.max_chars, "right")
