@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
@@ -31,12 +31,12 @@ def texts_of(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about SLICE_BYTES of text, so memory follows bytes and not rows."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of about ``size`` bytes of text, so memory follows bytes and not rows."""
     if not batch.num_rows:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    part = np.cumsum(lengths, dtype=np.int64) // SLICE_BYTES
+    part = np.cumsum(lengths, dtype=np.int64) // size
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edges, edges[1:], strict=False):
         if b > a:

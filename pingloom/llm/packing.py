@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pingloom.llm.common import fresh, slices, texts_of, words_of
+from pingloom.llm.common import SLICE_BYTES, fresh, slices, texts_of, words_of
 from pingloom.plans.stages import materialize
 
 SIZE = 2048
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, text: str, keep: list[str], path: str, size: int = S
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 2 * SLICE_BYTES):
                 encoder = state.get("e") or state.setdefault("e", Encoder(path))
                 row, piece, start, length, crc, values = [], [], [], [], [], []
                 found, edges = encoder.encode(texts_of(part.column(text)))
