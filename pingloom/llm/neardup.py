@@ -7,9 +7,9 @@ joint rate whose points also draw a unit; points on units beyond the weight don'
 registers should have one are generated, and more only for documents with a register left.
 
 Documents of equal words are one class; classes that share a band meet in a bucket. A bucket isn't paired out: its members are verified
-against a leader, which joins groups of copies at once. Buckets that still hold several components go on: small ones pair what is in
-different components, large ones split around the leader. Multiset Jaccard distance is a metric, so what is within 0.2 of the leader
-and what is beyond 0.4 can't be linked, and no link between members of a bucket is lost.
+against one leader, which joins groups of copies at once. Members of a leader's buckets that aren't linked to it are then compared with
+the other members, in blocks that return no more links than it takes to connect what they find. Whoever shares a bucket shares its leader, so no link between classes
+that share a band is lost.
 
 Defined cases: a null text is read as empty; texts of one to four words are one shingle; texts without a word are copies of each
 other; rows repeat as they came; null ids come last when the kept document is chosen; an empty table gives an empty result; other
@@ -38,7 +38,8 @@ class Settings:
     threshold: float = 0.8
     bands: int = 30
     rows: int = 5
-    small: int = 32  # buckets up to this size pair out what is in different components
+    outer: int = 256  # rows of a block that aren't linked to their leader
+    inner: int = 512  # rows they are compared with
 
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -174,22 +175,85 @@ def components(links: DataFrame) -> DataFrame:
     """(rid, comp) of all nodes of links (x, y): the smallest node of each connected component, by alternating stars."""
     edges = materialize(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     while True:
+        # done when every node has one parent and no parent has one
+        parents = edges.select(F.col("u").alias("p")).distinct()
+        open_ = edges.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("u").union(edges.join(parents, F.col("v") == F.col("p"), "left_semi").select("u"))
+        if not open_.limit(1).count():
+            return materialize(edges.select(F.col("u").alias("rid"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("rid"), F.col("v").alias("comp")).distinct()))
         # large star: the larger neighbours of a node go to its smallest neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m")))
+        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.col("w")).alias("m"))
         large = materialize(both.join(least, F.col("u") == F.col("w")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: a node and its smaller neighbours go to the smallest of them
-        least = materialize(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
+        least = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
         joined = large.join(least, F.col("u") == F.col("w"))
-        small = materialize(joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where(F.col("u") != F.col("v")).distinct())
-        same = edges.join(small, ["u", "v"], "left_anti").limit(1).count() == 0 and small.join(edges, ["u", "v"], "left_anti").limit(1).count() == 0
-        edges = small
-        if same:
-            return materialize(edges.select(F.col("u").alias("rid"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("rid"), F.col("v").alias("comp"))).distinct())
-
-
-def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
+        ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v"))))
+        edges = materialize(joined.select(ends.alias("e")).select("e.*").where(F.col("u") != F.col("v")).distinct())
+
+
+_SIDE = ["leader", "i", "j", "rid", "star", "bands", "text"]
+
+
+def block_links(outer: pd.DataFrame, inner: pd.DataFrame, s: Settings) -> list[tuple[int, int]]:
+    """Linked pairs (rid of an outer row, rid of an inner row) of different stars that share a band.
+
+    All that may be linked are compared; of the links found, those that connect what stars and earlier links don't are returned.
+    """
+    d, h, w, _ = shingles(pa.array([*outer["text"], *inner["text"]], pa.large_string()), s.words)
+    names, ids = np.unique(h, return_inverse=True)
+    n = len(outer)
+    total = np.bincount(d, w, n + len(inner))
+    edges = np.searchsorted(d, np.arange(n + 1))
+    row, ids_in, w_in = d[edges[n]:] - n, ids[edges[n]:], w[edges[n]:]
+    bands_out, bands_in = np.stack(outer["bands"].to_numpy()), np.stack(inner["bands"].to_numpy())
+    star_in, rid_in = inner["star"].to_numpy(), inner["rid"].to_numpy()
+    found, weight, above = [], np.zeros(len(names), np.int64), {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    for k, (rid, star) in enumerate(zip(outer["rid"].tolist(), outer["star"].tolist(), strict=True)):
+        meets = (star_in != star) & (bands_in == bands_out[k]).any(1)
+        if not meets.any():
+            continue
+        own = slice(edges[k], edges[k + 1])
+        weight[ids[own]] = w[own]
+        shared = np.bincount(row, np.minimum(weight[ids_in], w_in), len(inner))
+        weight[ids[own]] = 0
+        linked_ = meets & (shared / (total[k] + total[n:] - shared) >= s.threshold)
+        for y, other in zip(rid_in[linked_].tolist(), star_in[linked_].tolist(), strict=True):
+            a, b = top(star), top(other)
+            if a != b:
+                above[a] = b
+                found.append((rid, y))
+    return found
+
+
+def across(members: DataFrame, s: Settings) -> DataFrame:
+    """Links (x, y) among the members of a leader; ``members``: (leader, rid, close, star, bands, text), ``close``: linked to the leader.
+
+    Members close to the leader need no comparing with each other. The others, in blocks of ``outer``, meet all members, in blocks
+    of ``inner``; a block returns links that connect all it finds linked.
+    """
+    live = members.groupBy(F.col("leader").alias("l")).agg(F.count("*").alias("n"), F.count_if(~F.col("close")).alias("away")).where(F.col("away") > 0)
+    live = materialize(live.select("l", F.ceil(F.col("n") / s.inner).cast("int").alias("nj"), F.ceil(F.col("away") / s.outer).cast("int").alias("ni")))
+    blocks = live.agg(F.sum(F.col("ni").cast("long") * F.col("nj"))).first()[0] or 0
+    parts = max(1, -(-blocks // 32))  # tasks' groups hold some 32 blocks, most of them tiny
+    rows = members.join(live, F.col("leader") == F.col("l"))
+    slot = lambda n: F.pmod(F.xxhash64("rid", F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = F.pmod(F.xxhash64("leader", "i", "j"), F.lit(parts)).alias("part")
+    outer = rows.where(~F.col("close")).withColumn("i", slot("ni")).withColumn("j", every("nj")).select(part, *_SIDE)
+    inner = rows.withColumn("j", slot("nj")).withColumn("i", every("ni")).select(part, *[F.col(c).alias(c) for c in _SIDE])
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        sides = {key: g for key, g in b.groupby(["leader", "i", "j"], sort=False)}
+        found = [p for key, g in a.groupby(["leader", "i", "j"], sort=False) if key in sides for p in block_links(g, sides[key], s)]
+        return pd.DataFrame(found, columns=["x", "y"]).astype("int64")
+
+    return outer.groupBy("part").cogroup(inner.groupBy("part")).applyInPandas(compare, "x long, y long")
 
 
 def linked(reps: DataFrame, texts_of_rows: DataFrame, s: Settings) -> DataFrame:
@@ -197,32 +261,22 @@ def linked(reps: DataFrame, texts_of_rows: DataFrame, s: Settings) -> DataFrame:
     filed = reps.select("rid", F.explode("bands").alias("bucket"))
     leaders = filed.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rid").alias("h"), F.col("rid").alias("r"))).alias("l")).where(F.col("n") > 1)
     leaders = materialize(leaders.select("b", F.col("l.r").alias("leader")))
-    met = materialize(filed.join(leaders, F.col("bucket") == F.col("b")).select("bucket", "rid", "leader"))
-    members = met.select("rid").distinct().select(F.col("rid").alias("m"))
-    texts = materialize(texts_of_rows.join(members, F.col("rid") == F.col("m"), "left_semi"))
-    sims = verified(_pairs(met, "rid", "leader"), texts, s)
-    comps = components(sims.where(F.col("sim") >= s.threshold))
-    buckets, turn = met.select("bucket", "rid"), 0
-    far = 2 * s.threshold - 1  # at most this similar to the leader: more than twice the linking distance away
-    while True:
-        turn += 1
-        named = buckets.join(comps.withColumnRenamed("rid", "c"), F.col("rid") == F.col("c"), "left").select("bucket", "rid", F.coalesce("comp", "rid").alias("comp"))
-        lead = F.min(F.struct(F.xxhash64("rid", F.lit(turn)).alias("h"), F.col("rid").alias("r")))
-        live = named.groupBy(F.col("bucket").alias("b")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), lead.alias("l")).where(F.col("lo") != F.col("hi"))
-        live = materialize(live.select("b", "n", F.col("l.r").alias("leader")))
-        if not live.limit(1).count():
-            return comps
-        named = materialize(named.join(live, F.col("bucket") == F.col("b")).drop("b"))
-        few = named.where(F.col("n") <= s.small)
-        other = few.select(F.col("bucket").alias("ob"), F.col("rid").alias("orid"), F.col("comp").alias("ocomp"))
-        pairs = few.join(other, (F.col("bucket") == F.col("ob")) & (F.col("rid") < F.col("orid")) & (F.col("comp") != F.col("ocomp"))).select(F.col("rid").alias("x"), F.col("orid").alias("y"))
-        many = named.where(F.col("n") > s.small)
-        pairs = pairs.union(_pairs(many, "rid", "leader")).distinct().join(sims.select("x", "y"), ["x", "y"], "left_anti")
-        sims = materialize(sims.unionByName(verified(materialize(pairs), texts, s)))
-        comps = components(sims.where(F.col("sim") >= s.threshold))
-        tested = many.where(F.col("rid") != F.col("leader")).withColumn("x", F.least("rid", "leader")).withColumn("y", F.greatest("rid", "leader")).join(sims, ["x", "y"])
-        sides = F.filter(F.array(F.when(F.col("sim") >= far, F.lit(1)), F.when(F.col("sim") < s.threshold, F.lit(2))), lambda v: v.isNotNull())
-        buckets = materialize(tested.select("rid", F.xxhash64("bucket", F.lit(turn)).alias("b"), F.explode(sides).alias("side")).select(F.xxhash64("b", "side").alias("bucket"), "rid"))
+    pairs = materialize(filed.join(leaders, F.col("bucket") == F.col("b")).where(F.col("rid") != F.col("leader")).select("rid", "leader").distinct())
+    members = pairs.select("rid").union(pairs.select("leader")).distinct().select(F.col("rid").alias("m"))
+    banded = reps.select(F.col("rid").alias("r"), "bands").join(members, F.col("r") == F.col("m")).drop("m")
+    texts = materialize(texts_of_rows.join(banded, F.col("rid") == F.col("r")).drop("r"))
+    sims = verified(pairs.select(F.col("rid").alias("x"), F.col("leader").alias("y")), texts, s)
+    links = sims.where(F.col("sim") >= s.threshold).select("x", "y")
+    # a star: the leader of smallest hash that a class is linked to; two classes of one star are linked through it
+    stars = links.groupBy(F.col("x").alias("sx")).agg(F.min(F.struct(F.xxhash64("y").alias("h"), F.col("y").alias("star"))).alias("s")).select("sx", "s.star")
+    met = sims.select(F.col("y").alias("leader"), F.col("x").alias("rid"), (F.col("sim") >= s.threshold).alias("close"))
+    met = met.union(met.select("leader", F.col("leader").alias("rid"), F.lit(True).alias("close")).distinct())
+    # leaders all of whose members are close to them are done: most of them
+    open_ = met.groupBy(F.col("leader").alias("o")).agg(F.bool_and("close").alias("done")).where(~F.col("done")).select("o")
+    met = met.join(open_, F.col("leader") == F.col("o"), "left_semi")
+    named = met.join(stars, F.col("rid") == F.col("sx"), "left").join(texts.withColumnRenamed("rid", "t"), F.col("rid") == F.col("t"))
+    more = across(materialize(named.select("leader", "rid", "close", F.coalesce("star", "rid").alias("star"), "bands", "text")), s)
+    return components(links.union(more))
 
 
 def grouped(docs: DataFrame, text: str, doc_id: str, keep: list[str], s: Settings = Settings()) -> tuple[DataFrame, list[str]]:
