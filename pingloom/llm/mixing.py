@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are counted by cell (source, language, topic). Raking finds one factor a source, a language and a topic so that the weighted
-tokens meet the target share of every source, every language and every topic; the factors, scaled so that the largest weight is 1,
-are the probabilities by which documents are sampled, so the expected mixture is the target mixture.
+tokens meet the target share of every source, every language and every topic: the weights. How much is kept is a stated share of all
+words (``Settings.budget``), whatever the rarest cell asks for. Documents are sampled by probabilities that are raked likewise, within
+that budget and never above 1: a category that has fewer words than its target asks for is taken whole, the others share what it leaves
+in proportion to their targets. ``targets`` tells what share each category was to have and has.
 
 Sources may be many: their factors stay in a DataFrame, and a round of fitting is one aggregation over one row a source. Languages
 and topics are few: their factors are a small array on the driver.
@@ -14,10 +16,12 @@ columns, whatever their names, are ignored by ``report`` and kept by ``sample``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +41,7 @@ class Settings:
     rounds: int = 30
     tolerance: float = 1e-6
     seed: int = 11
+    budget: float = 2 / 3  # expected share of all words that is kept, the same at every size
 
 
 def _category(c: Column) -> Column:
@@ -63,6 +68,105 @@ def _targets(mass: np.ndarray, power: float) -> np.ndarray:
     return t / t.sum()
 
 
+def _shared(mass: np.ndarray, target: np.ndarray, total: float) -> np.ndarray:
+    """``total`` dealt in proportion to the targets, to each no more than its mass."""
+    full = np.zeros(len(mass), bool)
+    while True:
+        free = target[~full].sum()
+        scale = max(total - mass[full].sum(), 0.0) / free if free else 0.0
+        over = ~full & (scale * target >= mass)
+        if not over.any():
+            return np.where(full, mass, scale * target)
+        full |= over
+
+
+def _capped(mass: np.ndarray, wanted: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """For each row of cell masses the factor f by which sum(mass * min(1, f * u)) is what is wanted; at most what takes all of it."""
+    order = np.argsort(-u, kind="stable")
+    m, v = mass[:, order], u[order]
+    whole = np.cumsum(m, 1) - m  # taken whole: all cells before this one
+    rest = np.cumsum((m * v)[:, ::-1], 1)[:, ::-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        f = (wanted[:, None] - whole) / rest
+        fits = (m > 0) & (f * v <= 1)
+        least = np.where(m > 0, 1 / v, 0.0).max(1)
+    return np.where(fits.any(1), np.take_along_axis(f, fits.argmax(1)[:, None], 1)[:, 0], least)
+
+
+def _by_source(batches: Iterator[pa.RecordBatch], u: np.ndarray, scale: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, their cell masses, their factors) in runs of bounded size."""
+    step = max(1, 1_000_000 // len(u))
+    for batch in batches:
+        for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+            cells = part.column("cells")
+            row, flat = pc.list_parent_indices(cells).to_numpy(), cells.flatten()
+            mass = np.zeros((part.num_rows, len(u)))
+            mass[row, flat.field("at").to_numpy()] = flat.field("mass").to_numpy()
+            wanted = np.minimum(scale * part.column("target").to_numpy(), mass.sum(1))
+            yield part, mass, _capped(mass, wanted, u)
+
+
+def _probabilities(by_source: DataFrame, src: str, mass: np.ndarray, want_g: np.ndarray, want_h: np.ndarray, g: np.ndarray, h: np.ndarray, s: Settings) -> tuple[DataFrame, np.ndarray]:
+    """(factor of each source, factor of each language and topic): a document's probability is their product, at most 1.
+
+    The last step is that of the sources, so the budget is met even where the targets of languages and topics can't be.
+    """
+    total = s.budget * float(mass.sum())
+    want_g, want_h = _shared(mass.sum(1), want_g, total), _shared(mass.sum(0), want_h, total)
+    # the sources' common scale: those that are taken whole only become more
+    scale, full = total, -1
+    while True:
+        over = F.lit(scale) * F.col("target") >= F.col("words")
+        r = by_source.withColumn("words", F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["mass"])).agg(
+            F.count(F.when(over, 1)).alias("n"), F.sum(F.when(over, F.col("words")).otherwise(0.0)).alias("whole"), F.sum(F.when(over, 0.0).otherwise(F.col("target"))).alias("free")).first()
+        if r["n"] == full or not r["free"]:
+            break
+        scale, full = max(scale, (total - r["whole"]) / r["free"]), r["n"]
+
+    def taken(u: np.ndarray) -> np.ndarray:
+        """By language and topic: words of cells taken whole, expected words of the others."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, m, f in _by_source(batches, u, scale):
+                p = f[:, None] * u
+                whole = p >= 1 - 1e-12
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(u), dtype=np.int32)), pa.array((m * whole).sum(0)), pa.array((m * np.where(whole, 0.0, p)).sum(0))], names=["at", "whole", "part"])
+
+        out = np.zeros((2, len(u)))
+        for r in by_source.mapInArrow(run, "at int, whole double, part double").groupBy("at").agg(F.sum("whole"), F.sum("part")).collect():
+            out[:, r[0]] = r[1], r[2]
+        return out.reshape(2, *mass.shape)
+
+    last = np.inf
+    for _ in range(s.rounds):
+        whole, part = taken(np.outer(g, h).ravel())
+        with np.errstate(divide="ignore", invalid="ignore"):
+            off = max(np.nanmax(np.abs((whole + part).sum(1) / want_g - 1)), np.nanmax(np.abs((whole + part).sum(0) / want_h - 1)))
+        if off < s.tolerance or abs(last - off) < s.tolerance / 10:
+            break
+        last = off
+        for _ in range(100):
+            a = _step(want_g - whole.sum(1), part.sum(1))
+            part, g = part * a[:, None], g * a
+            b = _step(want_h - whole.sum(0), part.sum(0))
+            part, h = part * b, h * b
+            if np.abs(b - 1).max(initial=0.0) < s.tolerance / 10:
+                break
+        g, h = np.where(g > 0, g / g.max(), 0.0), np.where(h > 0, h / h.max(), 0.0)
+    u = np.outer(g, h).ravel()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, f in _by_source(batches, u, scale):
+            yield pa.RecordBatch.from_arrays([part.column(src), pa.array(f)], names=[src, "chance"])
+
+    return by_source.mapInArrow(run, T.StructType([T.StructField(src, T.StringType()), T.StructField("chance", T.DoubleType())])), u
+
+
+def _step(wanted: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Factors towards what is wanted, in bounded steps as cells reach or leave probability 1 on the way."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(there > 0, np.clip(wanted / there, 0.25, 4.0), 1.0)
+
+
 def weighted(docs: DataFrame, text: str = "text", source: str = "source", lang: str = "lang", doc_id: str = "doc_id", keep: list[str] | None = None, s: Settings = Settings()) -> tuple[DataFrame, list[str]]:
     """(``keep`` and, named by the second result, topic, tokens, weight, probability and kept for each document)."""
     spark = docs.sparkSession
@@ -99,7 +203,7 @@ def weighted(docs: DataFrame, text: str = "text", source: str = "source", lang:
     norm = by_source.agg(F.sum(F.pow("mass", F.lit(s.source_power))).alias("z")).first()["z"] or 1.0
     by_source = materialize(by_source.select(src, (F.pow("mass", F.lit(s.source_power)) / norm).alias("target"), "cells"))
 
-    g, h = np.ones(grid.shape[0]), np.ones(s.topics)
+    mass, g, h = grid, np.ones(grid.shape[0]), np.ones(s.topics)
     want_g, want_h = (_targets(grid.sum(1), s.lang_power), _targets(grid.sum(0), s.topic_power)) if grid.sum() else (g, h)
 
     def factors() -> DataFrame:
@@ -126,14 +230,17 @@ def weighted(docs: DataFrame, text: str = "text", source: str = "source", lang:
                 if np.abs(b[b > 0] - 1).max(initial=0.0) < s.tolerance / 10:
                     break
     u = F.array(*[F.lit(float(x)) for x in np.outer(g, h).ravel()])
-    done = materialize(factors().select(src, "factor", F.array_max(F.transform("cells", lambda c: F.col("factor") * F.get(u, c["at"]))).alias("most")))
-    most = done.agg(F.max("most")).first()[0] or 1.0
-    key = fresh([*rows.columns, "factor"], "key")[0]
-    joined = rows.join(done.select(F.col(src).alias(key), "factor"), F.col(src) == F.col(key), "left")
-    weight = F.when(F.col(tok) > 0, F.col("factor") * F.get(u, at)).otherwise(F.lit(0.0))
-    chance = weight / F.lit(float(most))
+    chances, v = _probabilities(by_source, src, mass, want_g, want_h, g, h, s) if mass.sum() else (by_source.select(src, F.lit(0.0).alias("chance")), np.zeros(mass.size))
+    v = F.array(*[F.lit(float(x)) for x in v])
+    key, factor, chance = fresh(rows.columns, "key", "factor", "chance")
+    done = materialize(factors().select(src, "factor").join(chances, src).select(F.col(src).alias(key), F.col("factor").alias(factor), F.col("chance").alias(chance)))
+    joined = rows.join(done, F.col(src) == F.col(key), "left")
+    weight = F.when(F.col(tok) > 0, F.col(factor) * F.get(u, at)).otherwise(F.lit(0.0))
+    # a cell that is taken whole may come out a rounding below 1
+    chance = F.when(F.col(tok) > 0, F.col(chance) * F.get(v, at)).otherwise(F.lit(0.0))
+    chance = F.when(chance >= 1 - 1e-12, F.lit(1.0)).otherwise(chance)
     draw = F.pmod(F.xxhash64(F.lit(s.seed), F.col(f"`{doc_id}`"), F.col(src), F.col(lng), F.col(groups_name)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    out = joined.select(*[F.col(f"`{c}`") for c in kept], F.col(top).alias(names[0]), F.col(tok).alias(names[1]), weight.alias(names[2]), F.least(chance, F.lit(1.0)).alias(names[3]), (draw < chance).alias(names[4]))
+    out = joined.select(*[F.col(f"`{c}`") for c in kept], F.col(top).alias(names[0]), F.col(tok).alias(names[1]), weight.alias(names[2]), chance.alias(names[3]), (draw < chance).alias(names[4]))
     return out, names
 
 
@@ -145,3 +252,14 @@ def sample(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def report(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return weighted(docs.select("doc_id", "source", "lang", "text"), keep=["doc_id", "source", "lang"], s=s)[0]
+
+
+def targets(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(margin, category, words, target, reached, met): the share each source, language and topic was to have of the kept words, and has."""
+    out, (top, tok, weight, chance, _) = weighted(docs.select("doc_id", "source", "lang", "text"), keep=["source", "lang"], s=s)
+    margins = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(c).cast("string").alias("category")) for m, c in (("source", "source"), ("lang", "lang"), ("topic", top))])).alias("m")
+    sums = out.where(F.col(tok) > 0).select(margins, F.col(tok).alias("w"), (F.col(tok) * F.col(weight)).alias("t"), (F.col(tok) * F.col(chance)).alias("k")).groupBy("m").agg(F.sum("w").alias("words"), F.sum("t").alias("target"), F.sum("k").alias("k"))
+    total = materialize(sums)
+    kept = total.where(F.col("m.margin") == "topic").agg(F.sum("k")).first()[0] or 1.0
+    reached = F.col("k") / F.lit(float(kept))
+    return total.select("m.margin", "m.category", "words", "target", reached.alias("reached"), (F.abs(reached / F.col("target") - 1) < 1e-3).alias("met"))

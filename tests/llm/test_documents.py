@@ -162,6 +162,36 @@ def test_mixing_meets_its_targets(spark, odd_texts):
     assert mixing.report(docs.limit(0)).count() == 0
 
 
+def test_a_tiny_category_changes_nothing_in_how_much_is_kept(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, rng.randrange(20, 60)), rng.choice(["en", "en", "en", "de"]), rng.choice(["hot"] * 8 + ["a", "b"])) for i in range(1200)]
+    tiny = [(5000, "five words of its own", "xx", "tiny")]
+    schema, s = "doc_id long, text string, lang string, source string", mixing.Settings()
+    shares, hot = [], []
+    for part in (rows, rows + tiny):
+        p = mixing.report(spark.createDataFrame(part, schema), s).toPandas()
+        assert (p["probability"] * p["tokens"]).sum() / p["tokens"].sum() == pytest.approx(s.budget, rel=1e-6)
+        assert p["probability"].max() <= 1 and (p["doc_id"] < 5000).sum() == 1200
+        shares.append(p.loc[p["kept"], "tokens"].sum() / p["tokens"].sum())
+        hot.append((p["source"].eq("hot") & p["kept"]).sum())
+    assert shares[1] == pytest.approx(shares[0], abs=0.01) and abs(hot[1] / hot[0] - 1) < 0.02
+    assert p.set_index("doc_id").loc[5000, "probability"] == 1.0
+    # what can be met is met; what can't is said
+    seen = mixing.targets(spark.createDataFrame(rows + tiny, schema), s).toPandas().set_index(["margin", "category"])
+    assert not seen.loc[("source", "tiny"), "met"] and seen.loc[("source", "tiny"), "reached"] < seen.loc[("source", "tiny"), "target"]
+    assert seen.groupby("margin")["reached"].sum().to_numpy() == pytest.approx([1, 1, 1]) and len(seen) == 4 + 3 + 8
+
+
+def test_capped_factors():
+    rng = np.random.default_rng(3)
+    mass, u = rng.integers(0, 4, (200, 12)) * rng.random((200, 12)), rng.random(12) + 0.01
+    mass = mass[mass.sum(1) > 0]
+    wanted = mass.sum(1) * rng.choice([0.1, 0.5, 0.9, 1.0], len(mass))
+    f = mixing._capped(mass, wanted, u)
+    assert np.allclose((mass * np.minimum(1, f[:, None] * u)).sum(1), wanted)
+    assert mixing._shared(np.array([10.0, 1.0, 5.0]), np.array([0.5, 0.4, 0.1]), 8.0) == pytest.approx([35 / 6, 1, 7 / 6])
+
+
 def fewest(sizes, capacity):
     """A bound no packing can beat: items over half a bin need bins of their own, and small items only what room those leave."""
     best = -(-sum(sizes) // capacity)
