@@ -67,7 +67,8 @@ def axes(x: np.ndarray, table: int, seed: int, count: int) -> np.ndarray:
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
-    return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & fine)
+    # equal rows are one: copies would fill a block without adding a candidate
+    return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & fine).distinct()
 
 
 def filed(rows: DataFrame, s: Settings, probes: int) -> DataFrame:
@@ -92,14 +93,19 @@ def exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def nearest(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` rows nearest to each query of a block, ties to the smaller id."""
+    """The ``k`` ids nearest to each query of a block, ties to the smaller id."""
     out = []
+    order = np.argsort(ids, kind="stable")
+    ids, v = ids[order], v[order]
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     vn, qn = unit(v), unit(q)
     for a in range(0, len(q), 64):
         rough = qn[a:a + 64] @ vn.T
         rough[qids[a:a + 64, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            edge = -np.partition(-rough, k - 1, 1)[:, k - 1:k]
+        if len(first) > k:
+            # the cut is at the k-th best id, not the k-th best row
+            best = rough if len(first) == len(ids) else np.maximum.reduceat(rough, first, axis=1)
+            edge = -np.partition(-best, k - 1, 1)[:, k - 1:k]
             row, col = np.nonzero((rough >= edge - 1e-9) & np.isfinite(rough))
         else:
             row, col = np.nonzero(np.isfinite(rough))
@@ -138,7 +144,7 @@ def meet(index: DataFrame, queries: DataFrame, s: Settings) -> DataFrame:
 
 def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", s: Settings = Settings()) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row of ``queries``."""
-    rows, asked = usable(vectors, key, vector), usable(queries, key, vector).distinct()
+    rows, asked = usable(vectors, key, vector), usable(queries, key, vector)
     found = materialize(meet(filed(rows, s, 1), filed(asked, s, s.probes), s).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
     enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= s.k)
     short = asked.join(enough, F.col("id") == F.col("query_id"), "left_anti")

@@ -112,6 +112,28 @@ def test_neighbours(spark):
     assert ann.report(few).count() == 3
 
 
+def test_repeated_ids_take_no_place(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 16))
+    equal = [(i, [float(x) for x in v]) for i, v in enumerate(base) for _ in range(6)]
+    near = [(i, [float(x) for x in v + 1e-3 * rng.normal(size=16)]) for i, v in enumerate(base) for _ in range(6)]
+    for rows in (equal, near, [*equal, *near]):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        # one axis of few rows in some tables, one block in the exact search
+        got = ann.search(frame, frame.where("vec_id in (3, 17)"), s=ann.Settings(tables=1, probes=1)).collect()
+        fine = [(i, np.array(v)) for i, v in rows]
+        for q in (3, 17):
+            best = {}
+            for i, v in fine:
+                if i == q:
+                    for j, found in exact(fine, [(q, v)], 40)[q]:
+                        best[j] = max(best.get(j, -2.0), found)
+            want = sorted(best, key=lambda j: (-best[j], j))[:5]
+            assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
+    one = ann.nearest(np.repeat(np.arange(7), 6), np.repeat(base[:7], 6, 0), np.array([0]), base[:1], 5)
+    assert one["vec_id"].nunique() == len(one) == 5
+
+
 def test_hadamard_is_orthogonal():
     r = ann.rotate(np.eye(16), 0, 1)
     assert np.allclose(r @ r.T, np.eye(16))
