@@ -33,7 +33,7 @@ class Settings:
     rate: float = 0.5
     batch: int = 32
     max_rows: int = 4_000  # labelled rows learned from: those of smallest hash
-    max_chars: int = 40_000_000  # of those rows, no more than this many characters in that order
+    max_chars: int = 40_000_000  # of those rows, in that order, the ones whose characters still fit in this many
     threshold: float = 0.3
 
 
@@ -157,10 +157,23 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
     share = min(1.0, 2 * s.max_rows / max(1, usable.count()))
     hashed = usable.withColumn("h", F.xxhash64(F.lit(17), "lid", "y")).where(F.pmod("h", F.lit(1 << 31)) < share * (1 << 31))
     chosen = hashed.orderBy("h", "lid", "y").limit(s.max_rows)
-    got = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("lid")).select("h", "lid", F.coalesce("text", F.lit("")).alias("text"), "y").orderBy("h", "lid", "y", "text").limit(s.max_rows).toArrow()
-    texts, ys = got.column("text").to_pylist(), got.column("y").to_pylist()
-    room = np.searchsorted(np.cumsum([len(t) for t in texts]), s.max_chars, "right")
-    return train(texts[:room], ys[:room], s)
+    # lengths first: only texts that are learned from reach the driver
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"n": F.char_length("text").cast("long"), "th": F.xxhash64("text")})
+    short = rows.drop("text").where(F.col("n") <= s.max_chars).join(chosen, F.col("doc_id") == F.col("lid")).select("h", "lid", "th", "n", "y").orderBy("h", "lid", "y", "th", "n").limit(s.max_rows).collect()
+    room, taken = s.max_chars, []
+    for r in short:
+        if r["n"] <= room:
+            room -= r["n"]
+            taken.append(r)
+    if not taken:
+        return train([], [], s)
+    wanted = docs.sparkSession.createDataFrame(list({(r["lid"], r["th"], r["n"]) for r in taken}), T.StructType([T.StructField("lid", usable.schema["lid"].dataType), T.StructField("wh", T.LongType()), T.StructField("wn", T.LongType())]))
+    same = (F.col("doc_id") == F.col("lid")) & (F.col("th") == F.col("wh")) & (F.col("n") == F.col("wn"))
+    # rows that repeat are brought once, and learned from as often as they were chosen
+    # at most max_rows short rows, of which Spark knows no size: without the hint it would shuffle every text
+    got = rows.join(F.broadcast(wanted), same).groupBy("lid", "wh", "wn").agg(F.min("text").alias("text")).toArrow()
+    text_of = dict(zip(zip(*(got.column(c).to_pylist() for c in ("lid", "wh", "wn")), strict=True), got.column("text").to_pylist(), strict=True))
+    return train([text_of[r["lid"], r["th"], r["n"]] for r in taken], [r["y"] for r in taken], s)
 
 
 def scores(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, s: Settings = Settings()) -> DataFrame:

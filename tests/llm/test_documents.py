@@ -283,3 +283,24 @@ def test_quality_learns_and_holds_out(spark, docs_of, odd_texts):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == set(p.index[p["predicted"] == 1])
     none = quality.report(docs, labels.limit(0)).toPandas()
     assert (none["score"] == 0.5).all() and quality.report(docs.limit(0), labels).count() == 0
+
+
+def test_quality_passes_over_texts_that_do_not_fit(spark, docs_of, monkeypatch):
+    rng = random.Random(9)
+    texts = [prose(rng, 30) if i % 2 else " ".join(w + "###" for w in prose(rng, 30).split()) for i in range(200)]
+    marks = [(i, i % 2, 0) for i in range(200)]
+    order = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    firsts = [r[0] for r in order.where(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(17), "doc_id", "quality")).limit(3).select("doc_id").collect()]
+    s = quality.Settings(max_chars=150_000)
+    long = {firsts[0]: 150_001, firsts[1]: 90_000, firsts[2]: 90_000}  # one that never fits, one that does, one that no longer does
+    texts = [(t + " ") * (long[i] // len(t) + 1) if i in long else t for i, t in enumerate(texts)]
+    texts = [t[:long[i]] if i in long else t for i, t in enumerate(texts)]
+    seen = []
+    plain = quality.train
+    monkeypatch.setattr(quality, "train", lambda texts, labels, s: seen.append((list(texts), list(labels))) or plain(texts, labels, s))
+    p = quality.report(docs_of(texts), order, s).toPandas().set_index("doc_id")
+    ((learned, labels),) = seen
+    usable = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 and i not in (firsts[0], firsts[2])]
+    assert sorted(learned) == sorted(texts[i] for i in usable) and sum(map(len, learned)) <= s.max_chars
+    assert labels == [texts.index(t) % 2 for t in learned]
+    assert set(p["predicted"]) == {0, 1} and (p["score"] != 0.5).any()
