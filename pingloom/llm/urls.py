@@ -71,7 +71,7 @@ PATTERN_RULES = (
     PatternRule(r"[?&]utm_source=feed(?:[&#]|$)", ("utm", "source", "feed")),
     PatternRule(r"[?&](?:sid|sessionid|phpsessid)=[0-9A-Za-z]{8,}", ()),
     PatternRule(r"/cart/(?:add|remove)[/?]", ("cart",)),
-    PatternRule(r"/wp-login\.php", ("wp", "login", "php")),
+    PatternRule(r"/wp-login\.php", ("wp", "login")),  # php may go on, as in php5
     PatternRule(r"[?&]replytocom=[0-9]+", ("replytocom",)),
 )
 

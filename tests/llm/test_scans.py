@@ -149,3 +149,16 @@ def test_rules_are_filed_under_their_rarest_token():
     counts = {"example": 10, "com": 50, "en": 20, "www": 3, "net": 4, "fr": 9, "es": 2}
     filed, rest = urls.index_rules(list(urls.HOST_RULES), counts)
     assert filed == {"com": [0], "example": [1], "www": [2], "es": [3], "net": [4]} and rest == []
+
+
+def test_pattern_rules_are_found_under_each_of_their_tokens(spark):
+    fitting = ["http://a.org/?utm_source=feed", "http://a.org/?x&utm_source=feed#y", "http://a.org/?sid=abcdefgh1", "http://a.org/cart/add?x", "http://a.org/cart/remove/1", "http://a.org/wp-login.php", "http://a.org/wp-login.php5", "http://a.org/wp-login.phpx", "http://a.org/?replytocom=12"]
+    for url in fitting:
+        (rule,) = [r for r in urls.PATTERN_RULES if re.search(r.regex, url)]
+        assert set(rule.tokens) <= set(re.findall(urls.TOKEN, url.lower())), url
+    # other rows make the rule's tokens common, but for one
+    for rare in ("wp", "login", "php"):
+        others = [f"http://b.org/{t}/{i}" for t in {"wp", "login", "php"} - {rare} for i in range(15)]
+        rows = spark.createDataFrame([(i, u) for i, u in enumerate([*fitting, *others])], "page_id long, url string")
+        got = {r["page_id"]: r["verdict"] for r in urls.report(rows).collect()}
+        assert [got[i] for i in range(len(fitting))] == ["block"] * len(fitting), rare
