@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingloom.llm import ann, fingerprints, merkle, mixing, neardup, packing, pii, quality, secrets, urls, warc
+from pingloom.llm import ann, fingerprints, merkle, mixing, neardup, packing, pii, quality, secrets, trie, urls, warc
 from pingloom.session import pin_session, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,30 @@ FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY level DESC) AS k FR
 @query("op11_merkle_manifest", _MERKLE)
 def op11(read):
     return merkle.report(read("documents"))
+
+
+_TRIE = f"""
+WITH t AS (
+  SELECT conv_id, md5(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS key, length(coalesce(text, '')) AS size, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos FROM t),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS donor, ({_CRC.format(x='conv_id')} % 6)::BIGINT AS h FROM o GROUP BY conv_id),
+k AS (SELECT c.*, least(c.h, coalesce(d.n, 0)) AS taken FROM c LEFT JOIN c d ON d.conv_id = c.donor),
+i AS (
+  SELECT k.conv_id, o.pos AS depth, key, size FROM k JOIN o ON o.conv_id = donor AND o.pos <= taken
+  UNION ALL SELECT k.conv_id, o.pos - h + taken, key, size FROM k JOIN o ON o.conv_id = k.conv_id AND o.pos > h),
+r AS (
+  SELECT conv_id, depth, size, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path, depth = max(depth) OVER (PARTITION BY conv_id) AS final FROM i
+  UNION ALL SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM i) FROM k),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (final), '') AS ends FROM r GROUP BY depth, path),
+p AS (SELECT a.*, b.conv_id AS parent_conv_id FROM n a LEFT JOIN n b ON b.depth = a.depth - 1 AND b.path = a.path[:32 * (a.depth - 1)]),
+kids AS (SELECT path[:32 * (depth - 1)] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN kids USING (path)),
+up AS (SELECT path[:32 * d] AS path, n_children, (n_convs - 1) * size AS saved FROM f, unnest(range(0, depth + 1)) u(d)),
+sums AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY path)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM f JOIN sums USING (path)
+"""
+
+
+@query("op12_conversation_trie", _TRIE)
+def op12(read):
+    return trie.report(read("conversations"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pingloom.llm import merkle
+from pingloom.llm import merkle, trie
 
 H = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
 
@@ -111,3 +111,88 @@ def test_manifest_nodes_nest(spark):
             inside = sorted((x for x in tree if x["level"] == level - 1 and t["lo"] <= x["lo"] and x["hi"] <= t["hi"]), key=lambda x: x["lo"])
             assert 1 <= len(inside) <= 3 and t["hash"] == H(*(x["hash"] for x in inside))
     assert max(t["hi"] for t in tree) == n
+
+
+def rebuilt(rows):
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            key = hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()
+            own.setdefault(conv, []).append(((turn is not None, turn or 0), key, role, text))
+    own = {c: [t[2:] for t in sorted(ts)] for c, ts in own.items()}
+    out = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = own.get(c - int(np.fmod(c, 100)), [])[:h] + ts[h:]
+    return out
+
+
+def expected_trie(rows):
+    convs = rebuilt(rows)
+    members, ends = {}, {}
+    for c, ts in convs.items():
+        for d in range(len(ts) + 1):
+            members.setdefault(tuple(ts[:d]), []).append(c)
+        ends.setdefault(tuple(ts), []).append(c)
+    kids, order = {}, sorted(members, key=len, reverse=True)
+    leaves, saved = {}, {}
+    for p in order:
+        kids.setdefault(p, 0)
+        leaves[p] = leaves.get(p, 0) or 1
+        saved[p] = saved.get(p, 0) + (len(members[p]) - 1) * (len(p[-1][1]) if p else 0)
+        if p:
+            up = p[:-1]
+            kids[up] = kids.get(up, 0) + 1
+            leaves[up] = leaves.get(up, 0) + leaves[p]
+            saved[up] = saved.get(up, 0) + saved[p]
+    return sorted((min(members[p]), len(p), min(members[p[:-1]]) if p else -1, len(members[p]), kids[p], leaves[p], saved[p], H(",".join(map(str, sorted(ends.get(p, [])))))) for p in members)
+
+
+TRIE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def found_trie(frame):
+    return sorted(tuple(-1 if r[c] is None else r[c] for c in TRIE) for r in frame.collect())
+
+
+def conversation_rows(n, seed=5):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for c in range(-3, n):
+        for t in range(int(rng.integers(1, 7)) if c != 7 else 60):
+            rows.append((c * 3, t, [None, "user", "assistant"][int(rng.integers(0, 3))], [None, "", "hi", "é" * 9][int(rng.integers(0, 4))]))
+    rows += [(300, 0, "user", "hi")] * 3 + [(None, 1, "user", "lost"), (600, None, "user", "no number"), (600, None, None, None), (9, 2, "a", "b")]
+    # copies of one conversation
+    rows += [(1000 + k, t, "user", f"same {t}") for k in range(150) for t in range(3)]
+    return rows
+
+
+def conversations_frame(spark, rows, extra=""):
+    return spark.createDataFrame([(*r, *("x" for _ in extra.split(",") if _)) for r in rows], "conv_id long, turn long, role string, text string" + extra)
+
+
+@pytest.mark.parametrize("s", [trie.Settings(), trie.Settings(slice=4, block=16, chunk=8)])
+def test_conversation_trie(spark, s):
+    rows = conversation_rows(150)
+    frame = conversations_frame(spark, rows, ", depth string, member string, conv string, size string").repartition(3)
+    assert found_trie(trie.report(frame, s)) == expected_trie(rows)
+
+
+def test_conversation_trie_small(spark):
+    one = [(5, 0, "user", "a")]
+    assert found_trie(trie.report(conversations_frame(spark, one))) == expected_trie(one)
+    assert trie.report(conversations_frame(spark, one).limit(0)).collect() == []
+    same = [(5, 0, "user", "a" * 10_000)] * 30
+    assert found_trie(trie.report(conversations_frame(spark, same), trie.Settings(slice=2, block=4, chunk=4))) == expected_trie(same)
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_list_sums(spark, local):
+    """A list along its numbers contracts; one that jumps about is ranked by pointer jumping."""
+    n = 500
+    order = np.arange(n) if local else np.random.default_rng(1).permutation(n)
+    weight = np.arange(n) ** 2 % 17
+    rows = [(int(order[k]), int(order[k + 1]) if k + 1 < n else None, int(weight[k])) for k in range(n)]
+    got = {r["id"]: r["w"] for r in trie.list_sums(spark.createDataFrame(rows, "id long, next long, w long"), ["w"], 8).collect()}
+    assert got == {int(order[k]): int(weight[k:].sum()) for k in range(n)}
