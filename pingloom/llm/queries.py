@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingloom.llm import ann, fingerprints, merkle, mixing, neardup, packing, pii, quality, secrets, trie, urls, warc
+from pingloom.llm import ann, fingerprints, merkle, metric, mixing, neardup, packing, pii, quality, secrets, trie, urls, warc
 from pingloom.session import pin_session, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,21 @@ SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_toke
 @query("op12_conversation_trie", _TRIE)
 def op12(read):
     return trie.report(read("conversations"))
+
+
+_LINKS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+         embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine FROM embeddings),
+l AS (SELECT a.n AS x, b.n AS y, b.vec_id FROM v a JOIN v b ON a.n <> b.n AND a.fine AND b.fine AND len(a.e) = len(b.e) WHERE CASE WHEN a.fine AND b.fine AND len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.95),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, count(*) AS n_links FROM l GROUP BY x),
+m AS (SELECT x, min(vec_id) AS least FROM r JOIN v ON v.n = y GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept
+FROM v LEFT JOIN c ON c.x = n LEFT JOIN m ON m.x = n
+"""
+
+
+@query("op13_metric_range_join", _LINKS)
+def op13(read):
+    return metric.report(read("embeddings"))

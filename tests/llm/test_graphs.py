@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pingloom.llm import merkle, trie
+from pingloom.llm import merkle, metric, trie
 
 H = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
 
@@ -196,3 +196,78 @@ def test_list_sums(spark, local):
     rows = [(int(order[k]), int(order[k + 1]) if k + 1 < n else None, int(weight[k])) for k in range(n)]
     got = {r["id"]: r["w"] for r in trie.list_sums(spark.createDataFrame(rows, "id long, next long, w long"), ["w"], 8).collect()}
     assert got == {int(order[k]): int(weight[k:].sum()) for k in range(n)}
+
+
+def expected_links(rows, threshold=0.95):
+    """By comparing all pairs."""
+    fine = [v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
+    n = len(rows)
+    link = np.zeros((n, n), bool)
+    for d in {len(v) for (_, v), f in zip(rows, fine) if f}:
+        at = [k for k in range(n) if fine[k] and len(rows[k][1]) == d]
+        x = np.array([rows[k][1] for k in at], float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        link[np.ix_(at, at)] = x @ x.T >= threshold
+    np.fill_diagonal(link, False)
+    comp, name = np.full(n, -1), {}
+    for k in range(n):
+        if comp[k] < 0:
+            edge = [k]
+            comp[k] = k
+            while edge:
+                new = [j for j in np.flatnonzero(link[edge].any(0)) if comp[j] < 0]
+                comp[new] = k
+                edge = new
+            ids = [rows[j][0] for j in np.flatnonzero(comp == k) if rows[j][0] is not None]
+            name[k] = min(ids, default=None)
+    return sorted(((rows[k][0], int(link[k].sum()), name[comp[k]], name[comp[k]] is None or rows[k][0] == name[comp[k]]) for k in range(n)), key=str)
+
+
+def found_links(frame):
+    return sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in frame.collect()), key=str)
+
+
+def vector_rows(n, dim, seed=2):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = lambda v, by: v + by * rng.normal(size=dim) / np.sqrt(dim)
+    rows = [near(base[0], 0.08) for _ in range(n // 3)]  # a third of all: near copies
+    rows += [base[1]] * (n // 10)  # copies
+    rows += [near(base[0], 0.45) for _ in range(n // 5)]  # some reach some of them
+    at = base[2]
+    for _ in range(n // 10):  # a chain, whose ends are far apart
+        at = near(at, 0.25)
+        rows.append(at)
+    rows += list(base[3:])
+    out = [(int(i), [float(x) for x in v * rng.uniform(0.1, 9)]) for i, v in zip(rng.permutation(len(rows)), rows, strict=True)]
+    odd = [(5001, None), (5002, [0.0] * dim), (5003, [float("nan")] * dim), (5004, [None] * dim), (5005, []), (5006, [float("inf")] + [1.0] * (dim - 1)), (5007, [1.0, 2.0]), (5008, [2.0, 4.1]), (None, [3.0, 6.0]), (None, [0.0]), (5009, [-7.0]), (5010, [-0.5]), (5011, [2.0])]
+    return [*out, *odd, *out[:6]]
+
+
+@pytest.mark.parametrize("dim,s", [(4, metric.Settings(rows=40, group=2, columns=16)), (24, metric.Settings(rows=64, group=3, columns=64, dense=30)), (24, metric.Settings()), (8, metric.Settings(rows=50, pivots=6, sample=60, dense=4))])
+def test_metric_range_join(spark, dim, s):
+    rows = vector_rows(300, dim)
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, rid string, comp string").repartition(4)
+    got = found_links(metric.report(frame, s))
+    assert got == expected_links(rows)
+    assert max(r[1] for r in got) > 100
+
+
+def test_metric_range_join_small(spark):
+    rows = [(3, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (None, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert found_links(metric.report(frame)) == expected_links(rows) == sorted([(3, 1, 1, False), (1, 1, 1, True), (2, 0, 2, True), (None, 0, None, True)], key=str)
+    assert metric.report(frame.limit(0)).collect() == []
+    assert found_links(metric.report(frame.where("embedding is null"))) == [(None, 0, None, True)]
+
+
+def test_a_core_is_counted_not_compared(spark):
+    """Of a group of copies the units get nothing, and the pairs returned grow with its rows."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in np.r_[1.0, 0.01 * rng.normal(size=15)]]) for i in range(2000)]
+    rows += [(5000 + i, [float(x) for x in rng.normal(size=16)]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "rid long, vec array<double>")
+    counts, pairs = metric.links(frame, metric.Settings(rows=100))
+    assert {(r["rid"], r["n_links"]) for r in counts.collect()} == {(i, 1999) for i in range(2000)}
+    assert pairs.count() == 1999
