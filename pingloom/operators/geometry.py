@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from pingloom.config import DEFAULTS, EARTH_RADIUS_MI_ROUND, Box
-from pingloom.functions.geo import half_chord, haversine, planar_heading, segment_fraction
+from pingloom.config import EARTH_RADIUS_MI_ROUND
+from pingloom.functions.geo import haversine, planar_heading, segment_fraction
 
 
 def shape_segments(shapes: DataFrame) -> DataFrame:
@@ -23,112 +28,174 @@ def shape_segments(shapes: DataFrame) -> DataFrame:
     )
 
 
-def _axis(lat_or_lon: Column, origin: float, step: float) -> Column:
-    return F.floor((lat_or_lon - F.lit(origin)) / F.lit(step)).cast("int")
+# The index of a shape: its pieces along a Hilbert curve over its area, in runs of 16, runs of 16 such runs, and so on, each with its
+# box. Neighbours on the curve are neighbours in the plane, however the shape winds, so runs are compact.
+FAN = 16
+CURVE_BITS = 10
+GROUP = 65_536  # points of a shape that one group searches for
+_KEEP = 1 + 1e-9  # bounds are rounded: a run is out only if it is farther by more than this
 
 
-def _cells(box: Box, step: float) -> tuple[int, int]:
-    return math.floor((box.lat_max - box.lat_min) / step), math.floor((box.lon_max - box.lon_min) / step)
+def hilbert(x: Column, y: Column, bits: int = CURVE_BITS) -> Column:
+    """Place along the Hilbert curve of a square's cell, ``x`` and ``y`` from 0 to 2 ** bits - 1: one turn of the curve a bit."""
+    side = F.lit((1 << bits) - 1).cast("long")
 
+    def turn(at: Column, bit: Column) -> Column:
+        right, upper = (F.getbit(at[c], bit).cast("long") for c in "xy")
+        quarter = F.when(upper == 1, F.when(right == 1, 2).otherwise(1)).otherwise(F.when(right == 1, 3).otherwise(0)).cast("long")
+        flipped = (upper == 0) & (right == 1)
+        a, b = F.when(flipped, side - at["x"]).otherwise(at["x"]), F.when(flipped, side - at["y"]).otherwise(at["y"])
+        return F.struct(F.when(upper == 0, b).otherwise(a).alias("x"), F.when(upper == 0, a).otherwise(b).alias("y"), (at["d"] * 4 + quarter).alias("d"))
 
-def cell_of(lat: Column, lon: Column, box: Box, step: float) -> Column:
-    _, columns = _cells(box, step)
-    return _axis(lat, box.lat_min, step) * F.lit(columns + 1) + _axis(lon, box.lon_min, step)
+    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+    return F.aggregate(F.array(*map(F.lit, reversed(range(bits)))), start, turn)["d"]
 
 
-def _candidates(pieces: DataFrame, low: Column, high: Column, box: Box, step: float) -> DataFrame:
-    """Per (shape, grid cell): every piece that can be nearest to some place in that cell.
+def along_curve(pieces: DataFrame, ends: Sequence[str]) -> DataFrame:
+    """``pieces`` that have their ``ends``, with ``_at``: their place along the Hilbert curve over their shape's area."""
+    real = pieces.where(F.col("shape_id").isNotNull()).dropna(subset=list(ends))
+    area = Window.partitionBy("shape_id")
+    side = F.greatest(F.max("lat1").over(area) - F.min("lat1").over(area), F.max("lon1").over(area) - F.min("lon1").over(area))
+    cell = lambda c: F.coalesce(F.floor(F.try_divide(F.col(c) - F.min(c).over(area), side) * F.lit((1 << CURVE_BITS) - 1)), F.lit(0))
+    curved = real.withColumns({"_x": cell("lat1"), "_y": cell("lon1")}).withColumn("_d", hilbert(F.col("_x"), F.col("_y"))).drop("_x", "_y")
+    return curved.withColumn("_at", (F.row_number().over(area.orderBy("_d", "seq")) - 1).cast("long")).drop("_d")
 
-    ``low``/``high`` bound the distance from the cell (``_row``, ``_col``) to a piece. A piece stays
-    when its lower bound does not exceed the cell's best upper bound, so nothing that could win is
-    lost. The table's size is grid x network: it does not grow with telemetry.
-    """
-    rows, columns = _cells(box, step)
-    # few small rows become many: spread them first (a fixed number is not coalesced away)
-    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = pieces.repartition(tasks, "shape_id", "seq").withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(rows)))).withColumn(
-        "_col", F.explode(F.sequence(F.lit(0), F.lit(columns)))
-    )
-    cell = (F.col("_row") * (columns + 1) + F.col("_col")).alias("_cell")
-    best = every.select("shape_id", cell, high.alias("_high")).groupBy("shape_id", "_cell").agg((F.min("_high") * (1 + 1e-9)).alias("_limit"))
-    kept = every.select(*pieces.columns, cell, low.alias("_low")).join(best, ["shape_id", "_cell"]).where(F.col("_low") <= F.col("_limit"))
-    return kept.select(*pieces.columns, "_cell")
+
+def _span(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest distance from numbers to members of intervals."""
+    return np.maximum(np.maximum(low - at, at - high), 0), np.maximum(high - at, at - low)
+
+
+def _sin2(degrees: np.ndarray) -> np.ndarray:
+    half = np.sin(np.radians(degrees) / 2)
+    return half * half
 
 
-def _edges(index: str, origin: float, step: float) -> tuple[Column, Column]:
-    return F.lit(origin) + F.col(index) * F.lit(step), F.lit(origin) + (F.col(index) + 1) * F.lit(step)
+class Vertices:
+    """The great-circle distance, as the haversine itself, from places to the first vertices of pieces and of runs' boxes."""
 
+    ends = ("lat1", "lon1")
 
-def _gap(low1: Column, high1: Column, low2: Column, high2: Column) -> tuple[Column, Column]:
-    """Smallest and largest distance between two intervals on one axis."""
-    near = F.greatest(low2 - high1, low1 - high2, F.lit(0.0))
-    far = F.greatest(high2 - low1, high1 - low2)
-    return near, far
+    def __init__(self, pieces: pd.DataFrame):
+        self.lat, self.lon = ([pieces[c].to_numpy(float) for c in self.ends if c.startswith(axis)] for axis in ("lat", "lon"))
+        self.boxes = [self._box([*self.lat], [*self.lat], [*self.lon], [*self.lon])]
+        while len(self.boxes[-1][0]) > FAN:
+            south, north, west, east, _ = self.boxes[-1]
+            starts = np.arange(0, len(south), FAN)
+            merged = [f.reduceat(x, starts) for f, x in ((np.minimum, south), (np.maximum, north), (np.minimum, west), (np.maximum, east))]
+            self.boxes.append((*merged, np.minimum(np.cos(np.radians(merged[0])), np.cos(np.radians(merged[1])))))
 
+    @staticmethod
+    def _box(south: list, north: list, west: list, east: list) -> tuple[np.ndarray, ...]:
+        low, high = np.minimum.reduce(south), np.maximum.reduce(north)
+        return low, high, np.minimum.reduce(west), np.maximum.reduce(east), np.minimum(np.cos(np.radians(low)), np.cos(np.radians(high)))
 
-def vertex_index(segments: DataFrame, box: Box = DEFAULTS.box, step: float = 0.01) -> DataFrame:
-    """Grid lookup of the vertices that can be nearest by great-circle distance."""
-    top, bottom = _edges("_row", box.lat_min, step), _edges("_col", box.lon_min, step)
-    dlat = _gap(*top, F.col("lat1"), F.col("lat1"))
-    dlon = _gap(*bottom, F.col("lon1"), F.col("lon1"))
-    # the cosine product is bounded by the box (a degree of slack covers its borders)
-    widest = math.cos(math.radians(max(min(abs(box.lat_min), abs(box.lat_max)) - 1, 0))) ** 2
-    narrowest = math.cos(math.radians(min(max(abs(box.lat_min), abs(box.lat_max)) + 1, 90))) ** 2
-    # sin(x/2)^2 lies between (x/2)^2 (1 - x^2/12) and (x/2)^2: flat arithmetic bounds the chord
-    extent = math.radians(max(box.lat_max - box.lat_min, box.lon_max - box.lon_min) + 2 * step)
-    low = (dlat[0] * dlat[0] + dlon[0] * dlon[0] * narrowest) * (1 - extent * extent / 12)
-    high = dlat[1] * dlat[1] + dlon[1] * dlon[1] * widest
-    return _candidates(segments, low, high, box, step)
+    def measure(self, lat: np.ndarray, lon: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        lat1, lon1 = self.lat[0][piece], self.lon[0][piece]
+        return _sin2(lat1 - lat) + np.cos(np.radians(lat)) * np.cos(np.radians(lat1)) * _sin2(lon1 - lon)
 
+    def low(self, lat: np.ndarray, lon: np.ndarray, level: int, run: np.ndarray) -> np.ndarray:
+        """No member of the run is nearer."""
+        south, north, west, east, narrow = (x[run] for x in self.boxes[level])
+        across, far = _span(west, east, lon)
+        # beyond half the globe places come nearer again; off the globe the cosine may be negative: no bound there
+        turn = np.where(far > 360, 0, np.minimum(_sin2(across), _sin2(far)))
+        cosine = np.cos(np.radians(lat))
+        return np.where(cosine >= 0, _sin2(_span(south, north, lat)[0]) + cosine * narrow * turn, -np.inf)
 
-def segment_index(segments: DataFrame, box: Box = DEFAULTS.box, step: float = 0.01) -> DataFrame:
-    """Grid lookup of the segments that can be nearest by planar distance in degrees."""
-    top, side = _edges("_row", box.lat_min, step), _edges("_col", box.lon_min, step)
-    lat_low, lat_high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
-    lon_low, lon_high = F.least("lon1", "lon2"), F.greatest("lon1", "lon2")
-    square = lambda x: x * x
-    near = square(_gap(*top, lat_low, lat_high)[0]) + square(_gap(*side, lon_low, lon_high)[0])
 
-    def farthest(lat: str, lon: str) -> Column:
-        return square(_gap(*top, F.col(lat), F.col(lat))[1]) + square(_gap(*side, F.col(lon), F.col(lon))[1])
+class Segments(Vertices):
+    """The squared planar distance in degrees from places to segments and to runs' boxes."""
 
-    return _candidates(segments, near, F.least(farthest("lat1", "lon1"), farthest("lat2", "lon2")), box, step)
+    ends = ("lat1", "lon1", "lat2", "lon2")
 
+    def measure(self, lat: np.ndarray, lon: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        lat1, lon1 = self.lat[0][piece], self.lon[0][piece]
+        north, east = self.lat[1][piece] - lat1, self.lon[1][piece] - lon1
+        square = north * north + east * east
+        t = np.where(square < 1e-300, 0, np.clip(((lon - lon1) * east + (lat - lat1) * north) / np.where(square > 0, square, 1), 0, 1))
+        return (lat - (lat1 + t * north)) ** 2 + (lon - (lon1 + t * east)) ** 2
 
-def _nearest(points: DataFrame, segments: DataFrame, index: DataFrame, measure: Callable[[Column], Column], box: Box, step: float) -> DataFrame:
-    """Points with ``_m``, the smallest measure, and ``_s``, the piece it belongs to (lowest sequence on a tie).
+    def low(self, lat: np.ndarray, lon: np.ndarray, level: int, run: np.ndarray) -> np.ndarray:
+        south, north, west, east, _ = (x[run] for x in self.boxes[level])
+        return _span(south, north, lat)[0] ** 2 + _span(west, east, lon)[0] ** 2
 
-    The candidates of a cell are one array, so points meet one row and are never multiplied or regrouped. A point outside
-    the box meets all pieces of its shape. A point without a place or a shape stays, with NULLs.
+
+def search(shape: Vertices, seq: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest piece of each place (lowest sequence on a tie), and how many pieces were measured for it.
+
+    All places descend together: on each level the runs are left whose lower bound isn't above the distance to some vertex seen.
     """
-    pieces = [c for c in segments.columns if c != "shape_id"]
-    fold = lambda df: df.groupBy("shape_id", "_cell").agg(F.collect_list(F.struct(*pieces)).alias("_pieces"))
-    folded = fold(index).unionByName(fold(segments.withColumn("_cell", F.lit(-1))))
-    inside = F.col("lat").between(box.lat_min, box.lat_max) & F.col("lon").between(box.lon_min, box.lon_max)
-    asked = points.withColumn("_cell", F.when(inside, cell_of(F.col("lat"), F.col("lon"), box, step)).otherwise(F.lit(-1)))
-    met = asked.join(folded, ["shape_id", "_cell"], "left")
-    best = F.array_min(F.transform("_pieces", lambda s: F.struct(measure(s).alias("m"), s["seq"].alias("seq"), s.alias("s"))))
-    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    return met.withColumn("_b", F.when(placed, best)).select(*points.columns, F.col("_b.m").alias("_m"), F.col("_b.s").alias("_s"))
+    n = len(lat)
+    place, run, bound, pieces = np.repeat(np.arange(n), len(shape.boxes[-1][0])), np.tile(np.arange(len(shape.boxes[-1][0])), n), np.full(n, np.inf), len(seq)
+    for level in range(len(shape.boxes) - 1, 0, -1):
+        # a piece of each run, from its middle, for an upper bound
+        middle = np.minimum(run * FAN ** level + FAN ** level // 2, pieces - 1)
+        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        bound = np.minimum(bound, np.minimum.reduceat(shape.measure(lat[place], lon[place], middle), first) * _KEEP + 1e-300)
+        kept = shape.low(lat[place], lon[place], level, run) <= bound[place]
+        place, run = place[kept], run[kept]
+        place, run = np.repeat(place, FAN), (run[:, None] * FAN + np.arange(FAN)).ravel()
+        real = run < len(shape.boxes[level - 1][0])
+        place, run = place[real], run[real]
+    measured = np.bincount(place, minlength=n)
+    order = np.lexsort((seq[run], shape.measure(lat[place], lon[place], run), place))
+    return run[order[np.cumsum(measured) - measured]], measured
+
+
+def _nearest(points: DataFrame, pieces: DataFrame, kind: type[Vertices], chunk: int = 8_192) -> DataFrame:
+    """Points with ``_s``, the piece of their shape that is nearest (lowest sequence on a tie).
+
+    Points are counted by shape first, so that a shape of many points is searched by many groups. A group builds the shape's boxes,
+    a fifteenth of its pieces, and searches its points in chunks. A point without a place or a shape stays, with NULLs.
+    """
+    named = list(points.columns)
+    fields = [c for c in pieces.columns if c != "shape_id"]
+    counts = points.groupBy(F.col("shape_id").alias("_shape")).agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("_parts"))
+    slots = points.withColumn("_slot", F.pmod(F.xxhash64(*named), F.lit(1 << 30)))
+    met = slots.join(counts, F.col("shape_id").eqNullSafe(F.col("_shape"))).withColumn("_part", F.col("_slot") % F.col("_parts"))
+    told = counts.withColumnRenamed("_shape", "shape_id").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts").cast("long") - 1)))
+    lines = along_curve(pieces, kind.ends).join(told.select("shape_id", "_part"), "shape_id")
+    piece = T.StructType([T.StructField(c, pieces.schema[c].dataType) for c in fields])
+    schema = T.StructType([*points.schema.fields, T.StructField("_s", piece)])
+    kinds = pa.struct([(f.name, to_arrow_type(f.dataType)) for f in piece])
+
+    def run(batch: pa.Table, line: pa.Table) -> pa.Table:
+        lat, lon = (pc.cast(batch[c], pa.float64()).to_numpy(zero_copy_only=False) if batch.num_rows else np.zeros(0) for c in ("lat", "lon"))
+        best = np.full(batch.num_rows, -1)
+        placed = np.flatnonzero(~(np.isnan(lat) | np.isnan(lon)))
+        if line.num_rows and len(placed):
+            line = line.sort_by("_at")
+            shape, seq = kind(line.select(list(kind.ends)).to_pandas()), line["seq"].to_numpy()
+            for a in range(0, len(placed), chunk):
+                at = placed[a:a + chunk]
+                best[at] = search(shape, seq, lat[at], lon[at])[0]
+        found = pa.array(np.where(best < 0, 0, best), pa.int64(), mask=best < 0)
+        members = [pc.cast(line[c].combine_chunks(), t.type).take(found) for c, t in zip(fields, kinds, strict=True)]
+        picked = pa.StructArray.from_arrays(members, fields=list(kinds), mask=pa.array(best < 0))
+        return pa.table([*(batch[c] for c in named), picked], names=[*named, "_s"])
+
+    left = met.select(*named, F.col("shape_id").alias("_shape"), F.col("_part").cast("long").alias("_part"))
+    right = lines.select(F.col("shape_id").alias("_shape"), "_part", "_at", *fields)
+    return left.groupBy("_shape", "_part").cogroup(right.groupBy("_shape", "_part")).applyInArrow(run, schema)
 
 
 def _piece(*names: str) -> list[Column]:
     return [F.col(f"_s.{n}") for n in names]
 
 
-def snap_to_shape(points: DataFrame, segments: DataFrame, key: list[str], box: Box = DEFAULTS.box, step: float = 0.01,
-                  radius: float = EARTH_RADIUS_MI_ROUND) -> DataFrame:
+def snap_to_shape(points: DataFrame, segments: DataFrame, key: list[str], radius: float = EARTH_RADIUS_MI_ROUND) -> DataFrame:
     """Distance along the shape at the foot on the segment after the nearest vertex, and how far off.
 
     ``points`` need ``shape_id, lat, lon``; ``key`` identifies a point together with its shape.
     """
-    found = _nearest(points, segments, vertex_index(segments, box, step), lambda s: half_chord("lat", "lon", s["lat1"], s["lon1"]), box, step)
+    found = _nearest(points.select(*dict.fromkeys([*key, "shape_id", "lat", "lon"])), segments, Vertices)
     lat1, lon1, lat2, lon2, dist1, dist2 = _piece("lat1", "lon1", "lat2", "lon2", "dist1", "dist2")
     t = segment_fraction("lat", "lon", lat1, lon1, lat2, lon2)
     return found.select(*key, F.col("_s.seq").alias("seq"), F.when(F.col("_s").isNotNull(), dist1 + t * (dist2 - dist1)).alias("along"), haversine("lat", "lon", lat1, lon1, radius).alias("off"))
 
 
-def project_onto_polyline(points: DataFrame, segments: DataFrame, key: list[str], box: Box = DEFAULTS.box, step: float = 0.01) -> DataFrame:
+def project_onto_polyline(points: DataFrame, segments: DataFrame, key: list[str]) -> DataFrame:
     """Nearest segment by perpendicular distance: its index, the fraction on it, the foot, the distance."""
     real = segments.where(~F.col("is_last"))
 
@@ -136,16 +203,12 @@ def project_onto_polyline(points: DataFrame, segments: DataFrame, key: list[str]
         t = segment_fraction("lat", "lon", s["lat1"], s["lon1"], s["lat2"], s["lon2"], tiny=1e-300)
         return t, s["lat1"] + t * (s["lat2"] - s["lat1"]), s["lon1"] + t * (s["lon2"] - s["lon1"])
 
-    def away(s) -> Column:
-        _, lat, lon = foot(s)
-        return (F.col("lat") - lat) * (F.col("lat") - lat) + (F.col("lon") - lon) * (F.col("lon") - lon)
-
-    found = _nearest(points, real, segment_index(real, box, step), away, box, step)
+    found = _nearest(points.select(*dict.fromkeys([*key, "shape_id", "lat", "lon"])), real, Segments)
     t, foot_lat, foot_lon = foot(F.col("_s"))
     some = lambda c: F.when(F.col("_s").isNotNull(), c)
     return found.select(
         *key, F.col("_s.seq").alias("seq"), some(t).alias("fraction"), foot_lat.alias("foot_lat"), foot_lon.alias("foot_lon"),
-        F.sqrt("_m").alias("distance"), planar_heading(*_piece("lat1", "lon1", "lat2", "lon2")).alias("heading"),
+        F.sqrt((F.col("lat") - foot_lat) * (F.col("lat") - foot_lat) + (F.col("lon") - foot_lon) * (F.col("lon") - foot_lon)).alias("distance"), planar_heading(*_piece("lat1", "lon1", "lat2", "lon2")).alias("heading"),
     )
 
 

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pingloom import schemas
-from pingloom.config import Box
 from pingloom.functions import geo as G
 from pingloom.functions import scalars as S
 from pingloom.functions import times as T
@@ -117,13 +116,15 @@ def test_stops_ahead_ranks(spark):
 
 def test_snapping_equals_brute_force(spark):
     rng = np.random.default_rng(1)
-    box = Box(32.5, 32.7, -85.6, -85.4)
     shape = [(1, i, 32.5 + 0.2 * rng.random(), -85.6 + 0.2 * rng.random(), float(i)) for i in range(40)] + [(2, 0, 32.55, -85.5, 0.0), (2, 1, 32.55, -85.5, 1.0)]
     pts = [(i, 1 + i % 2, 32.5 + 0.2 * rng.random(), -85.6 + 0.2 * rng.random()) for i in range(120)] + [(500, 1, 32.5, -85.6), (501, 1, 32.7, -85.4)]
+    # far away, on the other side, at the poles and the globe's edges, on a vertex, and off the globe
+    far = [(33.9, -84.0), (-32.5, 94.5), (90.0, 0.0), (-90.0, 10.0), (0.0, 180.0), (12.0, -180.0), (32.55, -85.5), (95.0, 10.0), (32.6, -445.0)]
+    pts += [(600 + 2 * k + s, 1 + s, *at) for k, at in enumerate(far) for s in (0, 1)]
     segments = geometry.shape_segments(spark.createDataFrame(shape, "shape_id int, seq int, lat double, lon double, dist double"))
     points = spark.createDataFrame(pts, "id int, shape_id int, lat double, lon double")
-    snapped = {r.id: r for r in geometry.snap_to_shape(points, segments, ["id", "shape_id"], box, 0.03).collect()}
-    placed = {r.id: r for r in geometry.project_onto_polyline(points, segments, ["id", "shape_id"], box, 0.03).collect()}
+    snapped = {r.id: r for r in geometry.snap_to_shape(points, segments, ["id", "shape_id"]).collect()}
+    placed = {r.id: r for r in geometry.project_onto_polyline(points, segments, ["id", "shape_id"]).collect()}
     assert len(snapped) == len(placed) == len(pts)
 
     def chord(a, b, c, d):
@@ -143,6 +144,42 @@ def test_snapping_equals_brute_force(spark):
         assert abs(placed[i].distance - best) < 1e-12
 
 
+def test_hilbert_curve_visits_neighbours(spark):
+    cells = spark.range(256).selectExpr("id div 16 AS x", "id % 16 AS y").withColumn("d", geometry.hilbert(F.col("x"), F.col("y"), 4))
+    path = [(r.x, r.y) for r in sorted(cells.collect(), key=lambda r: r.d)]
+    assert sorted(r.d for r in cells.collect()) == list(range(256))
+    assert all(abs(a - c) + abs(b - d) == 1 for (a, b), (c, d) in zip(path, path[1:], strict=False))
+
+
+def test_search_measures_few_pieces(spark):
+    """For places in the area and anywhere else, on a shape that winds: its pieces are compared through a fifteenth as many boxes."""
+    for n in (400, 6400):
+        turn = np.arange(n) / 40
+        line = [(1, i, 32.6 + 0.0001 * i * math.sin(t), -85.5 + 0.0001 * i * math.cos(t), float(i)) for i, t in enumerate(turn)]
+        segments = geometry.shape_segments(spark.createDataFrame(line, "shape_id int, seq int, lat double, lon double, dist double"))
+        rng = np.random.default_rng(n)
+        lat, lon = np.r_[32.6 + 0.2 * rng.normal(size=920), rng.uniform(-90, 90, 80)], np.r_[-85.5 + 0.2 * rng.normal(size=920), rng.uniform(-180, 180, 80)]
+        for kind in (geometry.Vertices, geometry.Segments):
+            pieces = geometry.along_curve(segments.where("NOT is_last"), kind.ends).orderBy("_at").toPandas()
+            shape, seq = kind(pieces), pieces["seq"].to_numpy()
+            assert sum(len(b[0]) for b in shape.boxes[1:]) < n / 14 + 2
+            best, measured = geometry.search(shape, seq, lat, lon)
+            assert measured.mean() < 100 and measured.max() <= 640
+            for k in range(0, 1000, 7):
+                every = shape.measure(np.full(len(seq), lat[k]), np.full(len(seq), lon[k]), np.arange(len(seq)))
+                assert every[best[k]] == every.min()
+
+
+def test_points_without_place_or_shape_stay(spark):
+    segments = geometry.shape_segments(spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 1, 0.0, 1.0, 9.0), (2, 0, None, 1.0, 0.0)], "shape_id int, seq int, lat double, lon double, dist double"))
+    rows = [(1, 1, 0.1, 0.9), (2, 1, None, 0.9), (3, None, 0.1, 0.9), (4, 7, 0.1, 0.9), (5, 2, 0.1, 0.9), (1, 1, 0.1, 0.9)]
+    points = spark.createDataFrame(rows, "id int, shape_id int, lat double, lon double")
+    got = sorted((r.id, r.seq) for r in geometry.project_onto_polyline(points, segments, ["id", "shape_id"]).collect())
+    assert got == [(1, 0), (1, 0), (2, None), (3, None), (4, None), (5, None)]
+    assert geometry.snap_to_shape(points.limit(0), segments, ["id", "shape_id"]).collect() == []
+    assert {r.seq for r in geometry.snap_to_shape(points, segments.limit(0), ["id", "shape_id"]).collect()} == {None}
+
+
 def test_route_distance_choices(spark):
     cols = "id int, shape_id int, along double, off double, stop_dist double, shape_length double"
     rows = [
