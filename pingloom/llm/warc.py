@@ -80,10 +80,6 @@ def _segments(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("lineSep", MARK).text(folder).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
 
 
-def _numbered(segments: DataFrame) -> DataFrame:
-    return segments.withColumn("idx", F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))).drop("at")
-
-
 def _ends(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
     """The block's candidates by offset, and the place of each one's successor among them (-1: not here)."""
     pdf = pdf.sort_values("off", kind="stable").reset_index(drop=True)
@@ -114,7 +110,7 @@ def _marks(pdf: pd.DataFrame) -> pd.DataFrame:
     while i >= 0 and valid[i]:
         reached[i] = True
         i = nxt[i]
-    return pd.DataFrame({"file": pdf["file"], "block": pdf["block"], "idx": pdf["idx"], "off": pdf["off"], "reached": reached})
+    return pd.DataFrame({"file": pdf["file"], "block": pdf["block"], "off": pdf["off"], "reached": reached})
 
 
 def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
@@ -128,7 +124,7 @@ def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
     whole = F.col("len") >= F.col("hlen") + F.col("clen") + 8
     body = F.substring(value.cast("binary"), (F.col("hlen") + 5).cast("int"), F.col("clen").cast("int"))
     light = seen.select(
-        "file", "block", "at", "len", "hlen", "clen", F.coalesce(whole, F.lit(False)).alias("whole"), F.when(whole, F.sha1(body)).alias("sha"),
+        "file", "block", "at", "len", "hlen", "clen", F.sha2(value.cast("binary"), 256).alias("seg"), F.coalesce(whole, F.lit(False)).alias("whole"), F.when(whole, F.sha1(body)).alias("sha"),
         _field(F.col("head"), "WARC-Type").alias("kind"), _field(F.col("head"), "WARC-Target-URI").alias("uri"), _field(F.col("head"), "X-Page-Id").alias("page"),
         _field(F.col("head"), "X-Payload-Length").alias("plen"), _field(F.col("head"), "WARC-Payload-Digest").alias("digest"), _field(F.col("head"), "X-Refers-To-Page").alias("refers"))
     light = materialize(light)
@@ -139,7 +135,7 @@ def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
     by_file = Window.partitionBy("bfile").orderBy("bblock")
     blocks = materialize(blocks.withColumn("before", F.sum("span").over(by_file) - F.col("span")).withColumn("fsize", F.sum("span").over(Window.partitionBy("bfile")) - len(MARK)))
     start = F.col("before") + F.sum(step).over(in_block) - step
-    placed = light.join(blocks.select("bfile", "bblock", "before", "fsize"), (F.col("file") == F.col("bfile")) & (F.col("block") == F.col("bblock"))).withColumn("start", start).withColumn("idx", F.row_number().over(in_block))
+    placed = light.join(blocks.select("bfile", "bblock", "before", "fsize"), (F.col("file") == F.col("bfile")) & (F.col("block") == F.col("bblock"))).withColumn("start", start)
     end = F.col("start") + F.col("hlen") + F.col("clen") + 8
     succ = F.when((end <= F.col("fsize")) & (F.col("start") > 0), end).otherwise(F.lit(-1))
     placed = materialize(placed.withColumn("succ", F.coalesce(succ, F.lit(-1))).withColumn("off", F.col("start") - len(MARK)).drop("bfile", "bblock", "before", "at"))
@@ -156,13 +152,13 @@ def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
             entries = materialize(entries.union(onward).distinct())
             to = jumps.select("file", F.col("off").alias("exit"), F.col("exit").alias("onward"))
             jumps = materialize(jumps.join(to, ["file", "exit"]).select("file", "off", F.col("onward").alias("exit")))
-    flagged = cand.select("file", "block", "idx", "off", "succ").join(entries.withColumn("hit", F.lit(True)), ["file", "off"], "left").withColumn("entry", F.coalesce("hit", F.lit(False)))
-    marks = flagged.select("file", "block", "idx", "off", "succ", "entry").groupBy("file", "block").applyInPandas(_marks, "file string, block long, idx int, off long, reached boolean")
+    flagged = cand.select("file", "block", "off", "succ").join(entries.withColumn("hit", F.lit(True)), ["file", "off"], "left").withColumn("entry", F.coalesce("hit", F.lit(False)))
+    marks = flagged.select("file", "block", "off", "succ", "entry").groupBy("file", "block").applyInPandas(_marks, "file string, block long, off long, reached boolean")
     marks = materialize(marks)
     reached = marks.where("reached").select(F.col("file").alias("f"), F.col("off").alias("o"))
     records = materialize(cand.join(reached, (F.col("file") == F.col("f")) & (F.col("off") == F.col("o"))).drop("f", "o"))
     if payload or records.where(~F.col("whole")).limit(1).count():
-        records = _with_payload(spark, folder, marks, records if payload else records.where(~F.col("whole")), None if payload else records.where("whole"))
+        records = _with_payload(spark, folder, marks, cand, records if payload else records.where(~F.col("whole")), None if payload else records.where("whole"))
     else:
         records = records.withColumn("payload", F.lit(None).cast("binary"))
     sha = base32_of_hex(F.col("sha"))
@@ -175,16 +171,22 @@ def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
     return out if payload else out.drop("payload")
 
 
-def _with_payload(spark: SparkSession, folder: str, marks: DataFrame, wanted: DataFrame, rest: DataFrame | None) -> DataFrame:
-    """Put together the payloads of ``wanted`` from the segments between each record and the next one that the chain reaches."""
+def _with_payload(spark: SparkSession, folder: str, marks: DataFrame, cand: DataFrame, wanted: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """Put together the payloads of ``wanted`` from the segments between each record and the next one that the chain reaches.
+
+    The first reading decides which segments belong to a record. The archives are read again for their bytes only, which are found by
+    their digest and not by their place: the second reading may cut the files into other ranges.
+    """
     last = marks.where("reached").groupBy("file", "block").agg(F.max("off").alias("last"))
     every = marks.select("file", "block").distinct().join(last, ["file", "block"], "left")
     carried = every.withColumn("carry", F.last("last", True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("file").alias("cf"), F.col("block").alias("cb"), "carry")
     own = F.last(F.when(F.col("reached"), F.col("off")), True).over(Window.partitionBy("file", "block").orderBy("off"))
-    owned = marks.withColumn("own", own).join(carried, (F.col("file") == F.col("cf")) & (F.col("block") == F.col("cb")), "left").select("file", "block", "idx", "off", F.coalesce("own", "carry").alias("owner"))
-    parts = materialize(owned.join(wanted.select("file", F.col("off").alias("owner")), ["file", "owner"], "left_semi"))
-    texts = _numbered(_segments(spark, folder).join(parts.select("file", "block").distinct(), ["file", "block"], "left_semi"))
-    joined = texts.join(parts, ["file", "block", "idx"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("off", F.col("value").cast("binary").alias("v")))).alias("vs"))
+    owned = marks.withColumn("own", own).join(carried, (F.col("file") == F.col("cf")) & (F.col("block") == F.col("cb")), "left").select("file", "off", F.coalesce("own", "carry").alias("owner"))
+    owned = owned.join(wanted.select("file", F.col("off").alias("owner")), ["file", "owner"], "left_semi")
+    parts = materialize(owned.join(cand.select("file", "off", "seg"), ["file", "off"]))
+    needed = parts.select(F.col("seg").alias("s")).distinct()
+    texts = _segments(spark, folder).select(F.sha2(F.col("value").cast("binary"), 256).alias("s"), "value").join(needed, "s", "left_semi").groupBy("s").agg(F.first("value").alias("value"))
+    joined = parts.join(texts, F.col("seg") == F.col("s")).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("off", F.col("value").cast("binary").alias("v")))).alias("vs"))
     mark = F.lit(MARK).cast("binary")
     glued = F.aggregate("vs", F.lit(None).cast("binary"), lambda acc, v: F.when(acc.isNull(), v["v"]).otherwise(F.concat(acc, mark, v["v"])))
     bodies = joined.select("file", F.col("owner").alias("off"), glued.alias("bytes"))

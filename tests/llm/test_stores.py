@@ -61,6 +61,28 @@ def test_archives_round_trip(spark, ranges, tmp_path):
             assert bytes(read[page, "response"]["payload"]) == (b or "").encode()
 
 
+def test_archives_cut_anew_between_two_readings(spark, tmp_path, monkeypatch):
+    """Executors come and go, and with them the ranges a file is read in: the second reading needn't have those of the first."""
+    bodies = [f"{FAKE}{'z' * (i % 90)}{FAKE}{i}" if i % 3 == 0 else f"plain {i}" for i in range(300)]
+    pages = spark.createDataFrame([(i, "u", b) for i, b in enumerate(bodies)], "page_id long, url string, html string").coalesce(2)
+    old, cuts = {k: spark.conf.get(k, None) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")}, []
+    plain = warc._segments
+
+    def segments(*args):
+        cuts.append(spark.conf.set("spark.sql.files.minPartitionNum", str(4 + 3 * len(cuts))))
+        return plain(*args)
+
+    monkeypatch.setattr(warc, "_segments", segments)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = warc.report(pages, str(tmp_path / "warc")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len(cuts) == 2 and len(got) == 300 and all(r["intact"] for r in got)
+    assert {(r["page_id"], r["payload_digest"]) for r in got} == {(i, base32(b.encode())) for i, b in enumerate(bodies)}
+
+
 def test_archives_of_nothing_and_broken_chains(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "one"), (2, "u", "two"), (3, "u", "three")], "page_id long, url string, html string")
     assert warc.report(pages.limit(0), str(tmp_path / "none")).count() == 0
