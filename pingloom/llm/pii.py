@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ STREETS = frozenset("street st road rd avenue ave lane ln drive dr boulevard blv
 CUES = frozenset("mail email e-mail phone tel telephone call fax mobile cell contact reach card credit visa mastercard account iban ssn social security ip host address lives born name mr mrs ms dr signed".split())
 COUNTER = frozenset("isbn issn version release order invoice part item page chapter section figure table model serial eq equation lot build".split())
 
-MAX_TRAIN = 20_000  # candidates the span classifier is fitted on, smallest hash first
+MAX_TRAIN = 20_000  # kinds of candidates the span classifier is fitted on, smallest hash first
 BUCKETS = 256
 
 _DIGIT = re.compile(r"[0-9]")
@@ -155,48 +156,69 @@ def em(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
     return dict(zip(keys, p.tolist(), strict=True))
 
 
-def fit(rows: list[tuple[list[int], float]], epochs: int = 30) -> np.ndarray:
-    """Logistic weights (the last is the bias) by gradient descent on soft labels."""
+def fit(rows: list[tuple[list[int], float, int]], epochs: int = 30) -> np.ndarray:
+    """Logistic weights (the last is the bias) by gradient descent on (features, soft label, number of such rows)."""
     w = np.zeros(BUCKETS + 1)
     if not rows:
         return w
-    lengths = np.array([len(f) for f, _ in rows])
-    idx = np.concatenate([np.array(f, int) for f, _ in rows])
+    lengths = np.array([len(f) for f, _, _ in rows])
+    idx = np.concatenate([np.array(f, int) for f, _, _ in rows])
     row = np.repeat(np.arange(len(rows)), lengths)
-    y = np.array([v for _, v in rows])
-    hits = np.maximum(np.bincount(idx, minlength=BUCKETS), 1)
+    y, many = np.array([v for _, v, _ in rows]), np.array([n for _, _, n in rows], float)
+    hits = np.maximum(np.bincount(idx, many[row], BUCKETS), 1)
     for _ in range(epochs * 10):
         z = np.bincount(row, w[idx], len(rows)) + w[-1]
-        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * many
         w[:-1] -= 0.5 * (np.bincount(idx, g[row], BUCKETS) / (hits + 10) + 1e-3 * w[:-1])
-        w[-1] -= 0.5 * g.mean()
+        w[-1] -= 0.5 * g.sum() / many.sum()
     return w
 
 
 def accepted(cands: list[tuple], w: list[float]) -> list[tuple[int, int, int, bool]]:
-    """(kind, start, end, is base): base spans stay; others if the classifier agrees and nothing accepted before overlaps them."""
-    base = [c for c in cands if c[3]]
-    out = [c[:4] for c in base]
-    more: list[tuple[int, int, int, bool]] = []
-    for kind, a, b, is_base, _, features in cands:
-        if is_base or w[-1] + sum(w[f] for f in features) < 0:
-            continue
-        if not any(x[1] < b and a < x[2] for x in (*base, *more)):
-            more.append((kind, a, b, False))
-    return sorted([*out, *more])
+    """(kind, start, end, is base): base spans stay; others if the classifier agrees and nothing accepted before overlaps them.
+
+    The others are tried in the order of kind and start. A kind's own spans rise and don't overlap, so a sweep beside the spans
+    accepted until then, merged, finds overlaps: linear in the number of candidates for each kind.
+    """
+    out = sorted(c[:4] for c in cands if c[3])
+    taken = _merged([(c[1], c[2]) for c in out])
+    wanted = [c[:4] for c in cands if not c[3] and w[-1] + sum(w[f] for f in c[5]) >= 0]
+    for _, spans in groupby(sorted(wanted), key=lambda c: c[0]):
+        new, at, done = [], 0, -1
+        for span in spans:
+            while at < len(taken) and taken[at][1] <= span[1]:
+                at += 1
+            if span[1] >= done and not (at < len(taken) and taken[at][0] < span[2]):
+                new.append(span)
+                done = span[2]
+        out += new
+        taken = _merged([*taken, *((c[1], c[2]) for c in new)])
+    return sorted(out)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, as rising spans that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def learn(found: DataFrame, cands: str, max_train: int = MAX_TRAIN) -> list[float]:
     """Weights of the span classifier. The vote patterns of all candidates are counted (at most 3^6 rows reach the driver); the
-    classifier is fitted to their posteriors on the at most ``max_train`` candidates of smallest hash."""
+    classifier is fitted to their posteriors on the at most ``max_train`` distinct kinds of candidates (equal votes and features) of
+    smallest hash, each with the number of candidates like it as its weight, so that copies of one take one place."""
     each = found.select(F.explode(cands).alias("c")).select("c.*")
-    counts = {r["votes"]: r["n"] for r in each.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    alike = materialize(each.groupBy("votes", "features").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("votes", "features")))
+    counts = {r["votes"]: r["n"] for r in alike.groupBy("votes").agg(F.sum("n").alias("n")).collect()}
     posterior = em(counts)
-    hashed = each.select("votes", "features", F.xxhash64("kind", "start", "end", "votes", "features").alias("h"))
     # about twice the wanted number by hash first, so that what tasks send to be sorted doesn't grow with their number
-    share = min(1.0, 2 * max_train / max(1, sum(counts.values())))
-    sample = hashed.where(F.pmod("h", F.lit(1 << 31)) < share * (1 << 31)).orderBy("h", "votes", "features").limit(max_train).collect()
-    return fit([(r["features"], posterior[r["votes"]]) for r in sample]).tolist()
+    share = min(1.0, 2 * max_train / max(1, alike.count()))
+    sample = alike.where(F.pmod("h", F.lit(1 << 31)) < share * (1 << 31)).orderBy("h", "votes", "features").limit(max_train).collect()
+    return fit([(r["features"], posterior[r["votes"]], r["n"]) for r in sample]).tolist()
 
 
 _NAMES = ("kind", "start", "end", "base", "votes", "features")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -162,3 +163,48 @@ def test_pattern_rules_are_found_under_each_of_their_tokens(spark):
         rows = spark.createDataFrame([(i, u) for i, u in enumerate([*fitting, *others])], "page_id long, url string")
         got = {r["page_id"]: r["verdict"] for r in urls.report(rows).collect()}
         assert [got[i] for i in range(len(fitting))] == ["block"] * len(fitting), rare
+
+
+def test_accepted_spans_equal_a_pairwise_rule():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        cands = []
+        for kind in range(6):
+            at = 0
+            while at < 60:
+                at += int(rng.integers(0, 9))
+                end = at + int(rng.integers(1, 7))
+                cands.append((kind, at, end, kind < 3, "", [int(rng.integers(0, 2))]))
+                at = end
+        kept, more = [c for c in cands if c[3]], []
+        for c in sorted(c for c in cands if not c[3] and c[5] == [0]):
+            if not any(x[1] < c[2] and c[1] < x[2] for x in [*kept, *more]):
+                more.append(c)
+        assert pii.accepted(cands, [0.5, -2.0, 0.5]) == sorted(c[:4] for c in [*kept, *more])
+
+
+def test_a_text_of_a_hundred_thousand_numbers(spark, docs_of):
+    """Time in proportion to the text: pairwise comparison of its spans would take minutes."""
+    import time
+
+    text = " ".join(f"+1 555 {i:07d} or 555-{i % 1000:03d}-{i % 10000:04d}" for i in range(50_000))
+    start = time.time()
+    found = pii.candidates(text)
+    assert len(found) == 100_000
+    assert len(pii.accepted(found, [1.0] * (pii.BUCKETS + 1))) == 100_000
+    assert time.time() - start < 20
+
+
+def test_copies_of_one_candidate_take_one_training_row(spark, docs_of, monkeypatch):
+    """A number copied into most documents doesn't fill the sample: all kinds of candidates are in it, with their counts."""
+    seen = []
+    fit = pii.fit
+    monkeypatch.setattr(pii, "fit", lambda rows, *a: seen.append(rows) or fit(rows, *a))
+    texts = ["call 555-123-4567 now"] * 400 + [f"isbn no {k} 123-45-678{k}" for k in range(5)]
+    docs = docs_of(texts)
+    found = pii.proposed(docs, "text", [])
+    pii.learn(found, found.columns[-1], 3)
+    (rows,) = seen
+    assert len(rows) <= 3 and len({tuple(f) for f, _, _ in rows}) == len(rows)
+    pii.learn(found, found.columns[-1])
+    assert sum(n for _, _, n in seen[1]) == 405 and max(n for _, _, n in seen[1]) == 400
