@@ -291,9 +291,11 @@ def grouped(docs: DataFrame, text: str, doc_id: str, keep: list[str], s: Setting
     comps = linked(reps.select("rid", "bands"), rows.select(F.col(rid).alias("rid"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), s)
     named = reps.join(comps.withColumnRenamed("rid", "c"), F.col("rid") == F.col("c"), "left").select("ca", "cb", "none", "id", "rid", F.coalesce("comp", "rid").alias("comp"))
     first = materialize(named.groupBy(F.col("comp").alias("fc")).agg(F.min(F.struct("none", "id", "rid")).alias("o")).select("fc", F.col("o.id").alias("first_id"), F.col("o.rid").alias("first_rid")))
-    answer = materialize(named.join(first, F.col("comp") == F.col("fc")).select("ca", "cb", "first_id", "first_rid"))
-    out = rows.join(answer, (F.col(class_a) == F.col("ca")) & (F.col(class_b) == F.col("cb")))
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("first_id").alias(group), (F.col(rid) == F.col("first_rid")).alias(kept)), [group, kept]
+    told = fresh(rows.columns, "ca", "cb", "first_id", "first_rid")
+    answer = materialize(named.join(first, F.col("comp") == F.col("fc")).select("ca", "cb", "first_id", "first_rid").toDF(*told))
+    ca, cb, first_id, first_rid = map(F.col, told)
+    out = rows.join(answer, (F.col(class_a) == ca) & (F.col(class_b) == cb))
+    return out.select(*[F.col(f"`{c}`") for c in keep], first_id.alias(group), (F.col(rid) == first_rid).alias(kept)), [group, kept]
 
 
 def report(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -239,7 +239,7 @@ def pack(docs: DataFrame, text: str = "text", keep: list[str] | None = None, pat
     kept = [c for c in docs.columns if c != text] if keep is None else keep
     cut = pieces(docs, text, kept, path or vocabulary(), size, ids)
     names = cut.columns[len(kept):]
-    row, seq, off = fresh(cut.columns, "row", "sequence_id", "offset")
+    row, seq, off, at = fresh(cut.columns, "row", "sequence_id", "offset", "at")
     stage = numbered(cut, row)
-    places = assign(stage, row, names[2], size).select(F.col(row).alias("_at"), F.col("sequence_id").alias(seq), F.col("offset").alias(off))
-    return stage.join(places, F.col(f"`{row}`") == F.col("_at")).select(*[F.col(f"`{c}`") for c in [*cut.columns, seq, off]])
+    places = assign(stage, row, names[2], size).select(F.col(row).alias(at), F.col("sequence_id").alias(seq), F.col("offset").alias(off))
+    return stage.join(places, F.col(f"`{row}`") == F.col(at)).select(*[F.col(f"`{c}`") for c in [*cut.columns, seq, off]])

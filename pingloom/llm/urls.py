@@ -97,7 +97,7 @@ def token_counts(urls: DataFrame, url: str, rules: list) -> dict[str, int]:
     if not wanted:
         return {}
     listed = F.array(*map(F.lit, wanted))
-    seen = urls.select(F.explode(F.array_intersect(tokens_of(F.col(url)), listed)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    seen = urls.select(F.explode(F.array_intersect(tokens_of(F.col(f"`{url}`")), listed)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     return dict.fromkeys(wanted, 0) | {r["t"]: r["n"] for r in seen.collect()}
 
 
@@ -121,12 +121,12 @@ def judge(urls: DataFrame, url: str = "url", hosts: tuple[HostRule, ...] = HOST_
     kept = urls.columns if keep is None else keep
     rules = [*hosts, *patterns]
     filed, rest = index_rules(rules, token_counts(urls, url, rules))
-    u = F.coalesce(F.col(url), F.lit(""))
+    u = F.coalesce(F.col(f"`{url}`"), F.lit(""))
     number = lambda ids: F.array(*[F.lit(k) for k in ids]).cast("array<int>")
     if filed:
         entries = [x for t, ids in sorted(filed.items()) for x in (F.lit(t), number(ids))]
         index = F.create_map(*entries)
-        fetched = F.flatten(F.filter(F.transform(tokens_of(F.col(url)), lambda t: F.try_element_at(index, t)), lambda ids: ids.isNotNull()))
+        fetched = F.flatten(F.filter(F.transform(tokens_of(F.col(f"`{url}`")), lambda t: F.try_element_at(index, t)), lambda ids: ids.isNotNull()))
         fetched = F.concat(fetched, number(rest)) if rest else fetched
     else:
         fetched = number(rest)
@@ -138,7 +138,7 @@ def judge(urls: DataFrame, url: str = "url", hosts: tuple[HostRule, ...] = HOST_
     best = F.array_max(F.transform(fits, lambda k: F.struct(F.get(ranks, k).alias("r"), k.alias("k"))))["k"]
     names = F.array(*[F.lit(r.name) for r in rules]) if rules else F.array(F.lit(""))
     verdicts = F.array(*[F.lit(r.verdict) for r in rules]) if rules else F.array(F.lit("allow"))
-    decided = urls.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], host_of(F.col(url)).alias("h"), path_of(F.col(url)).alias("p"), best.alias("b"))
+    decided = urls.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], host_of(F.col(f"`{url}`")).alias("h"), path_of(F.col(f"`{url}`")).alias("p"), best.alias("b"))
     by_host = F.col("b") < len(hosts)
     return decided.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)],

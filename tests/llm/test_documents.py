@@ -304,3 +304,12 @@ def test_quality_passes_over_texts_that_do_not_fit(spark, docs_of, monkeypatch):
     assert sorted(learned) == sorted(texts[i] for i in usable) and sum(map(len, learned)) <= s.max_chars
     assert labels == [texts.index(t) % 2 for t in learned]
     assert set(p["predicted"]) == {0, 1} and (p["score"] != 0.5).any()
+
+
+def test_extra_columns_may_have_any_name(docs_of):
+    extra = ["ca", "cb", "first_id", "first_rid", "_at", "row", "at", "rid", "comp", "fc", "class_a", "bands", "item"]
+    docs = docs_of(["one two three four five six"] * 3 + ["another text", None], extra=extra)
+    assert sorted(r["doc_id"] for r in neardup.distinct(docs).collect()) == [0, 3, 4]
+    assert neardup.distinct(docs).columns == docs.columns
+    packed = packing.pack(docs)
+    assert set(extra) <= set(packed.columns) and packed.count() == 5

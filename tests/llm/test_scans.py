@@ -208,3 +208,9 @@ def test_copies_of_one_candidate_take_one_training_row(spark, docs_of, monkeypat
     assert len(rows) <= 3 and len({tuple(f) for f, _, _ in rows}) == len(rows)
     pii.learn(found, found.columns[-1])
     assert sum(n for _, _, n in seen[1]) == 405 and max(n for _, _, n in seen[1]) == 400
+
+
+def test_a_url_column_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "http://www.example.com/en/x")], "page_id long, `page.url` string")
+    assert [r["verdict"] for r in urls.judge(pages, "page.url", keep=["page_id"]).collect()] == ["allow"]
+    assert urls.judge(pages, "page.url").columns == ["page_id", "page.url", "host", "path", "rule", "pattern", "verdict"]
