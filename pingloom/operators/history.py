@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from pingloom.config import DEFAULTS
 from pingloom.functions.scalars import clip
+from pingloom.operators.dictionary import folded, found
 from pingloom.operators.joins import lookup_left
 from pingloom.operators.quantiles import grouped_quantiles
+from pingloom.plans.stages import materialize
 
 CELL = ("route_id", "last_stop_id", "hour_ct", "day_type")
 
@@ -122,9 +124,12 @@ def s2s_tiers(train: DataFrame, label: str = "label_s", min_obs: int = DEFAULTS.
 
 def apply_s2s(df: DataFrame, tiers: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
     """Mean of the most specific known cell, else way x median pace; plus the tier that answered."""
-    joined = df
-    for tier, keys in zip(tiers, (S2S_TIER1, S2S_TIER2, S2S_TIER3), strict=True):
-        joined = joined.join(tier, list(keys), "left")
+    first, second, pace = tiers
+    # both stop-to-stop tiers in one join (their cells folded by stops), the route's pace in another
+    cells = first.select(*S2S_TIER1, F.col("t1").alias("t"), F.lit(0).alias("_tier")).unionByName(
+        second.select(*S2S_TIER2, F.col("t2").alias("t"), F.lit(1).alias("_tier")), allowMissingColumns=True)
+    joined = df.join(folded(cells, S2S_TIER1[:3], [S2S_TIER1[3:], S2S_TIER2[3:]], ["t"]), list(S2S_TIER1[:3]), "left")
+    joined = joined.withColumns({"t1": found("_dict", 0, S2S_TIER1[3:])["t"], "t2": found("_dict", 1, S2S_TIER2[3:])["t"]}).join(pace, list(S2S_TIER3), "left")
     by_pace = F.col("way") * F.col("t3")
     tier = F.when(F.col("t1").isNotNull(), 1).when(F.col("t2").isNotNull(), 2).when(by_pace.isNotNull(), 3).otherwise(0)
     return joined.select(*df.columns, F.coalesce("t1", "t2", by_pace).alias("baseline_s2s"), tier.alias("s2s_tier"))
@@ -132,11 +137,15 @@ def apply_s2s(df: DataFrame, tiers: tuple[DataFrame, DataFrame, DataFrame]) -> D
 
 def prorated_segments(stop_seq: DataFrame, travel: DataFrame, min_obs: int = DEFAULTS.prorated_min_obs) -> DataFrame:
     """Per route, day type and stop: the arriving segment's median with its fallbacks, cumulated along the route."""
-    by_day = grouped_quantiles(travel, ["route_id", "last_stop_id", "day_type"], "segment_s", {"_day": 0.5}, "_n").where(F.col("_n") >= min_obs)
-    any_day = grouped_quantiles(travel, ["route_id", "last_stop_id"], "segment_s", {"_any": 0.5}, "_n").where(F.col("_n") >= min_obs)
+    # both levels in one pass: each row counts for its day type and for all of them
+    levels = F.explode(F.array(F.struct(F.lit(False).alias("_all"), F.col("day_type")), F.struct(F.lit(True).alias("_all"), F.lit(None).cast(travel.schema["day_type"].dataType).alias("day_type"))))
+    rows = travel.select("route_id", "last_stop_id", "segment_s", levels.alias("_v")).select("route_id", "last_stop_id", "segment_s", "_v.*")
+    fitted = materialize(grouped_quantiles(rows, ["route_id", "last_stop_id", "_all", "day_type"], "segment_s", {"_m": 0.5}, "_n").where(F.col("_n") >= min_obs))
+    by_day = fitted.where(~F.col("_all")).select("route_id", "last_stop_id", "day_type", F.col("_m").alias("_day"))
+    any_day = fitted.where("_all").select("route_id", "last_stop_id", F.col("_m").alias("_any"))
     route = any_day.groupBy("route_id").agg(F.avg("_any").alias("_route"))
     stops = stop_seq.withColumn("day_type", F.explode(F.array(F.lit(0), F.lit(1))))
-    rename = lambda df: df.drop("_n").withColumnRenamed("last_stop_id", "stop_id")
+    rename = lambda df: df.withColumnRenamed("last_stop_id", "stop_id")
     cells = (
         stops.join(rename(by_day), ["route_id", "stop_id", "day_type"], "left")
         .join(rename(any_day), ["route_id", "stop_id"], "left").join(route, "route_id", "left")

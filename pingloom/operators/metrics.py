@@ -82,12 +82,14 @@ def within_thresholds(df: DataFrame, limits: Sequence[int] = (30, 60, 90, 120, 1
 
 def error_percentiles(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """p50..p99 of the absolute error and p5..p95 of the signed one."""
-    size = grouped_quantiles(df, keys, "abs_err", {f"abs_p{p}": p / 100 for p in (50, 75, 90, 95, 99)}, "n")
-    sign = grouped_quantiles(df, keys, "err", {f"err_p{p}": p / 100 for p in (5, 25, 50, 75, 95)})
-    if keys:
-        return size.join(sign, list(keys))
-    row = sign.select(F.struct(*sign.columns).alias("s")).scalar()
-    return size.select("*", *[row[c].alias(c) for c in sign.columns])
+    kinds = {"abs": ("abs_err", (50, 75, 90, 95, 99)), "err": ("err", (5, 25, 50, 75, 95))}
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("_kind"), F.col(c).cast("double").alias("_v")) for k, (c, _) in kinds.items()])).alias("_e")
+    tall = df.select(*keys, both).select(*keys, "_e.*")
+    every = sorted({p for _, ps in kinds.values() for p in ps})
+    q = grouped_quantiles(tall, [*keys, "_kind"], "_v", {f"p{p}": p / 100 for p in every}, "_n")
+    of = lambda kind, column: F.max(F.when(F.col("_kind") == kind, F.col(column)))
+    found = [of(k, f"p{p}").alias(f"{k}_p{p}") for k, (_, ps) in kinds.items() for p in ps]
+    return q.groupBy(*keys).agg(*found[:5], of("abs", "_n").alias("n"), *found[5:])
 
 
 def moments(df: DataFrame, column: str = "err") -> DataFrame:

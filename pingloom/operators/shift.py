@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pingloom.operators.quantiles import fine_bin, grouped_quantiles
-from pingloom.plans.slices import running_total
+from pingloom.operators.quantiles import grouped_quantiles
+from pingloom.plans.slices import in_ranges, running_total
+from pingloom.plans.stages import materialize
 
 
 def long_form(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -50,13 +51,14 @@ def high_error_summary(flagged: DataFrame, error: str = "abs_err") -> DataFrame:
 def ks_statistic(df: DataFrame, features: Sequence[str], flag: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of each feature: all rows against the flagged ones.
 
-    Equal values merge first; the running counts go bin by bin (see ``running_total``), so no
+    Equal values merge first; the running counts go by ranges of about equal numbers of values (see ``running_total``), so no
     feature is scanned by a single task.
     """
     tall = long_form(df, features, [flag]).where("value IS NOT NULL")
-    counts = tall.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_a"), F.count_if(F.col(flag) == 1).alias("_b"))
+    counts = materialize(tall.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_a"), F.count_if(F.col(flag) == 1).alias("_b")))
     total = counts.groupBy("feature").agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
-    running = running_total(counts, ["feature"], fine_bin(F.col("value")), ["value"], {"_ca": F.col("_a"), "_cb": F.col("_b")})
+    cut = in_ranges(counts, ["feature", "value"], "_range")
+    running = running_total(cut, ["feature"], F.col("_range"), ["value"], {"_ca": F.col("_a"), "_cb": F.col("_b")})
     gap = F.abs(F.try_divide("_ca", "_na") - F.try_divide("_cb", "_nb"))
     return running.join(total, "feature").groupBy("feature").agg(F.max(gap).alias("ks"))
 

@@ -2,7 +2,8 @@
 
 All tiers are fitted in one pass: each training row is expanded once per tier, with the columns a
 tier does not use set to NULL, and one grouped aggregation yields every lookup. Applying them is
-one left join per tier on its own keys.
+one left join: the cells of all tiers are folded into one row per combination of the keys that all
+tiers share, and the fallback is walked inside the row.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from pingloom.config import DEFAULTS
 from pingloom.functions.scalars import bin_index, is_stopped, on_time_bin, on_time_bin3, segment_decile
+from pingloom.operators.dictionary import folded, found
 from pingloom.operators.quantiles import grouped_quantiles
 
 STOPS = ("route_id", "last_stop_id", "target_stop_id")
@@ -114,14 +116,18 @@ def tier_fit(train: DataFrame, config: TierConfig, value: str = "label_s") -> Da
     return cells.where(F.col("n") >= config.min_obs)
 
 
+def with_hits(df: DataFrame, cells: DataFrame, tiers: Sequence[Tier], values: Sequence[str], name: str = "_dict") -> tuple[DataFrame, list[Column]]:
+    """``df`` joined with all tiers' cells at once, and for each tier its values for a row (a struct, NULL if it has none)."""
+    common = [k for k in tiers[0].keys if all(k in t.keys for t in tiers)]
+    extra = [[k for k in t.keys if k not in common] for t in tiers]
+    joined = df.join(folded(cells, common, extra, values, output=name), common, "left")
+    return joined, [found(name, i, keys) for i, keys in enumerate(extra)]
+
+
 def tier_apply(df: DataFrame, cells: DataFrame, config: TierConfig, last_resort: str | None = None, output: str = "baseline",
                values: Sequence[str] = ("value",)) -> DataFrame:
     """First tier that knows the row answers; the tier's name is reported, ``last`` for the last resort."""
-    joined = df
-    for i, tier in enumerate(config.tiers):
-        lookup = cells.where(F.col("_tier") == i).select(*tier.keys, F.struct(*values).alias(f"_hit{i}"))
-        joined = joined.join(lookup, list(tier.keys), "left")
-    hits = [F.col(f"_hit{i}") for i in range(len(config.tiers))]
+    joined, hits = with_hits(df, cells, config.tiers, values)
     name = reduce(
         lambda w, i: w.when(hits[i].isNotNull(), config.tiers[i].name), range(1, len(hits)),
         F.when(hits[0].isNotNull(), config.tiers[0].name),
@@ -130,8 +136,8 @@ def tier_apply(df: DataFrame, cells: DataFrame, config: TierConfig, last_resort:
         name = name.when(F.col(last_resort).isNotNull(), "last")
     columns = []
     for v in values:
-        found = F.coalesce(*[h[v] for h in hits], *([F.col(last_resort)] if last_resort else []))
-        columns.append(found.alias(output if len(values) == 1 else v))
+        first = F.coalesce(*[h[v] for h in hits], *([F.col(last_resort)] if last_resort else []))
+        columns.append(first.alias(output if len(values) == 1 else v))
     return joined.select(*df.columns, *columns, name.otherwise("none").alias("tier"))
 
 

@@ -122,6 +122,16 @@ def running_total(
     )
 
 
+def in_ranges(df: DataFrame, order: Sequence[str], name: str = SLICE) -> DataFrame:
+    """``df`` cut into ranges of ``order`` of about equal numbers of rows, however its values lie, and written; the range in ``name``.
+
+    For :func:`running_total`, whose ``part`` it is. Ranges are chosen from a sample, so write expensive inputs first.
+    """
+    from pingloom.plans.stages import materialize
+
+    return materialize(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+
+
 def rank_in_time(df: DataFrame, ts: str, order: Sequence[str], slice_ms: int = 60_000) -> DataFrame:
     """Exact 1-based position of every row in time order: a task sorts a minute of the whole fleet."""
     return running_total(df, [], floor_div(ts, slice_ms), order, {"rank": F.lit(1)})

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pingloom.functions import scalars as S
-from pingloom.operators import history, metrics, shift, tiers
+from pingloom.operators import history, metrics, quantiles, shift, tiers
 from pingloom.operators.quantiles import grouped_quantiles
 
 
@@ -93,14 +93,31 @@ def test_ks_equals_brute_force(spark):
 
 
 def test_no_bin_holds_a_large_share(spark):
-    """Epoch milliseconds of a day and latitudes of a county: what one task orders stays a small share."""
-    from pingloom.operators.quantiles import fine_bin
-
-    n = 20_000
-    df = spark.range(n).select((F.lit(1_706_000_000_000) + F.col("id") * 4320).cast("double").alias("ms"), (F.lit(32.5) + F.col("id") * 1e-5).alias("lat"), (F.lit(270.0) + F.col("id") / 700).alias("kelvin"))
-    for c, share in (("ms", 0.1), ("lat", 0.005), ("kelvin", 0.005)):
-        top = df.groupBy(fine_bin(F.col(c))).count().agg(F.max("count")).first()[0]
-        assert top <= share * n, (c, top)
-        got = grouped_quantiles(df, [], c, {"q": 0.3}).first().q
+    """A day of epoch milliseconds, latitudes of a county, kelvin, equal and extreme values: what one task orders stays small."""
+    n, few = 20_000, 150
+    i = F.col("id")
+    df = spark.range(n).select(
+        (F.lit(1_706_000_000_000) + i * 4320).cast("double").alias("ms"), (F.lit(32.5) + i * 1e-5).alias("lat"), (F.lit(270.0) + i / 700).alias("kelvin"),
+        F.when(i % 2 == 0, F.lit(7.0)).otherwise(i.cast("double")).alias("half_equal"), F.pow(F.lit(10.0), i % 600 - 300).alias("scales"), (F.lit(1e15) + F.floor(i / 300)).alias("steps"))
+    for c in df.columns:
+        rows = df.select(F.col(c).alias("_x")).withColumn("_bin", quantiles.first_bin(F.col("_x")))
+        bins = quantiles.wanted_bins(rows, [], [0.1, 0.3, 0.5, 0.99], few).collect()
+        assert all(b._c <= few or b._low == b._high for b in bins), (c, bins)
+        got = grouped_quantiles(df, [], c, {"q": 0.3, "r": 0.5}, few=few).first()
         values = np.array([r[0] for r in df.select(c).collect()])
-        np.testing.assert_allclose(got, np.quantile(values, 0.3), rtol=1e-12)
+        np.testing.assert_allclose([got.q, got.r], np.quantile(values, [0.3, 0.5]), rtol=1e-12)
+
+
+def test_quantiles_read_their_input_once(spark, tmp_path):
+    """The values are written before anything is counted: the result's plan knows nothing of where they came from."""
+    spark.range(500).selectExpr("id % 3 AS k", "CAST(id AS DOUBLE) AS x").write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    plan = grouped_quantiles(df, ["k"], "x", {"q": 0.5})._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path) not in plan
+
+
+def test_missing_numbers_do_not_count(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,), (float("inf"),)], "x double")
+    row = grouped_quantiles(df, [], "x", {"q": 0.5}, "n").first()
+    assert (row.q, row.n) == (3.0, 3)
+    assert [r.q for r in grouped_quantiles(df.limit(0), [], "x", {"q": 0.5}).collect()] == [None]
