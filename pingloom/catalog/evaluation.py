@@ -311,8 +311,8 @@ def _(t):
     return rounded(shift.error_by_category(t.eta, "stops_away"), 5)
 
 
-RANGES = {"train": (19723, 19742), "val": (19744, 19748), "test": (19750, 999999)}
-SPLIT = "s AS (SELECT event_id, ts_ms // 86400000 AS day, CASE WHEN ts_ms // 86400000 BETWEEN 19723 AND 19742 THEN 'train' WHEN ts_ms // 86400000 BETWEEN 19744 AND 19748 THEN 'val' WHEN ts_ms // 86400000 BETWEEN 19750 AND 999999 THEN 'test' END AS split FROM pings)"
+RANGES = {"train": (0, 19742), "val": (19744, 19748), "test": (19750, 999999)}
+SPLIT = "s AS (SELECT event_id, ts_ms // 86400000 AS day, CASE WHEN ts_ms // 86400000 BETWEEN 0 AND 19742 THEN 'train' WHEN ts_ms // 86400000 BETWEEN 19744 AND 19748 THEN 'val' WHEN ts_ms // 86400000 BETWEEN 19750 AND 999999 THEN 'test' END AS split FROM pings)"
 
 
 @query("p1_temporal_split", f"WITH {SPLIT} SELECT event_id, day, split FROM s WHERE split IS NOT NULL")

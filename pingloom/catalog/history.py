@@ -97,7 +97,7 @@ S2S = """
     w AS (SELECT r.*, CASE WHEN td.shape_dist - ld.shape_dist > 0 THEN td.shape_dist - ld.shape_dist WHEN (target_stop_progress - progress) * len.l > 0 THEN (target_stop_progress - progress) * len.l END AS way
           FROM labeled r LEFT JOIN stop_seq ld ON ld.route_id = r.route_id AND ld.stop_id = r.last_stop_id LEFT JOIN stop_seq td ON td.route_id = r.route_id AND td.stop_id = r.target_stop_id
           LEFT JOIN (SELECT route_id, max(max_dist) AS l FROM stop_seq GROUP BY 1) len ON len.route_id = r.route_id),
-    wt AS (SELECT * FROM w WHERE day BETWEEN 19723 AND 19742),
+    wt AS (SELECT * FROM w WHERE day BETWEEN 0 AND 19742),
     t1 AS (SELECT route_id, last_stop_id, target_stop_id, hour_ct, day_type, avg(label_s) AS t1 FROM wt GROUP BY ALL HAVING count(*) >= 2),
     t2 AS (SELECT route_id, last_stop_id, target_stop_id, day_type, avg(label_s) AS t2 FROM wt GROUP BY ALL HAVING count(*) >= 2),
     t3 AS (SELECT route_id, day_type, median(label_s / way) AS t3 FROM wt WHERE way > 0 GROUP BY ALL HAVING count(*) >= 2),

@@ -66,4 +66,4 @@ def _(t):
     from pingloom.plans.batch import BatchInputs, run_batch
 
     cfg = replace(DEFAULTS, asof_tolerance_ms=1_728_000_000, label_max_s=1_728_000.0)
-    return rounded(run_batch(BatchInputs(t.pings, t.arrivals, t.stop_seq), {"train": (19723, 19742), "val": (19744, 19748), "test": (19750, 999999)}, cfg, k=4), 5, median_ae=6)
+    return rounded(run_batch(BatchInputs(t.pings, t.arrivals, t.stop_seq), {"train": (0, 19742), "val": (19744, 19748), "test": (19750, 999999)}, cfg, k=4), 5, median_ae=6)

@@ -10,7 +10,7 @@ from pingloom.plans.batch import baseline_stage
 from pingloom.plans.relabel import TEST_DAYS, TRAIN_DAYS
 from pingloom.plans.stages import materialize
 
-TRAIN, TEST = "day BETWEEN 19723 AND 19742", "day BETWEEN 19744 AND 999999"
+TRAIN, TEST = "day BETWEEN 0 AND 19742", "day BETWEEN 19744 AND 999999"
 BINS = f"""
     q AS (SELECT list_sort(list_distinct(quantile_cont((ts_ms - last_stop_time_ms) / 1000, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM labeled
           WHERE {TRAIN} AND ts_ms - last_stop_time_ms >= 0),
@@ -72,31 +72,76 @@ def _(t):
     return rounded(best.select("event_id", "target_stop_id", "best_value", "best_method"), 7)
 
 
-SWEEP_COLUMNS = {tiers.E: "ela", tiers.S: "seg", tiers.P: "stp", tiers.O4: "ot", tiers.O3: "ot3", tiers.DAY: "day_type"}
+SWEEP_COLUMNS = {tiers.E: "ela", tiers.E15: "ela15", tiers.E20: "ela20", tiers.CUSTOM: "elac", tiers.S: "seg", tiers.P: "stp", tiers.O4: "ot", tiers.O3: "ot3", tiers.DAY: "day_type"}
 OT3 = "CASE WHEN last_stop_on_time IS NULL THEN -1 WHEN last_stop_on_time < 0 THEN 0 WHEN last_stop_on_time <= 4 THEN 1 ELSE 2 END"
+SPLIT = f"CASE WHEN {TRAIN} THEN 'train' WHEN day BETWEEN 19744 AND 19747 THEN 'val' WHEN day >= 19748 THEN 'test' END"
 
 
-def sweep_sql():
-    """One scored row per configuration, each with its own lookup tables."""
-    ctes, rows = [f"bb AS (SELECT *, {OT3} AS ot3 FROM b)"], []
+def elapsed_sql(edges: str) -> str:
+    return f"CASE WHEN last_stop_time_ms IS NULL OR ts_ms < last_stop_time_ms THEN -1 ELSE greatest(least(len(list_filter({edges}, lambda x: x < (ts_ms - last_stop_time_ms) / 1000)), len({edges}) - 1), 1) - 1 END"
+
+
+def more_edges(n: int) -> str:
+    probs = ", ".join(repr(i / n) for i in range(n + 1))
+    return f"""q{n} AS (SELECT list_sort(list_distinct(quantile_cont((ts_ms - last_stop_time_ms) / 1000, [{probs}]))) AS e FROM labeled WHERE {TRAIN} AND ts_ms - last_stop_time_ms >= 0),
+    ed{n} AS (SELECT list_concat([0.0::DOUBLE], e[2:-2], ['Infinity'::DOUBLE]) AS e{n} FROM q{n})"""
+
+
+def sweep_sql() -> str:
+    """The scored rows of every configuration, each with its own lookup tables."""
+    custom = "[0.0::DOUBLE, 10, 20, 30, 45, 60, 80, 100, 120, 160, 220, 300, 400, 'Infinity'::DOUBLE]"
+    ctes = [more_edges(15), more_edges(20), f"bb AS (SELECT b.*, {OT3} AS ot3, {elapsed_sql('e15')} AS ela15, {elapsed_sql('e20')} AS ela20, {elapsed_sql(custom)} AS elac, {SPLIT} AS split FROM b, ed15, ed20)"]
+    rows = []
     for i, config in enumerate(tiers.SWEEP):
         joins, values = [], []
         for j, tier in enumerate(config.tiers):
             keys = ", ".join(SWEEP_COLUMNS.get(k, k) for k in tier.keys)
             fn = "avg" if config.agg == "mean" else "median"
-            ctes.append(f"k{i}_{j} AS (SELECT {keys}, {fn}(label_s) AS v{j} FROM bb WHERE {TRAIN}{' AND ela >= 0' if tier.needs_elapsed else ''} GROUP BY {keys} HAVING count(*) >= {config.min_obs})")
+            valid = f" AND {SWEEP_COLUMNS[tier.elapsed]} >= 0" if tier.needs_elapsed else ""
+            ctes.append(f"k{i}_{j} AS (SELECT {keys}, {fn}(label_s) AS v{j} FROM bb WHERE split = 'train'{valid} GROUP BY {keys} HAVING count(*) >= {config.min_obs})")
             joins.append(f"LEFT JOIN k{i}_{j} USING ({keys})")
             values.append(f"v{j}")
-        ctes.append(f"s{i} AS (SELECT label_s, coalesce({', '.join(values)}, baseline_s2s) AS e FROM bb {' '.join(joins)} WHERE {TEST})")
-        rows.append(f"SELECT '{config.name}' AS config, round(avg(abs(label_s - e)), 6) AS mae, count(e) AS n_answered, round(count(e) / count(*) * 100, 6) AS coverage_pct FROM s{i}")
-    return f"WITH {S2S}, {BINS}, {', '.join(ctes)} " + " UNION ALL ".join(rows)
+        names = " ".join(f"WHEN v{j} IS NOT NULL THEN '{t.name}'" for j, t in enumerate(config.tiers))
+        tier = "NULL" if config.correction else f"CASE {names} WHEN baseline_s2s IS NOT NULL THEN 'last' END"
+        ctes.append(f"p{i} AS (SELECT route_id, split, label_s, baseline_s2s, last_stop_on_time, stops_away, coalesce({', '.join(values)}, baseline_s2s) AS e, {tier} AS tier FROM bb {' '.join(joins)} WHERE split IS NOT NULL)")
+        estimate, join = "e", ""
+        if config.correction == "linear":
+            estimate = "e + last_stop_on_time"
+        if config.correction == "per_route":
+            ctes.append(f"r{i} AS (SELECT route_id, avg(abs(label_s - baseline_s2s)) < coalesce(avg(abs(label_s - e)), 'Infinity'::DOUBLE) AS better FROM p{i} WHERE split = 'train' GROUP BY route_id)")
+            estimate, join = "CASE WHEN better THEN baseline_s2s ELSE e END", f" LEFT JOIN r{i} USING (route_id)"
+        rows.append(f"SELECT '{config.name}' AS config, split, label_s, {estimate} AS e, tier, stops_away FROM p{i}{join} WHERE split <> 'train'")
+    return f"WITH {S2S}, {BINS}, {', '.join(ctes)}, scores AS ({' UNION ALL '.join(rows)})"
+
+
+def scored(t):
+    """All configurations' estimates; every day belongs to a split or to the gap between training and the others."""
+    edges = tiers.quantile_bins_fit_all(t.train, tiers.elapsed_seconds(), [10, 15, 20])
+    split = F.when(F.col("day").between(*TRAIN_DAYS), "train").when(F.col("day").between(19744, 19747), "val").when(F.col("day") >= 19748, "test")
+    rows = materialize(tiers.with_sweep_bins(s2s(t), edges).withColumn("split", split).where("split IS NOT NULL"))
+    return tiers.sweep_scores(rows, tiers.SWEEP, "label_s", "baseline_s2s")
+
+
+@query("a15_config_sweep", sweep_sql() + """,
+    t AS (SELECT config, avg(abs(label_s - e)) FILTER (split = 'test') AS mae, avg(abs(label_s - e)) FILTER (split = 'val') AS val_mae, count(e) FILTER (split = 'test') AS n_answered,
+                 count(e) FILTER (split = 'test') / count(*) FILTER (split = 'test') * 100 AS pct FROM scores GROUP BY config)
+    SELECT config, round(mae, 6) AS mae, round(val_mae, 6) AS val_mae, n_answered, round(pct, 6) AS coverage_pct, row_number() OVER (ORDER BY mae NULLS LAST, config) = 1 AS best FROM t""")
+def _(t):
+    return rounded(tiers.config_sweep(scored(t)))
+
+
+_SWEEP_ITEMS = " UNION ALL ".join(
+    f"SELECT config, split, '{name}' AS dimension, {item} AS item, avg(abs(label_s - e)) AS mae, count(e) AS n_answered, count(*) AS n FROM scores WHERE {item} IS NOT NULL GROUP BY ALL HAVING {having}"
+    for name, item, having in (
+        ("overall", "'all'", "true"),
+        ("bucket", "CASE WHEN label_s < 0 THEN NULL WHEN label_s < 60 THEN '0-1min' WHEN label_s < 120 THEN '1-2min' WHEN label_s < 300 THEN '2-5min' WHEN label_s < 600 THEN '5-10min' WHEN label_s < 1200 THEN '10-20min' WHEN label_s < 1e9 THEN '20min+' END", "count(e) >= 1"),
+        ("stops_away", "stops_away::VARCHAR", "count(e) >= 10"),
+        ("tier", "tier", "count(e) >= 1")))
 
 
-@query("a15_config_sweep", sweep_sql())
+@query("a15_sweep_breakdown", sweep_sql() + f" SELECT config, split, dimension, item, round(mae, 6) AS mae, n_answered, n FROM ({_SWEEP_ITEMS})")
 def _(t):
-    rows = binned(t)
-    train, test = rows.where(F.col("day").between(*TRAIN_DAYS)), rows.where(F.col("day").between(*TEST_DAYS))
-    return rounded(tiers.config_sweep(train, test, tiers.SWEEP, last_resort="baseline_s2s", store=lambda cells: materialize(cells, partition_by=["_tier"])))
+    return rounded(tiers.sweep_breakdown(scored(t)))
 
 
 @query("a16_linear_correction", f"WITH {cascade()} SELECT event_id, target_stop_id, round(estimate + last_stop_on_time, 7) AS corrected FROM sc WHERE {TEST}")

@@ -8,17 +8,18 @@ tiers share, and the fallback is walked inside the row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingloom.config import DEFAULTS
 from pingloom.functions.scalars import bin_index, is_stopped, on_time_bin, on_time_bin3, segment_decile
 from pingloom.operators.dictionary import folded, found
 from pingloom.operators.quantiles import grouped_quantiles
+from pingloom.plans.stages import materialize
 
 STOPS = ("route_id", "last_stop_id", "target_stop_id")
 
@@ -28,6 +29,11 @@ class Tier:
     name: str
     keys: tuple[str, ...]
     needs_elapsed: bool = False
+    elapsed: str = "elapsed_decile"  # the column that tells whether the elapsed time is known
+
+    def by(self, elapsed: str) -> Tier:
+        """The same tier over other bins of the elapsed time."""
+        return Tier(self.name, tuple(elapsed if k == E else k for k in self.keys), self.needs_elapsed, elapsed)
 
 
 @dataclass(frozen=True)
@@ -36,6 +42,7 @@ class TierConfig:
     tiers: tuple[Tier, ...]
     min_obs: int = DEFAULTS.tier_min_obs
     agg: str = "median"
+    correction: str = ""  # "linear": plus the schedule deviation; "per_route": the last resort where it was better in training
 
 
 def _tiers(*steps: tuple[str, ...], elapsed: int) -> tuple[Tier, ...]:
@@ -45,6 +52,8 @@ def _tiers(*steps: tuple[str, ...], elapsed: int) -> tuple[Tier, ...]:
 
 E, S, P, O3, O4, DAY = "elapsed_decile", "segment_decile", "is_stopped", "on_time_3bin", "on_time_4bin", "day_type"
 
+E15, E20, CUSTOM = "elapsed_15", "elapsed_20", "elapsed_custom"
+
 # fixed values: the six-tier baseline and the sweep's configurations
 SIX_TIERS = _tiers((E, S, P, O4), (E, S, P), (E, S), (E,), (S,), (), elapsed=4)
 SIX_TIERS_3BIN = _tiers((E, S, P, O3), (E, S, P), (E, S), (E,), (S,), (), elapsed=4)
@@ -60,9 +69,14 @@ SWEEP = (
     TierConfig("4D-ot4-mo3", SIX_TIERS, 3),
     TierConfig("4D-mean", SIX_TIERS, 2, "mean"),
     TierConfig("4D-mo1", SIX_TIERS, 1),
+    TierConfig("4D-e15", tuple(t.by(E15) for t in SIX_TIERS)),
+    TierConfig("4D-e20", tuple(t.by(E20) for t in SIX_TIERS)),
+    TierConfig("4D-custom", tuple(t.by(CUSTOM) for t in SIX_TIERS)),
+    TierConfig("4D+linear-ot", SIX_TIERS, correction="linear"),
+    TierConfig("4D+per-route", SIX_TIERS, correction="per_route"),
 )
-# fixed values: custom elapsed edges of the sweep
 CUSTOM_ELAPSED_EDGES = (0, 10, 20, 30, 45, 60, 80, 100, 120, 160, 220, 300, 400, float("inf"))
+SCORE_BUCKETS = (("0-1min", 0, 60), ("1-2min", 60, 120), ("2-5min", 120, 300), ("5-10min", 300, 600), ("10-20min", 600, 1200), ("20min+", 1200, 1e9))
 
 
 def elapsed_seconds(ts: str = "ts_ms", last: str = "last_stop_time_ms") -> Column:
@@ -71,11 +85,19 @@ def elapsed_seconds(ts: str = "ts_ms", last: str = "last_stop_time_ms") -> Colum
 
 def quantile_bins_fit(df: DataFrame, value: Column, n_bins: int = 10, low: float = 0.0) -> Column:
     """Bin edges as an array column expression: quantiles, duplicates dropped, ends opened to [low, inf)."""
-    probs = {f"q{i}": i / n_bins for i in range(n_bins + 1)}
-    row = grouped_quantiles(df.where(value >= low), [], value, probs)
-    edges = F.array_distinct(F.array(*[F.col(n) for n in probs]))
-    opened = F.concat(F.array(F.lit(low)), F.slice(edges, 2, F.size(edges) - 2), F.array(F.lit(float("inf"))))
-    return row.select(opened.alias("edges")).scalar()
+    return quantile_bins_fit_all(df, value, [n_bins], low)[n_bins]
+
+
+def quantile_bins_fit_all(df: DataFrame, value: Column, numbers: Sequence[int], low: float = 0.0) -> dict[int, Column]:
+    """The edges for several numbers of bins, from one selection of all their quantiles."""
+    probs = {f"q{n}_{i}": i / n for n in numbers for i in range(n + 1)}
+    row = materialize(grouped_quantiles(df.where(value >= low), [], value, probs))
+    out = {}
+    for n in numbers:
+        edges = F.array_distinct(F.array(*[F.col(f"q{n}_{i}") for i in range(n + 1)]))
+        opened = F.concat(F.array(F.lit(low)), F.slice(edges, 2, F.size(edges) - 2), F.array(F.lit(float("inf"))))
+        out[n] = row.select(opened.alias("edges")).scalar()
+    return out
 
 
 def quantile_bins_apply(df: DataFrame, value: Column, edges: Column, output: str) -> DataFrame:
@@ -100,7 +122,7 @@ def _expanded(train: DataFrame, tiers: Sequence[Tier], value: str) -> tuple[Data
     for i, tier in enumerate(tiers):
         fields = [F.lit(i).alias("_tier")]
         fields += [(F.col(k) if k in tier.keys else F.lit(None).cast(train.schema[k].dataType)).alias(k) for k in names]
-        allowed = F.col(E) >= 0 if tier.needs_elapsed else F.lit(True)
+        allowed = F.col(tier.elapsed) >= 0 if tier.needs_elapsed else F.lit(True)
         versions.append(F.when(allowed, F.struct(*fields)))
     exploded = train.select(F.col(value).alias("_value"), F.explode(F.array_compact(F.array(*versions))).alias("_v"))
     return exploded.select("_value", "_v.*"), ["_tier", *names]
@@ -175,30 +197,73 @@ def per_route_best(train: DataFrame, test: DataFrame, methods: Sequence[str], la
     return joined.select(*test.columns, chosen.alias("best_value"), name.alias("best_method"))
 
 
-def config_sweep(train: DataFrame, test: DataFrame, configs: Sequence[TierConfig], label: str = "label_s", last_resort: str | None = None,
-                 store=lambda cells: cells) -> DataFrame:
-    """Error and coverage of every configuration.
+def with_sweep_bins(df: DataFrame, edges: dict[int, Column]) -> DataFrame:
+    """All dimensions the sweep's tiers are keyed by; ``edges`` for 10, 15 and 20 bins of the elapsed time."""
+    out = with_tier_bins(df, edges[10])
+    for name, cut in ((E15, edges[15]), (E20, edges[20]), (CUSTOM, F.array(*[F.lit(float(e)) for e in CUSTOM_ELAPSED_EDGES]))):
+        out = quantile_bins_apply(out, elapsed_seconds(), cut, name)
+    return out
+
+
+def sweep_scores(rows: DataFrame, configs: Sequence[TierConfig], label: str, last_resort: str, split: str = "split", deviation: str = "last_stop_on_time",
+                 store: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
+    """(config, split, label, estimate, tier, stops_away) of each row outside ``split`` = train, for each configuration.
 
-    Configurations share most of their tiers, so each distinct tier is fitted once (with its count,
-    whatever the threshold), joined once, and all configurations are scored in one aggregation.
-    ``store`` may write the fitted lookup tables.
+    Configurations share most of their tiers: each distinct tier is fitted once (with its count, whatever the threshold), and all
+    tiers of one aggregate are one join.
     """
-    joined, hit = test, {}
+    joined, hit = rows, {}
+    train = rows.where(F.col(split) == "train")
     for agg in dict.fromkeys(c.agg for c in configs):
-        distinct = list(dict.fromkeys((t.keys, t.needs_elapsed) for c in configs if c.agg == agg for t in c.tiers))
-        every = TierConfig("every", tuple(Tier(str(i), keys, needs) for i, (keys, needs) in enumerate(distinct)), 1, agg)
-        cells = store(tier_fit(train, every, label))
-        for i, (keys, needs) in enumerate(distinct):
-            name = f"_{agg}{i}"
-            lookup = cells.where(F.col("_tier") == i).select(*keys, F.struct("value", "n").alias(name))
-            joined = joined.join(lookup, list(keys), "left")
-            hit[agg, keys, needs] = F.col(name)
-    scores = []
+        distinct = list(dict.fromkeys(Tier("", t.keys, t.needs_elapsed, t.elapsed) for c in configs if c.agg == agg for t in c.tiers))
+        cells = store(tier_fit(train, TierConfig("every", tuple(distinct), 1, agg), label))
+        joined, hits = with_hits(joined, cells, distinct, ["value", "n"], f"_{agg}")
+        joined = joined.withColumns({f"_{agg}{i}": h for i, h in enumerate(hits)}).drop(f"_{agg}")
+        hit |= {(agg, t.keys, t.needs_elapsed): F.col(f"_{agg}{i}") for i, t in enumerate(distinct)}
+    known, tier = [], []
     for config in configs:
-        known = [hit[config.agg, t.keys, t.needs_elapsed] for t in config.tiers]
-        values = [F.when(h["n"] >= config.min_obs, h["value"]) for h in known] + ([F.col(last_resort)] if last_resort else [])
-        estimate = F.coalesce(*values)
-        scores.append(F.struct(
-            F.lit(config.name).alias("config"), F.avg(F.abs(F.col(label) - estimate)).alias("mae"), F.count(estimate).alias("n_answered"),
-            (F.try_divide(F.count(estimate), F.count(F.lit(1))) * 100).alias("coverage_pct")))
-    return joined.agg(F.array(*scores).alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
+        cells = [hit[config.agg, t.keys, t.needs_elapsed] for t in config.tiers]
+        values = [F.when(h["n"] >= config.min_obs, h["value"]) for h in cells]
+        known.append(F.coalesce(*values, F.col(last_resort)))
+        name = F.when(F.col(last_resort).isNotNull(), "last")
+        for t, v in zip(reversed(config.tiers), reversed(values), strict=True):
+            name = F.when(v.isNotNull(), t.name).otherwise(name)
+        tier.append(F.lit(None).cast("string") if config.correction else name)
+    slim = store(joined.select("route_id", split, F.col(label).alias("label"), F.col(last_resort).alias("resort"), F.col(deviation).alias("deviation"), "stops_away",
+                               *[e.alias(f"e{i}") for i, e in enumerate(known)], *[n.alias(f"t{i}") for i, n in enumerate(tier)]))
+    away = lambda c: F.avg(F.abs(F.col("label") - F.col(c)))
+    base = {i: c for i, c in enumerate(configs) if c.correction == "per_route"}
+    better = slim.where(F.col(split) == "train").groupBy(F.col("route_id").alias("_route")).agg(*[(away("resort") < F.coalesce(away(f"e{i}"), F.lit(float("inf")))).alias(f"better{i}") for i in base] or [F.lit(None).alias("_none")])
+    scored = slim.where(F.col(split) != "train").join(better, F.col("route_id") == F.col("_route"), "left")
+
+    def corrected(i: int, c: TierConfig) -> Column:
+        if c.correction == "linear":
+            return F.col(f"e{i}") + F.col("deviation")
+        return F.when(F.coalesce(F.col(f"better{i}"), F.lit(False)), F.col("resort")).otherwise(F.col(f"e{i}")) if c.correction else F.col(f"e{i}")
+
+    each = F.array(*[F.struct(F.lit(c.name).alias("config"), corrected(i, c).cast("double").alias("estimate"), F.col(f"t{i}").alias("tier")) for i, c in enumerate(configs)])
+    return scored.select(F.col(split).alias("split"), "label", "stops_away", F.explode(each).alias("_s")).select("_s.config", "split", "label", "_s.estimate", "_s.tier", "stops_away")
+
+
+def sweep_breakdown(scores: DataFrame, least: int = 10) -> DataFrame:
+    """(config, split, dimension, item, mae, n_answered, n): overall, by bucket of the label, by stops away (with ``least`` answered
+    rows) and by the tier that answered. One aggregation over all of them."""
+    bucket = F.lit(None).cast("string")
+    for name, low, high in SCORE_BUCKETS:
+        bucket = F.when((F.col("label") >= low) & (F.col("label") < high), name).otherwise(bucket)
+    parts = {"overall": F.lit("all"), "bucket": bucket, "stops_away": F.col("stops_away").cast("string"), "tier": F.col("tier")}
+    items = F.filter(F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("item")) for k, v in parts.items()]), lambda s: s["item"].isNotNull())
+    tall = scores.select("config", "split", F.abs(F.col("label") - F.col("estimate")).alias("_e"), F.explode(items).alias("_i")).select("config", "split", "_i.*", "_e")
+    found = tall.groupBy("config", "split", "dimension", "item").agg(F.avg("_e").alias("mae"), F.count("_e").alias("n_answered"), F.count("*").alias("n"))
+    return found.where((F.col("dimension") == "overall") | (F.col("n_answered") >= F.when(F.col("dimension") == "stops_away", least).otherwise(1)))
+
+
+def config_sweep(scores: DataFrame) -> DataFrame:
+    """Error and coverage of every configuration on test and validation rows, and which one is best on the test rows."""
+    of = lambda split, v: F.max(F.when(F.col("split") == split, v))
+    share = F.try_divide(F.col("n_answered"), F.col("n")) * 100
+    overall = sweep_breakdown(scores).where("dimension = 'overall'").groupBy("config").agg(
+        of("test", F.col("mae")).alias("mae"), of("val", F.col("mae")).alias("val_mae"), of("test", F.col("n_answered")).alias("n_answered"), of("test", share).alias("coverage_pct"))
+    # a row a configuration; equally good ones are told apart by their names
+    best = F.row_number().over(Window.orderBy(F.col("mae").asc_nulls_last(), "config")) == 1
+    return overall.withColumn("best", best)

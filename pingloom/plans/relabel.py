@@ -117,11 +117,11 @@ CTES["labeled"] = """
           ON a.route_id = r.route_id AND a.target_stop_id = r.stop_id AND a.vehicle_id = r.vehicle_id AND a.ts_ms <= r.arrival_ms
         LEFT JOIN stop_seq l ON l.route_id = a.route_id AND l.stop_id = a.last_stop_id
         WHERE r.arrival_ms - a.ts_ms <= 1728000000 AND r.arrival_ms > a.ts_ms"""
-CTES["train"] = "SELECT * FROM labeled WHERE day BETWEEN 19723 AND 19742"
+CTES["train"] = "SELECT * FROM labeled WHERE day BETWEEN 0 AND 19742"
 CTES["test"] = "SELECT * FROM labeled WHERE day BETWEEN 19744 AND 999999"
 
 LABEL_REACH_MS = 1_728_000_000
-TRAIN_DAYS = (19723, 19742)
+TRAIN_DAYS = (0, 19742)
 TEST_DAYS = (19744, 999999)
 
 
