@@ -31,14 +31,14 @@ def _(t):
 
 
 MESSY = """
-    SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', '-') ELSE 'the ' || p_name || ' hall' END AS name FROM part"""
+    SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', '-') ELSE 'the ' || p_name || CASE WHEN p_partkey % 8 = 3 THEN 'gate' ELSE ' hall' END END AS name FROM part"""
 
 
 def messy(t):
     k, n = F.col("p_partkey") % 4, F.col("p_name")
     return t.raw("part").select(
         F.when(k == 0, n).when(k == 1, F.upper(n)).when(k == 2, F.replace(n, F.lit(" "), F.lit("-")))
-        .otherwise(F.concat(F.lit("the "), n, F.lit(" hall"))).alias("name"))
+        .otherwise(F.concat(F.lit("the "), n, F.when(F.col("p_partkey") % 8 == 3, "gate").otherwise(" hall"))).alias("name"))
 
 
 @query("k3_map_cascade", f"""
@@ -48,8 +48,9 @@ def messy(t):
                LEFT JOIN (SELECT lower(p_name) AS k, min(id) AS id FROM d GROUP BY 1) d1 ON d1.k = lower(trim(m.name))
                LEFT JOIN (SELECT trim(replace(replace(lower(p_name), '&', 'and'), '-', ' ')) AS k, min(id) AS id FROM d GROUP BY 1) d2
                  ON d2.k = trim(replace(replace(lower(m.name), '&', 'and'), '-', ' '))),
-         c AS (SELECT nn, min(d.id) AS i3 FROM (SELECT DISTINCT nn FROM r WHERE coalesce(i0, i1, i2) IS NULL) x
-               JOIN d ON contains(' ' || nn || ' ', ' ' || p_name || ' ') OR contains(' ' || p_name || ' ', ' ' || nn || ' ') GROUP BY nn)
+         dn AS (SELECT trim(replace(replace(lower(p_name), '&', 'and'), '-', ' ')) AS dd, min(id) AS id FROM d GROUP BY 1),
+         c AS (SELECT nn, min(dn.id) AS i3 FROM (SELECT DISTINCT nn FROM r WHERE coalesce(i0, i1, i2) IS NULL AND nn <> '') x
+               JOIN dn ON dd <> '' AND (contains(nn, dd) OR contains(dd, nn)) GROUP BY nn)
     SELECT name, coalesce(i0, i1, i2, i3) AS id, CASE WHEN i0 IS NOT NULL THEN 'exact' WHEN i1 IS NOT NULL THEN 'case' WHEN i2 IS NOT NULL THEN 'normalized'
            WHEN i3 IS NOT NULL THEN 'contains' ELSE 'unmatched' END AS match_type
     FROM r LEFT JOIN c USING (nn)""")
@@ -72,6 +73,29 @@ def _(t):
     return out.withColumn("score", near(F.col("score"))).withColumn("alternatives", F.array_join("alternatives", "|"))
 
 
+# names that are far from every entry, and entries spelled backwards
+FAR = "SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN reverse(p_name) ELSE substr(p_name, 3) || 'zz' || (c_custkey % 50) END AS name FROM customer JOIN part ON p_partkey = c_custkey % 400 + 1"
+
+
+@query("k4_wide_net", f"""
+    WITH m AS ({FAR}), d AS (SELECT trim(p_name) AS entry, min(p_partkey) AS entry_id FROM part GROUP BY 1),
+         p AS (SELECT trim(name) AS name, entry, entry_id, 1 - levenshtein(lower(trim(name)), lower(entry)) / greatest(length(trim(name)), length(entry)) AS score FROM m, d),
+         h AS (SELECT name, max(score) >= 0.5 - 1e-12 AS matched FROM p GROUP BY name),
+         k AS (SELECT p.*, matched, row_number() OVER (PARTITION BY name ORDER BY score DESC, (name = entry) DESC, entry, entry_id) AS rn
+               FROM p JOIN h USING (name) WHERE score >= CASE WHEN matched THEN 0.5 ELSE 0.3 END - 1e-12),
+         b AS (SELECT name, any_value(entry_id) FILTER (rn = 1 AND matched) AS entry_id, round(any_value(score) FILTER (rn = 1 AND matched), 6) AS score,
+                      string_agg(entry, '|' ORDER BY rn) FILTER (rn <= 3) AS alternatives FROM k GROUP BY name)
+    SELECT n.name, entry_id, CASE WHEN score IS NULL THEN 'unmatched' WHEN score = 1 THEN 'other' ELSE 'fuzzy' END AS match_type, score, alternatives
+    FROM (SELECT DISTINCT trim(name) AS name FROM m) n LEFT JOIN b USING (name)""")
+def _(t):
+    c = F.col("c_custkey")
+    rows = t.raw("customer").join(t.raw("part"), F.col("p_partkey") == c % 400 + 1)
+    far = rows.select(F.when(c % 3 == 0, F.col("c_name")).when(c % 3 == 1, F.reverse("p_name")).otherwise(F.concat(F.expr("substr(p_name, 3)"), F.lit("zz"), (c % 50).cast("string"))).alias("name"))
+    out = resolve.fuzzy_match(far, "name", t.raw("part"), "p_name", "p_partkey", cutoff=0.5, wide=0.3)
+    kind = F.when(F.col("match_type").isin("exact", "case_insensitive"), "other").otherwise(F.col("match_type"))
+    return out.select("name", "entry_id", kind.alias("match_type"), near(F.col("score")).alias("score"), F.array_join("alternatives", "|").alias("alternatives"))
+
+
 @query("k5_key_overlap_report", """
     SELECT 'route_id' AS key, count(*) AS n_common, CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS ok FROM (SELECT route_id FROM pings INTERSECT SELECT route_id FROM arrivals)
     UNION ALL SELECT 'vehicle_id', count(*), CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM (SELECT vehicle_id FROM pings INTERSECT SELECT vehicle_id FROM arrivals)""")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingloom.functions.scalars import normalize_name
+from pingloom.plans.stages import materialize
 
 
 def first_per_key(dictionary: DataFrame, key, value: str) -> DataFrame:
@@ -29,10 +30,10 @@ def unmatched_names(df: DataFrame, name: str, dictionary: DataFrame, dict_name:
 
 
 def map_cascade(names: DataFrame, name: str, dictionary: DataFrame, dict_name: str, dict_id: str) -> DataFrame:
-    """Exact, then case-insensitive, then normalised, then contained-in; works on distinct names.
+    """Exact, then case-insensitive, then normalised, then contained-in (as a substring, either way); works on distinct names.
 
-    Containment has no join key of its own, so both sides are cut into words: a contained name's
-    rarest word must be one of the container's words. The first stages are plain key joins.
+    Containment has no join key of its own, so it goes through an index of letter triples. The first stages are plain key joins.
+    A name of which nothing is left matches nothing.
     """
     todo = names.select(F.col(name).alias("name")).distinct()
     exact = first_per_key(dictionary, F.trim(dict_name), dict_id).select(F.col("_name").alias("_k0"), F.col("_id").alias("_id0"))
@@ -54,27 +55,33 @@ def map_cascade(names: DataFrame, name: str, dictionary: DataFrame, dict_name: s
     )
 
 
-def _contained(names: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Smallest dictionary id whose name contains the name, or is contained in it, word-aligned."""
-    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
-    left = names.distinct().withColumn("_words", words(F.col("_norm")))
-    right = dictionary.withColumn("_words", words(F.col("_dict")))
-    frequency = left.select(F.explode("_words").alias("_word")).unionByName(
-        right.select(F.explode("_words").alias("_word"))
-    ).groupBy("_word").agg(F.count(F.lit(1)).alias("_f"))
+def _grams(text, size: int):
+    """The distinct runs of ``size`` letters; none in a shorter text."""
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
 
-    def rarest(df: DataFrame, key: str) -> DataFrame:
-        per = df.select(key, F.explode("_words").alias("_word")).join(frequency, "_word")
-        return per.groupBy(key).agg(F.min_by("_word", F.struct("_f", "_word")).alias("_word"))
+def containment_candidates(inner: DataFrame, inner_key: str, outer: DataFrame, outer_key: str, size: int = 3) -> DataFrame:
+    """Pairs that may contain each other: the container's letter triples include the rarest one of the contained text.
 
-    def pairs(inner: DataFrame, inner_key: str, outer: DataFrame, outer_key: str) -> DataFrame:
-        outer_words = outer.select(outer_key, F.explode("_words").alias("_word"))
-        return rarest(inner, inner_key).join(outer_words, "_word").where(
-            F.concat(F.lit(" "), F.col(outer_key), F.lit(" ")).contains(F.concat(F.lit(" "), F.col(inner_key), F.lit(" ")))
-        ).select("_norm", "_dict")
+    A contained text shorter than a triple is looked up as a whole, among the runs of its own length.
+    """
+    postings = outer.select(outer_key, F.explode(F.concat(*[_grams(F.col(outer_key), k) for k in range(1, size + 1)])).alias("_gram"))
+    whole = F.when(F.length(inner_key) < size, F.array(inner_key)).otherwise(_grams(F.col(inner_key), size))
+    asked = inner.where(F.length(inner_key) > 0).select(inner_key, F.explode(whole).alias("_gram"))
+    frequency = postings.groupBy("_gram").agg(F.count("*").alias("_f"))
+    # a triple no container has rules the text out
+    rarest = asked.join(frequency, "_gram", "left").groupBy(inner_key).agg(F.min_by("_gram", F.struct(F.coalesce("_f", F.lit(0)), "_gram")).alias("_gram"))
+    return rarest.join(postings, "_gram").select(inner_key, outer_key)
 
-    both = pairs(right, "_dict", left, "_norm").unionByName(pairs(left, "_norm", right, "_dict"))
-    return both.join(dictionary, "_dict").groupBy("_norm").agg(F.min("_dict_id").alias("_contained_id"))
+
+def _contained(names: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Smallest dictionary id whose name contains the name, or is contained in it."""
+    left, right = names.where(F.length("_norm") > 0).distinct(), dictionary.where(F.length("_dict") > 0)
+    entries = right.select("_dict").distinct()
+    inside = containment_candidates(entries, "_dict", left, "_norm").where(F.col("_norm").contains(F.col("_dict")))
+    around = containment_candidates(left, "_norm", entries, "_dict").where(F.col("_dict").contains(F.col("_norm")))
+    both = inside.select("_norm", "_dict").unionByName(around.select("_norm", "_dict"))
+    return both.join(right, "_dict").groupBy("_norm").agg(F.min("_dict_id").alias("_contained_id"))
 
 
 def edit_similarity(a, b):
@@ -84,33 +91,42 @@ def edit_similarity(a, b):
 
 def fuzzy_match(
     names: DataFrame, name: str, dictionary: DataFrame, dict_name: str, dict_id: str, n: int = 3, cutoff: float = 0.65,
-    overrides: DataFrame | None = None,
+    overrides: DataFrame | None = None, wide: float | None = None,
 ) -> DataFrame:
     """Top ``n`` alternatives by edit similarity at or above the cutoff, the best one first.
 
     Two texts of similarity s differ by at most (1 - s) x length edits, so their lengths differ by
     no more than that, and (pigeonhole) cut into that many pieces plus one, a piece of the shorter
     survives unedited. Candidates therefore meet on a shared letter pair at nearly the same place,
-    which loses nothing and avoids comparing every name with every entry.
+    which loses nothing and avoids comparing every name with every entry. Cutoffs of 0.5 and below
+    leave no such piece and go through an index of letters (:func:`nearest_entries`).
+
+    ``wide``: a lower cutoff for names without a match; they stay unmatched but list alternatives.
     """
-    if cutoff <= 0.5:
-        raise ValueError("at or below 0.5 every name is a candidate of every other; use a higher cutoff")
     asked = names.select(F.trim(F.col(name)).alias("name")).distinct().where("name <> ''")
     entries = dictionary.groupBy(F.trim(F.col(dict_name)).alias("entry")).agg(F.min(dict_id).alias("entry_id"))
     low = lambda c: F.lower(F.col(c))
     left = asked.withColumn("_l", low("name"))
     right = entries.withColumn("_r", low("entry"))
-    pairs = _similar_pairs(left.select("_l").distinct(), right.select("_r").distinct(), cutoff)
-    scored = left.join(pairs, "_l").join(right, "_r").select("name", "entry", "entry_id", "score")
-    ranked = scored.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("name").orderBy(
-            F.desc("score"), F.desc(F.col("name") == F.col("entry")), F.col("entry"), F.col("entry_id")))
-    ).where(F.col("rank") <= n)
+    texts, known = left.select("_l").distinct(), right.select("_r").distinct()
+
+    def ranked_pairs(pairs: DataFrame) -> DataFrame:
+        scored = left.join(pairs, "_l").join(right, "_r").select("name", "entry", "entry_id", "score")
+        return scored.withColumn(
+            "rank", F.row_number().over(Window.partitionBy("name").orderBy(
+                F.desc("score"), F.desc(F.col("name") == F.col("entry")), F.col("entry"), F.col("entry_id")))
+        ).where(F.col("rank") <= n)
+
+    ranked = ranked_pairs(nearest_entries(texts, known, cutoff, n))
     best = ranked.groupBy("name").agg(
         F.min_by(F.struct("entry_id", "entry", "score"), "rank").alias("_best"),
         F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("_alts"),
     )
     joined = asked.join(best, "name", "left")
+    if wide is not None:
+        rest = materialize(joined.where(F.col("_best").isNull()).select(F.lower(F.col("name")).alias("_l")).distinct())
+        more = ranked_pairs(nearest_entries(rest, known, wide, n)).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("_wide"))
+        joined = joined.join(more, "name", "left").withColumn("_alts", F.coalesce("_alts", "_wide")).drop("_wide")
     if overrides is not None:
         joined = joined.join(overrides.select(F.col("name"), F.col("entry_id").alias("_manual")), "name", "left")
     else:
@@ -134,6 +150,56 @@ def fuzzy_match(
     )
 
 
+def nearest_entries(left: DataFrame, right: DataFrame, cutoff: float, n: int, steps: Sequence[float] = (0.51, 0.4, 0.3, 0.2)) -> DataFrame:
+    """Pairs (_l, _r, score) that include each ``_l``'s ``n`` best entries at or above the cutoff, ties included.
+
+    The cutoff falls in steps, and a text that has ``n`` entries at one step is done: whatever it lacks is less similar. So the low
+    steps, which prune little, are left to the few texts that need them.
+    """
+    found, todo = None, left
+    for step in [c for c in steps if c > cutoff] + [cutoff]:
+        hits = materialize(_similar_pairs(todo, right, step) if step > 0.5 else _letter_pairs(todo, right, step))
+        found = hits if found is None else found.unionByName(hits)
+        if step > cutoff:
+            enough = hits.groupBy(F.col("_l").alias("_done")).agg(F.count("*").alias("_n")).where(F.col("_n") >= n)
+            todo = materialize(todo.join(enough, F.col("_l") == F.col("_done"), "left_anti"))
+    # a text that went on has its earlier entries among the later ones, too
+    return found.distinct()
+
+
+def letter_candidates(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs (_l, _r) whose similarity may reach the cutoff, by an inverted index of letters.
+
+    A letter with its number of occurrence (the second e of a text) is a token. An edit changes one letter, so texts of similarity c
+    share at least c x L tokens, L the longer length. Two texts that share t tokens share one among the first L - t + 1 of either, in
+    any common order (prefix filter): here the rarest tokens come first, and only those are in the index. What meets there is counted
+    out (count filter) before it is compared.
+    """
+    def tokens(df: DataFrame, text: str) -> DataFrame:
+        letters = df.where(F.length(text) > 0).select(text, F.explode(F.split(text, "")).alias("_c")).where("_c <> ''").groupBy(text, "_c").agg(F.count("*").alias("_n"))
+        return letters.select(text, F.explode(F.transform(F.sequence(F.lit(1), F.col("_n").cast("int")), lambda k: F.concat("_c", k.cast("string")))).alias("_t"))
+
+    lt, rt = tokens(left, "_l"), tokens(right, "_r")
+    often = lt.select("_t").unionByName(rt.select("_t")).groupBy("_t").agg(F.count("*").alias("_f"))
+
+    def indexed(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+        every = df.join(often, "_t").groupBy(text).agg(F.array_sort(F.collect_list(F.struct("_f", "_t"))).alias("_all")).withColumn("_all", F.transform("_all", lambda x: x["_t"]))
+        size = F.size("_all")
+        first = every.select(text, F.explode(F.slice("_all", F.lit(1), size - F.ceil(size * F.lit(cutoff) - F.lit(1e-9)).cast("int") + 1)).alias("_t"))
+        return every, first
+
+    (le, lf), (re, rf) = indexed(lt, "_l"), indexed(rt, "_r")
+    met = lf.join(rf, "_t").select("_l", "_r").where(F.least(F.length("_l"), F.length("_r")) >= F.greatest(F.length("_l"), F.length("_r")) * F.lit(cutoff) - F.lit(1e-9)).distinct()
+    both = met.join(le.withColumnRenamed("_all", "_la"), "_l").join(re.withColumnRenamed("_all", "_ra"), "_r")
+    shared = F.size(F.array_intersect("_la", "_ra"))
+    return both.where(shared >= F.greatest(F.length("_l"), F.length("_r")) * F.lit(cutoff) - F.lit(1e-9)).select("_l", "_r")
+
+
+def _letter_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    scored = letter_candidates(left, right, cutoff).withColumn("score", edit_similarity(F.col("_l"), F.col("_r")))
+    return scored.where(F.col("score") >= cutoff - 1e-12)
+
+
 def _similar_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     """All pairs (_l, _r) with similarity at or above the cutoff, found through shared pieces.
 

@@ -194,6 +194,45 @@ def test_route_distance_choices(spark):
     assert got[1] == 1.0 and got[2] == 3.0 and got[3] == 0.0 and got[4] is None and abs(got[5] - 4.7) < 1e-12 and 6 not in got
 
 
+def test_contained_names(spark):
+    d = spark.createDataFrame([("Eagles West", 5), ("Eagles West", 4), ("Go", 7), ("-", 1), ("Main & 3rd Street North", 9)], "entry string, id int")
+    n = spark.createDataFrame([("Eagles Westgate",), ("undergo it",), ("3rd street",), ("z",), ("--",), ("wes",), (None,)], "name string")
+    got = {r.name: (r.id, r.match_type) for r in resolve.map_cascade(n, "name", d, "entry", "id").collect()}
+    assert got["Eagles Westgate"] == (4, "contains") and got["undergo it"] == (7, "contains") and got["3rd street"] == (9, "contains") and got["wes"] == (4, "contains")
+    assert got["z"] == (None, "unmatched") and got["--"][1] in ("unmatched", "normalized")
+    entries = [f"{a} {b}" for a in ("oak", "elm", "ash", "fir", "yew") for b in ("north road", "south lane", "mill pond", "high cross")]
+    names = [f"old {e}" for e in entries] + ["mill", "oak north", "pond gate"]
+    left, right = (spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((names, "_norm"), (entries, "_dict")))
+    pairs = {(r[0], r[1]) for r in resolve.containment_candidates(right, "_dict", left, "_norm").collect()}
+    assert {(e, n) for e in entries for n in names if e in n} <= pairs and len(pairs) < len(entries) * 8
+
+
+def test_wide_net_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), int(rng.integers(1, 9))))
+    entries, names = sorted({word() for _ in range(60)}), sorted({word() for _ in range(60)})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    left, right = (spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((names, "_l"), (entries, "_r")))
+    score = {(a, b): 1 - distance(a, b) / max(len(a), len(b)) for a in names for b in entries}
+    for cutoff in (0.3, 0.5, 0.65):
+        got = {}
+        for r in resolve.nearest_entries(left, right, cutoff, 3).collect():
+            got.setdefault(r[0], []).append((-round(r[2], 9), r[1]))
+        for a in names:
+            want = sorted((-round(score[a, b], 9), b) for b in entries if score[a, b] >= cutoff - 1e-12)
+            assert sorted(got.get(a, []))[:3] == want[:3]
+    met = {(r[0], r[1]) for r in resolve.letter_candidates(left, right, 0.4).collect()}
+    assert {p for p, v in score.items() if v >= 0.4} <= met and len(met) < len(score) / 2
+
+
 def test_fuzzy_finds_every_pair(spark):
     names = ["Student Center", "student center", "Studnt Centre", "Hub", "Hb", "Village Hall", "Libary North", "zzz"]
     entries = [("Student Center", 1), ("Hub", 2), ("Village Hall West", 3), ("Library North", 4)]
