@@ -110,31 +110,71 @@ def next_n_arrivals(
     return listed.where(F.size("next_ms") == n)
 
 
+def next_by_target(
+    pings: DataFrame, arrivals: DataFrame, by: Sequence[str], target_key: str, left_ms: str, right_ms: str, tolerance_ms: int, output: str,
+) -> DataFrame:
+    """``pings`` with ``output``: a map from each stop of ``target_key`` to the times at which arrivals may follow the ping there.
+
+    The arrivals of a (``by``, time slice) are folded into one map, stop -> rising times, and each ping meets that one row: pings are
+    one row each in the exchange, however many targets are looked up in the map afterwards (see :func:`next_at`). Arrivals are
+    copied into the slices they can serve. A ping without a key or time stays, without a map.
+    """
+    size = reach_slice(tolerance_ms)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, target_key, right_ms)])
+    copies = F.explode(F.sequence(floor_div(F.col(right_ms) - F.lit(tolerance_ms), size), floor_div(right_ms, size))).alias(SLICE)
+    served = arrivals.where(known).select(*by, target_key, F.col(right_ms).alias("_at"), copies)
+    times = served.groupBy(*by, SLICE, target_key).agg(F.array_sort(F.collect_set("_at")).alias("_times"))
+    maps = times.groupBy(*by, SLICE).agg(F.map_from_entries(F.collect_list(F.struct(F.col(target_key), F.col("_times")))).alias(output))
+    keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, left_ms)])
+    rows = pings.withColumn(SLICE, F.when(keyed, floor_div(left_ms, size)).otherwise(F.xxhash64(*pings.columns)))
+    return rows.join(maps, [*by, SLICE], "left").select(*pings.columns, output)
+
+
+def next_at(table: str, target: Column, left_ms: str, tolerance_ms: int, strict: bool = False) -> Column:
+    """The first time at ``target`` at or after (``strict``: after) the ping's, within the tolerance; of :func:`next_by_target`'s map."""
+    at = F.col(left_ms)
+    later = F.filter(F.try_element_at(table, target), lambda t: ((t > at) if strict else (t >= at)) & (t - at <= F.lit(tolerance_ms)))
+    return F.get(later, F.lit(0))
+
+
 def multi_target_asof(
     pings: DataFrame, targets: str, arrivals: DataFrame, by: Sequence[str], target_key: str, left_ms: str, right_ms: str,
     tolerance_ms: int, key: str,
 ) -> DataFrame:
-    """For an array of target stops, the first arrival at each, as an array in target order."""
-    asked = pings.select(key, *by, left_ms, F.posexplode(targets).alias("_pos", target_key))
-    hit = asof_next(asked, arrivals, [*by, target_key], left_ms, right_ms, tolerance_ms, "_at", strict=True)
-    return hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_at"))).alias("_l")).select(
-        key, F.transform("_l", lambda s: s["_at"]).alias("arrivals_ms")
-    )
+    """For an array of target stops, the first arrival at each, as an array in target order. Pings are never multiplied."""
+    asked = pings.select(key, *by, left_ms, targets)
+    met = next_by_target(asked, arrivals, by, target_key, left_ms, right_ms, tolerance_ms, "_next")
+    return met.select(key, F.transform(targets, lambda s: next_at("_next", s, left_ms, tolerance_ms, strict=True)).alias("arrivals_ms"))
 
 
-def explode_stops_ahead(pings: DataFrame, stop_seq: DataFrame, k: int = 8) -> DataFrame:
-    """Ping x the next ``k`` stops ahead on its route.
+def stops_ahead(pings: DataFrame, stop_seq: DataFrame, k: int = 8, output: str = "ahead") -> DataFrame:
+    """``pings`` with the next ``k`` stops on their routes as an array, nearest first: (stop_progress, stop_sequence, stop_id).
 
-    Each route's stops are folded into one sorted array first (a route has a bounded number of
-    stops), so pings are joined once per route row and only the ``k`` wanted stops are ever emitted.
+    Each route's stops are folded into one sorted array first (a route has a bounded number of stops).
     """
     line = stop_seq.groupBy("route_id").agg(
         F.array_sort(F.collect_list(F.struct("stop_progress", "stop_sequence", "stop_id"))).alias("_line")
     )
     ahead = F.slice(F.filter("_line", lambda s: s["stop_progress"] > F.col("progress")), 1, k)
-    return pings.join(line, "route_id").select(
-        *pings.columns, F.posexplode(ahead).alias("_i", "_s")
-    ).select(
+    return pings.join(line, "route_id").select(*pings.columns, ahead.alias(output))
+
+
+def label_stops_ahead(
+    pings: DataFrame, arrivals: DataFrame, stop_seq: DataFrame, left_ms: str, right_ms: str, tolerance_ms: int, output: str, k: int = 8,
+) -> DataFrame:
+    """Ping x the next ``k`` stops, each with the vehicle's next arrival there, if one follows within the tolerance.
+
+    The fan-out comes last: pings meet the arrivals as one row each, and only stops that have an arrival become rows.
+    """
+    met = next_by_target(stops_ahead(pings, stop_seq, k, "_ahead"), arrivals, ["route_id", "vehicle_id"], "stop_id", left_ms, right_ms, tolerance_ms, "_next")
+    labeled = F.transform("_ahead", lambda s, i: F.struct(s["stop_id"].alias("target_stop_id"), s["stop_sequence"].alias("target_stop_sequence"), s["stop_progress"].alias("target_stop_progress"),
+                                                          (i + 1).alias("stops_away"), next_at("_next", s["stop_id"], left_ms, tolerance_ms).alias(output)))
+    return met.select(*pings.columns, F.inline(F.filter(labeled, lambda s: s[output].isNotNull())))
+
+
+def explode_stops_ahead(pings: DataFrame, stop_seq: DataFrame, k: int = 8) -> DataFrame:
+    """Ping x the next ``k`` stops ahead on its route; only the wanted stops are ever emitted."""
+    return stops_ahead(pings, stop_seq, k, "_ahead").select(*pings.columns, F.posexplode("_ahead").alias("_i", "_s")).select(
         *pings.columns,
         F.col("_s.stop_id").alias("target_stop_id"),
         F.col("_s.stop_sequence").alias("target_stop_sequence"),

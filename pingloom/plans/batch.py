@@ -15,7 +15,7 @@ from pingloom.config import DEFAULTS, Thresholds
 from pingloom.functions.times import epoch_day, weekday
 from pingloom.operators import clean, history, tiers
 from pingloom.operators.events import downsample_last
-from pingloom.operators.joins import asof_next, explode_stops_ahead, lookup_left
+from pingloom.operators.joins import label_stops_ahead, lookup_left
 from pingloom.operators.metrics import regression_metrics, with_errors
 from pingloom.operators.splits import temporal_split
 from pingloom.plans.stages import materialize
@@ -35,17 +35,13 @@ def clean_pings(pings: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
     return clean.filter_idle(pings.where(keep), cfg)
 
 
-def explode_stage(pings: DataFrame, stop_seq: DataFrame, k: int = 8) -> DataFrame:
-    return explode_stops_ahead(downsample_last(pings).drop("bucket_ms"), stop_seq, k)
-
-
-def label_stage(rows: DataFrame, arrivals: DataFrame, cfg: Thresholds = DEFAULTS) -> DataFrame:
-    matched = asof_next(
-        rows, arrivals.withColumnRenamed("stop_id", "target_stop_id"), ["route_id", "target_stop_id", "vehicle_id"],
-        "ts_ms", "arrival_ms", cfg.asof_tolerance_ms, "actual_arrival_ms",
+def label_stage(pings: DataFrame, arrivals: DataFrame, stop_seq: DataFrame, cfg: Thresholds = DEFAULTS, k: int = 8) -> DataFrame:
+    """Downsampled pings x the stops ahead, labelled; pings are fanned out after they have met the arrivals."""
+    labeled = label_stops_ahead(
+        downsample_last(pings).drop("bucket_ms"), arrivals, stop_seq, "ts_ms", "arrival_ms", cfg.asof_tolerance_ms, "actual_arrival_ms", k,
     ).withColumn("label_s", (F.col("actual_arrival_ms") - F.col("ts_ms")) / F.lit(1000.0))
-    # written once: the quantile and the trim below read the labelled rows, not the as-of join again
-    kept = materialize(clean.filter_labels(matched, "label_s", cfg.label_min_s, cfg.label_max_s))
+    # written once: the quantile and the trim below read the labelled rows, not the join again
+    kept = materialize(clean.filter_labels(labeled, "label_s", cfg.label_min_s, cfg.label_max_s))
     return clean.trim_by_group_quantile(kept, ["route_id"], "label_s", cfg.label_quantile)
 
 
@@ -77,8 +73,7 @@ def baseline_stage(train: DataFrame, rows: DataFrame, stop_seq: DataFrame, confi
 def run_batch(inputs: BatchInputs, ranges: dict[str, tuple[int, int]], cfg: Thresholds = DEFAULTS, k: int = 8) -> DataFrame:
     """Error of the baseline on the test range, per route."""
     stop_seq = materialize(inputs.stop_seq)
-    exploded = explode_stage(clean_pings(inputs.pings, cfg), stop_seq, k)
-    labeled = with_last_progress(label_stage(exploded, inputs.arrivals, cfg), stop_seq)
+    labeled = with_last_progress(label_stage(clean_pings(inputs.pings, cfg), inputs.arrivals, stop_seq, cfg, k), stop_seq)
     split = materialize(split_stage(labeled, ranges), partition_by=["split"])
     scored = baseline_stage(split.where("split = 'train'"), split.where("split = 'test'"), stop_seq)
     answered = with_errors(materialize(scored).where("baseline IS NOT NULL"), "label_s", "baseline")

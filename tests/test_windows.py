@@ -144,3 +144,30 @@ def test_downsample_keeps_last_known_value(spark):
     df = spark.createDataFrame(rows, "vehicle_id long, route_id long, ts_ms long, load double, event_id long")
     got = {r.bucket_ms: (r.load, r.event_id) for r in events.downsample_last(df).collect()}
     assert got == {0: (3.0, 2), 60_000: (9.0, 3)}
+
+
+def test_fan_out_comes_after_the_shuffle(spark):
+    """One row a ping meets the arrivals, whatever the number of targets; keys and times may be missing, arrivals may repeat."""
+    rng = np.random.default_rng(4)
+    pings = [(i, int(rng.integers(0, 4)), int(rng.integers(0, 3)), int(rng.integers(0, 40_000_000)), float(rng.random())) for i in range(200)] + [(900, None, 1, 5, 0.1), (901, 1, 1, None, 0.1)]
+    arrivals = [(int(rng.integers(0, 4)), int(rng.integers(0, 3)), int(rng.integers(0, 6)), int(rng.integers(0, 40_000_000))) for _ in range(300)]
+    arrivals += [*arrivals[:20], (None, 1, 1, 9), (1, 1, None, 9), (1, 1, 1, None)]
+    seq = spark.createDataFrame([(r, s, s, s / 6) for r in range(3) for s in range(6)], "route_id long, stop_id long, stop_sequence long, stop_progress double")
+    p = spark.createDataFrame(pings, "event_id long, vehicle_id long, route_id long, ts_ms long, progress double")
+    a = spark.createDataFrame(arrivals, "vehicle_id long, route_id long, stop_id long, arrival_ms long")
+    reach = 7_200_000
+    got = {(r.event_id, r.target_stop_id): (r.at, r.stops_away) for r in joins.label_stops_ahead(p, a, seq, "ts_ms", "arrival_ms", reach, "at", k=3).collect()}
+    want = {}
+    for i, vehicle, route, ts, progress in pings:
+        ahead = [s for s in range(6) if s / 6 > progress][:3]
+        for away, stop in enumerate(ahead, 1):
+            times = [t for v, r, s, t in arrivals if None not in (v, r, s, t, vehicle, ts) and (v, r, s) == (vehicle, route, stop) and ts <= t <= ts + reach]
+            if times:
+                want[i, stop] = (min(times), away)
+    assert got == want and len(want) > 50
+    asked = p.withColumn("targets", F.array(F.lit(0), F.lit(5), F.lit(5)).cast("array<long>"))
+    multi = joins.multi_target_asof(asked, "targets", a, ["vehicle_id", "route_id"], "stop_id", "ts_ms", "arrival_ms", reach, "event_id")
+    rows = {r.event_id: r.arrivals_ms for r in multi.collect()}
+    assert len(rows) == len(pings) and rows[900] == rows[901] == [None] * 3 and all(r[1] == r[2] for r in rows.values())
+    # the only rows multiplied are the arrivals
+    assert multi._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
