@@ -1,15 +1,17 @@
 """Historical aggregates and their joins (A1-A9, A13, A17), coverage (Q15)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pingloom.catalog.events import DWELL, TRAVEL
 from pingloom.catalog.registry import query, rounded
 from pingloom.catalog.windows import SPEED, gps
 from pingloom.config import HOUR_MS
-from pingloom.functions.times import local_hour, weekday
-from pingloom.operators import events, history, windows
+from pingloom.functions.times import epoch_day, local_hour, weekday
+from pingloom.operators import events, history, summaries, windows
 from pingloom.plans.relabel import TEST_DAYS, TRAIN_DAYS
-from pingloom.plans.stages import materialize
+from pingloom.plans.stages import materialize, run_folder
 
 CELL_SQL = "(((ts_ms // 3600000) - 6) % 24)::INTEGER AS hour_ct, CASE WHEN (ts_ms // 86400000 + 3) % 7 < 5 THEN 1 ELSE 0 END AS day_type"
 
@@ -78,6 +80,38 @@ def _(t):
     return rounded(history.vehicle_speed_factor(station_travel(t), 172_800), 8)
 
 
+def in_days(t, rows, keys, value, ms):
+    """Daily summaries as a table partitioned by day, each half of the days written by itself."""
+    folder = f"{run_folder(t.spark)}/{uuid.uuid4().hex}"
+    dated = rows.withColumn("day", epoch_day(ms))
+    for half in (0, 1):
+        summaries.write_days(summaries.daily(dated.where(F.pmod("day", F.lit(2)) == half), keys, value, "day"), folder, "day")
+    return summaries.read_days(t.spark, folder)
+
+
+@query("a1_hist_segments_from_days", f"WITH {TRAVEL} " + quartiles("segment_travel", "segment_s", "travel", "route_id, last_stop_id, hour_ct, day_type", 2))
+def _(t):
+    return rounded(history.quartile_cells_from_days(in_days(t, travel(t), list(history.CELL), "segment_s", "ts_ms"), list(history.CELL), "segment_travel", 2))
+
+
+@query("a4_segment_times_from_days", f"WITH {STATION_TRAVEL} SELECT route_id, prev_station, station, hour, round(mean_s, 4) AS mean_s, round(std_s, 4) AS std_s, n FROM seg")
+def _(t):
+    keys, rows = ["route_id", "prev_station", "station", "hour"], station_travel(t).where("travel_s > 0 AND travel_s < 172800")
+    return rounded(history.moment_cells_from_days(in_days(t, rows, keys, "travel_s", "arrival_ms"), keys), 4)
+
+
+@query("a5_stop_dwell_from_days", f"WITH {STATION_TRAVEL} SELECT station, hour, round(mean_s, 6) AS mean_s, round(std_s, 6) AS std_s, n FROM dwl")
+def _(t):
+    rows = t.arrivals.withColumn("hour", F.pmod(F.floor(F.col("arrival_ms") / HOUR_MS), F.lit(24))).where("dwell_s > 0 AND dwell_s < 600")
+    return rounded(history.moment_cells_from_days(in_days(t, rows, ["station", "hour"], "dwell_s", "arrival_ms"), ["station", "hour"]))
+
+
+@query("a6_speed_factor_from_days", f"WITH {STATION_TRAVEL} SELECT vehicle_id, round(speed_factor, 8) AS speed_factor FROM fac")
+def _(t):
+    rows = station_travel(t).where("travel_s > 0 AND travel_s < 172800")
+    return rounded(history.vehicle_speed_factor_from_days(in_days(t, rows, ["vehicle_id"], "travel_s", "arrival_ms")), 8)
+
+
 @query("a7_join_historical", f"""
     WITH {STATION_TRAVEL}, p AS (SELECT event_id, vehicle_id, route_id, 'Stop ' || last_stop_id AS last_station, 'Stop ' || next_stop_id AS target_station, (ts_ms // 3600000) % 24 AS hour FROM pings)
     SELECT event_id, round(coalesce(seg.mean_s, 0), 4) AS segment_avg_travel_time_sec, round(coalesce(seg.std_s, 0), 4) AS segment_std_travel_time_sec,

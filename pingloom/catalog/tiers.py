@@ -52,6 +52,20 @@ def _(t):
     return rounded(test_rows(t).select("event_id", "target_stop_id", "estimate", "tier"), 7)
 
 
+_CELL_COLUMNS = ("ela", "seg", "stp", "ot")
+_CELLS = " UNION ALL ".join(
+    f"SELECT {i} AS tier, route_id, last_stop_id, target_stop_id, " + ", ".join((c if c in x.split(", ") else "NULL::INTEGER") + f" AS {c}" for c in _CELL_COLUMNS)
+    + f", round(median(label_s), 7) AS value, count(*) AS n FROM b WHERE {TRAIN}{' AND ela >= 0' if el else ''} GROUP BY ALL HAVING count(*) >= 2" for i, (_, x, el) in enumerate(TIERS))
+
+
+@query("a10_cells_from_days", f"WITH {S2S}, {BINS} {_CELLS}")
+def _(t):
+    rows = tiers.with_tier_bins(t.train, tiers.quantile_bins_fit(t.train, tiers.elapsed_seconds()))
+    days = materialize(tiers.tier_days(rows, tiers.BASELINE, "day"), partition_by=["day"])
+    names = {tiers.E: "ela", tiers.S: "seg", tiers.P: "stp", tiers.O4: "ot", "_tier": "tier"}
+    return rounded(tiers.tier_fit_days(days, tiers.BASELINE).withColumnsRenamed(names), 7)
+
+
 @query("a11_tier_coverage", f"WITH {cascade()} SELECT tier, count(*) AS n, round(count(*) / (SELECT count(*) FROM sc) * 100, 6) AS pct FROM sc GROUP BY tier")
 def _(t):
     return rounded(tiers.tier_coverage(materialize(fitted(t).select("tier"))))

@@ -12,6 +12,7 @@ from pingloom.functions.scalars import clip
 from pingloom.operators.dictionary import folded, found
 from pingloom.operators.joins import lookup_left
 from pingloom.operators.quantiles import grouped_quantiles
+from pingloom.operators.summaries import merged_moments, merged_quantiles
 from pingloom.plans.stages import materialize
 
 CELL = ("route_id", "last_stop_id", "hour_ct", "day_type")
@@ -19,9 +20,21 @@ CELL = ("route_id", "last_stop_id", "hour_ct", "day_type")
 
 def quartile_cells(df: DataFrame, keys: Sequence[str], value: str, prefix: str, min_obs: int = DEFAULTS.history_min_obs) -> DataFrame:
     """Median and quartiles per cell; a sparse cell keeps its row with NULL statistics."""
-    q = grouped_quantiles(df, keys, value, {f"{prefix}_median": 0.5, f"{prefix}_p25": 0.25, f"{prefix}_p75": 0.75}, "n")
+    return _with_enough(grouped_quantiles(df, keys, value, _quartiles(prefix), "n"), keys, prefix, min_obs)
+
+
+def quartile_cells_from_days(summary: DataFrame, keys: Sequence[str], prefix: str, min_obs: int = DEFAULTS.history_min_obs) -> DataFrame:
+    """The same cells from daily summaries (:mod:`pingloom.operators.summaries`): a refit summarises the new day only."""
+    return _with_enough(merged_quantiles(summary, keys, _quartiles(prefix)), keys, prefix, min_obs)
+
+
+def _quartiles(prefix: str) -> dict[str, float]:
+    return {f"{prefix}_median": 0.5, f"{prefix}_p25": 0.25, f"{prefix}_p75": 0.75}
+
+
+def _with_enough(q: DataFrame, keys: Sequence[str], prefix: str, min_obs: int) -> DataFrame:
     enough = F.col("n") >= min_obs
-    return q.select(*keys, *[F.when(enough, F.col(f"{prefix}_{s}")).alias(f"{prefix}_{s}") for s in ("median", "p25", "p75")], "n")
+    return q.select(*keys, *[F.when(enough, F.col(c)).alias(c) for c in _quartiles(prefix)], "n")
 
 
 def hist_segments(travel: DataFrame, min_obs: int = DEFAULTS.history_min_obs) -> DataFrame:
@@ -59,6 +72,18 @@ def stop_dwell(arrivals: DataFrame, dwell: str = "dwell_s", keys: Sequence[str]
     )
 
 
+def moment_cells_from_days(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean, deviation (0 for one value) and number per cell, as :func:`segment_times` and :func:`stop_dwell` have them, from days."""
+    return merged_moments(summary, keys).select(*keys, F.col("mean").alias("mean_s"), F.coalesce("std", F.lit(0.0)).alias("std_s"), "n")
+
+
+def vehicle_speed_factor_from_days(summary: DataFrame) -> DataFrame:
+    """As :func:`vehicle_speed_factor`, from daily summaries of the travel times by vehicle."""
+    per = merged_moments(summary, ["vehicle_id"])
+    fleet = per.agg((F.sum("total") / F.sum("n")).alias("m")).scalar()
+    return per.select("vehicle_id", clip(fleet / F.col("mean"), 0.5, 2.0).alias("speed_factor"))
+
+
 def vehicle_speed_factor(travel: DataFrame, max_s: float = 3600.0) -> DataFrame:
     """Fleet mean travel time over the vehicle's, clamped to 0.5..2; both from one pass of partial sums."""
     per = travel.where((F.col("travel_s") > 0) & (F.col("travel_s") < max_s)).groupBy("vehicle_id").agg(

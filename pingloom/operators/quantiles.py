@@ -45,13 +45,13 @@ def _share() -> Column:
 
 
 def wanted_bins(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], few: int = FEW) -> DataFrame:
-    """The bins that hold the wanted ranks: (keys, _bin, _low, _high, _c, _before, _n), from ``rows``: (keys, _x, _bin), written.
+    """The bins that hold the wanted ranks: (keys, _bin, _low, _high, _c, _before, _n), from ``rows``: (keys, _x, _w, _bin), written.
 
     ``_low`` and ``_high`` are the bin's smallest and largest value, ``_before`` the number of the group's values below it. Bins have
     at most ``few`` rows unless all are equal.
     """
     wanted = " OR ".join(f"({rank} BETWEEN _before AND _before + _c - 1)" for p in probs for rank in _edges(float(p)))
-    stats = [F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_low"), F.max("_x").alias("_high")]
+    stats = [F.sum("_w").alias("_c"), F.min("_x").alias("_low"), F.max("_x").alias("_high")]
     group = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit(0)]))
     counted = rows.groupBy(*keys, "_bin").agg(*stats)
     bins = counted.withColumn("_n", F.sum("_c").over(group)).withColumn("_before", F.sum("_c").over(group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
@@ -63,7 +63,7 @@ def wanted_bins(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], fe
         if not bins.where(big).limit(1).count():
             break
         open_ = bins.where(big)
-        rows = materialize(within(rows, open_, keys).select(*keys, "_x", "_bin", "_low", "_high", "_before", "_n"))
+        rows = materialize(within(rows, open_, keys).select(*keys, "_x", "_w", "_bin", "_low", "_high", "_before", "_n"))
         part = F.least(F.floor(_share() * PARTS), F.lit(PARTS - 1))
         place = [*keys, "_bin", F.col("_before").alias("_from"), "_n", part.alias("_part")]
         inside = Window.partitionBy(*keys, "_bin", "_from").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
@@ -77,20 +77,24 @@ def within(rows: DataFrame, bins: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows that lie in one of ``bins``, with that bin's columns; bins don't overlap."""
     own = [*keys, "_bin"]
     named = bins.select(*[F.col(k).alias(f"_k_{k}") for k in own], "_low", "_high", "_c", "_before", "_n")
-    plain = rows.select(*own, "_x")
+    plain = rows.select(*own, "_x", "_w")
     joined = plain.join(named, _same(plain, named, own) & F.col("_x").between(F.col("_low"), F.col("_high")))
-    return joined.select(*own, "_x", "_low", "_high", "_c", "_before", "_n")
+    return joined.select(*own, "_x", "_w", "_low", "_high", "_c", "_before", "_n")
 
 
 def grouped_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str | Column, probs: dict[str, float], count_name: str | None = None, few: int = FEW
+    df: DataFrame, keys: Sequence[str], value: str | Column, probs: dict[str, float], count_name: str | None = None, few: int = FEW,
+    weight: str | None = None,
 ) -> DataFrame:
-    """One row per group with linearly interpolated quantiles (new name -> probability) and the count; missing values don't count."""
+    """One row per group with linearly interpolated quantiles (new name -> probability) and the count; missing values don't count.
+
+    ``weight``: a column that says how often a row's value occurs (a whole number).
+    """
     x = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*keys, x.cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    rows = df.select(*keys, x.cast("double").alias("_x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     rows = materialize(rows).withColumn("_bin", first_bin(F.col("_x")))
     bins = wanted_bins(rows, keys, list(probs.values()), few)
-    merged = within(rows, bins, keys).groupBy(*keys, "_bin", "_before", "_n", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    merged = within(rows, bins, keys).groupBy(*keys, "_bin", "_before", "_n", "_x").agg(F.sum("_w").alias("_c"))
     inside = Window.partitionBy(*keys, "_bin", "_before").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = merged.withColumn("_start", F.sum("_c").over(inside) - F.col("_c") + F.col("_before"))
     picks = [

@@ -19,6 +19,7 @@ from pingloom.config import DEFAULTS
 from pingloom.functions.scalars import bin_index, is_stopped, on_time_bin, on_time_bin3, segment_decile
 from pingloom.operators.dictionary import folded, found
 from pingloom.operators.quantiles import grouped_quantiles
+from pingloom.operators.summaries import daily, merged_moments, merged_quantiles
 from pingloom.plans.stages import materialize
 
 STOPS = ("route_id", "last_stop_id", "target_stop_id")
@@ -116,7 +117,7 @@ def with_tier_bins(df: DataFrame, elapsed_edges: Column) -> DataFrame:
     )
 
 
-def _expanded(train: DataFrame, tiers: Sequence[Tier], value: str) -> tuple[DataFrame, list[str]]:
+def _expanded(train: DataFrame, tiers: Sequence[Tier], value: str, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
     names = list(dict.fromkeys(k for t in tiers for k in t.keys))
     versions = []
     for i, tier in enumerate(tiers):
@@ -124,8 +125,8 @@ def _expanded(train: DataFrame, tiers: Sequence[Tier], value: str) -> tuple[Data
         fields += [(F.col(k) if k in tier.keys else F.lit(None).cast(train.schema[k].dataType)).alias(k) for k in names]
         allowed = F.col(tier.elapsed) >= 0 if tier.needs_elapsed else F.lit(True)
         versions.append(F.when(allowed, F.struct(*fields)))
-    exploded = train.select(F.col(value).alias("_value"), F.explode(F.array_compact(F.array(*versions))).alias("_v"))
-    return exploded.select("_value", "_v.*"), ["_tier", *names]
+    exploded = train.select(*keep, F.col(value).alias("_value"), F.explode(F.array_compact(F.array(*versions))).alias("_v"))
+    return exploded.select(*keep, "_value", "_v.*"), ["_tier", *names]
 
 
 def tier_fit(train: DataFrame, config: TierConfig, value: str = "label_s") -> DataFrame:
@@ -138,6 +139,22 @@ def tier_fit(train: DataFrame, config: TierConfig, value: str = "label_s") -> Da
     return cells.where(F.col("n") >= config.min_obs)
 
 
+def tier_days(train: DataFrame, config: TierConfig, day: str, value: str = "label_s") -> DataFrame:
+    """Daily summaries of all tiers' cells, which :func:`tier_fit_days` merges."""
+    rows, keys = _expanded(train, config.tiers, value, [day])
+    return daily(rows, keys, "_value", day)
+
+
+def tier_fit_days(summary: DataFrame, config: TierConfig) -> DataFrame:
+    """What :func:`tier_fit` finds, from daily summaries: a refit reads one new day of rows."""
+    keys = ["_tier", *dict.fromkeys(k for t in config.tiers for k in t.keys)]
+    if config.agg == "mean":
+        cells = merged_moments(summary, keys).select(*keys, F.col("mean").alias("value"), "n")
+    else:
+        cells = merged_quantiles(summary, keys, {"value": 0.5})
+    return cells.where(F.col("n") >= config.min_obs)
+
+
 def with_hits(df: DataFrame, cells: DataFrame, tiers: Sequence[Tier], values: Sequence[str], name: str = "_dict") -> tuple[DataFrame, list[Column]]:
     """``df`` joined with all tiers' cells at once, and for each tier its values for a row (a struct, NULL if it has none)."""
     common = [k for k in tiers[0].keys if all(k in t.keys for t in tiers)]

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pingloom.functions import scalars as S
-from pingloom.operators import history, metrics, quantiles, shift, tiers
+from pingloom.operators import history, metrics, quantiles, shift, summaries, tiers
 from pingloom.operators.quantiles import grouped_quantiles
 
 
@@ -100,7 +100,7 @@ def test_no_bin_holds_a_large_share(spark):
         (F.lit(1_706_000_000_000) + i * 4320).cast("double").alias("ms"), (F.lit(32.5) + i * 1e-5).alias("lat"), (F.lit(270.0) + i / 700).alias("kelvin"),
         F.when(i % 2 == 0, F.lit(7.0)).otherwise(i.cast("double")).alias("half_equal"), F.pow(F.lit(10.0), i % 600 - 300).alias("scales"), (F.lit(1e15) + F.floor(i / 300)).alias("steps"))
     for c in df.columns:
-        rows = df.select(F.col(c).alias("_x")).withColumn("_bin", quantiles.first_bin(F.col("_x")))
+        rows = df.select(F.col(c).alias("_x"), F.lit(1).cast("long").alias("_w")).withColumn("_bin", quantiles.first_bin(F.col("_x")))
         bins = quantiles.wanted_bins(rows, [], [0.1, 0.3, 0.5, 0.99], few).collect()
         assert all(b._c <= few or b._low == b._high for b in bins), (c, bins)
         got = grouped_quantiles(df, [], c, {"q": 0.3, "r": 0.5}, few=few).first()
@@ -116,6 +116,31 @@ def test_quantiles_read_their_input_once(spark, tmp_path):
     assert str(tmp_path) not in plan
 
 
+def test_cells_from_days_equal_cells_from_all_rows(spark, tmp_path):
+    """Each day is summarised once, a day delivered again replaces its part, and a refit reads summaries only."""
+    rng = np.random.default_rng(5)
+    n = 3000
+    frame = pd.DataFrame({"k": rng.choice(["a", "b", None], n), "day": rng.integers(0, 9, n), "x": np.round(rng.lognormal(3, 1, n), 1)})
+    frame.loc[::50, "x"] = np.nan
+    rows = spark.createDataFrame(frame).withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    folder = str(tmp_path / "days")
+    for part in (rows.where("day < 6").withColumn("x", F.when(F.col("day") == 3, F.lit(1.0)).otherwise(F.col("x"))), rows.where("day >= 6"), rows.where("day = 3")):
+        summaries.write_days(summaries.daily(part, ["k"], "x", "day"), folder, "day")
+    days = summaries.read_days(spark, folder)
+    assert days.count() == rows.where("x IS NOT NULL").select("k", "day").distinct().count()
+    probs = {"p25": 0.25, "p50": 0.5, "p90": 0.9}
+    want = {r.k: r for r in grouped_quantiles(rows, ["k"], "x", probs, "n").collect()}
+    got = {r.k: r for r in summaries.merged_quantiles(days, ["k"], probs).collect()}
+    assert got.keys() == want.keys() and all(got[k][c] == want[k][c] for k in want for c in ("p25", "p50", "p90", "n"))
+    plain = {r.k: r for r in rows.groupBy("k").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.count("x").alias("n")).collect()}
+    for r in summaries.merged_moments(days, ["k"]).collect():
+        assert r.n == plain[r.k].n and abs(r["mean"] - plain[r.k]["mean"]) < 1e-9 and abs(r["std"] - plain[r.k]["std"]) < 1e-9
+    one = spark.createDataFrame([("a", 0, 1e9 + 0.1), ("a", 1, 1e9 + 0.3)], "k string, day int, x double")
+    (row,) = summaries.merged_moments(summaries.daily(one, ["k"], "x", "day"), ["k"]).collect()
+    assert abs(row["std"] - np.std([0.1, 0.3], ddof=1)) < 1e-6
+    assert summaries.merged_moments(summaries.daily(one.limit(1), ["k"], "x", "day"), ["k"]).first()["std"] is None
+
+
 def test_missing_numbers_do_not_count(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,), (float("inf"),)], "x double")
     row = grouped_quantiles(df, [], "x", {"q": 0.5}, "n").first()
