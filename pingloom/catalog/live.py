@@ -113,6 +113,50 @@ def _(t):
     return rounded(out.select("vehicle_id", "event_id", "eta_s", "smoothed_s"))
 
 
+# a change of trip resets as one of route does
+TRIPS = f"""
+    WITH RECURSIVE s AS (SELECT vehicle_id, event_id, ts_ms, eta_minutes * 3 AS x, progress AS p, passenger_load // 30 AS side, event_id // 400 AS trip, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts_ms, event_id) AS n FROM pings WHERE eta_minutes IS NOT NULL),
+      r AS (SELECT vehicle_id, n, event_id, ts_ms, x, p, side, trip, x AS v FROM s WHERE n = 1
+            UNION ALL SELECT s.vehicle_id, s.n, s.event_id, s.ts_ms, s.x, s.p, s.side, s.trip,
+              CASE WHEN s.side <> r.side OR s.trip <> r.trip THEN s.x ELSE
+                CASE WHEN s.p > r.p AND (CASE WHEN abs(s.x - r.v) > 1500 THEN s.x ELSE 0.3::DOUBLE * s.x + 0.7::DOUBLE * r.v END) > r.v + 30 THEN r.v + 30
+                     ELSE CASE WHEN abs(s.x - r.v) > 1500 THEN s.x ELSE 0.3::DOUBLE * s.x + 0.7::DOUBLE * r.v END END END
+            FROM r JOIN s ON s.vehicle_id = r.vehicle_id AND s.n = r.n + 1)"""
+
+
+def trip_rows(pings):
+    return pings.where("eta_minutes IS NOT NULL").withColumns({"eta_s": F.col("eta_minutes") * 3, "route_id": F.floor(F.col("passenger_load") / 30), "trip_id": F.floor(F.col("event_id") / 400)})
+
+
+@query("l11_trip_change_batch", f"{TRIPS} SELECT vehicle_id, event_id, x AS eta_s, round(v, 6) AS smoothed_s FROM r")
+def _(t):
+    return rounded(L.smooth_state_batch(trip_rows(t.pings), bypass_s=1500.0).select("vehicle_id", "event_id", "eta_s", "smoothed_s"))
+
+
+@query("l11_warm_start", f"{TRIPS} SELECT vehicle_id, event_id, x AS eta_s, round(v, 6) AS smoothed_s FROM r WHERE ts_ms // 86400000 >= 19740")
+def _(t):
+    """The first days as a table, the rest as a stream that goes on from its states."""
+    first = L.smooth_state_batch(trip_rows(t.pings).where(F.col("ts_ms") < 19740 * 86_400_000), bypass_s=1500.0)
+    later = trip_rows(t.streamed().pings).where(F.col("ts_ms") >= 19740 * 86_400_000)
+    return rounded(L.run_available(L.smooth_state(later, bypass_s=1500.0, initial=first)).select("vehicle_id", "event_id", "eta_s", "smoothed_s"))
+
+
+SILENT = """
+    WITH g AS (SELECT vehicle_id, ts_ms, lead(ts_ms) OVER (PARTITION BY vehicle_id ORDER BY ts_ms) AS nxt FROM (SELECT DISTINCT vehicle_id, ts_ms FROM pings))
+    SELECT vehicle_id, ts_ms AS last_ms, ts_ms + 172800000 AS silent_ms FROM g WHERE nxt - ts_ms > 172800000 OR (nxt IS NULL AND ts_ms + 172800000 <= (SELECT max(ts_ms) FROM pings) - 3600000)"""
+
+
+@query("l6_silent_vehicles", SILENT)
+def _(t):
+    return L.run_available(L.silent_vehicles(t.streamed().pings, 172_800_000, "1 hour")).drop("batch_id")
+
+
+@query("l6_silent_vehicles_batch", SILENT)
+def _(t):
+    until = t.pings.agg((F.max("ts_ms") - 3_600_000).alias("m")).scalar()
+    return L.silent_vehicles_batch(t.pings, 172_800_000, until)
+
+
 @query("l8_monotone_guard", """
     WITH l AS (SELECT *, lag(eta_minutes) OVER w AS pe, lag(progress) OVER w AS pp FROM pings WINDOW w AS (PARTITION BY vehicle_id ORDER BY ts_ms, event_id))
     SELECT event_id, CASE WHEN progress > pp AND eta_minutes > pe + 30 THEN pe + 30 ELSE eta_minutes END AS guarded FROM l""")

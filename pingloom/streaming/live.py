@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pingloom.plans.slices import SLICE, in_ranges
+from pingloom.plans.stages import materialize
 from pingloom.session import shared_folder
-from pingloom.streaming.processors import HISTORY_SCHEMA, SMOOTH_SCHEMA, HistoryProcessor, SmoothProcessor
+from pingloom.streaming.processors import HISTORY_SCHEMA, SILENCE_SCHEMA, SMOOTH_SCHEMA, HistoryProcessor, SilenceProcessor, Smoothing, SmoothProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -97,16 +100,37 @@ def history_state(stream: DataFrame, span_ms: int = 90_000, compare_ms: int = 30
         statefulProcessor=HistoryProcessor(span_ms, compare_ms, ttl_ms), outputStructType=HISTORY_SCHEMA, outputMode="Append", timeMode=_time_mode(ttl_ms))
 
 
-def smooth_state(stream: DataFrame, alpha: float = 0.3, bypass_s: float = 60.0, max_rise_s: float = 30.0, ttl_ms: int | None = None) -> DataFrame:
+def smooth_state(stream: DataFrame, alpha: float = 0.3, bypass_s: float = 60.0, max_rise_s: float = 30.0, ttl_ms: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Smoothed ETA per vehicle: moving average, bypassed on jumps, monotone guard, reset on a change of route or (where known) trip.
 
-    ``ttl_ms`` as for :func:`history_state`.
+    ``ttl_ms`` as for :func:`history_state`. ``initial``: results of :func:`smooth_state_batch` that the stream goes on from; each
+    vehicle begins with its last state in them.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     trip = F.col("trip_id").cast("string") if "trip_id" in stream.columns else F.lit(None).cast("string")
     rows = stream.select("vehicle_id", "route_id", trip.alias("trip_id"), "event_id", "ts_ms", "progress", "eta_s")
     return rows.groupBy("vehicle_id").transformWithStateInPandas(
-        statefulProcessor=SmoothProcessor(alpha, bypass_s, max_rise_s, ttl_ms), outputStructType=SMOOTH_SCHEMA, outputMode="Append", timeMode=_time_mode(ttl_ms))
+        statefulProcessor=SmoothProcessor(Smoothing(alpha, bypass_s, max_rise_s), ttl_ms), outputStructType=SMOOTH_SCHEMA, outputMode="Append", timeMode=_time_mode(ttl_ms),
+        **({"initialState": last_states(initial).groupBy("vehicle_id")} if initial is not None else {}))
+
+
+def last_states(smoothed: DataFrame) -> DataFrame:
+    """The state each vehicle ends with, from :func:`smooth_state_batch`."""
+    state = F.struct("route_id", "trip_id", "progress", F.col("smoothed_s").alias("smoothed"))
+    last = smoothed.where("vehicle_id IS NOT NULL").groupBy("vehicle_id").agg(F.max_by(state, F.struct("ts_ms", "event_id")).alias("_s"))
+    return last.select("vehicle_id", F.col("_s.route_id").cast("long").alias("route_id"), "_s.trip_id", "_s.progress", "_s.smoothed")
+
+
+def silent_vehicles(stream: DataFrame, idle_ms: int, delay: str = "0 seconds") -> DataFrame:
+    """(vehicle_id, last_ms, silent_ms): a row whenever a vehicle has sent nothing for ``idle_ms``, and its state is dropped then.
+
+    Timers run on event time: a vehicle's silence is told by the watermark passing, that is by the packets of others, so neither a
+    packet of its own nor a clock is needed, and a run over available data shows it. ``stream`` needs ``vehicle_id`` and ``ts_ms``.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = stream.where("vehicle_id IS NOT NULL").select("vehicle_id", "ts_ms", F.timestamp_millis("ts_ms").alias("ts")).withWatermark("ts", delay)
+    return rows.groupBy("vehicle_id").transformWithStateInPandas(
+        statefulProcessor=SilenceProcessor(idle_ms), outputStructType=SILENCE_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
 def changed_only(stream: DataFrame, ts: str, delay: str = "10 minutes") -> DataFrame:
@@ -145,25 +169,83 @@ def service_hours_gate(df: DataFrame, hour: Column, first: int = 6, last: int =
 # batch twins of the smoothing state
 
 def smooth_batch(df: DataFrame, alpha: float = 0.3, bypass_s: float = 60.0) -> DataFrame:
-    """Moving average over each vehicle's time-ordered ETAs, from its first to its last.
+    """Moving average over each vehicle's time-ordered ETAs: (vehicle_id, event_id, eta_s, smoothed_s)."""
+    rows = df.select("vehicle_id", F.lit(0).cast("long").alias("route_id"), F.lit(None).cast("string").alias("trip_id"), "event_id", "ts_ms", F.lit(0.0).alias("progress"), "eta_s")
+    return fold_in_order(rows, Smoothing(alpha, bypass_s, float("inf"))).select("vehicle_id", "event_id", "eta_s", "smoothed_s")
+
+
+def smooth_state_batch(df: DataFrame, alpha: float = 0.3, bypass_s: float = 60.0, max_rise_s: float = 30.0) -> DataFrame:
+    """What :func:`smooth_state` puts out, from a table: all columns of its state beside the result, so that a stream can go on from it."""
+    trip = F.col("trip_id").cast("string") if "trip_id" in df.columns else F.lit(None).cast("string")
+    return fold_in_order(df.select("vehicle_id", "route_id", trip.alias("trip_id"), "event_id", "ts_ms", "progress", "eta_s"), Smoothing(alpha, bypass_s, max_rise_s))
+
+
+def fold_in_order(df: DataFrame, smoothing: Smoothing) -> DataFrame:
+    """Each vehicle's smoothing, whose values depend on the ones before, folded in parallel.
 
-    Each value depends on the one before, so a vehicle is read in order, as a stream of batches that carries one number:
-    memory is a batch, time is linear, and no task holds a vehicle.
+    Rows are cut into ranges of about equal size in the order of vehicle and time; a vehicle may span many. Each range is folded at
+    once, its first vehicle as if it began there, and hands over the state it ends with in one row. A range whose true start differs
+    is folded again from it. The average forgets its start within some hundred rows, after which both folds agree to the last bit, so
+    what ranges hand over doesn't change any more after the second fold. (If it did, ranges would be folded again until it doesn't:
+    the result is that of one pass through all rows, whatever the cuts.) A row without a vehicle is not smoothed.
     """
-    rows = df.select("vehicle_id", "ts_ms", "event_id", F.col("eta_s").cast("double").alias("eta_s"))
-    ordered = rows.repartition("vehicle_id").sortWithinPartitions("vehicle_id", "ts_ms", "event_id")
-
-    def fold(batches):
-        vehicle, last = None, None
-        for pdf in batches:
-            out = []
-            for v, x in zip(pdf["vehicle_id"].tolist(), pdf["eta_s"].tolist(), strict=True):
-                last = x if v != vehicle or abs(x - last) > bypass_s else alpha * x + (1 - alpha) * last
-                vehicle = v
-                out.append(last)
-            yield pdf[["vehicle_id", "event_id", "eta_s"]].assign(smoothed_s=out)
-
-    return ordered.mapInPandas(fold, "vehicle_id bigint, event_id bigint, eta_s double, smoothed_s double")
+    rows = df.select("vehicle_id", "route_id", "trip_id", "event_id", "ts_ms", F.col("progress").cast("double").alias("progress"), F.col("eta_s").cast("double").alias("eta_s"))
+    cut = in_ranges(materialize(rows), ["vehicle_id", "ts_ms", "event_id"], "range")
+    kept = cut.schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ")
+    start = "vehicle BIGINT, state STRUCT<route_id: BIGINT, trip_id: STRING, progress: DOUBLE, smoothed: DOUBLE>"
+
+    def fold(pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["vehicle_id", "ts_ms", "event_id"], kind="stable", na_position="first")
+        vehicle, state = None, None
+        if len(begin):
+            given = begin["state"].iloc[0]
+            vehicle, state = int(begin["vehicle"].iloc[0]), tuple(given[k] for k in ("route_id", "trip_id", "progress", "smoothed"))
+        values = []
+        for v, *r in zip(*(pdf[c].tolist() for c in ("vehicle_id", "route_id", "trip_id", "progress", "eta_s")), strict=True):
+            state = smoothing.step(state if v == vehicle else None, *r)
+            vehicle = v
+            values.append(state[3])
+        return pdf.assign(smoothed_s=values)
+
+    def folded(part: DataFrame, starts: DataFrame) -> DataFrame:
+        return materialize(part.groupBy("range").cogroup(starts.groupBy("range")).applyInPandas(fold, f"{kept}, smoothed_s double"))
+
+    spark = df.sparkSession
+    out = folded(cut, spark.createDataFrame([], f"range INT, {start}"))
+    used = spark.createDataFrame([], f"range INT, {start}")
+    ends_of = lambda done: done.groupBy("range").agg(
+        F.min(F.struct("vehicle_id", "ts_ms", "event_id"))["vehicle_id"].alias("first"),
+        F.max_by(F.struct(F.col("vehicle_id").alias("vehicle"), F.struct(F.col("route_id").cast("long").alias("route_id"), "trip_id", "progress", F.col("smoothed_s").alias("smoothed")).alias("state")), F.struct("vehicle_id", "ts_ms", "event_id")).alias("end"))
+    finished, ends = out, materialize(ends_of(out))
+    while True:
+        # a row a range
+        before = F.lag("end").over(Window.orderBy("range"))
+        starts = ends.withColumn("_b", before).where(F.col("_b.vehicle") == F.col("first")).select("range", "_b.vehicle", "_b.state")
+        same = used.select(F.col("range").alias("_r"), F.col("state").alias("_s"))
+        new = materialize(starts.join(same, (F.col("range") == F.col("_r")) & F.col("state").eqNullSafe(F.col("_s")), "left_anti"))
+        if not new.limit(1).count():
+            return finished.select("vehicle_id", "event_id", "ts_ms", "eta_s", "smoothed_s", "route_id", "trip_id", "progress")
+        again = new.select("range")
+        redone = folded(cut.join(again, "range", "left_semi"), new)
+        finished = materialize(finished.join(again, "range", "left_anti").unionByName(redone))
+        ends = materialize(ends.join(again, "range", "left_anti").unionByName(ends_of(redone)))
+        used = materialize(used.join(again, "range", "left_anti").unionByName(new))
+
+
+def silent_vehicles_batch(df: DataFrame, idle_ms: int, until_ms: Column) -> DataFrame:
+    """What :func:`silent_vehicles` puts out, from a table: ``until_ms`` is how far the stream's watermark came."""
+    from pingloom.plans.slices import with_slice
+
+    seen = materialize(df.where("vehicle_id IS NOT NULL AND ts_ms IS NOT NULL").select("vehicle_id", "ts_ms").distinct())
+    # the next packet after each, across slices: one summary row a slice
+    size = max(idle_ms, 1)
+    cut = with_slice(seen, "ts_ms", size)
+    w = Window.partitionBy("vehicle_id", SLICE).orderBy("ts_ms")
+    heads = cut.groupBy("vehicle_id", SLICE).agg(F.min("ts_ms").alias("_head"))
+    following = heads.select("vehicle_id", SLICE, F.lead("_head").over(Window.partitionBy("vehicle_id").orderBy(SLICE)).alias("_after"))
+    gaps = cut.withColumn("_next", F.lead("ts_ms").over(w)).join(following, ["vehicle_id", SLICE]).withColumn("_next", F.coalesce("_next", "_after"))
+    ends = F.col("ts_ms") + F.lit(idle_ms)
+    return gaps.where((F.col("_next") > ends) | (F.col("_next").isNull() & (ends <= until_ms))).select("vehicle_id", F.col("ts_ms").alias("last_ms"), ends.alias("silent_ms"))
 
 
 def monotone_guard(eta: Column, previous: Column, progress: Column, previous_progress: Column, max_rise_s: float = 30.0) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 HISTORY_SCHEMA = """
     vehicle_id BIGINT, event_id BIGINT, ts_ms BIGINT, progress_rate DOUBLE, speed_rolling_mean DOUBLE, speed_rolling_min DOUBLE,
     speed_rolling_max DOUBLE, acceleration DOUBLE, time_stopped DOUBLE, is_stopped DOUBLE"""
+SILENCE_SCHEMA = "vehicle_id BIGINT, last_ms BIGINT, silent_ms BIGINT"
 SMOOTH_SCHEMA = "vehicle_id BIGINT, event_id BIGINT, ts_ms BIGINT, eta_s DOUBLE, smoothed_s DOUBLE"
 
 
@@ -78,36 +80,81 @@ class HistoryProcessor(StatefulProcessor):
         pass
 
 
+@dataclass(frozen=True)
+class Smoothing:
+    """One step of the smoothed ETA; a state is (route_id, trip_id, progress, smoothed)."""
+
+    alpha: float
+    bypass_s: float
+    max_rise_s: float
+
+    def step(self, state: tuple | None, route, trip, progress: float, eta: float) -> tuple:
+        run = (None if route is None or route != route else int(route), None if trip is None else str(trip))
+        eta, value = float(eta), float(eta)
+        if state is not None and state[:2] == run:
+            previous = state[3]
+            if not abs(eta - previous) > self.bypass_s:
+                value = self.alpha * eta + (1 - self.alpha) * previous
+            if progress > state[2] and value > previous + self.max_rise_s:
+                value = previous + self.max_rise_s
+        return (*run, float(progress), value)
+
+
 class SmoothProcessor(StatefulProcessor):
     """Moving average of a vehicle's ETA with bypass, monotone guard and reset on a change of route or trip; idle state expires."""
 
-    def __init__(self, alpha: float, bypass_s: float, max_rise_s: float, ttl_ms: int | None) -> None:
-        self.alpha, self.bypass_s, self.max_rise_s, self.ttl_ms = alpha, bypass_s, max_rise_s, ttl_ms
+    def __init__(self, smoothing: Smoothing, ttl_ms: int | None) -> None:
+        self.smoothing, self.ttl_ms = smoothing, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "route_id BIGINT, trip_id STRING, progress DOUBLE, smoothed DOUBLE", ttlDurationMs=self.ttl_ms)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.last.update((int(row["route_id"]), None if pd.isna(row["trip_id"]) else str(row["trip_id"]), float(row["progress"]), float(row["smoothed"])))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state = tuple(self.last.get()) if self.last.exists() else None
         out = []
         for r in _in_order(rows).itertuples():
-            run = (int(r.route_id), None if r.trip_id is None else str(r.trip_id))
-            if state is not None and state[:2] != run:
-                state = None
-            eta = float(r.eta_s)
-            if state is not None:
-                previous = state[3]
-                mixed = self.alpha * eta + (1 - self.alpha) * previous
-                value = eta if abs(eta - previous) > self.bypass_s else mixed
-                if r.progress > state[2] and value > previous + self.max_rise_s:
-                    value = previous + self.max_rise_s
-            else:
-                value = eta
-            state = (*run, float(r.progress), value)
-            out.append((key[0], r.event_id, r.ts_ms, eta, value))
+            state = self.smoothing.step(state, r.route_id, r.trip_id, r.progress, r.eta_s)
+            out.append((key[0], r.event_id, r.ts_ms, float(r.eta_s), state[3]))
         if state is not None:
             self.last.update(state)
         yield pd.DataFrame(out, columns=["vehicle_id", "event_id", "ts_ms", "eta_s", "smoothed_s"])
 
     def close(self) -> None:
         pass
+
+
+class SilenceProcessor(StatefulProcessor):
+    """Tells when a vehicle has sent nothing for ``idle_ms`` of event time; its state is dropped then."""
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_ms BIGINT")
+
+    def _told(self, key, times: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"vehicle_id": [key[0]] * len(times), "last_ms": times, "silent_ms": [t + self.idle_ms for t in times]}).astype("int64")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        times = sorted({int(t) for batch in rows for t in batch["ts_ms"]})
+        old = int(self.last.get()[0]) if self.last.exists() else None
+        if old is not None:
+            self.handle.deleteTimer(old + self.idle_ms)
+            times = [old, *(t for t in times if t > old)]
+        self.last.update((times[-1],))
+        self.handle.registerTimer(times[-1] + self.idle_ms)
+        # silences that began and ended within the rows of a trigger
+        yield self._told(key, [a for a, b in zip(times, times[1:], strict=False) if b - a > self.idle_ms])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = int(self.last.get()[0])
+        self.last.clear()
+        yield self._told(key, [last])
+
+    def close(self) -> None:
+        pass

@@ -3,6 +3,7 @@
 import gzip
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -333,3 +334,54 @@ def test_model_beats_the_mean(spark):
     spread = df.agg(F.stddev("y")).first()[0]
     assert err < spread / 3
     assert model.feature_importance(spark, gbt, ["x", "z"]).first().feature == "x"
+
+
+@pytest.fixture
+def many_ranges(spark):
+    names = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("alpha", [0.3, 0.002])
+def test_parallel_fold_equals_one_pass(spark, many_ranges, alpha):
+    """A vehicle that holds most rows is cut into many ranges; with a slow average what they hand over takes several rounds to settle."""
+    from pingloom.streaming.processors import Smoothing
+
+    rng = np.random.default_rng(9)
+    rows = [(1, 3, "t", i, i * 1000, float(rng.random()), float(rng.uniform(0, 400))) for i in range(900)]
+    rows += [(2 + i % 3, i % 2, None if i % 5 else "u", 5000 + i, int(rng.integers(0, 900_000)), float(rng.random()), float(rng.uniform(0, 4000))) for i in range(300)]
+    rows += [(None, 1, "t", 9000 + i, i, 0.5, 5.0 + i) for i in range(3)]
+    df = spark.createDataFrame(rows, "vehicle_id long, route_id long, trip_id string, event_id long, ts_ms long, progress double, eta_s double").repartition(5)
+    got = {r.event_id: r.smoothed_s for r in L.smooth_state_batch(df, alpha=alpha, bypass_s=390.0).collect()}
+    step, state, want = Smoothing(alpha, 390.0, 30.0).step, {}, {}
+    for v, route, trip, event, _, progress, eta in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[4], r[3])):
+        state[v] = step(state.get(v) if v is not None else None, route, trip, progress, eta)
+        want[event] = state[v][3]
+    assert got == want
+    last = {r.vehicle_id: (r.route_id, r.trip_id, r.progress, r.smoothed) for r in L.last_states(L.smooth_state_batch(df, alpha=alpha, bypass_s=390.0)).collect()}
+    assert last == {v: s for v, s in state.items() if v is not None}
+    assert L.smooth_batch(df.limit(0)).collect() == []
+
+
+def test_silence_is_told_by_the_packets_of_others(spark, tmp_path):
+    minute, start = 60_000, 1_700_000_040_000
+    at = lambda *rows: [(v, start + m * minute) for v, m in rows]
+    first, second, third = at((1, 0), (2, 0), (3, 0), (1, 5), (None, 0)), at((2, 20), (1, 21), (2, 21)), at((2, 40))
+    told = lambda frame: sorted((r.vehicle_id, (r.last_ms - start) // minute, (r.silent_ms - start) // minute) for r in frame.collect())
+    for k, rows in enumerate((first, second, third)):
+        spark.createDataFrame(rows, "vehicle_id long, ts_ms long").coalesce(1).write.json(str(tmp_path / f"w{k}"))
+        (part,) = (tmp_path / f"w{k}").glob("part-*.json")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.json").write_text(part.read_text())
+        os.utime(tmp_path / "in" / f"{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = L.telemetry_stream(spark, str(tmp_path / "in"), "vehicle_id long, ts_ms long", 1)
+    got = told(L.run_available(L.silent_vehicles(stream, 10 * minute), folder=str(tmp_path)))
+    # vehicle 1 falls silent twice, the second time for good; vehicle 3 at once; vehicle 2's last packet is too recent to tell
+    assert got == [(1, 5, 15), (1, 21, 31), (2, 0, 10), (2, 21, 31), (3, 0, 10)]
+    every = spark.createDataFrame([*first, *second, *third], "vehicle_id long, ts_ms long")
+    assert told(L.silent_vehicles_batch(every, 10 * minute, F.lit(start + 40 * minute))) == got
