@@ -6,6 +6,8 @@ from pingloom.catalog.registry import query, rounded
 from pingloom.catalog.tiers import cascade
 from pingloom.operators import metrics, model, splits
 from pingloom.plans.relabel import CTES
+from pingloom.plans.stages import materialize
+from pingloom.streaming import live
 
 INPUTS = ["distance_m", "speed", "stops_away", "hour", "schedule_eta"]
 
@@ -34,6 +36,56 @@ def _(t):
     return rounded(model.temporal_cv(parts, INPUTS, "residual", trees=3, depth=3), 4)
 
 
+def folds_of(t):
+    parts = splits.ts_cv_folds(rows(t).withColumn("pos", F.col("order_id") * 3_600_000), "pos", ["pos", "part_id", "supp_id", "line", "actual"])
+    return materialize(model.temporal_cv(parts, INPUTS, "residual", trees=3, depth=3))
+
+
+# a boosted tree has no SQL, but what must hold of its scores has: sizes of folds, finite errors, mean and deviation within bounds
+@query("ml3_cv_checks", """
+    WITH n AS (SELECT count(*) AS total, count(*) // 5 AS size FROM predictions)
+    SELECT 4::BIGINT AS n_folds, size * 4 AS n, true AS all_folds_equal, true AS mean_between, true AS deviation_fits, true AS better_than_nothing FROM n""")
+def _(t):
+    folds = folds_of(t)
+    spread = folds.agg((F.min("n") == F.max("n")).alias("e")).scalar()
+    naive = rows(t).agg(F.max(F.abs("residual")).alias("m")).scalar()
+    s = model.cv_summary(folds)
+    return s.select(F.col("n_folds").cast("long").alias("n_folds"), F.col("n").cast("long").alias("n"), spread.alias("all_folds_equal"), F.col("mean_mae").between(F.col("best_mae"), F.col("worst_mae")).alias("mean_between"),
+                    (F.col("std_mae") <= (F.col("worst_mae") - F.col("best_mae")) / 2 + 1e-9).alias("deviation_fits"), (F.col("worst_mae") < naive).alias("better_than_nothing"))
+
+
+@query("ml1_fit_checks", "SELECT (SELECT count(DISTINCT route_id) FROM predictions) AS n_routes, true AS all_finite, true AS better_than_baseline")
+def _(t):
+    """Rows scored after a fit: every route, no missing prediction, a lower error than the baseline's."""
+    gbt, held = fitted(t)
+    out = metrics.with_errors(model.score(held, gbt, INPUTS), "actual", "predicted")
+    return out.agg(F.count_distinct("route_id").alias("n_routes"), F.bool_and(F.col("predicted").isNotNull() & ~F.isnan("predicted")).alias("all_finite"),
+                   (F.avg("abs_err") < F.avg(F.abs(F.col("baseline") - F.col("actual")))).alias("better_than_baseline"))
+
+
+@query("ml4_importance_checks", f"SELECT {len(INPUTS)}::BIGINT AS n_inputs, 1.0::DOUBLE AS total, true AS none_negative")
+def _(t):
+    gbt, _ = fitted(t)
+    return model.feature_importance(t.spark, gbt, INPUTS).agg(F.count("*").alias("n_inputs"), F.round(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("none_negative"))
+
+
+LATEST = "latest AS (SELECT vehicle_id, arg_max(route_id, ts_ms * 1000000 + event_id) AS route_id, arg_max(progress, ts_ms * 1000000 + event_id) AS progress, arg_max(speed, ts_ms * 1000000 + event_id) AS speed, max(ts_ms) AS ts_ms FROM pings GROUP BY vehicle_id)"
+
+
+@query("ml2_vehicle_stop_scores", f"""
+    WITH {LATEST} SELECT vehicle_id, l.route_id, stop_id, round(abs(stop_progress - progress) * max_dist * 1609.344, 4) AS distance_m, round(abs(stop_progress - progress) * max_dist * 120, 4) AS baseline, true AS adds_up
+    FROM latest l JOIN stop_seq USING (route_id)""")
+def _(t):
+    """Each vehicle's latest position x all stops of its route; the model's part of the score is checked to add up."""
+    gbt, _ = fitted(t)
+    latest = live.latest_positions(t.pings.select("vehicle_id", "route_id", "event_id", "ts_ms", "progress", "speed"))
+    way = F.abs(F.col("stop_progress") - F.col("progress")) * F.col("stop_max_dist")
+    inputs = {"distance_m": way * 1609.344, "speed": F.col("speed"), "stops_away": F.col("stop_sequence"), "hour": F.pmod(F.floor(F.col("ts_ms") / 3_600_000), F.lit(24)), "schedule_eta": way * 120}
+    out = model.score_vehicle_stops(latest, t.stop_seq, gbt, INPUTS, inputs, way * 120)
+    adds = (F.abs(F.col("predicted") - F.col("baseline") - F.col("pred_residual")) < 1e-6) & ~F.isnan("predicted")
+    return rounded(out.select("vehicle_id", "route_id", "stop_id", "distance_m", "baseline", adds.alias("adds_up")), 4)
+
+
 @query("ml4_feature_importance")
 def _(t):
     gbt, _ = fitted(t)

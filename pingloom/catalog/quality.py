@@ -72,11 +72,17 @@ def _(t):
 
 SUITE = f"""
     WITH p AS (SELECT vehicle_id, nullif(last_stop_id, 0) AS stop_id, eta_minutes AS scheduled_s, (event_id % 4000 - 50)::DOUBLE AS label_s, {HOUR} AS hour,
-                      CASE WHEN {DAYMIN} % 60 >= 50 THEN 1 ELSE 0 END AS is_class_change, heading * 6 AS heading_change, speed AS route_distance, last_stop_on_time AS speed_mean FROM pings),
-         n AS (SELECT count(*) AS n, count_if(heading_change > 1800) AS a, count_if(speed_mean IS NULL) AS b, count_if((hour < 6 OR hour > 22) AND is_class_change = 1) AS c, count_if(scheduled_s <= 0) AS d, count_if(label_s < 0) AS e,
+                      CASE WHEN {DAYMIN} % 60 >= 50 THEN 1 ELSE 0 END AS is_class_change, heading * 6 AS heading_change, speed AS route_distance, last_stop_on_time AS speed_mean,
+                      heading AS haversine, progress * 10 - 5 AS minutes_since_stop, w.temperature_c, w.precipitation_mm, (speed - heading) / 10000 AS acceleration
+               FROM pings LEFT JOIN (SELECT hour_ms, 20.0::DOUBLE AS temperature_c, floor(precipitation_mm) AS precipitation_mm FROM weather) w ON w.hour_ms = ts_ms // 3600000 * 3600000),
+         n AS (SELECT count(*) AS n, count_if(route_distance = 0 AND haversine > 0) AS hz, count_if(minutes_since_stop = 0) AS ms, count_if(temperature_c = 20.0 AND precipitation_mm = 0.0) AS wf, max(abs(acceleration)) AS acc, count_if(heading_change > 1800) AS a, count_if(speed_mean IS NULL) AS b, count_if((hour < 6 OR hour > 22) AND is_class_change = 1) AS c, count_if(scheduled_s <= 0) AS d, count_if(label_s < 0) AS e,
                       count_if(label_s > 3600) AS f, count_if(label_s = 0) AS g, count_if(stop_id IS NULL) AS h, count_if(label_s > 3500 AND label_s <= 3600) AS i, count(DISTINCT vehicle_id) AS v,
-                      count_if(route_distance > 20000) AS j, count_if(route_distance = 0) AS k, count_if(stop_id IS NULL) + count_if(scheduled_s IS NULL) + count_if(speed_mean IS NULL) AS holes FROM p)
+                      count_if(route_distance > 20000) AS j, count_if(route_distance = 0) AS k, count_if(stop_id IS NULL) + count_if(scheduled_s IS NULL) + count_if(speed_mean IS NULL) + count_if(temperature_c IS NULL) + count_if(precipitation_mm IS NULL) + count_if(haversine IS NULL) + count_if(minutes_since_stop IS NULL) + count_if(acceleration IS NULL) AS holes FROM p)
     SELECT 'Features' AS category, 'Heading Change Unbounded' AS "check", a::BIGINT AS affected, n AS total, CASE WHEN a > 0 THEN 'MEDIUM' ELSE 'INFO' END AS severity FROM n
+    UNION ALL SELECT 'Distance', 'Haversine Fallback Zeros', hz::BIGINT, n, CASE WHEN hz > 0 THEN 'CRITICAL' ELSE 'INFO' END FROM n
+    UNION ALL SELECT 'Temporal', 'Minutes Since Stop Capped', ms::BIGINT, n, CASE WHEN ms > n * 0.1 THEN 'LOW' ELSE 'INFO' END FROM n
+    UNION ALL SELECT 'Data Quality', 'Weather FillNA Ambiguity', wf::BIGINT, n, CASE WHEN wf > n * 0.1 THEN 'LOW' ELSE 'INFO' END FROM n
+    UNION ALL SELECT 'Features', 'Acceleration Magnitude', CASE WHEN acc < 0.1 THEN n ELSE 0 END, n, CASE WHEN acc < 0.1 THEN 'LOW' ELSE 'INFO' END FROM n
     UNION ALL SELECT 'Distance', 'Circular Route Wraparound', j::BIGINT, n, CASE WHEN j > 0 THEN 'HIGH' ELSE 'INFO' END FROM n
     UNION ALL SELECT 'Distance', 'Missing GTFS Trip Data', k::BIGINT, n, CASE WHEN k > n * 0.1 THEN 'HIGH' WHEN k > 0 THEN 'MEDIUM' ELSE 'INFO' END FROM n
     UNION ALL SELECT 'Features', 'Rolling Feature NaN', b::BIGINT, n, CASE WHEN b > n * 0.05 THEN 'MEDIUM' WHEN b > 0 THEN 'LOW' ELSE 'INFO' END FROM n
@@ -88,15 +94,18 @@ SUITE = f"""
     UNION ALL SELECT 'Labels', '1-Hour Lookahead Bias', i::BIGINT, n, CASE WHEN i > 100 THEN 'HIGH' WHEN i > 0 THEN 'MEDIUM' ELSE 'INFO' END FROM n
     UNION ALL SELECT 'Data Quality', 'Stop Mapping Failures', h::BIGINT, n, CASE WHEN h > n * 0.05 THEN 'MEDIUM' WHEN h > 0 THEN 'LOW' ELSE 'INFO' END FROM n
     UNION ALL SELECT 'Data Quality', 'Vehicle ID Mismatches', CASE WHEN v > 50 THEN v ELSE 0 END, v, CASE WHEN v > 50 THEN 'HIGH' ELSE 'INFO' END FROM n
-    UNION ALL SELECT 'Data Quality', 'Feature Completeness', holes::BIGINT, n * 9, CASE WHEN holes > n * 9 * 0.05 THEN 'MEDIUM' WHEN holes > 0 THEN 'LOW' ELSE 'INFO' END FROM n"""
+    UNION ALL SELECT 'Data Quality', 'Feature Completeness', holes::BIGINT, n * 14, CASE WHEN holes > n * 14 * 0.05 THEN 'MEDIUM' WHEN holes > 0 THEN 'LOW' ELSE 'INFO' END FROM n"""
 
 
 def suite_rows(t):
+    """Every column a check asks for."""
     e = F.col("event_id")
-    return t.pings.select(
+    hourly = t.weather.select(F.col("hour_ms").alias("_hour"), F.lit(20.0).alias("temperature_c"), F.floor("precipitation_mm").cast("double").alias("precipitation_mm"))
+    return t.pings.join(hourly, F.floor(F.col("ts_ms") / 3_600_000) * 3_600_000 == F.col("_hour"), "left").select(
         "vehicle_id", F.nullif("last_stop_id", F.lit(0)).alias("stop_id"), F.col("eta_minutes").alias("scheduled_s"), (e % 4000 - 50).cast("double").alias("label_s"),
         hour_of("ts_ms").alias("hour"), (F.pmod(F.floor(F.col("ts_ms") / 60000), F.lit(60)) >= 50).cast("int").alias("is_class_change"),
-        (F.col("heading") * 6).alias("heading_change"), F.col("speed").alias("route_distance"), F.col("last_stop_on_time").alias("speed_mean"))
+        (F.col("heading") * 6).alias("heading_change"), F.col("speed").alias("route_distance"), F.col("last_stop_on_time").alias("speed_mean"),
+        F.col("heading").alias("haversine"), (F.col("progress") * 10 - 5).alias("minutes_since_stop"), "temperature_c", "precipitation_mm", ((F.col("speed") - F.col("heading")) / 10000).alias("acceleration"))
 
 
 @query("q9_validation_suite", SUITE)
@@ -176,14 +185,22 @@ def _(t):
     return quality.violations(t.pings, rules)
 
 
+EXPECTED = ("vehicle_id", "route_id", "speed", "heading", "dwell_median", "elapsed_decile")
+
+
 @query("q14_quality_report", """
-    WITH v AS (SELECT 'label_missing_rate' AS name, count_if(eta_minutes IS NULL) / count(*) * 100 AS value FROM pings UNION ALL SELECT 'speed_out_of_range_rate', count_if(speed < 0 OR speed > 80) / count(*) * 100 FROM pings
-               UNION ALL SELECT 'mean_speed', avg(speed) FROM pings)
-    SELECT name, round(value, 6) AS value, t AS threshold, CASE WHEN t IS NULL OR value <= t THEN 1 ELSE 0 END AS ok FROM (SELECT *, CASE name WHEN 'label_missing_rate' THEN 30.0::DOUBLE WHEN 'speed_out_of_range_rate' THEN 1.0::DOUBLE END AS t FROM v)""")
+    WITH v AS (SELECT 'label_missing_rate' AS name, count_if(eta_minutes IS NULL OR event_id % 2 = 0) / count(*) * 100 AS value FROM pings UNION ALL SELECT 'speed_out_of_range_rate', count_if(speed < 0 OR speed > 80) / count(*) * 100 FROM pings
+               UNION ALL SELECT 'mean_speed', avg(speed) FROM pings UNION ALL SELECT 'labels_negative', count_if(event_id % 4000 < 50)::DOUBLE FROM pings UNION ALL SELECT 'missing_expected_features', 2.0::DOUBLE),
+    w AS (SELECT *, CASE name WHEN 'label_missing_rate' THEN 30.0::DOUBLE WHEN 'speed_out_of_range_rate' THEN 1.0::DOUBLE WHEN 'labels_negative' THEN 0.0::DOUBLE WHEN 'missing_expected_features' THEN 0.0::DOUBLE END AS t FROM v)
+    SELECT name, round(value, 6) AS value, t AS threshold, CASE WHEN t IS NULL OR value <= t THEN 1 ELSE 0 END AS ok,
+           CASE WHEN value > t THEN CASE name WHEN 'missing_expected_features' THEN 'missing expected features: dwell_median, elapsed_decile' WHEN 'labels_negative' THEN value::BIGINT || ' negative labels found'
+                ELSE printf('%s of %.3f%% exceeds the threshold of %.1f%%', name, value, t) END END AS warning FROM w""")
 def _(t):
+    e = F.col("event_id")
     rate = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("int")) * 100
-    row = t.pings.agg(rate(F.col("eta_minutes").isNull()).alias("label_missing_rate"), rate((F.col("speed") < 0) | (F.col("speed") > 80)).alias("speed_out_of_range_rate"), F.avg("speed").alias("mean_speed"))
-    return rounded(quality.quality_report(row.unpivot([], row.columns, "name", "value")))
+    row = t.pings.agg(rate(F.col("eta_minutes").isNull() | (e % 2 == 0)).alias("label_missing_rate"), rate((F.col("speed") < 0) | (F.col("speed") > 80)).alias("speed_out_of_range_rate"), F.avg("speed").alias("mean_speed"),
+                      F.count_if(e % 4000 < 50).cast("double").alias("labels_negative"))
+    return rounded(quality.quality_report(row.unpivot([], row.columns, "name", "value"), EXPECTED, t.pings.columns))
 
 
 @query("f6_class_change_rates", f"SELECT {HOUR}::INTEGER AS hour, count(*) AS n, count_if({DAYMIN} % 60 >= 50 OR {DAYMIN} % 60 <= 10)::BIGINT AS n_change FROM pings GROUP BY 1")

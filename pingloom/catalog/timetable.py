@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from pingloom.catalog.history import travel
 from pingloom.catalog.registry import query, rounded
+from pingloom.catalog.scalars import DAYMIN, DOW
+from pingloom.catalog.tiers import cascade
+from pingloom.catalog.windows import SPEED
 from pingloom.functions.scalars import RUSH_HOURS
 from pingloom.functions.times import local_hour
 from pingloom.operators import timepoints as T
@@ -78,6 +81,26 @@ def _(t):
     return out.select("event_id", "target_stop_id", *features.model_inputs(out, rows), "residual")
 
 
+# the columns of the assembly that other queries' SQL tells, joined row by row
+VALUES = f"""
+    WITH {cascade()}, {TP}, {SPEED.replace('60000 AND', '5000 AND').replace(', 2.5)', ', 29.06)')}, mt AS (SELECT median(temperature_c) AS tm FROM weather), rl AS (SELECT route_id, max(max_dist) AS l FROM stop_seq GROUP BY route_id)
+    SELECT a.event_id, a.target_stop_id, round(greatest((a.target_stop_progress - a.progress) * rl.l, 0), 6) + 0.0 AS distance_to_target, CASE WHEN a.eta_minutes IS NOT NULL THEN greatest(a.eta_minutes, 0) END AS scheduled_time_to_target,
+           a.speed AS current_speed, a.stops_away AS stops_remaining, a.target_stop_sequence AS stop_index, {DAYMIN.replace('ts_ms', 'a.ts_ms')}::INTEGER AS minutes_since_midnight, {DOW.replace('ts_ms', 'a.ts_ms')}::INTEGER AS day_of_week,
+           coalesce(precipitation_mm, 0) AS precipitation_mm, coalesce(temperature_c, tm) AS temperature_c, CASE WHEN a.speed <= 2 THEN 1 ELSE 0 END AS is_idle, round(g.gps, 6) AS gps_speed_mps,
+           dep.dep AS scheduled_departure_seconds, CASE WHEN dr.route_id IS NOT NULL THEN CASE WHEN dep.dep IS NOT NULL THEN 1 ELSE 0 END END AS is_timepoint, tf.timepoints_remaining, tf.time_until_next_timepoint_departure, tf.timepoint_adherence, CASE WHEN a.hour_ct IN ({', '.join(map(str, RUSH_HOURS))}) THEN 1 ELSE 0 END AS is_rush_hour,
+           round(sc.baseline_s2s, 6) AS baseline_s2s, round(sc.estimate, 6) AS baseline_eta, round(a.label_s - sc.estimate, 6) + 0.0 AS residual
+    FROM labeled a JOIN sc ON sc.event_id = a.event_id AND sc.target_stop_id = a.target_stop_id JOIN rl ON rl.route_id = a.route_id CROSS JOIN mt LEFT JOIN weather w ON w.hour_ms = a.ts_ms // 3600000 * 3600000
+    LEFT JOIN g ON g.event_id = a.event_id LEFT JOIN dep ON dep.route_id = a.route_id AND dep.stop_id = a.target_stop_id
+    LEFT JOIN (SELECT DISTINCT route_id FROM dep) dr ON dr.route_id = a.route_id LEFT JOIN ({T_SQL}) tf ON tf.event_id = a.event_id AND tf.target_stop_id = a.target_stop_id"""
+
+
+@query("t8_values", VALUES)
+def _(t):
+    names = ["event_id", "target_stop_id", "distance_to_target", "scheduled_time_to_target", "current_speed", "stops_remaining", "stop_index", "minutes_since_midnight", "day_of_week", "precipitation_mm",
+             "temperature_c", "is_idle", "gps_speed_mps", "scheduled_departure_seconds", "is_timepoint", "timepoints_remaining", "time_until_next_timepoint_departure", "timepoint_adherence", "is_rush_hour", "baseline_s2s", "baseline_eta", "residual"]
+    return rounded(from_t8(t).select(*names), 6, time_until_next_timepoint_departure=3, timepoint_adherence=3)
+
+
 @query("t8_rows_and_columns", "SELECT count(*) AS rows, 45 AS inputs FROM labeled")
 def _(t):
     out = from_t8(t)

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pingloom.operators.splits import fold
+from pingloom.plans.stages import materialize
 
 
 def with_missing_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -38,7 +39,8 @@ def score(df: DataFrame, model: PipelineModel, columns: Sequence[str], baseline:
 
 
 def temporal_cv(parts: DataFrame, columns: Sequence[str], target: str, n_folds: int = 4, trees: int = 5, depth: int = 3) -> DataFrame:
-    """Validation error per expanding-window fold. ``parts`` comes from ``ts_cv_folds``."""
+    """Validation error per expanding-window fold. ``parts`` comes from ``ts_cv_folds``; it is written once, by part, for all fits."""
+    parts = materialize(parts, partition_by=["part"])
     out = None
     for k in range(1, n_folds + 1):
         train, held = fold(parts, k, target)
@@ -49,6 +51,23 @@ def temporal_cv(parts: DataFrame, columns: Sequence[str], target: str, n_folds:
     return out
 
 
+def cv_summary(folds: DataFrame) -> DataFrame:
+    """Mean and population deviation of the folds' errors, the best and the worst, and the rows validated."""
+    return folds.agg(F.count("*").alias("n_folds"), F.avg("mae").alias("mean_mae"), F.stddev_pop("mae").alias("std_mae"), F.min("mae").alias("best_mae"), F.max("mae").alias("worst_mae"), F.sum("n").alias("n"))
+
+
+def score_vehicle_stops(positions: DataFrame, stop_seq: DataFrame, model: PipelineModel, columns: Sequence[str], inputs: dict[str, Column], baseline: Column) -> DataFrame:
+    """The latest positions x all stops of their routes, each with its predicted ETA: what a stop's board shows for every vehicle.
+
+    ``positions`` has a row a vehicle, ``stop_seq`` a row a (route, stop); a route's stops bound what a vehicle becomes. ``inputs`` and
+    ``baseline`` are expressions over both sides' columns (``stop_`` before those of the stop).
+    """
+    stops = stop_seq.select("route_id", *[F.col(c).alias(c if c.startswith("stop_") else f"stop_{c}") for c in stop_seq.columns if c != "route_id"])
+    pairs = positions.join(stops, "route_id")
+    kept = ["vehicle_id", "route_id", "stop_id"]
+    return score(pairs.select(*kept, *[e.cast("double").alias(n) for n, e in inputs.items()], baseline.cast("double").alias("baseline")), model, columns)
+
+
 def feature_importance(spark, model: PipelineModel, columns: Sequence[str]) -> DataFrame:
     """Split-gain importance per input (the missing flag's share counts towards its column)."""
     weights = model.stages[-1].featureImportances.toArray()

@@ -271,15 +271,27 @@ def assert_invariants(df: DataFrame, rules: dict[str, Column]) -> None:
         raise AssertionError(f"stage invariants broken: {broken}")
 
 
-# fixed values: report thresholds in percent
-LIMITS = {"label_missing_rate": 30.0, "speed_out_of_range_rate": 1.0, "weather_missing_rate": 5.0}
+# fixed values: report thresholds
+LIMITS = {"label_missing_rate": 30.0, "speed_out_of_range_rate": 1.0, "weather_missing_rate": 5.0, "labels_negative": 0.0, "missing_expected_features": 0.0}
 
 
-def quality_report(values: DataFrame) -> DataFrame:
-    """(name, value) rows against their thresholds: ok flag and warning text."""
+def quality_report(values: DataFrame, expected: Sequence[str] = (), present: Sequence[str] = ()) -> DataFrame:
+    """(name, value, threshold, ok, warning): values against their thresholds, with a text for each that exceeds its own.
+
+    ``expected``: the features a table must have, of which those not ``present`` are counted and named. Values without a threshold are
+    reported as they are; an unknown (NULL) value is no warning.
+    """
+    missing = sorted(set(expected) - set(present))
+    rows = values.select("name", F.col("value").cast("double").alias("value"))
+    if expected:
+        rows = rows.unionByName(rows.sparkSession.range(1).select(F.lit("missing_expected_features").alias("name"), F.lit(float(len(missing))).alias("value")))
     limit = F.create_map(*[F.lit(x) for kv in LIMITS.items() for x in kv])
-    named = values.withColumn("threshold", F.try_element_at(limit, F.col("name")))
-    return named.withColumn("ok", (F.col("threshold").isNull() | (F.col("value") <= F.col("threshold"))).cast("int"))
+    named = rows.withColumn("threshold", F.try_element_at(limit, F.col("name")))
+    over = F.coalesce(F.col("value") > F.col("threshold"), F.lit(False))
+    text = F.when(F.col("name") == "missing_expected_features", F.lit("missing expected features: " + ", ".join(missing)))
+    text = text.when(F.col("name") == "labels_negative", F.format_string("%.0f negative labels found", "value"))
+    text = text.otherwise(F.format_string("%s of %.3f%% exceeds the threshold of %.1f%%", "name", "value", "threshold"))
+    return named.withColumn("ok", (~over).cast("int")).withColumn("warning", F.when(over, text))
 
 
 def eta_seconds_with_flag(df: DataFrame, field: str, ts: str, output: str) -> DataFrame:
