@@ -1,6 +1,10 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a run of at most 400 code points of one line that isn't blank; its digest is its 64-bit hash. A sketch has three rows
+A paragraph is a piece of the text that isn't blank; its digest is its 64-bit hash. Texts are cut where their words say so, not at
+offsets: at line ends, and between two words whose last and first letters lie in given ranges, so an edit changes the pieces it
+touches and those after it are cut as before. Pieces grow along the text, by the same rule for texts of any length: two code points
+each of the first 8, words up to 32, a few words up to 256, then lines, cut about every hundred words where they are long. So short
+texts have pieces, too, and versions that share two thirds of their code points share some. A sketch has three rows
 of eight cells; a digest is added to one cell of each row: to the cell's count, and by exclusive or to its digest sum and check sum.
 Sketches of two versions subtract cell by cell, equal paragraphs cancel, and peeling (taking out cells that hold a single digest) gives
 the differing digests. If that fails, both sides are sketched again in a larger table, of as many blocks of 24 cells as their counts ask
@@ -19,7 +23,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-PARAGRAPH = 400
+# Where pieces of a kind begin and what a piece is, as (first code point, one beyond the last, expression). Where no boundary comes, a
+# piece ends after as many code points as its expression names; the next boundary brings both versions back in step.
+_GAP = "[ \\t\\r\\n]+"
+PIECES = (
+    (0, 8, "(?s).{1,2}"),
+    (8, 32, f"(?s)[^ \\t\\r\\n]{{1,16}}[ \\t\\r\\n]*|{_GAP}"),
+    (32, 256, f"(?s).{{1,100}}?(?:(?<=[a-e]){_GAP}(?=[a-e])|\\n+|\\z)|.{{1,100}}"),
+    (256, None, f"(?s).{{1,800}}?(?:(?<=[a-d]){_GAP}(?=[a-c][h-s])|\\n+|\\z)|.{{1,800}}"),
+)
 ROWS, WIDTH = 3, 8
 CELLS = range(ROWS * WIDTH)
 ROUNDS = 12  # of peeling; a table of 24 cells is peeled out in fewer or not at all
@@ -34,9 +46,14 @@ def bound(name: str, value: str, use: str) -> str:
     return f"get(transform(array({value}), {name} -> {use}), 0)"
 
 
-def paragraphs(text: str, longest: int = PARAGRAPH) -> str:
+def paragraphs(text: str) -> str:
     """The distinct digests of a text's paragraphs."""
-    return f"array_distinct(transform(filter(regexp_extract_all({text}, '([^\\\\n]{{1,{longest}}})', 1), p -> trim(p) != ''), p -> xxhash64(p)))"
+    def pieces(first: int, end: int | None, expression: str) -> str:
+        part = f"substring({text}, {first + 1}, {'2147483647' if end is None else end - first})"
+        literal = expression.replace("\\", "\\\\")
+        return f"regexp_extract_all({part}, '({literal})', 1)"
+
+    return f"array_distinct(transform(filter(concat({', '.join(pieces(*p) for p in PIECES)}), p -> trim(p) != ''), p -> xxhash64(p)))"
 
 
 def holds(key: str, cell: int) -> str:

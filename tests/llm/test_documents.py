@@ -22,7 +22,11 @@ def prose(rng, n):
 
 
 def paragraphs(t):
-    return {p for p in re.findall(r"[^\n]{1,400}", t) if p.strip(" ")}
+    gap = r"[ \t\r\n]+"
+    found = re.findall(r"(?s).{1,2}", t[:8]) + re.findall(rf"[^ \t\r\n]{{1,16}}[ \t\r\n]*|{gap}", t[8:32])
+    found += re.findall(rf"(?s).{{1,100}}?(?:(?<=[a-e]){gap}(?=[a-e])|\n+|\Z)|.{{1,100}}", t[32:256])
+    found += re.findall(rf"(?s).{{1,800}}?(?:(?<=[a-d]){gap}(?=[a-c][h-s])|\n+|\Z)|.{{1,800}}", t[256:])
+    return {p for p in found if p.strip(" ")}
 
 
 def jaccard(a, b):
@@ -54,6 +58,18 @@ def test_fingerprints_against_sets(docs_of, odd_texts):
     assert one["near_next"] == 1.0
 
 
+def test_versions_that_share_text_share_pieces(docs_of):
+    """Two thirds of any text in common are seen; an insertion at the start changes what is near it, not the rest of a long line."""
+    rng = random.Random(8)
+    texts = [prose(rng, n) for n in (1, 1, 2, 3, 5, 9, 20, 60, 200, 3000)] + ["abc", "abcd", "word"]
+    for r in fingerprints.report(docs_of(texts)).collect():
+        assert r["near_edited"] > 0, r
+    line = prose(rng, 4000)
+    base = paragraphs(line)
+    for changed in ("x" + line, "two words " + line, line[:9000] + "q" + line[9000:]):
+        assert len(base - paragraphs(changed)) <= 22 and len(base & paragraphs(changed)) > 0.7 * len(base)
+
+
 def test_fingerprints_with_ids_null_and_repeated(spark):
     docs = spark.createDataFrame([(None, "null id"), (5, "five a"), (5, "five b"), (9, None)], "doc_id long, text string")
     rows = fingerprints.report(docs).collect()
