@@ -1,8 +1,8 @@
 """Packing token sequences by hierarchical residual best fit.
 
 Documents are tokenised and cut into pieces of at most ``size`` tokens. Partitions pack their pieces locally, largest first, each into
-the fullest bin that still has room; nearly full bins are final. What is left, bins as items, is merged group by group up a tree and
-packed again by best fit until one group remains. A bin that was taken as an item keeps its inner order, so a piece's place is the sum
+the fullest bin that still has room; nearly full bins are final. What is left, bins as items, is merged up a tree, fewer groups a level,
+and packed again by best fit until one group remains. A bin that was taken as an item keeps its inner order, so a piece's place is the sum
 of the places on its way up.
 
 Defined cases: a null text is read as empty; an empty text is the end mark alone, one token; rows repeat as they came, each with its
@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,8 @@ SIZE = 2048
 END = 0  # the id that ends each document
 GROUP_ITEMS = 100_000  # items packed by one task
 NEARLY_FULL = 8  # a bin with at most this much room is final below the top
+STUCK = 0.95  # of a level's items: if more are left open, packing them again would gain next to nothing
+MOST_LEVELS = 24
 CACHED = 500_000  # words a worker remembers
 ODD = "[\x1c-\x1f]"
 
@@ -181,7 +183,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 _LINK = "item long, bin long, place long, size long, fill long, grp int"
 
 
-def _pack_level(items: DataFrame, level: int, size: int, final: bool) -> DataFrame:
+def _pack_level(items: DataFrame, level: int, size: int) -> DataFrame:
     """Pack the items of each group; a row an item with its bin, the place in it and the bin's fill."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -194,29 +196,27 @@ def _pack_level(items: DataFrame, level: int, size: int, final: bool) -> DataFra
     return items.groupBy("grp").applyInPandas(pack, _LINK)
 
 
-def assign(placed: DataFrame, row: str, length: str, size: int = SIZE, group_items: int = GROUP_ITEMS, fan_in: int = 16) -> DataFrame:
+def assign(placed: DataFrame, row: str, length: str, size: int = SIZE, group_items: int = GROUP_ITEMS) -> DataFrame:
     """(``row``, sequence_id, offset) for every row of ``placed``; ``row`` must be unique, numbered from 0 within each partition.
 
-    Level by level: groups of at most about ``group_items`` items; what isn't nearly full goes up, ``fan_in`` groups to one. A group
-    hands up at most group_items / fan_in bins, the emptiest; fuller ones become final, which costs room but never a row.
+    Level by level: groups of about ``group_items`` items are packed, and all bins that aren't nearly full go up as the items of the
+    next level, dealt into as many groups as their number asks for. So groups keep their size and nothing is closed early. The tree
+    ends with one group, or when a level of several groups leaves nearly as many open bins as it was given (``STUCK``): then there is
+    hardly a pair of them that fits together.
     """
     n = placed.count()
     groups = max(1, -(-n // group_items))
     items = placed.select(F.col(row).alias("item"), F.col(length).alias("size"), F.pmod(F.xxhash64(row), F.lit(groups)).cast("int").alias("grp"))
     level, links = 1, []
     while True:
-        packed = materialize(_pack_level(items, level, size, groups == 1))
-        if groups == 1:
-            links.append(packed.select("item", "bin", "place"))
-            break
+        packed = materialize(_pack_level(items, level, size))
         links.append(packed.select("item", "bin", "place"))
-        bins = packed.where(F.col("place") == 0).select("bin", "fill", "grp")
-        most = group_items // fan_in
-        rank = F.row_number().over(Window.partitionBy("grp").orderBy("fill", "bin"))
-        up = bins.where(F.col("fill") < size - NEARLY_FULL).withColumn("rank", rank).where(F.col("rank") <= most)
-        groups = -(-groups // fan_in)
-        items = up.select(F.col("bin").alias("item"), F.col("fill").alias("size"), F.pmod(F.col("grp"), F.lit(groups)).cast("int").alias("grp"))
-        level += 1
+        up = packed.where((F.col("place") == 0) & (F.col("fill") < size - NEARLY_FULL)).select(F.col("bin").alias("item"), F.col("fill").alias("size"))
+        left = up.count() if groups > 1 else 0
+        if not left or (level > 1 and left > STUCK * n) or level == MOST_LEVELS:
+            break
+        n, level, groups = left, level + 1, -(-left // group_items)
+        items = up.withColumn("grp", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(groups)).cast("int"))
     # from the top down: the final bin and place of each bin, then of each item
     above = None
     for link in reversed(links):
