@@ -10,7 +10,9 @@ they came; an empty table gives an empty result; other columns, whatever their n
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -91,13 +93,18 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(low, F.lit(f"({TOKEN})"), F.lit(1)))
 
 
+def constant(value: object, kind: str) -> Column:
+    """A constant of any size as one literal, which Spark parses once, when it optimises the plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def token_counts(urls: DataFrame, url: str, rules: list) -> dict[str, int]:
     """In how many urls each token of the rules occurs; the result has at most one row a token of the rules."""
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    listed = F.array(*map(F.lit, wanted))
-    seen = urls.select(F.explode(F.array_intersect(tokens_of(F.col(f"`{url}`")), listed)).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    listed = urls.sparkSession.range(1).select(F.explode(constant(wanted, "array<string>")).alias("w"))
+    seen = urls.select(F.explode(tokens_of(F.col(f"`{url}`"))).alias("t")).join(listed, F.col("t") == F.col("w")).groupBy("t").agg(F.count("*").alias("n"))
     return dict.fromkeys(wanted, 0) | {r["t"]: r["n"] for r in seen.collect()}
 
 
@@ -122,22 +129,22 @@ def judge(urls: DataFrame, url: str = "url", hosts: tuple[HostRule, ...] = HOST_
     rules = [*hosts, *patterns]
     filed, rest = index_rules(rules, token_counts(urls, url, rules))
     u = F.coalesce(F.col(f"`{url}`"), F.lit(""))
-    number = lambda ids: F.array(*[F.lit(k) for k in ids]).cast("array<int>")
-    if filed:
-        entries = [x for t, ids in sorted(filed.items()) for x in (F.lit(t), number(ids))]
-        index = F.create_map(*entries)
-        fetched = F.flatten(F.filter(F.transform(tokens_of(F.col(f"`{url}`")), lambda t: F.try_element_at(index, t)), lambda ids: ids.isNotNull()))
-        fetched = F.concat(fetched, number(rest)) if rest else fetched
-    else:
-        fetched = number(rest)
-    regexes = F.array(*[F.lit(r.regex) for r in rules]) if rules else F.array(F.lit(""))
+    # a hash table: the map of a token's hash holds one or two tokens, so a look-up doesn't depend on the number of rules
+    size = max(1, len(filed))
+    table: list[dict[str, list[int]]] = [{} for _ in range(size)]
+    for token, ids in filed.items():
+        table[zlib.crc32(token.encode()) % size][token] = ids
+    index = constant(table, "array<map<string,array<int>>>")
+    entry = lambda t: F.try_element_at(F.get(index, F.pmod(F.crc32(t.cast("binary")), F.lit(size)).cast("int")), t)
+    fetched = F.flatten(F.filter(F.transform(tokens_of(F.col(f"`{url}`")), entry), lambda ids: ids.isNotNull()))
+    fetched = F.concat(fetched, constant(rest, "array<int>")) if rest else fetched
+    regexes = constant([r.regex for r in rules], "array<string>")
     fits = F.filter(fetched, lambda k: F.regexp(u, F.get(regexes, k)))
     # the best: longest host rule, then patterns in their order
     rank = [len(r.name) + len(patterns) if isinstance(r, HostRule) else len(rules) - k - len(hosts) for k, r in enumerate(rules)]
-    ranks = F.array(*map(F.lit, rank)) if rules else F.array(F.lit(0))
+    ranks = constant(rank, "array<int>")
     best = F.array_max(F.transform(fits, lambda k: F.struct(F.get(ranks, k).alias("r"), k.alias("k"))))["k"]
-    names = F.array(*[F.lit(r.name) for r in rules]) if rules else F.array(F.lit(""))
-    verdicts = F.array(*[F.lit(r.verdict) for r in rules]) if rules else F.array(F.lit("allow"))
+    names, verdicts = constant([r.name for r in rules], "array<string>"), constant([r.verdict for r in rules], "array<string>")
     decided = urls.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], host_of(F.col(f"`{url}`")).alias("h"), path_of(F.col(f"`{url}`")).alias("p"), best.alias("b"))
     by_host = F.col("b") < len(hosts)
     return decided.select(

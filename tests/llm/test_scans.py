@@ -214,3 +214,20 @@ def test_a_url_column_of_any_name(spark):
     pages = spark.createDataFrame([(1, "http://www.example.com/en/x")], "page_id long, `page.url` string")
     assert [r["verdict"] for r in urls.judge(pages, "page.url", keep=["page_id"]).collect()] == ["allow"]
     assert urls.judge(pages, "page.url").columns == ["page_id", "page.url", "host", "path", "rule", "pattern", "verdict"]
+
+
+def test_thousands_of_rules(spark):
+    """A url's cost doesn't grow with the rules: the plan holds them in a few constants, and a token looks up one small map."""
+    import time
+
+    hosts = tuple(urls.HostRule(f"site{i}.org", "/" if i % 2 else f"/p{i % 7}/", "block" if i % 3 else "allow") for i in range(5000))
+    rows = [(i, f"https://{'www.' * (i % 2)}site{i * 7 % 6000}.org/p{i % 5}/x?{i}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    start = time.time()
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, hosts=hosts, patterns=(), keep=["page_id"]).collect()}
+    assert time.time() - start < 20
+    for i, url in rows:
+        n = i * 7 % 6000
+        path = "/" + url.split("/", 3)[3]
+        fits = n < 5000 and path.startswith(hosts[n].path)
+        assert got[i] == ((hosts[n].name, hosts[n].verdict) if fits else (None, "allow")), url
