@@ -6,8 +6,9 @@ words (``Settings.budget``), whatever the rarest cell asks for. Documents are sa
 that budget and never above 1: a category that has fewer words than its target asks for is taken whole, the others share what it leaves
 in proportion to their targets. ``targets`` tells what share each category was to have and has.
 
-Sources may be many: their factors stay in a DataFrame, and a round of fitting is one aggregation over one row a source. Languages
-and topics are few: their factors are a small array on the driver.
+Sources may be many: their factors stay in a DataFrame, and a round of fitting is one aggregation over one row a source. Topics are few,
+and so are languages: beyond the ``Settings.languages`` with the most words (a column that isn't clean may hold any number) all others
+are one category together. Their factors are a small array on the driver.
 
 Defined cases: a null source or language is a category of its own; a null text is read as empty; a document without a word has topic
 -1, weight 0 and probability 0 and is not sampled; repeated rows share one decision; an empty table gives an empty result; other
@@ -41,6 +42,7 @@ class Settings:
     rounds: int = 30
     tolerance: float = 1e-6
     seed: int = 11
+    languages: int = 256  # with the most words, each a category; if there are more, all others are one category together
     budget: float = 2 / 3  # expected share of all words that is kept, the same at every size
 
 
@@ -183,15 +185,19 @@ def weighted(docs: DataFrame, text: str = "text", source: str = "source", lang:
     shares = F.array(*[F.lit(float(x)) for x in np.maximum(share / max(share.sum(), 1.0), 1e-12)])
     lift = F.transform(groups, lambda g, i: F.struct((g / F.get(shares, i)).alias("l"), (-i).alias("i")))
     topic = F.when(tokens > 0, -F.array_max(lift)["i"]).otherwise(F.lit(-1)).cast("int")
+    named = _category(F.col(f"`{lang}`"))
+    most = stage.where(tokens > 0).groupBy(named.alias("l")).agg(F.sum(tokens).alias("n")).orderBy(F.desc("n"), "l").limit(s.languages + 1).collect()
+    if len(most) > s.languages:
+        named = F.when(named.isin([r["l"] for r in most[:s.languages]]), named).otherwise(F.lit("~"))
     src, lng, top, tok = fresh(stage.columns, "src", "lng", "top", "tok")
     groups_name = fresh([*docs.columns, *stage.columns, src, lng, top, tok], "grp")[0]
 
     def placed(df: DataFrame, columns: list[str]) -> DataFrame:
-        return df.select(*[F.col(f"`{c}`") for c in columns], groups.alias(groups_name), _category(F.col(source)).alias(src), _category(F.col(lang)).alias(lng), topic.alias(top), tokens.alias(tok))
+        return df.select(*[F.col(f"`{c}`") for c in columns], groups.alias(groups_name), _category(F.col(f"`{source}`")).alias(src), named.alias(lng), topic.alias(top), tokens.alias(tok))
 
     rows = placed(stage if light else counted(docs, text, need, s), need)
     cells = materialize(placed(stage, []).where(F.col(tok) > 0).groupBy(src, lng, top).agg(F.sum(tok).cast("double").alias("mass")))
-    langs = sorted(r[0] for r in cells.select(lng).distinct().collect())  # languages are few
+    langs = sorted(r[0] for r in cells.select(lng).distinct().collect())  # at most one more than Settings.languages
     grid = np.zeros((len(langs), s.topics))
     for r in cells.groupBy(lng, top).agg(F.sum("mass").alias("m")).collect():
         grid[langs.index(r[lng]), r[top]] = r["m"]

@@ -338,3 +338,19 @@ def test_extra_columns_may_have_any_name(docs_of):
     assert neardup.distinct(docs).columns == docs.columns
     packed = packing.pack(docs)
     assert set(extra) <= set(packed.columns) and packed.count() == 5
+
+
+def test_a_language_column_that_is_not_clean(spark):
+    """Any number of languages: those with the most words are raked each, the others together, and no row is lost."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 40), "en" if i % 2 else "de" if i % 4 else f"x{i}", f"s{i % 3}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = mixing.report(docs, mixing.Settings(languages=2)).toPandas()
+    assert len(out) == 400 and (out["probability"] > 0).all()
+    few = out[out["lang"].str.startswith("x")]
+    assert len(few) == 100 and abs((out["tokens"] * out["probability"]).sum() / out["tokens"].sum() - 2 / 3) < 1e-3
+    share = {c: g["tokens"].sum() / out["tokens"].sum() for c, g in out.groupby(out["lang"].where(~out["lang"].str.startswith("x"), "~"))}
+    want = {c: v ** 0.8 for c, v in share.items()}
+    got = {c: (g["tokens"] * g["weight"]).sum() / out["tokens"].sum() for c, g in out.groupby(out["lang"].where(~out["lang"].str.startswith("x"), "~"))}
+    scale = sum(got.values())
+    assert all(abs(got[c] / scale - want[c] / sum(want.values())) < 1e-3 for c in want)
