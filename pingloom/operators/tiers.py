@@ -156,8 +156,15 @@ def tier_fit_days(summary: DataFrame, config: TierConfig) -> DataFrame:
 
 
 def with_hits(df: DataFrame, cells: DataFrame, tiers: Sequence[Tier], values: Sequence[str], name: str = "_dict") -> tuple[DataFrame, list[Column]]:
-    """``df`` joined with all tiers' cells at once, and for each tier its values for a row (a struct, NULL if it has none)."""
+    """``df`` joined with all tiers' cells at once, and for each tier its values for a row (a struct, NULL if it has none).
+
+    Tiers that share no key column are joined one by one.
+    """
     common = [k for k in tiers[0].keys if all(k in t.keys for t in tiers)]
+    if not common:
+        for i, tier in enumerate(tiers):
+            df = df.join(cells.where(F.col("_tier") == i).select(*tier.keys, F.struct(*values).alias(f"{name}{i}")), list(tier.keys), "left")
+        return df, [F.col(f"{name}{i}") for i in range(len(tiers))]
     extra = [[k for k in t.keys if k not in common] for t in tiers]
     joined = df.join(folded(cells, common, extra, values, output=name), common, "left")
     return joined, [found(name, i, keys) for i, keys in enumerate(extra)]

@@ -57,6 +57,14 @@ def test_each_tier_answers_in_turn(spark):
     assert (got[90].tier, got[90].baseline) == ("last", 5.0) and (got[91].tier, got[91].baseline) == ("none", None)
 
 
+def test_tiers_without_a_common_key(spark):
+    config = tiers.TierConfig("apart", (tiers.Tier("A", ("route_id",)), tiers.Tier("B", ("stop_id",))), 1)
+    train = spark.createDataFrame([(1, 5, 0, 10.0), (2, 6, 0, 20.0)], "route_id long, stop_id long, elapsed_decile int, label_s double")
+    test = spark.createDataFrame([(1, 1, 6), (2, 9, 6), (3, 9, 9), (4, None, 5)], "i long, route_id long, stop_id long")
+    got = {r.i: (r.tier, r.baseline) for r in tiers.tier_apply(test, tiers.tier_fit(train, config), config).collect()}
+    assert got == {1: ("A", 10.0), 2: ("B", 20.0), 3: ("none", None), 4: ("B", 10.0)}
+
+
 def test_coverage_adds_up(spark):
     df = spark.createDataFrame([("A",), ("A",), ("none",)], "tier string")
     rows = tiers.tier_coverage(df).collect()
