@@ -93,11 +93,16 @@ MODEL_INPUTS = ("baseline", "baseline_s2s", "progress", "target_stop_progress",
 def run_batch_model(inputs: BatchInputs, ranges: dict[str, tuple[int, int]], cfg: Thresholds = DEFAULTS, k: int = 8, columns: Sequence[str] = MODEL_INPUTS, trees: int = 20, depth: int = 5) -> DataFrame:
     """The chain with the model on top of the baseline: boosted trees learn what the baseline misses in the training range, stop early
     on the validation range, and both are scored on the test range. Per route: n, baseline_mae, model_mae, improvement_pct, wins (the
-    share of rows on which the model is closer)."""
+    share of rows on which the model is closer). Without training rows the baseline stands; without validation rows no fit stops early."""
     scored = scored_stage(inputs, ranges, ["train", "val", "test"], cfg, k).where("baseline IS NOT NULL").withColumn("residual", F.col("label_s") - F.col("baseline"))
     known = [c for c in columns if c in scored.columns]
-    fitted = fit_gbt(scored.where("split <> 'test'").select(*known, "residual", (F.col("split") == "val").alias("is_val")), known, "residual", "is_val", trees, depth)
-    out = score(scored.where("split = 'test'").select("route_id", "label_s", *known), fitted, known)
+    held = scored.where("split = 'test'").select("route_id", "label_s", *known)
+    rows = {r["split"]: r["n"] for r in scored.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    if rows.get("train"):
+        parts = scored.where("split <> 'test'").select(*known, "residual", (F.col("split") == "val").alias("is_val"))
+        out = score(held, fit_gbt(parts, known, "residual", "is_val" if rows.get("val") else None, trees, depth), known)
+    else:  # nothing to learn from: the baseline stands
+        out = held.withColumn("predicted", F.col("baseline"))
     base, model = F.abs(F.col("label_s") - F.col("baseline")), F.abs(F.col("label_s") - F.col("predicted"))
     per = out.groupBy("route_id").agg(F.count("*").alias("n"), F.avg(base).alias("baseline_mae"), F.avg(model).alias("model_mae"), F.avg((model < base).cast("int")).alias("wins"))
     return per.withColumn("improvement_pct", F.try_divide(F.col("baseline_mae") - F.col("model_mae"), F.col("baseline_mae")) * 100)
