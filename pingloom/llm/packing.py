@@ -30,6 +30,7 @@ SIZE = 2048
 END = 0  # the id that ends each document
 GROUP_ITEMS = 100_000  # items packed by one task
 NEARLY_FULL = 8  # a bin with at most this much room is final below the top
+TOKEN_SLICE = 4 << 20  # bytes of text tokenised together: equal words of a slice are tokenised once
 STUCK = 0.95  # of a level's items: if more are left open, packing them again would gain next to nothing
 MOST_LEVELS = 24
 CACHED = 500_000  # words a worker remembers
@@ -129,7 +130,7 @@ def pieces(docs: DataFrame, text: str, keep: list[str], path: str, size: int = S
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, TOKEN_SLICE):
                 encoder = state.get("e") or state.setdefault("e", Encoder(path))
                 row, piece, start, length, crc, values = [], [], [], [], [], []
                 found, edges = encoder.encode(texts_of(part.column(text)))
