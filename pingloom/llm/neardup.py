@@ -240,7 +240,7 @@ def across(members: DataFrame, s: Settings) -> DataFrame:
     live = members.groupBy(F.col("leader").alias("l")).agg(F.count("*").alias("n"), F.count_if(~F.col("close")).alias("away")).where(F.col("away") > 0)
     live = materialize(live.select("l", F.ceil(F.col("n") / s.inner).cast("int").alias("nj"), F.ceil(F.col("away") / s.outer).cast("int").alias("ni")))
     blocks = live.agg(F.sum(F.col("ni").cast("long") * F.col("nj"))).first()[0] or 0
-    parts = max(1, -(-blocks // 32))  # tasks' groups hold some 32 blocks, most of them tiny
+    parts = max(1, -(-blocks // 6))  # a group holds some six blocks, so its texts stay few megabytes where blocks are full
     rows = members.join(live, F.col("leader") == F.col("l"))
     slot = lambda n: F.pmod(F.xxhash64("rid", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
