@@ -385,3 +385,13 @@ def test_silence_is_told_by_the_packets_of_others(spark, tmp_path):
     assert got == [(1, 5, 15), (1, 21, 31), (2, 0, 10), (2, 21, 31), (3, 0, 10)]
     every = spark.createDataFrame([*first, *second, *third], "vehicle_id long, ts_ms long")
     assert told(L.silent_vehicles_batch(every, 10 * minute, F.lit(start + 40 * minute))) == got
+
+
+def test_services_of_long_ranges_meet_only_the_days_seen(spark):
+    from pingloom.operators import network
+
+    week = ", ".join(f"{d} int" for d in network.WEEKDAYS)
+    rows = [(1, *[1] * 7, -10 ** 12, 10 ** 12), (1, *[1] * 7, -10 ** 12, 10 ** 12), (2, *[0] * 7, 0, 10 ** 12), (3, *[1] * 7, 5, 4), (4, *[1] * 7, None, 9), (5, 0, 0, 0, 1, 0, 0, 0, 0, 7)]
+    calendar = spark.createDataFrame(rows, f"service_id long, {week}, start_day long, end_day long")
+    days = spark.createDataFrame([(0,), (0,), (7,), (9,), (None,)], "day long")  # days 0 and 7 are Thursdays
+    assert sorted(map(tuple, network.services_by_day(days, calendar).collect())) == [(0, 1), (0, 1), (0, 5), (7, 1), (7, 1), (7, 5), (9, 1), (9, 1)]
