@@ -24,9 +24,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
+def is_record(lines: DataFrame) -> Column:
+    """Whether a line is a record. Its first column is read with the raw text, as Spark refuses to read that alone."""
+    return F.concat(F.col(BAD), F.coalesce(F.col(lines.columns[0]).cast("string"), F.lit(""))).isNull()
+
+
 def ingest_report(lines: DataFrame, required: Sequence[str]) -> DataFrame:
     """Per file: records, malformed lines, and whether a required column is missing from all of them."""
-    good = F.col(BAD).isNull()
+    good = is_record(lines)
     present = [F.count(F.when(good, F.col(c))) > 0 for c in required]
     complete = present[0]
     for p in present[1:]:
@@ -39,7 +44,7 @@ def read_telemetry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """Flat telemetry under its engine names, and the ingest report. Files lacking a required column are left out."""
     lines = read_json_lines(spark, path, schemas.TELEMETRY_FLAT)
     report = ingest_report(lines, schemas.REQUIRED_FLAT)
-    usable = lines.where(F.col(BAD).isNull()).join(report.where("skipped = 0").select("_file"), "_file", "left_semi")
+    usable = lines.where(is_record(lines)).join(report.where("skipped = 0").select("_file"), "_file", "left_semi")
     return usable.select(*[F.col(src).alias(dst) for src, dst in schemas.TELEMETRY_NAMES.items()]), report
 
 

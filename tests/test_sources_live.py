@@ -395,3 +395,14 @@ def test_services_of_long_ranges_meet_only_the_days_seen(spark):
     calendar = spark.createDataFrame(rows, f"service_id long, {week}, start_day long, end_day long")
     days = spark.createDataFrame([(0,), (0,), (7,), (9,), (None,)], "day long")  # days 0 and 7 are Thursdays
     assert sorted(map(tuple, network.services_by_day(days, calendar).collect())) == [(0, 1), (0, 1), (0, 5), (7, 1), (7, 1), (7, 5), (9, 1), (9, 1)]
+
+
+def test_records_are_counted_without_their_columns(spark, tmp_path):
+    from pingloom import schemas
+
+    whole = "{" + ", ".join(f'"{c}": 1' for c in schemas.REQUIRED_FLAT if c != "vid") + ', "vid": "7"}'
+    (tmp_path / "a.json").write_text(f'{whole}\n{{"t": 1, "vi\n{whole}\n')
+    (tmp_path / "b.json").write_text('{"t": 1}\n')
+    rows, report = readers.read_telemetry(spark, str(tmp_path))
+    assert rows.count() == 2
+    assert sorted(tuple(r) for r in report.select("n_records", "n_malformed", "skipped").collect()) == [(1, 0, 1), (2, 1, 0)]
