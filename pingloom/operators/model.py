@@ -21,15 +21,26 @@ def with_missing_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in columns])
 
 
+ROWS_A_PART = 500_000  # of the table the trees are grown on: boosting keeps it and reads it once a level of each tree
+
+
 def fit_gbt(train: DataFrame, columns: Sequence[str], target: str, validation: str | None = None, trees: int = 20, depth: int = 5, seed: int = 42) -> PipelineModel:
-    """Pipeline of median imputation, assembly and boosting; ``validation`` names a boolean column for early stopping."""
+    """Pipeline of median imputation, assembly and boosting; ``validation`` names a boolean column for early stopping.
+
+    What is assembled is dealt into parts of bounded size first: files are cut by their compressed bytes, and a part of ten million
+    rows in them takes more than a gigabyte as the trees' points.
+    """
     imputer = Imputer(inputCols=list(columns), outputCols=[f"{c}_filled" for c in columns], strategy="median")
     assembler = VectorAssembler(
         inputCols=[*[f"{c}_filled" for c in columns], *[f"{c}_missing" for c in columns]], outputCol="features", handleInvalid="keep")
     booster = GBTRegressor(featuresCol="features", labelCol=target, predictionCol="pred_residual", maxIter=trees, maxDepth=depth, seed=seed)
     if validation:
         booster = booster.setParams(validationIndicatorCol=validation)
-    return Pipeline(stages=[imputer, assembler, booster]).fit(with_missing_flags(train, columns))
+    flagged = with_missing_flags(train, columns)
+    before = Pipeline(stages=[imputer, assembler]).fit(flagged)
+    rows = before.transform(flagged).select("features", target, *([validation] if validation else []))
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-train.count() // ROWS_A_PART))
+    return PipelineModel([*before.stages, booster.fit(rows.repartition(parts))])
 
 
 def score(df: DataFrame, model: PipelineModel, columns: Sequence[str], baseline: str = "baseline") -> DataFrame:

@@ -406,3 +406,21 @@ def test_records_are_counted_without_their_columns(spark, tmp_path):
     rows, report = readers.read_telemetry(spark, str(tmp_path))
     assert rows.count() == 2
     assert sorted(tuple(r) for r in report.select("n_records", "n_malformed", "skipped").collect()) == [(1, 0, 1), (2, 1, 0)]
+
+
+def test_trees_are_grown_on_parts_of_bounded_size(spark, monkeypatch):
+    from pingloom.operators import model
+
+    parts = []
+    fit = model.GBTRegressor.fit
+
+    def noted(self, df, *args):
+        parts.extend(df.rdd.glom().map(len).collect())
+        return fit(self, df, *args)
+
+    monkeypatch.setattr(model, "ROWS_A_PART", 20, raising=False)
+    monkeypatch.setattr(model.GBTRegressor, "fit", noted)
+    rows = spark.range(400).selectExpr("id % 7 AS a", "nullif(id % 5, 0) AS b", "cast(id % 7 AS double) AS y", "id % 10 = 0 AS held").coalesce(1)
+    fitted = model.fit_gbt(rows, ["a", "b"], "y", "held", trees=2, depth=2)
+    assert sum(parts) == 400 and max(parts) <= 40
+    assert len(fitted.stages) == 3 and fitted.transform(model.with_missing_flags(rows, ["a", "b"])).count() == 400
