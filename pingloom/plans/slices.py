@@ -122,14 +122,16 @@ def running_total(
     )
 
 
-def in_ranges(df: DataFrame, order: Sequence[str], name: str = SLICE) -> DataFrame:
+def in_ranges(df: DataFrame, order: Sequence[str], name: str = SLICE, rows: int | None = None) -> DataFrame:
     """``df`` cut into ranges of ``order`` of about equal numbers of rows, however its values lie, and written; the range in ``name``.
 
-    For :func:`running_total`, whose ``part`` it is. Ranges are chosen from a sample, so write expensive inputs first.
+    For :func:`running_total`, whose ``part`` it is. Ranges are chosen from a sample, so write expensive inputs first. ``rows``: about
+    how many a range has, where one task holds them all; else Spark puts small ranges together by their compressed bytes.
     """
     from pingloom.plans.stages import materialize
 
-    return materialize(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+    number = [max(1, -(-df.count() // rows))] if rows else []
+    return materialize(df.repartitionByRange(*number, *order).withColumn(name, F.spark_partition_id()))
 
 
 def rank_in_time(df: DataFrame, ts: str, order: Sequence[str], slice_ms: int = 60_000) -> DataFrame:

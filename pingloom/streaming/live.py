@@ -180,6 +180,9 @@ def smooth_state_batch(df: DataFrame, alpha: float = 0.3, bypass_s: float = 60.0
     return fold_in_order(df.select("vehicle_id", "route_id", trip.alias("trip_id"), "event_id", "ts_ms", "progress", "eta_s"), Smoothing(alpha, bypass_s, max_rise_s))
 
 
+FOLD_ROWS = 200_000  # of a range, which one task folds in Python
+
+
 def fold_in_order(df: DataFrame, smoothing: Smoothing) -> DataFrame:
     """Each vehicle's smoothing, whose values depend on the ones before, folded in parallel.
 
@@ -190,7 +193,7 @@ def fold_in_order(df: DataFrame, smoothing: Smoothing) -> DataFrame:
     the result is that of one pass through all rows, whatever the cuts.) A row without a vehicle is not smoothed.
     """
     rows = df.select("vehicle_id", "route_id", "trip_id", "event_id", "ts_ms", F.col("progress").cast("double").alias("progress"), F.col("eta_s").cast("double").alias("eta_s"))
-    cut = in_ranges(materialize(rows), ["vehicle_id", "ts_ms", "event_id"], "range")
+    cut = in_ranges(materialize(rows), ["vehicle_id", "ts_ms", "event_id"], "range", FOLD_ROWS)
     kept = cut.schema.simpleString()[7:-1].replace(",", ", ").replace(":", " ")
     start = "vehicle BIGINT, state STRUCT<route_id: BIGINT, trip_id: STRING, progress: DOUBLE, smoothed: DOUBLE>"
 

@@ -424,3 +424,19 @@ def test_trees_are_grown_on_parts_of_bounded_size(spark, monkeypatch):
     fitted = model.fit_gbt(rows, ["a", "b"], "y", "held", trees=2, depth=2)
     assert sum(parts) == 400 and max(parts) <= 40
     assert len(fitted.stages) == 3 and fitted.transform(model.with_missing_flags(rows, ["a", "b"])).count() == 400
+
+
+def test_ranges_that_one_task_holds_have_bounded_size(spark):
+    from pingloom.plans.slices import in_ranges
+
+    cut = in_ranges(spark.range(1000), ["id"], "r", rows=100).groupBy("r").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).orderBy("r").collect()
+    assert len(cut) == 10 and max(r["n"] for r in cut) < 300 and sum(r["n"] for r in cut) == 1000
+    assert all(x["b"] < y["a"] for x, y in zip(cut, cut[1:], strict=False))
+
+
+def test_the_fold_over_many_small_ranges_equals_one(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id % 4 AS vehicle_id", "id AS event_id", "id * 1000 AS ts_ms", "cast((id * 37) % 101 AS double) AS eta_s", "id % 2 AS route_id", "cast(id % 9 AS double) AS progress")
+    told = lambda: sorted(map(tuple, L.smooth_state_batch(rows).select("vehicle_id", "event_id", "smoothed_s").collect()))
+    whole = told()
+    monkeypatch.setattr(L, "FOLD_ROWS", 20)
+    assert len(whole) == 300 and told() == whole
