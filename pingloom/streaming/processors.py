@@ -17,9 +17,14 @@ SILENCE_SCHEMA = "vehicle_id BIGINT, last_ms BIGINT, silent_ms BIGINT"
 SMOOTH_SCHEMA = "vehicle_id BIGINT, event_id BIGINT, ts_ms BIGINT, eta_s DOUBLE, smoothed_s DOUBLE"
 
 
+SHORT = 64  # rows a window has on average, up to which windows are folded one by one
+
+
 def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """A vehicle's rows of one trigger; how many those can be is bounded by the files a trigger takes."""
-    return pd.concat(list(batches)).sort_values(["ts_ms", "event_id"], ignore_index=True)
+    rows = list(batches)
+    new = rows[0] if len(rows) == 1 else pd.concat(rows)
+    return new.iloc[np.lexsort((new["event_id"].to_numpy(), new["ts_ms"].to_numpy()))].reset_index(drop=True)
 
 
 class _Since(BaseIndexer):
@@ -42,25 +47,33 @@ class HistoryProcessor(StatefulProcessor):
         self.buffer = handle.getListState("window", "ts_ms BIGINT, speed DOUBLE, progress DOUBLE", ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = pd.DataFrame(list(self.buffer.get()), columns=["ts_ms", "speed", "progress"])
+        old = list(self.buffer.get())
         new = _in_order(rows)
-        both = pd.concat([old.astype({"ts_ms": "int64", "speed": "float64", "progress": "float64"}), new[["ts_ms", "speed", "progress"]].astype({"ts_ms": "int64", "speed": "float64", "progress": "float64"})], ignore_index=True)
-        t = both["ts_ms"].to_numpy()
+        kinds = {"ts_ms": "int64", "speed": "float64", "progress": "float64"}
+        t, v, p = (np.concatenate([np.array([r[i] for r in old], dtype=float if k == "float64" else k), new[c].to_numpy().astype(k)]) for i, (c, k) in enumerate(kinds.items()))
         first = np.searchsorted(t, t - self.span_ms, "left")
-        out = self._features(both, first).iloc[len(old):]
-        kept = both.iloc[first[-1]:] if len(both) else both
-        if len(kept):
-            self.buffer.put([tuple(r) for r in zip(kept["ts_ms"].tolist(), kept["speed"].tolist(), kept["progress"].tolist(), strict=True)])
-        ids = pd.DataFrame({"vehicle_id": key[0], "event_id": new["event_id"], "ts_ms": new["ts_ms"]})
-        yield pd.concat([ids, out.reset_index(drop=True)], axis=1)
-
-    def _features(self, both: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
-        t, v, p = (both[c].to_numpy() for c in ("ts_ms", "speed", "progress"))
+        out = self._features(t, v, p, first)
+        if len(t):
+            kept = slice(first[-1], None)
+            self.buffer.put(list(zip(t[kept].tolist(), v[kept].tolist(), p[kept].tolist(), strict=True)))
+        yield pd.DataFrame({"vehicle_id": key[0], "event_id": new["event_id"], "ts_ms": new["ts_ms"], **{c: x[len(old):] for c, x in out.items()}})
+
+    def _features(self, t: np.ndarray, v: np.ndarray, p: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
         here = np.arange(len(t))
         enough = here - first >= 1
         since = _Since()
         since.first = first
-        window = lambda x: pd.Series(x).rolling(since, min_periods=1)
+        # windows of a few rows are folded one by one: setting up a rolling window takes longer than they do
+        short = (here - first).sum() < SHORT * len(t) and not np.isnan(v).any()
+        ends = np.column_stack([first, here + 1]).ravel()
+
+        def window(x: np.ndarray, how: str) -> np.ndarray:
+            if not short:
+                return getattr(pd.Series(x).rolling(since, min_periods=1), how)().to_numpy()
+            fold = {"mean": np.add, "min": np.minimum, "max": np.maximum}[how]
+            folded = fold.reduceat(np.append(x, 0.0), ends)[::2]
+            return folded / (here - first + 1) if how == "mean" else folded
+
         elapsed = (t - t[first]) / 1000.0
         # the row nearest to compare_ms ago, the earliest of those equally near
         target = t - self.compare_ms
@@ -70,11 +83,11 @@ class HistoryProcessor(StatefulProcessor):
         ref = np.maximum(np.searchsorted(t, t[ref], "left"), first)
         still = (v < 1.0).astype(float)
         zero = lambda x: np.where(enough, x, 0.0)
-        return pd.DataFrame({
+        return {
             "progress_rate": zero(np.where(elapsed > 0, (p - p[first]) / np.where(elapsed > 0, elapsed, 1.0), 0.0)),
-            "speed_rolling_mean": zero(window(v).mean().to_numpy()), "speed_rolling_min": zero(window(v).min().to_numpy()), "speed_rolling_max": zero(window(v).max().to_numpy()),
-            "acceleration": zero(np.where(t - t[ref] > 5000, v - v[ref], 0.0)), "time_stopped": zero(window(still).mean().to_numpy() * elapsed), "is_stopped": zero(still),
-        })
+            "speed_rolling_mean": zero(window(v, "mean")), "speed_rolling_min": zero(window(v, "min")), "speed_rolling_max": zero(window(v, "max")),
+            "acceleration": zero(np.where(t - t[ref] > 5000, v - v[ref], 0.0)), "time_stopped": zero(window(still, "mean") * elapsed), "is_stopped": zero(still),
+        }
 
     def close(self) -> None:
         pass

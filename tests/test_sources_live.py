@@ -440,3 +440,25 @@ def test_the_fold_over_many_small_ranges_equals_one(spark, monkeypatch):
     whole = told()
     monkeypatch.setattr(L, "FOLD_ROWS", 20)
     assert len(whole) == 300 and told() == whole
+
+
+def test_short_windows_of_the_history_equal_rolling_ones(monkeypatch):
+    import numpy as np
+
+    from pingloom.streaming import processors
+
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.integers(0, 200_000, 300))
+    v, p = rng.uniform(0, 3, 300), rng.uniform(0, 1, 300)
+    first = np.searchsorted(t, t - 9_000, "left")
+    own = processors.HistoryProcessor(9_000, 3_000, None)
+    short = own._features(t, v, p, first)
+    monkeypatch.setattr(processors, "SHORT", 0)
+    rolling = own._features(t, v, p, first)
+    assert (first < np.arange(300)).any()
+    for name, x in short.items():
+        np.testing.assert_allclose(x, rolling[name], rtol=1e-9, atol=1e-12)
+    # a missing speed is left out of its windows, as before
+    v[10] = np.nan
+    monkeypatch.setattr(processors, "SHORT", 64)
+    assert np.isfinite(own._features(t, v, p, first)["speed_rolling_mean"][11:]).all()
