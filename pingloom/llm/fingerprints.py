@@ -147,7 +147,7 @@ def _slice_of(key: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, text, keys, next text, next keys): each document with the one that follows by descending id, the first after the last.
+    """(id, text, keys, cells, next text, keys and cells): each document with the one that follows by descending id, the first after the last.
 
     Ids are cut into slices at quantiles, four a shuffle partition; a slice is sorted in one task. The first document of each slice is
     copied to the slice before it, where only its predecessor looks at it.
@@ -167,12 +167,12 @@ def with_next(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     # at most four rows a shuffle partition, of 12 bytes each
     placed = base.join(F.broadcast(ghosts), F.col("ord") == F.col("top"), "left").withColumn("own", cut)
     places = F.expr("filter(array(struct(own AS s, false AS ghost), struct(`to` AS s, true AS ghost)), x -> x.s IS NOT NULL)")
-    both = placed.select("id", "text", "ord", F.explode(places).alias("p")).select("id", "text", "ord", "p.*").withColumn("keys", F.expr(paragraphs("text")))
+    both = placed.select("id", "text", "ord", F.explode(places).alias("p")).select("id", "text", "ord", "p.*").withColumn("keys", F.expr(paragraphs("text"))).withColumn("cells", F.expr(sketch("keys")))
     # a stable order among rows of one id
     w = Window.partitionBy("s").orderBy("ghost", F.desc("ord"), F.xxhash64("text"), "text")
     # plain columns: an expression here would be shuffled beside the text it is made of
-    led = both.withColumns({"next_text": F.lead("text").over(w), "next_keys": F.lead("keys").over(w)})
-    return led.where(~F.col("ghost")).select("id", "text", "keys", "next_text", "next_keys")
+    led = both.withColumns({"next_text": F.lead("text").over(w), "next_keys": F.lead("keys").over(w), "ncells": F.lead("cells").over(w)})
+    return led.where(~F.col("ghost")).select("id", "text", "keys", "cells", "next_text", "next_keys", "ncells")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -181,6 +181,6 @@ def report(docs: DataFrame) -> DataFrame:
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
     rows = rows.withColumn("ekeys", F.expr(paragraphs("edited"))).withColumn("sha", F.sha2("edited", 256)).drop("text", "next_text", "edited")
-    rows = rows.selectExpr("*", f"{sketch('keys')} AS cells", f"{sketch('ekeys')} AS ecells", f"{sketch('next_keys')} AS ncells")
+    rows = rows.selectExpr("*", f"{sketch('ekeys')} AS ecells")
     rows = rows.selectExpr("*", f"{differing('keys', 'ekeys', 'cells', 'ecells')} AS de", f"{differing('keys', 'next_keys', 'cells', 'ncells')} AS dn")
     return rows.selectExpr("id AS doc_id", "n_chars", "sha AS edited_sha256", f"{text_form('cells')} AS fingerprint", f"{text_form('ecells')} AS edited_fingerprint", f"{likeness('cells', 'ecells', 'de')} AS near_edited", f"{likeness('cells', 'ncells', 'dn')} AS near_next")

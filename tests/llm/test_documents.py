@@ -354,3 +354,12 @@ def test_a_language_column_that_is_not_clean(spark):
     got = {c: (g["tokens"] * g["weight"]).sum() / out["tokens"].sum() for c, g in out.groupby(out["lang"].where(~out["lang"].str.startswith("x"), "~"))}
     scale = sum(got.values())
     assert all(abs(got[c] / scale - want[c] / sum(want.values())) < 1e-3 for c in want)
+
+
+def test_the_sketch_of_the_next_document_comes_with_it(spark):
+    from pingloom.llm import fingerprints
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 11}" for j in range(3 * i))) for i in range(40)] + [(7, "twice"), (None, "no id")], "doc_id long, text string")
+    rows = fingerprints.with_next(docs, "doc_id", "text")
+    same = rows.selectExpr(f"cells = {fingerprints.sketch('keys')} AND ncells = {fingerprints.sketch('next_keys')} AS same").collect()
+    assert len(same) == 42 and all(r["same"] for r in same)
