@@ -27,8 +27,8 @@ ROWS_A_PART = 500_000  # of the table the trees are grown on: boosting keeps it
 def fit_gbt(train: DataFrame, columns: Sequence[str], target: str, validation: str | None = None, trees: int = 20, depth: int = 5, seed: int = 42) -> PipelineModel:
     """Pipeline of median imputation, assembly and boosting; ``validation`` names a boolean column for early stopping.
 
-    What is assembled is dealt into parts of bounded size first: files are cut by their compressed bytes, and a part of ten million
-    rows in them takes more than a gigabyte as the trees' points.
+    What is assembled is dealt into parts of bounded size first, unless it is no more than one of these: files are cut by their compressed
+    bytes, and a part of ten million rows in them takes more than a gigabyte as the trees' points.
     """
     imputer = Imputer(inputCols=list(columns), outputCols=[f"{c}_filled" for c in columns], strategy="median")
     assembler = VectorAssembler(
@@ -39,8 +39,10 @@ def fit_gbt(train: DataFrame, columns: Sequence[str], target: str, validation: s
     flagged = with_missing_flags(train, columns)
     before = Pipeline(stages=[imputer, assembler]).fit(flagged)
     rows = before.transform(flagged).select("features", target, *([validation] if validation else []))
-    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-train.count() // ROWS_A_PART))
-    return PipelineModel([*before.stages, booster.fit(rows.repartition(parts))])
+    n = train.count()
+    if n > ROWS_A_PART:
+        rows = rows.repartition(max(train.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_A_PART)))
+    return PipelineModel([*before.stages, booster.fit(rows)])
 
 
 def score(df: DataFrame, model: PipelineModel, columns: Sequence[str], baseline: str = "baseline") -> DataFrame:
