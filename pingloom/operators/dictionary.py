@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,7 +21,8 @@ def _key(level: Column, keys: Sequence[str]) -> Column:
 def folded(cells: DataFrame, common: Sequence[str], levels: Sequence[Sequence[str]], values: Sequence[str], level: str = "_tier", output: str = "_dict") -> DataFrame:
     """One row for each ``common`` with the cells of all levels; ``levels``: the key columns of each beside ``common``.
 
-    ``cells`` has the number of its level in ``level`` and NULL in the keys that level doesn't use.
+    ``cells`` has the number of its level in ``level`` and NULL in the keys that level doesn't use. They are dealt by ``common`` once and
+    joined with nothing: written cells are small as files and large as rows, so Spark would broadcast them.
     """
     text = F.lit(None).cast("string")
     for i, keys in enumerate(levels):
@@ -30,11 +31,14 @@ def folded(cells: DataFrame, common: Sequence[str], levels: Sequence[Sequence[st
     for c in common:
         known = known & F.col(c).isNotNull()
     keyed = cells.select(*common, text.alias("_key"), F.struct(*values).alias("_value")).where(known)
-    sizes = keyed.groupBy(*common).agg(F.count("*").alias("_size"))
-    placed = keyed.join(sizes, list(common)).withColumn("_at", F.pmod(F.xxhash64("_key"), F.col("_size")).cast("int"))
-    maps = placed.groupBy(*common, "_at").agg(F.collect_list(F.struct("_key", "_value")).alias("_entries"))
-    every = sizes.select(*common, F.explode(F.sequence(F.lit(0), F.col("_size").cast("int") - 1)).alias("_at"))
-    slots = every.join(maps, [*common, "_at"], "left")
+    whole = Window.partitionBy(*common)
+    numbered = keyed.select(
+        "*", F.pmod(F.xxhash64("_key"), F.count(F.lit(1)).over(whole)).cast("int").alias("_at"), (F.row_number().over(whole.orderBy("_key")) - 1).alias("_nth"))
+    # a combination has as many slots as cells: its n-th cell also stands for the n-th slot, so that empty ones are there too
+    entry = F.struct("_key", "_value")
+    nothing = F.when(F.lit(False), entry)
+    placed = numbered.select(*common, F.inline(F.array(F.struct("_at", entry.alias("_entry")), F.struct(F.col("_nth").alias("_at"), nothing.alias("_entry")))))
+    slots = placed.groupBy(*common, "_at").agg(F.collect_list("_entry").alias("_entries"))
     return slots.groupBy(*common).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_entries"))), lambda s: F.map_from_entries(s["_entries"])).alias(output))
 
 

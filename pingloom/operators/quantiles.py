@@ -20,6 +20,7 @@ from pingloom.plans.stages import materialize
 BINS_PER_STEP = 64
 PARTS = 4_096  # of a bin's range, a round
 FEW = 100_000  # rows of a bin that one task may order
+SHORT = 50_000  # bins that may be broadcast, a few megabytes
 MOST_ROUNDS = 8  # doubles closer than this many cuts have no values in between
 
 
@@ -74,11 +75,16 @@ def wanted_bins(rows: DataFrame, keys: Sequence[str], probs: Sequence[float], fe
 
 
 def within(rows: DataFrame, bins: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows that lie in one of ``bins``, with that bin's columns; bins don't overlap."""
+    """The rows that lie in one of ``bins``, written, with that bin's columns; bins don't overlap.
+
+    Rows are never broadcast: Spark goes by the bytes of files, a tenth of what the driver would hold, and rows of a few values take
+    fewer of them than the bins. So the bins are, if there are few, and else both sides are dealt.
+    """
+    short = bins.limit(SHORT + 1).count() <= SHORT
     own = [*keys, "_bin"]
     named = bins.select(*[F.col(k).alias(f"_k_{k}") for k in own], "_low", "_high", "_c", "_before", "_n")
     plain = rows.select(*own, "_x", "_w")
-    joined = plain.join(named, _same(plain, named, own) & F.col("_x").between(F.col("_low"), F.col("_high")))
+    joined = plain.join(named.hint("broadcast" if short else "merge"), _same(plain, named, own) & F.col("_x").between(F.col("_low"), F.col("_high")))
     return joined.select(*own, "_x", "_w", "_low", "_high", "_c", "_before", "_n")
 
 

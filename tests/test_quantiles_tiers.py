@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pingloom.functions import scalars as S
-from pingloom.operators import history, metrics, quantiles, shift, summaries, tiers
+from pingloom.operators import dictionary, history, metrics, quantiles, shift, summaries, tiers
 from pingloom.operators.quantiles import grouped_quantiles
 
 
@@ -154,3 +154,24 @@ def test_missing_numbers_do_not_count(spark):
     row = grouped_quantiles(df, [], "x", {"q": 0.5}, "n").first()
     assert (row.q, row.n) == (3.0, 3)
     assert [r.q for r in grouped_quantiles(df.limit(0), [], "x", {"q": 0.5}).collect()] == [None]
+
+
+def test_rows_of_quantiles_are_never_broadcast(spark, monkeypatch):
+    """Many bins: both sides are dealt, however small the rows' file is; few bins: these are broadcast."""
+    df = spark.range(4000).select((F.col("id") % 1000).alias("k"), (F.col("id") % 7).cast("double").alias("x"))
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.percentile("x", 0.5).alias("m")).collect()}
+    for short, kind in ((0, "SortMergeJoin"), (1_000_000, "BuildRight")):
+        monkeypatch.setattr(quantiles, "SHORT", short)
+        found = grouped_quantiles(df, ["k"], "x", {"m": 0.5})
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert kind in plan and "BuildLeft" not in plan and (short or "Broadcast" not in plan), plan
+        assert {r.k: r.m for r in found.collect()} == want
+
+
+def test_folded_cells_are_joined_with_nothing(spark):
+    cells = spark.createDataFrame([(0, 1, 5, 1.0), (0, 1, 6, 2.0), (1, 1, None, 3.0), (0, 2, None, 4.0), (0, None, 5, 5.0), (1, 3, None, 6.0)], "_tier int, a int, b int, value double")
+    table = dictionary.folded(cells, ["a"], [["b"], []], ["value"])
+    assert "Join" not in table._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(1, 5), (1, 6), (1, 7), (2, 5), (3, None), (4, 5)], "a int, b int").join(table, "a", "left")
+    got = {(r.a, r.b): (r.x, r.y) for r in rows.select("a", "b", dictionary.found("_dict", 0, ["b"])["value"].alias("x"), dictionary.found("_dict", 1, [])["value"].alias("y")).collect()}
+    assert got == {(1, 5): (1.0, 3.0), (1, 6): (2.0, 3.0), (1, 7): (None, 3.0), (2, 5): (None, None), (3, None): (None, 6.0), (4, 5): (None, None)}
