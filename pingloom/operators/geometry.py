@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,7 @@ def shape_segments(shapes: DataFrame) -> DataFrame:
 FAN = 16
 CURVE_BITS = 10
 GROUP = 65_536  # points of a shape that one group searches for
+PAIRS = 1 << 18  # of places and runs that are measured at once, in some ten arrays
 _KEEP = 1 + 1e-9  # bounds are rounded: a run is out only if it is farther by more than this
 
 
@@ -124,23 +125,45 @@ class Segments(Vertices):
 def search(shape: Vertices, seq: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest piece of each place (lowest sequence on a tie), and how many pieces were measured for it.
 
-    All places descend together: on each level the runs are left whose lower bound isn't above the distance to some vertex seen.
+    All places descend together: on each level the runs are left whose lower bound isn't above the distance to some vertex seen. Where
+    too many are left, as on a dense shape or far from it, half of the places go on first.
     """
-    n = len(lat)
-    place, run, bound, pieces = np.repeat(np.arange(n), len(shape.boxes[-1][0])), np.tile(np.arange(len(shape.boxes[-1][0])), n), np.full(n, np.inf), len(seq)
-    for level in range(len(shape.boxes) - 1, 0, -1):
-        # a piece of each run, from its middle, for an upper bound
-        middle = np.minimum(run * FAN ** level + FAN ** level // 2, pieces - 1)
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        bound = np.minimum(bound, np.minimum.reduceat(shape.measure(lat[place], lon[place], middle), first) * _KEEP + 1e-300)
-        kept = shape.low(lat[place], lon[place], level, run) <= bound[place]
-        place, run = place[kept], run[kept]
-        place, run = np.repeat(place, FAN), (run[:, None] * FAN + np.arange(FAN)).ravel()
-        real = run < len(shape.boxes[level - 1][0])
-        place, run = place[real], run[real]
-    measured = np.bincount(place, minlength=n)
-    order = np.lexsort((seq[run], shape.measure(lat[place], lon[place], run), place))
-    return run[order[np.cumsum(measured) - measured]], measured
+    n, top, pieces = len(lat), np.arange(len(shape.boxes[-1][0])), len(seq)
+    best, measured, bound = np.zeros(n, int), np.zeros(n, int), np.full(n, np.inf)
+    todo = [(len(shape.boxes) - 1, np.repeat(np.arange(n), len(top)), np.tile(top, n))] if n else []
+    while todo:
+        level, place, run = todo.pop()
+        if level:
+            # a piece of each run, from its middle, for an upper bound
+            middle = np.minimum(run * FAN ** level + FAN ** level // 2, pieces - 1)
+            first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            own = place[first]
+            bound[own] = np.minimum(bound[own], np.minimum.reduceat(shape.measure(lat[place], lon[place], middle), first) * _KEEP + 1e-300)
+            kept = shape.low(lat[place], lon[place], level, run) <= bound[place]
+            todo += [(level - 1, *_expanded(p, r, len(shape.boxes[level - 1][0]))) for p, r in _halves(place[kept], run[kept])]
+        else:
+            own, first, count = np.unique(place, return_index=True, return_counts=True)
+            order = np.lexsort((seq[run], shape.measure(lat[place], lon[place], run), place))
+            best[own], measured[own] = run[order[first]], count
+    return best, measured
+
+
+def _halves(place: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs, cut between places until a part has at most ``PAIRS`` on the next level or is of one place."""
+    if len(place) * FAN <= PAIRS or place[0] == place[-1]:
+        yield place, run
+        return
+    middle = place[len(place) // 2]
+    at = np.searchsorted(place, middle if middle > place[0] else middle + 1)
+    yield from _halves(place[:at], run[:at])
+    yield from _halves(place[at:], run[at:])
+
+
+def _expanded(place: np.ndarray, run: np.ndarray, members: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each run's own runs on the next level, ``members`` in all."""
+    place, run = np.repeat(place, FAN), (run[:, None] * FAN + np.arange(FAN)).ravel()
+    real = run < members
+    return place[real], run[real]
 
 
 def _nearest(points: DataFrame, pieces: DataFrame, kind: type[Vertices], chunk: int = 8_192) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -462,3 +463,22 @@ def test_short_windows_of_the_history_equal_rolling_ones(monkeypatch):
     v[10] = np.nan
     monkeypatch.setattr(processors, "SHORT", 64)
     assert np.isfinite(own._features(t, v, p, first)["speed_rolling_mean"][11:]).all()
+
+
+def test_search_measures_a_bounded_number_of_pairs(monkeypatch):
+    """Many parallel pieces far from all places: what is measured at once stays within the bound, and the result is brute force's."""
+    rng = np.random.default_rng(5)
+    k = np.arange(6000)
+    ends = pd.DataFrame({"lat1": k % 20 / 100, "lon1": k // 20 * 1e-5, "lat2": k % 20 / 100 + 0.01, "lon2": k // 20 * 1e-5})
+    lat, lon = rng.uniform(-3, 3, 400), rng.uniform(-1, 1, 400)
+    monkeypatch.setattr(geometry, "PAIRS", 8_192)
+    for kind in (geometry.Segments, geometry.Vertices):
+        shape, seen = kind(ends[list(kind.ends)]), []
+        measure = shape.measure
+        shape.measure = lambda a, b, piece: seen.append(len(piece)) or measure(a, b, piece)  # noqa: B023
+        found, measured = geometry.search(shape, k, lat, lon)
+        one = int(measured.max()) * geometry.FAN  # of a single place, which isn't cut
+        assert max(seen) <= max(8_192, one) and sum(measured) > 8_192
+        want = [int(np.argmin(measure(np.full(6000, a), np.full(6000, b), k))) for a, b in zip(lat, lon, strict=True)]
+        assert found.tolist() == want
+    assert [len(x) for x in geometry.search(shape, k, lat[:0], lon[:0])] == [0, 0]
