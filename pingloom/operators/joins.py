@@ -234,9 +234,20 @@ def nearest_hour_weather(df: DataFrame, weather: DataFrame, ts_ms: str) -> DataF
     )
 
 
+ROWS_A_PART = 1_000_000  # of both tables that meet
+
+
 def backfill_route(df: DataFrame, trips: DataFrame, route: str = "route_id", trip: str = "trip_id") -> DataFrame:
-    """Missing route ids taken from the trip."""
+    """Missing route ids taken from the trip.
+
+    Rows are dealt by trip into parts of bounded size, unless few: Spark puts parts together by their compressed bytes, and what a task
+    sorts and looks up (and what is grouped by trip behind it) would grow with the table.
+    """
     by_trip = trips.select(F.col(trip), F.col(route).alias("_trip_route"))
+    n = df.count() + trips.count()
+    if n > ROWS_A_PART:
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_A_PART))
+        df, by_trip = df.repartition(parts, trip), by_trip.repartition(parts, trip)
     return lookup_left(df, by_trip, [trip]).withColumn(route, F.coalesce(route, "_trip_route")).drop("_trip_route")
 
 

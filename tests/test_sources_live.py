@@ -482,3 +482,13 @@ def test_search_measures_a_bounded_number_of_pairs(monkeypatch):
         want = [int(np.argmin(measure(np.full(6000, a), np.full(6000, b), k))) for a, b in zip(lat, lon, strict=True)]
         assert found.tolist() == want
     assert [len(x) for x in geometry.search(shape, k, lat[:0], lon[:0])] == [0, 0]
+
+
+def test_backfill_has_parts_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS_A_PART", 25)
+    rows = spark.range(200).select(F.when(F.col("id") % 10 != 0, F.col("id") % 40).alias("trip_id"), "id", F.when(F.col("id") % 3 == 0, F.col("id")).alias("route_id"))
+    trips = spark.range(30).select(F.col("id").alias("trip_id"), (F.col("id") + 1000).alias("route_id"))
+    out = joins.backfill_route(rows, trips)
+    assert out.rdd.getNumPartitions() == 10
+    want = {i: i if i % 3 == 0 else None if i % 10 == 0 or i % 40 >= 30 else i % 40 + 1000 for i in range(200)}
+    assert {r.id: r.route_id for r in out.collect()} == want
