@@ -17,7 +17,8 @@ def rows(t):
 
 
 def fitted(t):
-    parts = splits.random_split(rows(t), ["order_id", "part_id", "supp_id", "line"])
+    # written once: the fit reads its rows five times, and a row's share is a digest
+    parts = materialize(splits.random_split(rows(t), ["order_id", "part_id", "supp_id", "line"]))
     train = parts.where("split <> 'test'").withColumn("is_val", F.col("split") == "val")
     return model.fit_gbt(train, INPUTS, "residual", "is_val", trees=8, depth=4), parts.where("split = 'test'")
 

@@ -492,3 +492,23 @@ def test_backfill_has_parts_of_bounded_rows(spark, monkeypatch):
     assert out.rdd.getNumPartitions() == 10
     want = {i: i if i % 3 == 0 else None if i % 10 == 0 or i % 40 >= 30 else i % 40 + 1000 for i in range(200)}
     assert {r.id: r.route_id for r in out.collect()} == want
+
+
+def test_rows_of_the_fit_are_split_once(spark, monkeypatch):
+    """What is fitted and what is held out come from one written split, with the rows the split gives."""
+    from types import SimpleNamespace
+
+    from pingloom.catalog import model as catalog
+    from pingloom.operators import splits
+
+    seen = []
+    monkeypatch.setattr(catalog.model, "fit_gbt", lambda train, *a, **k: seen.append(train))
+    lines = [(i % 40 if i % 13 else None, i, i % 7, i % 5, i % 3, float(i), float(i % 11), i % 90 + 0.5, float(i % 50), i % 4, i % 24, None if i % 17 == 0 else float(i)) for i in range(300)] * 2
+    df = spark.createDataFrame(lines, "order_id long, part_id long, supp_id long, line int, route_id long, actual double, baseline double, distance_m double, speed double, stops_away int, hour long, schedule_eta double")
+    _, held = catalog.fitted(SimpleNamespace(predictions=df))
+    for part in (seen[0], held):
+        assert "md5" not in part._jdf.queryExecution().optimizedPlan().toString()
+    want = splits.random_split(catalog.rows(SimpleNamespace(predictions=df)), ["order_id", "part_id", "supp_id", "line"])
+    order = lambda found: sorted(map(str, found))
+    assert order(seen[0].drop("is_val").collect()) == order(want.where("split <> 'test'").collect())
+    assert order(held.collect()) == order(want.where("split = 'test'").collect())
