@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pingloom.plans.stages import materialize
+
 
 def stop_times_with_trip(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
     """Stop times with route and shape of their trip; trips counted once each."""
@@ -23,12 +25,14 @@ def canonical_shape(stop_times: DataFrame) -> DataFrame:
 def stop_sequences(stop_times: DataFrame, canonical: DataFrame) -> DataFrame:
     """First occurrence of each stop on the canonical shape and its share of the shape's length."""
     on_shape = stop_times.join(canonical, ["route_id", "shape_id"], "left_semi")
-    first = on_shape.groupBy("route_id", "stop_id").agg(
+    # the stop times are read once: a route's length is the largest of its stops' rows
+    first = materialize(on_shape.groupBy("route_id", "stop_id").agg(
         F.min("stop_sequence").alias("stop_sequence"),
         F.min_by("shape_dist", F.struct("stop_sequence", "trip_id")).alias("shape_dist"),
-    )
-    length = on_shape.groupBy("route_id").agg(F.max("shape_dist").alias("max_dist"))
-    return first.join(length, "route_id").withColumn("stop_progress", F.try_divide("shape_dist", "max_dist"))
+        F.max("shape_dist").alias("_farthest"),
+    ))
+    length = first.groupBy("route_id").agg(F.max("_farthest").alias("max_dist"))
+    return first.drop("_farthest").join(length, "route_id").withColumn("stop_progress", F.try_divide("shape_dist", "max_dist"))
 
 
 def first_trip_route_stops(trips: DataFrame, stop_times: DataFrame) -> DataFrame:

@@ -512,3 +512,17 @@ def test_rows_of_the_fit_are_split_once(spark, monkeypatch):
     order = lambda found: sorted(map(str, found))
     assert order(seen[0].drop("is_val").collect()) == order(want.where("split <> 'test'").collect())
     assert order(held.collect()) == order(want.where("split = 'test'").collect())
+
+
+def test_stop_times_are_read_once_for_sequences(spark, tmp_path):
+    """Sequences and lengths come from one aggregation; rows without a stop still count for the length."""
+    from pingloom.operators.network import canonical_shape, stop_sequences
+
+    path = str(tmp_path / "times")
+    rows = [(1, 10, 5, 1, 7, 2.0), (1, 10, 5, 2, 8, 4.0), (1, 10, 5, 3, None, 9.0), (2, 10, 5, 1, 7, 1.0), (2, 10, 5, 1, 7, 1.0), (3, 10, 6, 1, 9, 50.0), (4, 11, 7, 1, 7, 0.0), (5, None, 7, 1, 7, 3.0)]
+    spark.createDataFrame(rows, "trip_id long, route_id long, shape_id long, stop_sequence long, stop_id long, shape_dist double").write.parquet(path)
+    times = spark.read.parquet(path)
+    found = stop_sequences(times, canonical_shape(times))
+    assert path not in found._jdf.queryExecution().toString()
+    got = sorted((r.route_id, r.stop_id or 0, r.stop_sequence, r.shape_dist, r.max_dist, r.stop_progress) for r in found.collect())
+    assert got == [(10, 0, 3, 9.0, 9.0, 1.0), (10, 7, 1, 2.0, 9.0, 2 / 9), (10, 8, 2, 4.0, 9.0, 4 / 9), (11, 7, 1, 0.0, 0.0, None)]
