@@ -10,7 +10,9 @@ slices, so the unit of work is (key, slice):
   ``running_total``): the summaries are pre-aggregated before they are shuffled.
 
 Keys must not be NULL (ingest drops pings without a vehicle): plain equality lets the join reuse
-the window's partitioning. The input is read twice, so write expensive inputs first.
+the window's partitioning. The input is read twice, so write expensive inputs first. Summaries of
+slices are merged, never broadcast: where a key has few rows a slice there are as many of them as
+rows, and Spark goes by the bytes of the input's files, a tenth of what the driver would hold.
 """
 
 from __future__ import annotations
@@ -78,7 +80,7 @@ def lag_across(
     local = rows.select(
         "*", F.row_number().over(w).alias("_at"), *[F.lag(s).over(w).alias(f"_p_{n}") for n, s in columns.items()]
     )
-    joined = local.join(carried, [*keys, SLICE], "left")
+    joined = local.join(carried.hint("merge"), [*keys, SLICE], "left")
     return joined.select(
         *df.columns,
         *[F.when(F.col("_at") == 1, F.col(f"_carry.{n}")).otherwise(F.col(f"_p_{n}")).alias(n) for n in columns],
@@ -102,7 +104,7 @@ def fill_across(
     local = rows.select(
         *df.columns, SLICE, *[F.last(n, ignorenulls=True).over(w).alias(f"_here_{n}") for n in values]
     )
-    joined = local.join(carried, [*keys, SLICE], "left")
+    joined = local.join(carried.hint("merge"), [*keys, SLICE], "left")
     return joined.select(*df.columns, *[F.coalesce(f"_here_{n}", f"_carry_{n}").alias(n) for n in values])
 
 

@@ -171,3 +171,20 @@ def test_fan_out_comes_after_the_shuffle(spark):
     assert len(rows) == len(pings) and rows[900] == rows[901] == [None] * 3 and all(r[1] == r[2] for r in rows.values())
     # the only rows multiplied are the arrivals
     assert multi._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_summaries_of_slices_are_never_broadcast(spark, tmp_path):
+    """Where a slice has one row of a key, there are as many summaries as rows, however few bytes these take."""
+    df = spark.createDataFrame([(v, i, i * 7_200_000, float(i % 3) if i % 4 else None) for v in (1, 2, None) for i in range(20)], "vehicle_id long, event_id long, ts_ms long, x double")
+    df.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    lag = slices.lag_across(df, ["vehicle_id"], "ts_ms", ORDER, {"a": "x"})
+    fill = slices.fill_across(df, ["vehicle_id"], "ts_ms", ORDER, {"b": F.col("x")})
+    for found in (lag, fill):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, plan
+    known = df.where("vehicle_id IS NOT NULL").collect()
+    x = {(r.vehicle_id, r.event_id): r.x for r in known}
+    assert {(r.vehicle_id, r.event_id): r.a for r in lag.where("vehicle_id IS NOT NULL").collect()} == {(v, i): x.get((v, i - 1)) for v, i in x}
+    assert {(r.vehicle_id, r.event_id): r.b for r in fill.where("vehicle_id IS NOT NULL").collect()} == {(v, i): x[v, i] if x[v, i] is not None else x.get((v, i - 1)) for v, i in x}
+    assert lag.count() == fill.count() == 60
